@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("drift",)
+MODULES = ("drift", "quality", "performance")
 
 
 def _merged(attribute: str) -> dict:
