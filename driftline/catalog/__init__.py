@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("drift", "quality", "performance")
+MODULES = ("drift", "quality", "performance", "attribution", "history")
 
 
 def _merged(attribute: str) -> dict:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 TWO_POW_32 = 4294967296.0
 
 # The characters allowed in a retrain reason, and its replacement text.
-REASON_PATTERN = r"(?U)^[\w\s.,:;()\-/%>=<]+$"
+# Letters, numbers and spaces of any script; combining marks are not word characters here.
+REASON_PATTERN = r"(?U)^[\p{L}\p{N}_\s\x1c-\x1f.,:;()\-/%>=<]+$"
 REASON_DEFAULT = "drift thresholds breached"
 REASON_LENGTH = 200
 AUDIT_TEXT_LENGTH = 500

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.config import DriftConfig
 from driftline.functions.scalars import AUDIT_TEXT_LENGTH, clean_reason
-from driftline.operators.ordered import previous_value
+from driftline.operators.ordered import neighbours
 from driftline.session import materialise
 
 
@@ -126,14 +126,19 @@ def retrain_cooldown(
     keys = list(keys)
     interval = interval_minutes * 60 * 1_000_000
     stamped = candidates.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
-    distinct = stamped.select(*keys, "_at").distinct()
-    previous = previous_value(distinct, keys, "_at")
-    gap_free = F.col("previous").isNull() | (F.col("_at") - F.col("previous") >= interval)
-    marked = materialise(previous.select(*keys, "_at", gap_free.alias("sure")), "cooldown")
-    sent = marked.filter("sure").select(*keys, "_at")
-    if not marked.filter("NOT sure").isEmpty():
-        sent = _follow_links(marked, sent, keys, interval)
-    flags = sent.withColumn("dispatched", F.lit(True))
+    distinct = materialise(stamped.select(*keys, "_at").distinct(), "cooldown")
+    asking = distinct.withColumn("_probe", F.lit(False)).unionByName(
+        distinct.select(*keys, (F.col("_at") + interval).alias("_at"), F.lit(True).alias("_probe"))
+    )
+    placed = materialise(neighbours(asking, keys, "_at", "_probe"), "placed")
+    sure = placed.filter(
+        ~F.col("_probe")
+        & (F.col("previous").isNull() | (F.col("_at") - F.col("previous") >= interval))
+    ).select(*keys, "_at")
+    links = placed.filter(F.col("_probe") & F.col("following").isNotNull()).select(
+        *keys, (F.col("_at") - interval).alias("_at"), F.col("following").alias("_to")
+    )
+    flags = _reachable(sure, links, keys).withColumn("dispatched", F.lit(True))
     return (
         stamped.join(flags, [*keys, "_at"], "left")
         .withColumn("dispatched", F.coalesce("dispatched", F.lit(False)))
@@ -141,29 +146,19 @@ def retrain_cooldown(
     )
 
 
-def _follow_links(marked: DataFrame, sent: DataFrame, keys: list[str], interval: int) -> DataFrame:
-    """All requests reachable from `sent` over next-allowed-request links."""
-    # In descending time the first request at or after t + interval is the "previous" answer.
-    answers = marked.select(*keys, (-F.col("_at")).alias("_rev"), F.lit(False).alias("_ask"))
-    probes = marked.select(
-        *keys, (-(F.col("_at") + interval)).alias("_rev"), F.lit(True).alias("_ask")
-    )
-    looked_up = previous_value(answers.unionByName(probes), keys, "_rev", "_ask").filter("_ask")
-    links = materialise(
-        looked_up.filter("previous IS NOT NULL").select(
-            *keys, (-F.col("_rev") - interval).alias("_at"), (-F.col("previous")).alias("_to")
-        ),
-        "links",
-    )
-    reached = materialise(sent, "reached")
-    known = reached.count()
+def _reachable(start: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows on the chains that begin at `start`; each row has at most one link.
+
+    Links are doubled in every round, so chains of n rows need about log2(n) rounds, and a
+    history without crowded requests needs none.
+    """
+    reached = start
     while True:
         step = reached.join(links, [*keys, "_at"]).select(*keys, F.col("_to").alias("_at"))
-        reached = materialise(reached.unionByName(step).distinct(), "reached")
-        now_known = reached.count()
-        if now_known == known:
+        new = materialise(step.distinct().join(reached, [*keys, "_at"], "left_anti"), "reached")
+        if new.isEmpty():
             return reached
-        known = now_known
+        reached = reached.unionByName(new)
         onward = links.select(*keys, F.col("_at").alias("_to"), F.col("_to").alias("_next"))
         links = materialise(
             links.join(onward, [*keys, "_to"]).select(*keys, "_at", F.col("_next").alias("_to")),

@@ -16,6 +16,7 @@ from driftline.config import DEFAULT_DECISION_THRESHOLD
 from driftline.functions.scalars import f1_from_counts, is_unusable
 from driftline.operators.ordered import lay_out, rows_at_ranks
 from driftline.operators.performance import confusion_counts, roc_auc, tune_threshold
+from driftline.session import broadcast_bounded
 
 # The published training settings.
 TREES = 150
@@ -26,13 +27,18 @@ SEED = 42
 
 
 def stratified_split(
-    df: DataFrame, key: str, label: str, test_share: float = TEST_SHARE, seed: int = SEED
+    df: DataFrame,
+    key: str,
+    label: str,
+    test_share: float = TEST_SHARE,
+    seed: int = SEED,
+    classes: int = 2,
 ) -> DataFrame:
     """Exact split inside every label by hashed key order; adds is_test.
 
     Per label the rank of the last test row is looked up through the range layout, which
     moves only label, hash and key. The rows themselves are then marked by comparison with
-    that boundary: one row per label, so the joined side is as small as the label set.
+    that boundary: one row per label, and `classes` is the proven bound on the labels.
     """
     digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
     hashed = df.withColumn("_hash", digest)
@@ -55,7 +61,7 @@ def stratified_split(
         (F.col("_hash") == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key"))
     )
     return (
-        hashed.join(cut, label, "left")
+        hashed.join(broadcast_bounded(cut, classes), label, "left")
         .withColumn("is_test", F.coalesce(inside, F.lit(False)))
         .drop("_hash", "_cut_hash", "_cut_key")
     )

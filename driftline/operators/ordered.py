@@ -103,32 +103,38 @@ def rows_at_ranks(runs: Runs, weight: str, ranks: Callable[[Column], Column]) ->
     )
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], order: str, probe_flag: str | None = None
-) -> DataFrame:
-    """For each row the greatest earlier `order` value of its key (NULL for the first one).
+def neighbours(df: DataFrame, keys: Sequence[str], order: str, probe: str) -> DataFrame:
+    """For each row the nearest answer before it (`previous`) and at or after it (`following`).
 
-    With `probe_flag`, rows that carry the flag only ask and are never an answer; on equal
-    order values an answer row counts as earlier than a probe.
+    Rows with the boolean `probe` only ask; the others are the answers, with distinct order
+    values inside a key, and an answer never names itself. One range layout serves both
+    directions, and the nearest answers of the other runs come from the totals per run.
     """
     keys = list(keys)
-    flag = F.col(probe_flag) if probe_flag else F.lit(False)
-    tagged = df.withColumn("_probe", F.when(flag, 1).otherwise(0))
+    tagged = df.withColumn("_answer", F.when(F.col(probe), 0).otherwise(1))
     rows = materialise(
-        tagged.repartitionByRange(*keys, order, "_probe").withColumn(RUN, F.spark_partition_id()),
-        "previous",
+        tagged.repartitionByRange(*keys, order, "_answer").withColumn(RUN, F.spark_partition_id()),
+        "neighbours",
     )
-    answer = F.when(F.col("_probe") == 0, F.col(order))
-    per_run = rows.groupBy(*keys, RUN).agg(F.max(answer).alias("_run_max"))
-    earlier = Window.partitionBy(*keys).orderBy(RUN).rowsBetween(Window.unboundedPreceding, -1)
-    totals = per_run.select(*keys, RUN, F.max("_run_max").over(earlier).alias("_before"))
-    inside = (
-        Window.partitionBy(*keys, RUN)
-        .orderBy(order, "_probe")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    answer = F.when(F.col("_answer") == 1, F.col(order))
+    per_run = rows.groupBy(*keys, RUN).agg(
+        F.max(answer).alias("_run_max"), F.min(answer).alias("_run_min")
+    )
+    by_run = Window.partitionBy(*keys).orderBy(RUN)
+    totals = per_run.select(
+        *keys,
+        RUN,
+        F.max("_run_max").over(by_run.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_run_min").over(by_run.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
     )
+    # On equal order values a probe comes before the answer, so the answer follows it.
+    upward = Window.partitionBy(*keys, RUN).orderBy(order, "_answer")
+    downward = Window.partitionBy(*keys, RUN).orderBy(F.desc(order), F.desc("_answer"))
+    earlier = F.max(answer).over(upward.rowsBetween(Window.unboundedPreceding, -1))
+    later = F.min(answer).over(downward.rowsBetween(Window.unboundedPreceding, -1))
     return (
         rows.join(totals, [*keys, RUN])
-        .withColumn("previous", F.greatest(F.max(answer).over(inside), F.col("_before")))
-        .drop(RUN, "_before", "_probe")
+        .withColumn("previous", F.coalesce(earlier, F.col("_before")))
+        .withColumn("following", F.coalesce(later, F.col("_after")))
+        .drop(RUN, "_before", "_after", "_answer")
     )

@@ -24,8 +24,11 @@ def confusion_counts(
     score: str = "score",
     label: str = "label",
     labelled: Column | None = None,
+    carry: Sequence[Column] = (),
 ) -> DataFrame:
-    """n, n_labelled, tp, fp, fn, tn per key in one map-side-combined aggregation."""
+    """n, n_labelled, tp, fp, fn, tn per key in one map-side-combined aggregation.
+
+    `carry` adds aggregates to the same pass."""
     known = F.col(label).isNotNull()
     if labelled is not None:
         known = known & labelled
@@ -37,6 +40,7 @@ def confusion_counts(
         F.count_if(known & hit & ~actual).alias("fp"),
         F.count_if(known & ~hit & actual).alias("fn"),
         F.count_if(known & ~hit & ~actual).alias("tn"),
+        *carry,
     )
 
 

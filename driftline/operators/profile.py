@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.config import BINS, CATEGORICAL_LIMIT
@@ -220,15 +220,25 @@ def cell(value: str = "value") -> Column:
     )
 
 
-@dataclass(frozen=True)
 class ReferenceProfile:
-    """What a production window is compared with: one row per (keys, feature) in `features`
-    (edges, bins, categorical flag) and the full cell grid with counts in `cells`."""
+    """What a production window is compared with.
 
-    features: DataFrame
-    cells: DataFrame
-    keys: tuple[str, ...]
-    max_rows: int | None
+    `features` has one row per (keys, feature): edges, bins, categorical flag. `cells` is the
+    full cell grid with the reference counts. Both are written once, so that any number of
+    checks reads two small tables instead of the reference, and Spark knows their size.
+    """
+
+    def __init__(
+        self, features: DataFrame, cells: DataFrame, keys: Sequence[str], max_rows: int | None
+    ) -> None:
+        self.features = features
+        self.keys = tuple(keys)
+        self.max_rows = max_rows
+        self._cells = cells
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return materialise(self._cells, "cells")
 
     def small_features(self) -> DataFrame:
         return broadcast_bounded(self.features, self.max_rows)
@@ -238,6 +248,21 @@ class ReferenceProfile:
         bound = None if self.max_rows is None else self.max_rows * (CATEGORICAL_LIMIT + 1)
         return broadcast_bounded(self.cells, bound)
 
+    def save(self, path: str) -> None:
+        """Keep the profile next to the model; a check then needs no reference scan."""
+        self.features.write.parquet(f"{path}/features")
+        self.cells.write.parquet(f"{path}/cells")
+
+
+def load_profile(
+    spark: SparkSession, path: str, keys: Sequence[str] = (), max_rows: int | None = None
+) -> ReferenceProfile:
+    loaded = ReferenceProfile(
+        spark.read.parquet(f"{path}/features"), spark.read.parquet(f"{path}/cells"), keys, max_rows
+    )
+    loaded.__dict__["cells"] = loaded._cells
+    return loaded
+
 
 def cell_grid(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every cell that must exist even when empty: all bins, and the missing cell."""

@@ -47,7 +47,7 @@ def history(
     """One drift check per (model, window) of a log that carries both as columns.
 
     The reference profile is built once per model. The log is scanned once for the cell
-    counts of all features and the score, and once for the confusion counts; both combine
+    counts of all features and the score, and once for confusion counts and times; both combine
     map-side, so what is shuffled grows with models and windows, not with rows.
     """
     columns = [*spec.features, spec.score]
@@ -65,9 +65,13 @@ def history(
         ).alias("drifted_features"),
     )
     baseline = f1_at_threshold(reference, spec.threshold, [model], score=spec.score, label=spec.label)
-    counts = confusion_counts(log, spec.threshold, [model, window], score=spec.score, label=spec.label)
-    bounds = log.groupBy(model, window).agg(
-        F.min(spec.ts).alias("window_start"), F.max(spec.ts).alias("window_end")
+    counts = confusion_counts(
+        log,
+        spec.threshold,
+        [model, window],
+        score=spec.score,
+        label=spec.label,
+        carry=[F.min(spec.ts).alias("window_start"), F.max(spec.ts).alias("window_end")],
     )
     measured = performance_vs_baseline(
         counts.join(baseline.select(model, F.col("f1").alias("_base")), model), F.col("_base"), config
@@ -75,7 +79,6 @@ def history(
     verdict = status(F.col("psi_max"), F.col("perf_drop"), F.col("prediction_drift_psi"), config)
     return (
         measured.join(drift, [model, window])
-        .join(bounds, [model, window])
         .withColumn("status", guarded_status(F.col("n_samples"), verdict, config.min_samples))
         .withColumn("ts", F.col("window_end"))
         .withColumn("id", F.concat_ws("|", F.col(model), F.col(window).cast("string")))
