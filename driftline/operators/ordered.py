@@ -120,18 +120,20 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, probe: str) -> Da
     per_run = rows.groupBy(*keys, RUN).agg(
         F.max(answer).alias("_run_max"), F.min(answer).alias("_run_min")
     )
-    by_run = Window.partitionBy(*keys).orderBy(RUN)
+    sofar = (Window.unboundedPreceding, -1)
+    by_run = Window.partitionBy(*keys).orderBy(RUN).rowsBetween(*sofar)
+    from_end = Window.partitionBy(*keys).orderBy(F.desc(RUN)).rowsBetween(*sofar)
     totals = per_run.select(
         *keys,
         RUN,
-        F.max("_run_max").over(by_run.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.min("_run_min").over(by_run.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        F.max("_run_max").over(by_run).alias("_before"),
+        F.min("_run_min").over(from_end).alias("_after"),
     )
     # On equal order values a probe comes before the answer, so the answer follows it.
     upward = Window.partitionBy(*keys, RUN).orderBy(order, "_answer")
     downward = Window.partitionBy(*keys, RUN).orderBy(F.desc(order), F.desc("_answer"))
-    earlier = F.max(answer).over(upward.rowsBetween(Window.unboundedPreceding, -1))
-    later = F.min(answer).over(downward.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.max(answer).over(upward.rowsBetween(*sofar))
+    later = F.min(answer).over(downward.rowsBetween(*sofar))
     return (
         rows.join(totals, [*keys, RUN])
         .withColumn("previous", F.coalesce(earlier, F.col("_before")))
