@@ -268,7 +268,7 @@ ORACLES = {
       picked AS (SELECT draw_id, CAST(floor({ds.uniform_sql('draw_id', 5, 'draw')} * n::DOUBLE) AS BIGINT) AS rn, sv, sk FROM draws, facts)
       SELECT draw_id, event_id AS source_event_id,
              round(value + {normal_sql('draw_id', 5, 'value')} * (0.01::DOUBLE * sv), 4) + 0.0::DOUBLE AS value,
-             greatest(round_even(k + {normal_sql('draw_id', 5, 'k')} * (0.01::DOUBLE * sk), 0), 0.0::DOUBLE) AS k
+             greatest(round_even(k + {normal_sql('draw_id', 5, 'k')} * (0.01::DOUBLE * sk), 0), 0.0::DOUBLE) + 0.0::DOUBLE AS k
       FROM picked JOIN pool USING (rn)""",
     "detector_backtest": f"""WITH {q.psi_ctes(EV_REF, BATCHES, ['value', 'k', 'score'], windows=GROUPS, numeric=['score'])},
       base AS ({q.confusion_sql(EV_REF, T)}), perf AS ({q.confusion_sql(BATCHES, T, GROUPS)}),

@@ -33,22 +33,17 @@ def psi_from_counts(
     sum((s+1) ln((s+1)/(r+1))) / S - sum((r+1) ln((s+1)/(r+1))) / R, so one aggregation is
     enough and no window over the cells is needed. `carry` adds aggregates to the output.
     """
-    r1 = F.col(ref).cast("double") + 1.0
-    s1 = F.col(prod).cast("double") + 1.0
-    ratio = F.log(s1) - F.log(r1)
+    ratio = f"(ln({prod} + 1.0D) - ln({ref} + 1.0D))"
     sums = cells.groupBy(*keys).agg(
-        F.sum(r1).alias("_r"),
-        F.sum(s1).alias("_s"),
-        F.sum(s1 * ratio).alias("_a"),
-        F.sum(r1 * ratio).alias("_b"),
-        F.sum(F.col(ref)).alias("_n_ref"),
-        F.sum(F.col(prod)).alias("_n_prod"),
+        F.expr(f"sum({ref} + 1.0D) AS _r"),
+        F.expr(f"sum({prod} + 1.0D) AS _s"),
+        F.expr(f"sum(({prod} + 1.0D) * {ratio}) AS _a"),
+        F.expr(f"sum(({ref} + 1.0D) * {ratio}) AS _b"),
+        F.expr(f"sum({ref}) = 0 OR sum({prod}) = 0 AS _empty"),
         *carry,
     )
-    empty = (F.col("_n_ref") == 0) | (F.col("_n_prod") == 0)
-    value = F.col("_a") / F.col("_s") - F.col("_b") / F.col("_r")
-    scored = sums.withColumn("psi", F.when(empty, F.lit(0.0)).otherwise(value))
-    return scored.drop("_r", "_s", "_a", "_b", "_n_ref", "_n_prod")
+    scored = sums.withColumn("psi", F.expr("IF(_empty, 0.0D, _a / _s - _b / _r)"))
+    return scored.drop("_r", "_s", "_a", "_b", "_empty")
 
 
 def production_cells(
@@ -217,12 +212,27 @@ def feature_drift(
     keys: Sequence[str] = (),
     max_groups: int | None = None,
 ) -> DataFrame:
-    """The per-feature drift table, optionally per key (one comparison per key value).
+    """The per-feature drift table, optionally per key (one comparison per key value)."""
+    table, _ = compare(reference, production, features, config, keys, max_groups)
+    return table
+
+
+def compare(
+    reference: DataFrame,
+    production: DataFrame,
+    features: Sequence[str],
+    config: DriftConfig | None = None,
+    keys: Sequence[str] = (),
+    max_groups: int | None = None,
+    numeric: Sequence[str] = (),
+) -> tuple[DataFrame, ReferenceProfile]:
+    """Drift table and the reference profile it was made with, for further windows.
 
     One scan of each side: readings are counted by distinct value, laid out in order and
     written once; edges, cells, KS and moments all come from that table. The deviations are
     taken around the means in the pass that counts the cells, which keeps them accurate when
-    the mean is far from zero. The drifted flag uses PSI only; KS is a diagnostic.
+    the mean is far from zero. The drifted flag uses PSI only; KS is a diagnostic. Features
+    in `numeric` are never treated as categories.
     """
     config = config or DriftConfig()
     by = [*keys, "feature"]
@@ -232,23 +242,20 @@ def feature_drift(
         reference_long(reference, features, keys), to_long(production, features, keys), keys
     )
     runs = lay_out_values(counts, keys)
-    profile = profile_from_runs(runs, keys, max_rows)
+    profile = profile_from_runs(runs, keys, max_rows, numeric)
     small = profile.small_features()
-
-    def squares(side: str):
-        gap = F.col("value") - F.col(f"mean_{side}")
-        return F.sum(gap * gap * F.col(f"f_{side}")).alias(f"sq_{side}")
-
     counted = (
         runs.rows.join(small, by)
         .groupBy(*by, cell().alias("cell"))
         .agg(
-            F.sum("n_ref").alias("r"), F.sum("n_prod").alias("s"), squares("ref"), squares("prod")
+            F.expr("sum(n_ref) AS r"),
+            F.expr("sum(n_prod) AS s"),
+            F.expr("sum((value - mean_ref) * (value - mean_ref) * f_ref) AS sq_ref"),
+            F.expr("sum((value - mean_prod) * (value - mean_prod) * f_prod) AS sq_prod"),
         )
     )
-    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("double")
-    grid = cell_grid(profile.features, keys).withColumns(
-        {"r": zero, "s": zero, "sq_ref": none, "sq_prod": none}
+    grid = cell_grid(profile.features, keys).selectExpr(
+        "*", "0L AS r", "0L AS s", "cast(NULL AS double) AS sq_ref", "cast(NULL AS double) AS sq_prod"
     )
     # The grid repeats cells that were counted, so the two are added up before smoothing.
     cells = (
@@ -258,27 +265,24 @@ def feature_drift(
     )
     psi = psi_from_counts(cells, by, "r", "s", [F.sum(c).alias(c) for c in ("sq_ref", "sq_prod")])
 
-    def deviation(side: str):
-        return F.coalesce(F.sqrt(F.col(f"sq_{side}") / F.nullif(F.col(f"present_{side}"), F.lit(0))), F.lit(0.0))
-
-    def missing(side: str):
-        rows = F.col(f"{side}_rows")
-        return F.coalesce((rows - F.col(f"present_{side}")) / F.nullif(rows, F.lit(0)), F.lit(0.0))
+    def missing(side: str) -> str:
+        return f"coalesce(({side}_rows - present_{side}) / nullif({side}_rows, 0), 0.0D)"
 
-    table = psi.join(small, by).select(
+    table = psi.join(small, by).selectExpr(
         *by,
         "psi",
         "ks_statistic",
         "ks_pvalue",
-        F.coalesce("mean_ref", F.lit(0.0)).alias("ref_mean"),
-        F.coalesce("mean_prod", F.lit(0.0)).alias("prod_mean"),
-        deviation("ref").alias("ref_std"),
-        deviation("prod").alias("prod_std"),
-        (missing("prod") - missing("ref")).alias("missing_rate_delta"),
+        "coalesce(mean_ref, 0.0D) AS ref_mean",
+        "coalesce(mean_prod, 0.0D) AS prod_mean",
+        "coalesce(sqrt(sq_ref / nullif(present_ref, 0)), 0.0D) AS ref_std",
+        "coalesce(sqrt(sq_prod / nullif(present_prod, 0)), 0.0D) AS prod_std",
+        f"{missing('prod')} - {missing('ref')} AS missing_rate_delta",
         "is_categorical",
-        (F.col("psi") >= config.psi_alert).alias("drifted"),
+        f"psi >= {config.psi_alert}D AS drifted",
     )
-    return table if keys else _every_feature(table, features, NEUTRAL_FEATURE)
+    full = table if keys else _every_feature(table, features, NEUTRAL_FEATURE)
+    return full, profile
 
 
 def ks_flag():

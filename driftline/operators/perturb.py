@@ -143,7 +143,7 @@ def bootstrap_jitter(
         deviation = facts[c] or 1.0
         value = F.col(c) + normal_noise(["draw_id"], seed, c) * F.lit(JITTER * deviation)
         if c in discrete:
-            value = F.greatest(F.bround(value, 0), F.lit(0.0))
+            value = F.greatest(F.bround(value, 0), F.lit(0.0)) + F.lit(0.0)
         jittered[c] = F.when(F.col(c).isNotNull(), value)
     return rows.withColumns(jittered).drop("_row")
 

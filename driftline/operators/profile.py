@@ -56,20 +56,19 @@ def lay_out_values(counts: DataFrame, keys: Sequence[str] = ()) -> Runs:
     return lay_out(counts, [*keys, "feature"], ["value"], ["f_ref", "f_prod"])
 
 
-def _points() -> Column:
-    return F.array(*[F.lit(q) for q in QUANTILES])
-
-
-def _quantile_ranks(total: Column) -> Column:
-    """0-based ranks needed for linear interpolation at every quantile point."""
-
-    def pair(q: Column) -> Column:
-        low = F.floor((total - 1) * q)
-        return F.array(low, F.least(low + 1, total - 1))
-
-    return F.when(total > 0, F.array_distinct(F.flatten(F.transform(_points(), pair)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+# The quantile points as SQL, and the 0-based ranks that linear interpolation needs at them.
+POINTS_SQL = "array(" + ", ".join(f"{q}D" for q in QUANTILES) + ")"
+RANKS_SQL = f"""
+  IF(present_ref > 0,
+     array_distinct(flatten(transform({POINTS_SQL}, q -> array(
+       floor((present_ref - 1) * q), least(floor((present_ref - 1) * q) + 1, present_ref - 1))))),
+     cast(array() AS array<bigint>))"""
+EDGES_SQL = f"""
+  IF(present_ref > 0, array_sort(array_distinct(transform({POINTS_SQL}, q ->
+       try_element_at(_at, floor((present_ref - 1) * q))
+       + (try_element_at(_at, least(floor((present_ref - 1) * q) + 1, present_ref - 1))
+          - try_element_at(_at, floor((present_ref - 1) * q)))
+         * ((present_ref - 1) * q - floor((present_ref - 1) * q))))), NULL)"""
 
 
 def order_statistics(runs: Runs) -> DataFrame:
@@ -82,87 +81,64 @@ def order_statistics(runs: Runs) -> DataFrame:
     skipped. The collected list has at most 22 entries per key.
     """
     keys = list(runs.keys)
-    per_key = Window.partitionBy(*keys)
-    sized = runs.totals.withColumns(
-        {
-            "present_ref": F.sum("f_ref_run").over(per_key),
-            "present_prod": F.sum("f_prod_run").over(per_key),
-        }
-    )
-    ref_lo = F.col("f_ref_before") / F.col("present_ref")
-    ref_hi = (F.col("f_ref_before") + F.col("f_ref_run")) / F.col("present_ref")
-    prod_lo = F.col("f_prod_before") / F.col("present_prod")
-    prod_hi = (F.col("f_prod_before") + F.col("f_prod_run")) / F.col("present_prod")
-    both = (F.col("present_ref") > 0) & (F.col("present_prod") > 0)
+    part = f"OVER (PARTITION BY {', '.join(keys)})"
+    both = "present_ref > 0 AND present_prod > 0"
     bounded = (
-        sized.withColumns(
-            {
-                "_end_gap": F.when(both, F.abs(ref_hi - prod_hi)),
-                "_reach": F.when(both, F.greatest(ref_hi - prod_lo, prod_hi - ref_lo)),
-                "_ranks": _quantile_ranks(F.col("present_ref")),
-            }
+        runs.totals.selectExpr(
+            "*",
+            f"sum(f_ref_run) {part} AS present_ref",
+            f"sum(f_prod_run) {part} AS present_prod",
+        )
+        .selectExpr(
+            "*",
+            f"{RANKS_SQL} AS _ranks",
+            f"IF({both}, f_ref_before / present_ref, NULL) AS _ref_lo",
+            f"IF({both}, (f_ref_before + f_ref_run) / present_ref, NULL) AS _ref_hi",
+            f"IF({both}, f_prod_before / present_prod, NULL) AS _prod_lo",
+            f"IF({both}, (f_prod_before + f_prod_run) / present_prod, NULL) AS _prod_hi",
+        )
+        .selectExpr(
+            "*",
+            "greatest(_ref_hi - _prod_lo, _prod_hi - _ref_lo) AS _reach",
+            f"max(abs(_ref_hi - _prod_hi)) {part} AS _floor",
         )
-        .withColumn("_floor", F.max("_end_gap").over(per_key))
-    )
-    before, size = F.col("f_ref_before"), F.col("f_ref_run")
-    wanted = F.exists("_ranks", lambda r: (before <= r) & (r < before + size)) | F.coalesce(
-        F.col("_reach") > F.col("_floor"), F.lit(False)
     )
-    ranked = running_totals(runs, bounded.filter(wanted)).withColumns(
-        {
-            "_gap": F.when(
-                both,
-                F.abs(
-                    F.col("f_ref_upto") / F.col("present_ref")
-                    - F.col("f_prod_upto") / F.col("present_prod")
-                ),
-            ),
-            "_covered": F.filter(
-                "_ranks", lambda r: (F.col("f_ref_prior") <= r) & (r < F.col("f_ref_upto"))
-            ),
-        }
+    wanted = bounded.filter(
+        "exists(_ranks, r -> f_ref_before <= r AND r < f_ref_before + f_ref_run) "
+        "OR coalesce(_reach > _floor, false)"
     )
-    inner = ranked.groupBy(*keys).agg(
-        F.max("_gap").alias("_inner"),
-        F.collect_list(
-            F.when(F.size("_covered") > 0, F.struct(F.col("_covered").alias("at"), "value"))
-        ).alias("_found"),
+    inner = (
+        running_totals(runs, wanted)
+        .selectExpr(
+            *keys,
+            "value",
+            f"IF({both}, abs(f_ref_upto / present_ref - f_prod_upto / present_prod), NULL) AS _gap",
+            "filter(_ranks, r -> f_ref_prior <= r AND r < f_ref_upto) AS _covered",
+        )
+        .groupBy(*keys)
+        .agg(
+            F.expr("max(_gap) AS _inner"),
+            F.expr("collect_list(IF(size(_covered) > 0, struct(_covered AS at, value), NULL)) AS _found"),
+        )
     )
     outer = bounded.groupBy(*keys).agg(
-        F.max("present_ref").alias("present_ref"),
-        F.max("present_prod").alias("present_prod"),
-        F.max("_floor").alias("_floor"),
-    )
-
-    def point(q: Column) -> Column:
-        position = (F.col("present_ref") - 1) * q
-        low = F.floor(position)
-        a = F.try_element_at("_at", low)
-        b = F.try_element_at("_at", F.least(low + 1, F.col("present_ref") - 1))
-        return a + (b - a) * (position - low)
-
-    found = F.flatten(
-        F.transform("_found", lambda f: F.transform(f["at"], lambda rank: F.struct(rank, f["value"])))
+        *[F.max(c).alias(c) for c in ("present_ref", "present_prod", "_floor")]
     )
-    edges = F.array_sort(F.array_distinct(F.transform(_points(), point)))
-    only, margin = F.get("_edges", F.lit(0)), F.lit(DEGENERATE_MARGIN)
+    looked_up = "flatten(transform(_found, f -> transform(f.at, rank -> struct(rank, f.value))))"
+    margin = f"cast({DEGENERATE_MARGIN} AS double)"
     return (
         outer.join(inner, keys, "left")
-        .withColumn("_at", F.map_from_entries(found))
-        .withColumn("_edges", F.when(F.col("present_ref") > 0, edges))
-        .select(
-            *keys,
-            "present_ref",
-            "present_prod",
-            F.when(F.size("_edges") < 2, F.array(only - margin, only + margin))
-            .otherwise(F.col("_edges"))
-            .alias("edges"),
-            F.coalesce(F.greatest("_floor", "_inner"), F.lit(0.0)).alias("ks_statistic"),
+        .selectExpr(
+            *keys, "present_ref", "present_prod",
+            "coalesce(greatest(_floor, _inner), 0.0D) AS ks_statistic",
+            f"map_from_entries({looked_up}) AS _at",
         )
-        .withColumn(
-            "ks_pvalue",
-            ks_pvalue("ks_statistic", "present_ref", "present_prod"),
+        .selectExpr("*", f"{EDGES_SQL} AS _edges")
+        .selectExpr(
+            *keys, "present_ref", "present_prod", "ks_statistic",
+            f"IF(size(_edges) < 2, array(_edges[0] - {margin}, _edges[0] + {margin}), _edges) AS edges",
         )
+        .withColumn("ks_pvalue", ks_pvalue("ks_statistic", "present_ref", "present_prod"))
     )
 
 
@@ -199,11 +175,8 @@ def approximate_edges(
 
 def add_bin_columns(profile: DataFrame) -> DataFrame:
     """n_bins and the interior edges b1..b9 as plain columns (NULL where edges collapsed)."""
-    interior = {
-        f"b{i}": F.when(F.lit(i) < F.size("edges") - 1, F.get("edges", F.lit(i)))
-        for i in range(1, BINS)
-    }
-    return profile.withColumns({"n_bins": F.size("edges") - 1, **interior})
+    interior = [f"IF({i} < size(edges) - 1, get(edges, {i}), NULL) AS b{i}" for i in range(1, BINS)]
+    return profile.selectExpr("*", "size(edges) - 1 AS n_bins", *interior)
 
 
 def cell(value: str = "value") -> Column:
@@ -266,16 +239,12 @@ def load_profile(
 
 def cell_grid(profile: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every cell that must exist even when empty: all bins, and the missing cell."""
-    missing = F.array(F.lit(None).cast("double"))
-    bins = F.transform(F.sequence(F.lit(1), F.col("n_bins")), lambda b: b.cast("double"))
-    return profile.select(
+    missing = "array(cast(NULL AS double))"
+    bins = "transform(sequence(1, n_bins), b -> cast(b AS double))"
+    return profile.selectExpr(
         *keys,
         "feature",
-        F.explode(
-            F.when(F.col("is_categorical") | F.col("n_bins").isNull(), missing).otherwise(
-                F.concat(bins, missing)
-            )
-        ).alias("cell"),
+        f"explode(IF(is_categorical OR n_bins IS NULL, {missing}, concat({bins}, {missing}))) AS cell",
     )
 
 
@@ -291,17 +260,13 @@ def profile_from_runs(
     in `numeric` (scores always are).
     """
     by = [*keys, "feature"]
-    distinct = F.count_if((F.col("f_ref") > 0) & F.col("value").isNotNull())
     stats = runs.rows.groupBy(*by).agg(
-        distinct.alias("n_distinct"),
-        F.sum("n_ref").alias("ref_rows"),
+        F.expr("count_if(f_ref > 0) AS n_distinct"),
+        F.expr("sum(n_ref) AS ref_rows"),
+        F.expr("sum(n_prod) AS prod_rows"),
         *[
-            (F.sum(F.col("value") * F.col(f"f_{s}")) / F.nullif(F.sum(f"f_{s}"), F.lit(0))).alias(
-                f"mean_{s}"
-            )
-            for s in ("ref", "prod")
+            F.expr(f"sum(value * f_{s}) / nullif(sum(f_{s}), 0) AS mean_{s}") for s in ("ref", "prod")
         ],
-        F.sum("n_prod").alias("prod_rows"),
     ).filter("ref_rows > 0")
     flag = F.col("n_distinct") <= CATEGORICAL_LIMIT
     if numeric:

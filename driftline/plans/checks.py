@@ -12,7 +12,7 @@ from driftline.config import DriftConfig
 from driftline.functions.scalars import f1_from_counts
 from driftline.operators import attribution as a
 from driftline.operators.decisions import guarded_status, status
-from driftline.operators.drift import drift_summary, feature_drift, feature_psi
+from driftline.operators.drift import compare, drift_summary, feature_psi
 from driftline.operators.performance import (
     arrived,
     confusion_counts,
@@ -21,6 +21,7 @@ from driftline.operators.performance import (
     roc_auc,
 )
 from driftline.operators.profile import build_profile
+from driftline.session import materialise
 
 
 @dataclass(frozen=True)
@@ -109,19 +110,23 @@ def drift_report(
         return _guard_row(spark, production, spec, n)
 
     features = list(spec.features)
-    table = feature_drift(reference, production, features, config)
-    summary = drift_summary(table)
-    score_profile = build_profile(reference, [spec.score, *features], numeric=[spec.score])
+    found, profile = compare(
+        reference, production, [*features, spec.score], config, numeric=[spec.score]
+    )
+    table = materialise(found, "drift")
+    is_score = F.col("feature") == spec.score
+    summary = drift_summary(table.filter(~is_score))
+    score_psi = table.filter(is_score).select(F.col("psi").alias("prediction_drift_psi"))
     sliced = a.add_slice(production, spec.ts, spec.row_key)
-    by_slice = feature_psi(sliced, features, score_profile, ["slice"])
-    temporal = a.slice_bounds(sliced, spec.ts).join(
-        by_slice.groupBy("slice").agg(F.round(F.max("psi"), 4).alias("psi_max")), "slice"
+    by_slice = feature_psi(sliced, features, profile, ["slice"])
+    temporal = materialise(
+        a.slice_bounds(sliced, spec.ts).join(
+            by_slice.groupBy("slice").agg(F.round(F.max("psi"), 4).alias("psi_max")), "slice"
+        ),
+        "temporal",
     )
     sustained = a.sustained(temporal, config.psi_alert)
     slices = temporal.agg(F.array_sort(F.collect_list(F.struct("slice", "n", "psi_max"))).alias("temporal"))
-    score_psi = feature_psi(production, [spec.score], score_profile).select(
-        F.col("psi").alias("prediction_drift_psi")
-    )
 
     in_time = arrived(F.col(spec.ts), F.lit(end), config.label_delay_days)
     counts = confusion_counts(
