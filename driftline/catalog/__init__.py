@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("drift", "quality", "performance", "attribution", "history", "models")
+MODULES = ("drift", "quality", "performance", "attribution", "history", "models", "streams")
 
 
 def _merged(attribute: str) -> dict:
