@@ -10,7 +10,7 @@ from driftline.functions.scalars import hash_uniform, out
 from driftline.operators import drift as d
 from driftline.operators import profile as p
 from driftline.plans import datasets as ds
-from driftline.sources.tables import read_table
+from driftline.sources.tables import moment, read_table
 
 LF = ds.LINEITEM_FEATURES
 REF = "SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01'"
@@ -57,7 +57,7 @@ def feature_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 def psi_from_counts(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders")
-    early = F.col("o_orderdate") < F.lit(ds.LINEITEM_SPLIT).cast("timestamp_ntz")
+    early = F.col("o_orderdate") < moment(ds.LINEITEM_SPLIT, orders.schema["o_orderdate"].dataType)
     counts = orders.groupBy("o_orderstatus", "o_orderpriority").agg(
         F.count_if(early).alias("r"), F.count_if(~early).alias("s")
     )

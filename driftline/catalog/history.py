@@ -9,6 +9,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.catalog import sql as q
 from driftline.catalog.drift import DRIFT_REF
@@ -20,7 +21,7 @@ from driftline.plans import datasets as ds
 from driftline.plans.checks import ModelSpec, history
 from driftline.session import materialise, scratch_path
 from driftline.sources import sinks
-from driftline.sources.tables import read_table
+from driftline.sources.tables import moment, read_table
 
 SPEC = ModelSpec(tuple(ds.EVENT_FEATURES), "ts", "event_id", ds.DECISION_THRESHOLD)
 CONFIG = DriftConfig(min_samples=30)
@@ -177,7 +178,7 @@ def retrain_audit_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def seconds_since_dispatch(spark: SparkSession, folder: str) -> DataFrame:
-    found = h.seconds_since_dispatch(audits(spark, folder), F.lit(NOW).cast("timestamp_ntz"), ["event_type"])
+    found = h.seconds_since_dispatch(audits(spark, folder), moment(NOW, T.TimestampNTZType()), ["event_type"])
     return found.select("event_type", "last_dispatch", out(F.col("seconds_since"), 3).alias("seconds_since"))
 
 

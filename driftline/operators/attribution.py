@@ -16,6 +16,7 @@ from driftline.config import (
 from driftline.operators.drift import feature_psi
 from driftline.operators.ordered import lay_out, rows_at_ranks
 from driftline.operators.profile import ReferenceProfile, build_profile
+from driftline.sources.tables import moment
 
 
 def slice_starts(
@@ -44,9 +45,8 @@ def add_slice(df: DataFrame, ts: str, row_key: str, slices: int = TEMPORAL_SLICE
     """Equal parts of the window by (ts, key), the first ones one row longer if it must be."""
     number = F.lit(0)
     for start_ts, start_key in slice_starts(df, ts, row_key, slices):
-        after = (F.col(ts) > F.lit(start_ts)) | (
-            (F.col(ts) == F.lit(start_ts)) & (F.col(row_key) >= F.lit(start_key))
-        )
+        start = moment(start_ts, df.schema[ts].dataType)
+        after = (F.col(ts) > start) | ((F.col(ts) == start) & (F.col(row_key) >= F.lit(start_key)))
         number = number + after.cast("int")
     return df.withColumn("slice", number)
 

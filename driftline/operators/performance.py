@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftline.config import DEFAULT_DECISION_THRESHOLD, DriftConfig
 from driftline.functions.scalars import f1_from_counts
 from driftline.operators.ordered import Runs, lay_out, running_totals
+from driftline.sources.tables import moment
 
 
 def predicted(score: str, threshold: Column | float) -> Column:
@@ -130,7 +131,8 @@ def label_slice(df: DataFrame, ts: str, window_end, delay_days: int) -> DataFram
     """Rows whose label has arrived; the cutoff is a literal, so it reaches the scan."""
     if delay_days <= 0:
         return df
-    return df.filter(arrived(F.col(ts), F.lit(window_end), delay_days))
+    end = moment(window_end, df.schema[ts].dataType)
+    return df.filter(arrived(F.col(ts), end, delay_days))
 
 
 def performance_vs_baseline(

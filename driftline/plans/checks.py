@@ -22,6 +22,7 @@ from driftline.operators.performance import (
 )
 from driftline.operators.profile import build_profile
 from driftline.session import materialise
+from driftline.sources.tables import moment
 
 
 @dataclass(frozen=True)
@@ -128,7 +129,8 @@ def drift_report(
     sustained = a.sustained(temporal, config.psi_alert)
     slices = temporal.agg(F.array_sort(F.collect_list(F.struct("slice", "n", "psi_max"))).alias("temporal"))
 
-    in_time = arrived(F.col(spec.ts), F.lit(end), config.label_delay_days)
+    kind = production.schema[spec.ts].dataType
+    in_time = arrived(F.col(spec.ts), moment(end, kind), config.label_delay_days)
     counts = confusion_counts(
         production, spec.threshold, score=spec.score, label=spec.label, labelled=in_time
     )
@@ -163,8 +165,8 @@ def drift_report(
         .withColumns(
             {
                 "decision_threshold": F.lit(spec.threshold),
-                "window_start": F.lit(start).cast(production.schema[spec.ts].dataType),
-                "window_end": F.lit(end).cast(production.schema[spec.ts].dataType),
+                "window_start": moment(start, kind),
+                "window_end": moment(end, kind),
             }
         )
         .drop("_base", "roc_auc", "tp", "fp", "fn", "tn")

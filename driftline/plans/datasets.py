@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.scalars import clip, hash_uniform, round_to
 from driftline.operators.perturb import FLIP_RATE, Shift, inject_covariate_shift, inject_label_flip
-from driftline.sources.tables import read_table
+from driftline.sources.tables import moment, read_table
 
 LINEITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINEITEM_SPLIT = datetime(1999, 1, 1)
@@ -28,8 +28,8 @@ SEED = 7
 
 def split(df: DataFrame, ts: str, at: datetime) -> tuple[DataFrame, DataFrame]:
     """Reference and production by event time; the literal reaches the scan."""
-    moment = F.lit(at).cast(df.schema[ts].dataType)
-    return df.filter(F.col(ts) < moment), df.filter(F.col(ts) >= moment)
+    cut = moment(at, df.schema[ts].dataType)
+    return df.filter(F.col(ts) < cut), df.filter(F.col(ts) >= cut)
 
 
 def lineitem_sides(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +68,7 @@ def scored_events(spark: SparkSession, folder: str) -> DataFrame:
 def drifting_events(spark: SparkSession, folder: str) -> DataFrame:
     """Scored events whose production days drift more and more (intensity 0.1 to 1.0)."""
     df = events(spark, folder)
-    late = F.col("ts") >= F.lit(EVENT_SPLIT).cast(df.schema["ts"].dataType)
+    late = F.col("ts") >= moment(EVENT_SPLIT, df.schema["ts"].dataType)
     day = (F.dayofmonth("ts") - F.lit(20)).cast("double") / F.lit(10.0)
     intensity = F.when(late, day).otherwise(F.lit(0.0))
     marked = df.withColumn("intensity", intensity)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,14 @@ def read_table(
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
+def moment(value: datetime, like: T.DataType) -> Column:
+    """A time literal of the column's own type, independent of the session zone for
+    timestamp_ntz; without a cast on the column side it can be pushed to the scan."""
+    if isinstance(like, T.TimestampNTZType):
+        return F.lit(value.isoformat(sep=" ")).cast(like)
+    return F.lit(value)
+
+
 def latest(log: DataFrame, ts: str, partition: str | None = None):
     """Newest event time of a log, or None when it is empty.
 
@@ -42,7 +50,7 @@ def lookback_window(
     if newest is None:
         return log
     cutoff = newest - timedelta(hours=hours)
-    recent = log.filter(F.col(ts) >= F.lit(cutoff))
+    recent = log.filter(F.col(ts) >= moment(cutoff, log.schema[ts].dataType))
     if partition is not None:
         recent = recent.filter(F.col(partition) >= F.lit(cutoff.date()))
     return recent
@@ -61,8 +69,3 @@ def legacy_union_window(
 
 def empty_log(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
-
-
-def same_kind(value, like: Column | DataFrame, name: str) -> Column:
-    """A literal of the type a column has (timestamp or timestamp_ntz)."""
-    return F.lit(value).cast(like.schema[name].dataType)
