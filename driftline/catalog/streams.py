@@ -14,7 +14,7 @@ from driftline.operators.profile import build_profile
 from driftline.plans import datasets as ds
 from driftline.session import scratch_path
 from driftline.streaming import common
-from driftline.streaming.cooldown import retrain_cooldown_stream
+from driftline.streaming.cooldown import cooldown_batches, read_decisions, retrain_cooldown_stream
 from driftline.streaming.label_f1 import labelled_predictions, write_labelled
 from driftline.streaming.window_psi import pane_counts, read_panes, sliding_psi, write_panes
 
@@ -78,10 +78,25 @@ def stream_retrain_cooldown(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("request_id").alias("event_id"), "model", "dispatched")
 
 
+def stream_cooldown_batches(spark: SparkSession, folder: str) -> DataFrame:
+    own = common.stateful_session(spark, STATE_PARTITIONS)
+    asked = _events(own, folder).filter("event_type = 'purchase' AND value >= 20").select(
+        F.col("user_id").alias("model"), "event_id", "ts"
+    )
+    path = scratch_path(spark, "cooldown")
+    common.run_available(
+        cooldown_batches(asked, COOLDOWN_MINUTES, path).option(
+            "checkpointLocation", scratch_path(spark, "cooldown-state")
+        )
+    )
+    return read_decisions(spark, path).select("event_id", "model", "dispatched")
+
+
 QUERIES = {
     "stream_window_psi": stream_window_psi,
     "stream_label_f1": stream_label_f1,
     "stream_retrain_cooldown": stream_retrain_cooldown,
+    "stream_cooldown_batches": stream_cooldown_batches,
 }
 
 SLID = f"""SELECT date_trunc('hour', ts) - to_hours(CAST(h AS INTEGER)) AS window_start, value, k
@@ -100,3 +115,4 @@ ORACLES = {
       SELECT event_id, model, sent_at IS NOT NULL AS dispatched
       FROM asked LEFT JOIN sent ON model = k AND ts = sent_at""",
 }
+ORACLES["stream_cooldown_batches"] = ORACLES["stream_retrain_cooldown"]

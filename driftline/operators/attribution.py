@@ -16,6 +16,7 @@ from driftline.config import (
 from driftline.operators.drift import feature_psi
 from driftline.operators.ordered import lay_out, rows_at_ranks
 from driftline.operators.profile import ReferenceProfile, build_profile
+from driftline.session import materialise
 from driftline.sources.tables import moment
 
 
@@ -95,7 +96,7 @@ def first_segments(
     min_rows: int = MIN_SEGMENT_ROWS,
 ) -> DataFrame:
     """The first `limit` segment values in ascending order, then without those that are too
-    small or unknown to the reference; at most `limit` rows."""
+    small or unknown to the reference; at most `limit` rows, written once for its readers."""
     counted = (
         production.filter(F.col(segment).isNotNull())
         .groupBy(segment)
@@ -105,7 +106,7 @@ def first_segments(
         .filter(F.col("n") >= min_rows)
     )
     known = reference.select(segment).distinct()
-    return counted.join(known, segment, "left_semi")
+    return materialise(counted.join(known, segment, "left_semi"), "segments")
 
 
 def segment_drift(

@@ -108,7 +108,11 @@ def audit_rows(
 
 
 def retrain_cooldown(
-    candidates: DataFrame, keys: Sequence[str], ts: str, interval_minutes: int
+    candidates: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    interval_minutes: int,
+    last_dispatch: DataFrame | None = None,
 ) -> DataFrame:
     """Which candidate requests are dispatched when a dispatch blocks its key for a while.
 
@@ -122,11 +126,22 @@ def retrain_cooldown(
       in each round, so a chain of n dispatches takes about log2(n) joins on unique keys.
 
     Requests of one key with the same time count once; all of them get its decision.
+    `last_dispatch` (keys, last) carries earlier dispatches in; requests before them are
+    blocked.
     """
     keys = list(keys)
     interval = interval_minutes * 60 * 1_000_000
     stamped = candidates.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
-    distinct = materialise(stamped.select(*keys, "_at").distinct(), "cooldown")
+    walked = stamped.select(*keys, "_at")
+    if last_dispatch is not None:
+        before = last_dispatch.select(*keys, F.unix_micros(F.col("last").cast("timestamp")).alias("_last"))
+        walked = (
+            walked.join(before, keys, "left")
+            .filter(F.col("_last").isNull() | (F.col("_at") >= F.col("_last")))
+            .select(*keys, "_at")
+            .unionByName(before.select(*keys, F.col("_last").alias("_at")))
+        )
+    distinct = materialise(walked.distinct(), "cooldown")
     asking = distinct.withColumn("_probe", F.lit(False)).unionByName(
         distinct.select(*keys, (F.col("_at") + interval).alias("_at"), F.lit(True).alias("_probe"))
     )

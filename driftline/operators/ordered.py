@@ -5,7 +5,7 @@ once. Each partition, a *run*, then holds one contiguous stretch of every key it
 so a running total is the total of the earlier runs plus a running total inside the run.
 The totals per run are a small table: at most (number of runs + number of keys) rows.
 A key that holds most of the data is spread over many runs, because the order column is
-part of the range key.
+part of the range key. Rows whose key is NULL belong to no group and take no part.
 """
 
 from __future__ import annotations

@@ -1,12 +1,20 @@
-"""Rate-limited retrain decisions on a stream, one value of state per model."""
+"""Rate-limited retrain decisions on a stream (T7), in two forms.
+
+The stateful operator keeps one value per model and suits the usual few requests per model
+and micro-batch. `cooldown_batches` runs the distributed batch job on every micro-batch and
+has no limit on the requests of one model.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftline.operators.decisions import retrain_cooldown
+
 OUTPUT = T.StructType(
     [
         T.StructField("model", T.LongType()),
@@ -65,3 +73,30 @@ def retrain_cooldown_stream(requests: DataFrame, interval_minutes: int) -> DataF
         outputMode="Append",
         timeMode="None",
     )
+
+
+def cooldown_batches(requests: DataFrame, interval_minutes: int, path: str, ts: str = "ts"):
+    """Stream writer that decides each micro-batch with the distributed batch job.
+
+    The last dispatch per model is kept as a small table per batch id. A repeated batch reads
+    the state of the batch before it and replaces its own folders, so it gives the same rows.
+    """
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = None if batch_id == 0 else spark.read.parquet(f"{path}/last/batch={batch_id - 1}")
+        decided = retrain_cooldown(batch, ["model"], ts, interval_minutes, last)
+        decided.write.mode("overwrite").parquet(f"{path}/decisions/batch={batch_id}")
+        sent = spark.read.parquet(f"{path}/decisions/batch={batch_id}").filter("dispatched")
+        newest = sent.select("model", F.col(ts).alias("last"))
+        if last is not None:
+            newest = newest.unionByName(last)
+        newest.groupBy("model").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(
+            f"{path}/last/batch={batch_id}"
+        )
+
+    return requests.writeStream.foreachBatch(decide)
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/decisions").drop("batch")
