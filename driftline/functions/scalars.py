@@ -77,14 +77,16 @@ def ks_pvalue(statistic: str, n_ref: str, n_prod: str, terms: int = 100) -> Colu
     Below lambda = 0.2 the series has not settled after `terms` terms and the value
     is 1 to more than ten digits, so it is set there.
     """
-    root = f"sqrt(cast({n_ref} AS double) * {n_prod} / (cast({n_ref} AS double) + {n_prod}))"
+    # Empty sides become NULL here, since shared subexpressions are evaluated before the guard.
+    pairs = f"nullif(cast({n_ref} AS double) * {n_prod}, 0.0D)"
+    root = f"sqrt({pairs} / nullif(cast({n_ref} AS double) + {n_prod}, 0.0D))"
     lam = f"(({root} + 0.12D + 0.11D / {root}) * {statistic})"
     series = (
         f"aggregate(sequence(1, {terms}), 0.0D, (acc, k) -> "
         f"acc + IF(k % 2 = 1, 1.0D, -1.0D) * exp(-2.0D * k * k * {lam} * {lam}))"
     )
     return F.expr(
-        f"CASE WHEN coalesce({n_ref}, 0) = 0 OR coalesce({n_prod}, 0) = 0 OR {lam} < 0.2D THEN 1.0D "
+        f"CASE WHEN coalesce({n_ref}, 0) = 0 OR coalesce({n_prod}, 0) = 0 OR coalesce({lam}, 0.0D) < 0.2D THEN 1.0D "
         f"ELSE least(greatest(2.0D * {series}, 0.0D), 1.0D) END"
     )
 

@@ -102,7 +102,7 @@ def pr_curve(
         fp.alias("fp"),
         fn.alias("fn"),
         (tp / (tp + fp)).alias("precision"),
-        F.when(F.col("all_pos") == 0, F.lit(1.0)).otherwise(tp / F.col("all_pos")).alias("recall"),
+        F.when(F.col("all_pos") == 0, F.lit(1.0)).otherwise(tp / F.nullif(F.col("all_pos"), F.lit(0))).alias("recall"),
         f1_from_counts(tp, fp, fn).alias("f1"),
     )
 
@@ -149,5 +149,5 @@ def performance_vs_baseline(
         .withColumn("perf_f1", F.when(usable, f1))
         .withColumn("perf_drop", drop)
         .withColumn("concept_drift", F.col("perf_drop") >= config.perf_drop_alert)
-        .withColumn("label_coverage", F.col("n_labeled") / F.col("n_samples"))
+        .withColumn("label_coverage", F.col("n_labeled") / F.nullif(F.col("n_samples"), F.lit(0)))
     )

@@ -92,10 +92,10 @@ def order_statistics(runs: Runs) -> DataFrame:
         .selectExpr(
             "*",
             f"{RANKS_SQL} AS _ranks",
-            f"IF({both}, f_ref_before / present_ref, NULL) AS _ref_lo",
-            f"IF({both}, (f_ref_before + f_ref_run) / present_ref, NULL) AS _ref_hi",
-            f"IF({both}, f_prod_before / present_prod, NULL) AS _prod_lo",
-            f"IF({both}, (f_prod_before + f_prod_run) / present_prod, NULL) AS _prod_hi",
+            f"IF({both}, f_ref_before / nullif(present_ref, 0), NULL) AS _ref_lo",
+            f"IF({both}, (f_ref_before + f_ref_run) / nullif(present_ref, 0), NULL) AS _ref_hi",
+            f"IF({both}, f_prod_before / nullif(present_prod, 0), NULL) AS _prod_lo",
+            f"IF({both}, (f_prod_before + f_prod_run) / nullif(present_prod, 0), NULL) AS _prod_hi",
         )
         .selectExpr(
             "*",
@@ -112,7 +112,7 @@ def order_statistics(runs: Runs) -> DataFrame:
         .selectExpr(
             *keys,
             "value",
-            f"IF({both}, abs(f_ref_upto / present_ref - f_prod_upto / present_prod), NULL) AS _gap",
+            f"IF({both}, abs(f_ref_upto / nullif(present_ref, 0) - f_prod_upto / nullif(present_prod, 0)), NULL) AS _gap",
             "filter(_ranks, r -> f_ref_prior <= r AND r < f_ref_upto) AS _covered",
         )
         .groupBy(*keys)
