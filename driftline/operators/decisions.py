@@ -13,6 +13,15 @@ from driftline.operators.ordered import neighbours
 from driftline.session import materialise
 
 
+# The gate messages, and the audit detail of each decision that passed the gate.
+OFF_TEXT = "BLOCKED: retraining disabled (RETRAIN_ENABLED=false)."
+PSI_TEXT = "BLOCKED: psi_max=%.4f < {limit} — data-drift condition not met."
+DROP_TEXT = "BLOCKED: f1_drop=%.4f < {limit} — performance-degradation condition not met."
+RATE_TEXT = "BLOCKED: last retrain was %.1fm ago (< {limit}m rate limit)."
+PASS_TEXT = "OK"
+DETAIL = {"dry_run": "dry-run; not dispatched", "skipped": "no GitHub creds", "dispatched": "204"}
+
+
 def _or_zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
@@ -47,30 +56,16 @@ def gate_message(
     psi, drop = _or_zero(psi_max), _or_zero(perf_drop)
     on = F.lit(config.retrain_enabled) if enabled is None else enabled
     minutes = config.retrain_min_interval_minutes
+    limited = seconds_since.isNotNull() & (seconds_since < minutes * 60)
     return (
-        F.when(~on, F.lit("BLOCKED: retraining disabled (RETRAIN_ENABLED=false)."))
-        .when(
-            psi < config.psi_alert,
-            F.format_string(
-                f"BLOCKED: psi_max=%.4f < {config.psi_alert} — data-drift condition not met.", psi
-            ),
-        )
+        F.when(~on, F.lit(OFF_TEXT))
+        .when(psi < config.psi_alert, F.format_string(PSI_TEXT.format(limit=config.psi_alert), psi))
         .when(
             drop < config.perf_drop_alert,
-            F.format_string(
-                f"BLOCKED: f1_drop=%.4f < {config.perf_drop_alert} — "
-                "performance-degradation condition not met.",
-                drop,
-            ),
+            F.format_string(DROP_TEXT.format(limit=config.perf_drop_alert), drop),
         )
-        .when(
-            seconds_since.isNotNull() & (seconds_since < minutes * 60),
-            F.format_string(
-                f"BLOCKED: last retrain was %.1fm ago (< {minutes}m rate limit).",
-                seconds_since / F.lit(60.0),
-            ),
-        )
-        .otherwise(F.lit("OK"))
+        .when(limited, F.format_string(RATE_TEXT.format(limit=minutes), seconds_since / F.lit(60.0)))
+        .otherwise(F.lit(PASS_TEXT))
     )
 
 
@@ -79,17 +74,13 @@ def dispatch_decision(message: Column, dry_run: Column | bool, configured: Colum
     dry = F.lit(dry_run) if isinstance(dry_run, bool) else dry_run
     ready = F.lit(configured) if isinstance(configured, bool) else configured
     return (
-        F.when(message != "OK", "blocked")
+        F.when(message != PASS_TEXT, "blocked")
         .when(dry, "dry_run")
         .when(~ready, "skipped")
         .otherwise("dispatched")
     )
 
 
-# The audit detail written for each decision that passed the gate.
-DETAIL = {"dry_run": "dry-run; not dispatched", "skipped": "no GitHub creds", "dispatched": "204"}
-
-
 def audit_rows(
     requests: DataFrame, ts: str, reason: Column, message: Column, decision: Column
 ) -> DataFrame:

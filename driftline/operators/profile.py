@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftline.config import BINS, CATEGORICAL_LIMIT
 from driftline.functions.scalars import is_infinite, ks_pvalue, reading
-from driftline.operators.ordered import Runs, lay_out, running_totals
+from driftline.operators.ordered import RUN, Runs, lay_out, running_totals
 from driftline.session import broadcast_bounded, materialise
 
 # The quantile points as decimal literals (i * 0.1 would miss some of them).
@@ -88,6 +88,7 @@ def order_statistics(runs: Runs) -> DataFrame:
             "*",
             f"sum(f_ref_run) {part} AS present_ref",
             f"sum(f_prod_run) {part} AS present_prod",
+            f"min({RUN}) {part} AS _first",
         )
         .selectExpr(
             "*",
@@ -121,9 +122,8 @@ def order_statistics(runs: Runs) -> DataFrame:
             F.expr("collect_list(IF(size(_covered) > 0, struct(_covered AS at, value), NULL)) AS _found"),
         )
     )
-    outer = bounded.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in ("present_ref", "present_prod", "_floor")]
-    )
+    # One row per key without another shuffle: the windows above already gathered each key.
+    outer = bounded.filter(f"{RUN} = _first").select(*keys, "present_ref", "present_prod", "_floor")
     looked_up = "flatten(transform(_found, f -> transform(f.at, rank -> struct(rank, f.value))))"
     margin = f"cast({DEGENERATE_MARGIN} AS double)"
     return (

@@ -94,9 +94,13 @@ def drift_report(
     spec: ModelSpec,
     config: DriftConfig | None = None,
     fingerprint: DataFrame | None = None,
+    baseline: tuple[float, int] | None = None,
 ) -> DataFrame:
     """The whole check of one production window as one row.
 
+    `baseline` is (F1, reference rows) as kept with the model; without it both are measured
+    on the reference.
+
     A window that is empty or too small gives the same columns with its guard status, so
     that every run leaves a record. The window facts are two numbers and two times read on
     the driver; everything else stays distributed.
@@ -136,10 +140,15 @@ def drift_report(
     )
     labelled = production.filter(in_time) if config.label_delay_days > 0 else production
     auc = roc_auc(labelled, score=spec.score, label=spec.label).select("roc_auc")
-    base = confusion_counts(reference, spec.threshold, score=spec.score, label=spec.label).select(
-        f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn")).alias("_base"),
-        F.col("n_samples").alias("n_ref_rows"),
-    )
+    if baseline is not None:
+        base = spark.createDataFrame([baseline], "_base double, n_ref_rows bigint")
+    else:
+        base = confusion_counts(
+            reference, spec.threshold, score=spec.score, label=spec.label
+        ).select(
+            f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn")).alias("_base"),
+            F.col("n_samples").alias("n_ref_rows"),
+        )
     parts = [summary, sustained, slices, score_psi, counts, auc, base]
     if spec.segment:
         segments = a.segment_drift(reference, production, features, spec.segment)
