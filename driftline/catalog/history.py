@@ -381,7 +381,7 @@ ORACLES = {
     "retrain_audit_log": f"""WITH RECURSIVE {AUDIT_CTES}
       SELECT id, ts, decision, {REASON_SQL.format(c='asked_reason')} AS reason, {q.rounded('psi_max', 'perf_drop')},
              CASE decision WHEN 'blocked' THEN message WHEN 'dry_run' THEN 'dry-run; not dispatched'
-                           WHEN 'skipped' THEN 'no GitHub creds' ELSE '204' END AS detail
+                           WHEN 'skipped' THEN 'no target configured' ELSE '204' END AS detail
       FROM decided""",
     "seconds_since_dispatch": f"""WITH RECURSIVE {AUDIT_CTES},
       l AS (SELECT event_type, max(ts) FILTER (WHERE decision IN ('dispatched', 'dry_run')) AS last_dispatch FROM decided GROUP BY event_type)
@@ -389,7 +389,7 @@ ORACLES = {
              round(date_diff('microsecond', last_dispatch, TIMESTAMP '2024-02-01') / 1000000.0::DOUBLE, 3) + 0.0::DOUBLE AS seconds_since FROM l""",
     "sanitize_reason": f"""SELECT doc_id, md5(substr({REASON_SQL.format(c='text')}, 1, 200)) AS reason_md5 FROM documents""",
     "alert_feed": f"""WITH {HISTORY_CTES}
-      SELECT id, status, printf(':warning: ML Monitor — *%s*' || chr(10) || '• psi_max: %.3f  • F1 drop: %.3f  • pred-PSI: %.3f'
+      SELECT id, status, printf(':warning: Model monitor — *%s*' || chr(10) || '• psi_max: %.3f  • F1 drop: %.3f  • pred-PSI: %.3f'
                || chr(10) || '• drifted features: %s' || chr(10) || '• samples: %d (labeled %d)',
              upper(status), psi_max, perf_drop, prediction_drift_psi, CASE WHEN drifted = '' THEN 'none' ELSE drifted END, n_samples, n_labeled) AS text
       FROM checks WHERE status IN ('warn', 'alert')""",

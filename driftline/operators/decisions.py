@@ -19,7 +19,7 @@ PSI_TEXT = "BLOCKED: psi_max=%.4f < {limit} — data-drift condition not met."
 DROP_TEXT = "BLOCKED: f1_drop=%.4f < {limit} — performance-degradation condition not met."
 RATE_TEXT = "BLOCKED: last retrain was %.1fm ago (< {limit}m rate limit)."
 PASS_TEXT = "OK"
-DETAIL = {"dry_run": "dry-run; not dispatched", "skipped": "no GitHub creds", "dispatched": "204"}
+DETAIL = {"dry_run": "dry-run; not dispatched", "skipped": "no target configured", "dispatched": "204"}
 
 
 def _or_zero(c: Column) -> Column:
@@ -186,7 +186,7 @@ def alert_message(report_columns: dict[str, str] | None = None) -> Column:
     }
     drifted = F.coalesce(F.nullif(F.array_join(names["drifted"], ", "), F.lit("")), F.lit("none"))
     return F.format_string(
-        ":warning: ML Monitor — *%s*\n• psi_max: %.3f  • F1 drop: %.3f  • pred-PSI: %.3f\n"
+        ":warning: Model monitor — *%s*\n• psi_max: %.3f  • F1 drop: %.3f  • pred-PSI: %.3f\n"
         "• drifted features: %s\n• samples: %d (labeled %d)",
         F.upper(F.coalesce(F.col(names["status"]), F.lit("?"))),
         _or_zero(F.col(names["psi_max"])),

@@ -56,7 +56,9 @@ def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], weights: S
             for w in weights
         ],
     )
-    return Runs(rows, totals, keys, order, weights)
+    # Written too: every reader of the runs needs the totals, more than once, and making them
+    # scans all rows. Their file size is then known when joins are planned.
+    return Runs(rows, materialise(totals, "totals"), keys, order, weights)
 
 
 def running_totals(runs: Runs, only: DataFrame | None = None) -> DataFrame:
@@ -65,17 +67,24 @@ def running_totals(runs: Runs, only: DataFrame | None = None) -> DataFrame:
     `only` is a subset of `runs.totals`, possibly with more columns, which are kept; just
     its runs are read and sorted.
     """
-    totals = runs.totals if only is None else only
+    by_run = [*runs.keys, RUN]
+    rows, totals = runs.rows, runs.totals
+    if only is not None:
+        rows, totals = rows.join(only.select(*by_run), by_run, "left_semi"), only
     inside = (
-        Window.partitionBy(*runs.keys, RUN)
+        Window.partitionBy(*by_run)
         .orderBy(*runs.order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = runs.rows.join(totals, [*runs.keys, RUN])
-    upto = joined.withColumns(
-        {f"{w}_upto": F.col(f"{w}_before") + F.sum(w).over(inside) for w in runs.weights}
+    # The totals are joined after the window, so that the shuffle and the sort carry only the
+    # rows; the join uses the partitioning the window has already made.
+    inner = rows.withColumns({f"_{w}_in": F.sum(w).over(inside) for w in runs.weights})
+    upto = inner.join(totals, by_run).withColumns(
+        {f"{w}_upto": F.col(f"{w}_before") + F.col(f"_{w}_in") for w in runs.weights}
     )
-    return upto.withColumns({f"{w}_prior": F.col(f"{w}_upto") - F.col(w) for w in runs.weights})
+    return upto.withColumns(
+        {f"{w}_prior": F.col(f"{w}_upto") - F.col(w) for w in runs.weights}
+    ).drop(*[f"_{w}_in" for w in runs.weights])
 
 
 def rows_at_ranks(runs: Runs, weight: str, ranks: Callable[[Column], Column]) -> DataFrame:

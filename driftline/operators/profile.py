@@ -108,13 +108,19 @@ def order_statistics(runs: Runs) -> DataFrame:
         "exists(_ranks, r -> f_ref_before <= r AND r < f_ref_before + f_ref_run) "
         "OR coalesce(_reach > _floor, false)"
     )
+    # Cheap test that a quantile point can lie in the row at all; it stays in codegen, and
+    # only the few rows that pass it run the lambda.
+    steps = f"{BINS}.0D / nullif(present_ref - 1, 0)"
+    near = (
+        f"coalesce(floor(f_ref_upto * {steps} + 1e-6D) >= ceil((f_ref_prior - 1) * {steps} - 1e-6D), true)"
+    )
     inner = (
         running_totals(runs, wanted)
         .selectExpr(
             *keys,
             "value",
             f"IF({both}, abs(f_ref_upto / nullif(present_ref, 0) - f_prod_upto / nullif(present_prod, 0)), NULL) AS _gap",
-            "filter(_ranks, r -> f_ref_prior <= r AND r < f_ref_upto) AS _covered",
+            f"IF({near}, filter(_ranks, r -> f_ref_prior <= r AND r < f_ref_upto), NULL) AS _covered",
         )
         .groupBy(*keys)
         .agg(
