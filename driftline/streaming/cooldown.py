@@ -32,6 +32,7 @@ def cooldown_processor(interval_micros: int):
     taken in time order; one that comes in a later batch than its successor is judged
     against the last dispatch known then.
     """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -40,24 +41,19 @@ def cooldown_processor(interval_micros: int):
             self.last = handle.getValueState("last", "at bigint")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            requests = pd.concat(list(rows)).sort_values(["at", "request_id"])
+            frames = [(f["at"].to_numpy(), f["request_id"].to_numpy()) for f in rows]
+            at = np.concatenate([f[0] for f in frames])
+            request = np.concatenate([f[1] for f in frames])
+            order = np.lexsort((request, at))
+            at, request = at[order], request[order]
             last = self.last.get()[0] if self.last.exists() else None
-            sent = []
-            for at in requests["at"]:
-                ok = last is None or at - last >= interval_micros or at == last
-                if ok:
-                    last = int(at)
-                sent.append(ok)
+            sent = np.zeros(len(at), dtype=bool)
+            for i, moment in enumerate(at.tolist()):
+                if last is None or moment - last >= interval_micros or moment == last:
+                    last, sent[i] = moment, True
             if last is not None:
                 self.last.update((last,))
-            yield pd.DataFrame(
-                {
-                    "model": key[0],
-                    "request_id": requests["request_id"].to_numpy(),
-                    "at": requests["at"].to_numpy(),
-                    "dispatched": sent,
-                }
-            )
+            yield pd.DataFrame({"model": key[0], "request_id": request, "at": at, "dispatched": sent})
 
         def close(self) -> None:
             pass

@@ -90,3 +90,27 @@ def test_cooldown_over_several_micro_batches(spark, tmp_path):
     for model, times in ((0, hot), (1, cold)):
         got = {int((r["ts"] - BASE).total_seconds()) for r in decided.filter((F.col("model") == model) & F.col("dispatched")).collect()}
         assert got == brute.greedy(times, 3600)
+
+
+def test_each_batch_is_checked_and_kept_once(spark, tmp_path):
+    from test_checks import SPEC, table
+
+    from driftline.config import DriftConfig
+    from driftline.plans.monitor import MonitorTables
+    from driftline.streaming.monitor import check_each_batch
+
+    reference = table(spark, 1500, 0)
+    clean, drifted = table(spark, 600, 1), table(spark, 600, 2, 2.0, 0.4)
+    later = drifted.withColumn("ts", F.col("ts") + F.expr("INTERVAL 20 DAYS"))
+    source = str(tmp_path / "in")
+    clean.coalesce(1).write.mode("append").parquet(source)
+    later.coalesce(1).write.mode("append").parquet(source)
+    own = common.stateful_session(spark, 4)
+    stream = own.readStream.schema(reference.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    tables = MonitorTables(str(tmp_path / "out"))
+    writer = check_each_batch(stream, reference, SPEC, tables, "m", 48, DriftConfig())
+    common.run_available(writer.option("checkpointLocation", str(tmp_path / "state")))
+    checks = spark.read.parquet(tables.checks).orderBy("batch").collect()
+    assert [r["status"] for r in checks] == ["ok", "alert"]
+    alerts = spark.read.parquet(f"{tables.root}/alerts").collect()
+    assert len(alerts) == 1 and "*ALERT*" in alerts[0]["text"]
