@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op2_sentencepiece", "op6_token_counts")
+MODULES = ("op2_sentencepiece", "op5_secrets", "op6_token_counts")
 
 
 def _merged(attribute: str) -> dict:
