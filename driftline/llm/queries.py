@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op2_sentencepiece", "op4_mixture", "op5_secrets", "op6_token_counts", "op9_quality_rules")
+MODULES = (
+    "op2_sentencepiece",
+    "op3_language_id",
+    "op4_mixture",
+    "op5_secrets",
+    "op6_token_counts",
+    "op9_quality_rules",
+)
 
 
 def _merged(attribute: str) -> dict:
