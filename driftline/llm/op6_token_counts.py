@@ -26,7 +26,7 @@ from driftline.llm.common import map_rows, read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 600_000
 
 # The contractions of the byte-level pattern that can be cut inside the letters.
 CUT_CONTRACTIONS = {"'ll", "'ve", "'re"}
@@ -104,31 +104,35 @@ class PrefixCounter:
     def stable(self, left: bytes, right: bytes) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 5 * CACHE_ENTRIES:
+            if len(self.pairs) > CACHE_ENTRIES:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == [left, right]
+            wanted = [left, right] if left else [right]
+            known = self.pairs[left, right] = self.merge(left + right) == wanted
         return known
 
     def byte_counts(self, data: bytes) -> list[int]:
         """Token counts of data[:0], data[:1], ..."""
+        vocabulary, suffixes, pairs = self.vocabulary, self.suffixes, self.pairs
         last: list[bytes] = [b""]
         count = [0]
+        begin = 0  # of the last token so far
         for end in range(1, len(data) + 1):
-            start = end - 1
-            while start >= 0:
-                token = data[start:end]
-                if token not in self.suffixes:
-                    start = -1
-                    break
-                if token in self.vocabulary and (
-                    (start > 0 and self.stable(last[start], token)) or (start == 0 and self.merge(token) == [token])
-                ):
-                    break
-                start -= 1
-            if start < 0:
-                raise ValueError("the merges of this vocabulary have no stable prefix encoding")
+            # Exactly one start is right; the one of the token before is the most frequent.
+            token = data[begin:end]
+            if not (token in vocabulary and (pairs.get((last[begin], token)) or self.stable(last[begin], token))):
+                begin = end - 1
+                while begin >= 0:
+                    token = data[begin:end]
+                    if token not in suffixes:
+                        begin = -1
+                        break
+                    if token in vocabulary and (pairs.get((last[begin], token)) or self.stable(last[begin], token)):
+                        break
+                    begin -= 1
+                if begin < 0:
+                    raise ValueError("the merges of this vocabulary have no stable prefix encoding")
             last.append(token)
-            count.append(count[start] + 1)
+            count.append(count[begin] + 1)
         return count
 
     def piece(self, text: str) -> bytes:
@@ -184,6 +188,16 @@ class PrefixCounter:
 
 
 
+_loaded: dict[str, PrefixCounter] = {}
+
+
+def counter_of(path: str) -> PrefixCounter:
+    """The counter of a vocabulary file, kept with its caches for the further tasks of a worker."""
+    if path not in _loaded:
+        _loaded[path] = PrefixCounter(path)
+    return _loaded[path]
+
+
 def longest_prefix(counts: np.ndarray, budget: int) -> int:
     """Code points of the longest prefix of at most `budget` tokens (counts may fall again)."""
     return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
@@ -195,7 +209,7 @@ def prefix_tables(df: DataFrame, path: str, text: str = "text", key: str = "doc_
     it is (null, repeated); other columns are ignored."""
 
     def make():
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
 
         def step(rows: Iterator[tuple]) -> Iterator[tuple]:
             for k, value in rows:
@@ -217,7 +231,7 @@ def token_counts(
     within the limit, all read from the prefix table of the text. Null text: empty."""
 
     def make():
-        counter = PrefixCounter(path)
+        counter = counter_of(path)
 
         def step(rows: Iterator[tuple]) -> Iterator[tuple]:
             for k, value in rows:
