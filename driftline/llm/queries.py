@@ -10,6 +10,7 @@ MODULES = (
     "op4_mixture",
     "op5_secrets",
     "op6_token_counts",
+    "op7_nearest",
     "op9_quality_rules",
     "op10_jaccard_join",
 )
