@@ -11,6 +11,7 @@ MODULES = (
     "op5_secrets",
     "op6_token_counts",
     "op7_nearest",
+    "op8_chat",
     "op9_quality_rules",
     "op10_jaccard_join",
 )
