@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "op1_warc",
     "op2_sentencepiece",
     "op3_language_id",
     "op4_mixture",
