@@ -29,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -459,15 +459,20 @@ def component_table(
 
 
 def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """df with one row of each component, the one with the smallest key; rows without a key stay.
-
-    If that key is repeated, one of its rows stays, the first by text."""
-    kept = component_table(df, text, key, **options).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    from pyspark.sql import Window
+    """df with one row of each component, the one with the smallest key.
 
+    The rows of a repeated key stay or go together: they go if none of them is the smallest of
+    its component, else the first by text stays. Rows without a key stay.
+    """
+    found = component_table(df, text, key, **options).where(F.col(key).isNotNull())
+    by_key = materialise(
+        found.groupBy(key).agg(F.max(F.col(key) == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "stays"
+    )
+    # Most rows stay: what is joined are the few keys that go or are repeated.
+    once = df.join(by_key.where("not stays or n > 1").select(key), key, "left_anti").select(*df.columns)
+    again = df.join(by_key.where("stays and n > 1").select(key), key, "left_semi").select(*df.columns)
     number = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    single = df.join(kept, key, "left_semi").select(*df.columns).withColumn("_row", number).where("_row = 1").drop("_row")
-    return single.unionByName(df.where(F.col(key).isNull()))
+    return once.unionByName(again.withColumn("_row", number).where("_row = 1").select(*df.columns))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
