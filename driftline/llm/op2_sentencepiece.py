@@ -203,10 +203,9 @@ class AlignedEncoder:
         return source[ends]
 
     def encode(self, texts: list[str], end: bool) -> list[np.ndarray]:
-        found = self.library.encode(
-            texts, out_type=int, add_bos=False, add_eos=end, enable_sampling=False, num_threads=1
+        return self.library.encode(
+            texts, return_type="numpy", add_bos=False, add_eos=end, enable_sampling=False, num_threads=1
         )
-        return [np.array(ids, np.int32) for ids in found]
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -268,8 +267,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                lists = part.column(at).to_pylist()
-                texts = [None if x is None else library.decode(x) for x in lists]
+                texts = [library.decode(v.values.to_numpy()) if v.is_valid else None for v in part.column(at)]
                 columns = [*part.columns, pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
