@@ -68,6 +68,17 @@ def batch_of(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def schema_of(text: str) -> StructType:
     return _parse_datatype_string(text)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftline.llm.common import read_table, schema_of
+from driftline.llm.common import fresh, read_table, schema_of
 from driftline.llm.graph import components
 from driftline.operators.ordered import lay_out, running_totals
 from driftline.session import materialise
@@ -472,7 +472,8 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", **option
     once = df.join(by_key.where("not stays or n > 1").select(key), key, "left_anti").select(*df.columns)
     again = df.join(by_key.where("stays and n > 1").select(key), key, "left_semi").select(*df.columns)
     number = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    return once.unionByName(again.withColumn("_row", number).where("_row = 1").select(*df.columns))
+    (row,) = fresh(df, "_row")
+    return once.unionByName(again.withColumn(row, number).where(F.col(row) == 1).select(*df.columns))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import read_table, word_count
+from driftline.llm.common import fresh, read_table, word_count
 from driftline.operators.ordered import lay_out, running_totals
 from driftline.session import materialise
 
@@ -245,13 +245,12 @@ def mix(
 def repeat_rows(df: DataFrame, decided: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """df with every row as often as the mix takes it, and none that it does not take."""
     names = df.columns
+    k, s, n, copies, copy = fresh(df, "_k", "_s", "_n", "_copies", "_copy")
     other = decided.where("copies > 0").select(
-        F.col("key").alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies"
+        F.col("key").alias(k), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").cast("int").alias(copies)
     )
-    same = (
-        F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (word_count(F.col(text)) == F.col("_n"))
-    )
-    taken = df.join(other, same).select(*names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    same = F.col(key).eqNullSafe(F.col(k)) & F.col(source).eqNullSafe(F.col(s)) & (word_count(F.col(text)) == F.col(n))
+    taken = df.join(other, same).select(*names, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy))
     return taken.select(*names)
 
 
