@@ -48,10 +48,10 @@ def drift_attribution(spark: SparkSession, folder: str) -> DataFrame:
     """Slices and segments of one window as rows, with the sustained flag on each."""
     temporal = _temporal(spark, folder)
     rows = temporal.select(
-        F.lit("slice").alias("kind"), F.col("slice").cast("string").alias("part"), "n", "psi_max"
+        F.lit("slice").alias("kind"), F.col("slice").cast("string").alias("part"), "n", "psi_max", F.lit("checked").alias("status")
     ).unionByName(
         _segments(spark, folder).select(
-            F.lit("segment").alias("kind"), F.col("event_type").alias("part"), "n", "psi_max"
+            F.lit("segment").alias("kind"), F.col("event_type").alias("part"), "n", "psi_max", "status"
         )
     )
     flag = a.sustained(temporal, ALERT).select("sustained", F.lit(1).alias("one"))
@@ -103,13 +103,12 @@ def temporal_sql(reference: str, production: str, features) -> str:
 
 
 def segment_sql(reference: str, production: str, features, segment: str) -> str:
-    chosen = f"""SELECT {segment}, n FROM (
-        SELECT {segment}, count(*) AS n FROM ({production}) WHERE {segment} IS NOT NULL
-        GROUP BY {segment} ORDER BY {segment} LIMIT 6)
-      WHERE n >= 30 AND {segment} IN (SELECT {segment} FROM ({reference}))"""
+    listed = f"""SELECT {segment}, count(*) AS n, CASE WHEN count(*) < 30 THEN 'insufficient_data'
+          WHEN {segment} NOT IN (SELECT {segment} FROM ({reference})) THEN 'no_reference' ELSE 'checked' END AS status
+        FROM ({production}) WHERE {segment} IS NOT NULL GROUP BY {segment}"""
     return f"""WITH {q.psi_ctes(reference, production, features, [segment])}
-      SELECT {segment}, n, psi_max FROM ({chosen})
-      JOIN (SELECT {segment}, round(max(psi), 4) AS psi_max FROM psi GROUP BY {segment}) USING ({segment})"""
+      SELECT {segment}, n, CASE WHEN status = 'checked' THEN psi_max END AS psi_max, status FROM ({listed})
+      LEFT JOIN (SELECT {segment}, round(max(psi), 4) AS psi_max FROM psi GROUP BY {segment}) USING ({segment})"""
 
 
 def sustained_sql(temporal: str, alert: float = ALERT) -> str:
@@ -125,9 +124,9 @@ ORACLES = {
     "temporal_drift": TEMPORAL,
     "drift_sustained": sustained_sql(TEMPORAL),
     "segment_drift": SEGMENTS,
-    "drift_attribution": f"""SELECT kind, part, n, psi_max, sustained FROM (
-        SELECT 'slice' AS kind, CAST(slice AS VARCHAR) AS part, n, psi_max FROM ({TEMPORAL})
-        UNION ALL SELECT 'segment', event_type, n, psi_max FROM ({SEGMENTS}))
+    "drift_attribution": f"""SELECT kind, part, n, psi_max, status, sustained FROM (
+        SELECT 'slice' AS kind, CAST(slice AS VARCHAR) AS part, n, psi_max, 'checked' AS status FROM ({TEMPORAL})
+        UNION ALL SELECT 'segment', event_type, n, psi_max, status FROM ({SEGMENTS}))
       CROSS JOIN (SELECT sustained FROM ({sustained_sql(TEMPORAL)}))""",
     "top_drifting_features": f"""WITH {q.drift_table_ctes("SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01'",
         "SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01'", ds.LINEITEM_FEATURES)}

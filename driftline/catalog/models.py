@@ -33,8 +33,7 @@ SHIFTS = (
     x.Shift("hour", poisson_rate=1.5, low=0.0, high=20.0),
 )
 INTENSITY = 0.8
-SEEDS = (0, 1, 2)
-TREES = 20
+SEEDS = tuple(range(30))
 
 
 def inject_covariate_shift(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,7 +151,7 @@ def _training_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def train_baseline_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Boosted trees on the events; rows only, since the trees are MLlib's own."""
-    model = ml.train(_training_rows(spark, folder), ["value", "k"], "label", "event_id", trees=TREES)
+    model = ml.train(_training_rows(spark, folder), ["value", "k"], "label", "event_id")
     return spark.createDataFrame(
         [(model.baseline_f1, model.f1_default, model.auc, model.threshold, model.n_train, model.n_test)],
         "f1 double, f1_argmax double, roc_auc double, decision_threshold double, n_train bigint, n_test bigint",
@@ -164,7 +163,7 @@ def batch_score(spark: SparkSession, folder: str) -> DataFrame:
     rows = _training_rows(spark, folder)
     ref, _ = ds.split(rows, "ts", ds.EVENT_SPLIT)
     path = scratch_path(spark, "model")
-    ml.save_model(spark, ml.train(ref, ["value", "k"], "label", "event_id", trees=TREES), path)
+    ml.save_model(spark, ml.train(ref, ["value", "k"], "label", "event_id"), path)
     scored = ml.batch_score(rows, ml.load_model(spark, path))
     return scored.select("event_id", "score", "prediction", "quarantined")
 
@@ -216,29 +215,29 @@ def normal_sql(key: str, seed: object, salt: str) -> str:
 
 
 def poisson_sql(u: str, rate: float) -> str:
-    """Number of k below 20 whose distribution value is at most u."""
-    return f"""list_sum(list_transform(range(0, 20), lambda j: CAST({u} >= list_sum(list_transform(range(0, j + 1),
+    """Number of k whose distribution value is at most u."""
+    return f"""list_sum(list_transform(range(0, 40), lambda j: CAST({u} >= list_sum(list_transform(range(0, j + 1),
       lambda m: exp(-{rate}::DOUBLE) * pow({rate}::DOUBLE, m) / gamma(m + 1))) AS INTEGER)))::DOUBLE"""
 
 
 def scenario_sql(scenarios, seeds) -> str:
     """The backtest batches: the value noise and the flips depend on the seed."""
-    parts = []
-    for mode, intensity in scenarios:
-        i = float(intensity) if mode in ("covariate", "both") else 0.0
-        c = float(intensity) if mode in ("concept", "both") else 0.0
-        for seed in seeds:
-            parts.append(f"""
-      SELECT '{mode}' AS mode, {float(intensity)}::DOUBLE AS intensity, {seed} AS seed, event_id, value, k,
-             CASE WHEN value > 30.0::DOUBLE AND {ds.uniform_sql('event_id', seed, 'flip')} < 0.35::DOUBLE * {c}::DOUBLE
+    grid = ", ".join(f"('{m}', {float(i)}::DOUBLE)" for m, i in scenarios)
+    seed = "' || seed || '"
+    return f"""SELECT *, {ds.score_sql()} AS score FROM (
+      SELECT mode, intensity, seed, event_id, value, k,
+             CASE WHEN value > 30.0::DOUBLE AND {ds.uniform_sql('event_id', seed, 'flip')} < 0.35::DOUBLE * c
                   THEN 1 - label ELSE label END AS label
-      FROM (SELECT event_id, label,
-          value * (1.0::DOUBLE + (-0.35)::DOUBLE * {i}::DOUBLE) + (-40.0)::DOUBLE * {i}::DOUBLE
+      FROM (SELECT mode, intensity, seed, c, event_id, label,
+          value * (1.0::DOUBLE + (-0.35)::DOUBLE * i) + (-40.0)::DOUBLE * i
             + ({ds.uniform_sql('event_id', seed, 'value')} - 0.5::DOUBLE) * 30.0::DOUBLE AS value,
-          least(greatest(k * (1.0::DOUBLE + 0.0::DOUBLE * {i}::DOUBLE) + 18.0::DOUBLE * {i}::DOUBLE
+          least(greatest(k * (1.0::DOUBLE + 0.0::DOUBLE * i) + 18.0::DOUBLE * i
             + ({ds.uniform_sql('event_id', seed, 'k')} - 0.5::DOUBLE) * 4.0::DOUBLE, 0.0::DOUBLE), 99.0::DOUBLE) AS k
-        FROM ({EV_PROD}))""")
-    return f"SELECT *, {ds.score_sql()} AS score FROM ({' UNION ALL '.join(parts)})"
+        FROM ({EV_PROD}),
+          (SELECT *, CASE WHEN mode IN ('covariate', 'both') THEN intensity ELSE 0.0::DOUBLE END AS i,
+                  CASE WHEN mode IN ('concept', 'both') THEN intensity ELSE 0.0::DOUBLE END AS c
+           FROM (VALUES {grid}) AS g(mode, intensity)),
+          (SELECT unnest({list(seeds)}) AS seed)))"""
 
 
 GROUPS = ["mode", "intensity", "seed"]
@@ -265,7 +264,7 @@ ORACLES = {
     "bootstrap_jitter": f"""WITH pool AS (SELECT event_id, value, k, row_number() OVER (ORDER BY event_id) - 1 AS rn FROM ({ds.EVENTS_SQL})),
       facts AS (SELECT count(*) AS n, stddev_samp(value) AS sv, stddev_samp(k) AS sk FROM pool),
       draws AS (SELECT unnest(range(0, (SELECT n FROM facts))) AS draw_id),
-      picked AS (SELECT draw_id, CAST(floor({ds.uniform_sql('draw_id', 5, 'draw')} * n::DOUBLE) AS BIGINT) AS rn, sv, sk FROM draws, facts)
+      picked AS (SELECT draw_id, CAST(floor({ds.uniform_sql('draw_id', 5, 'draw', 13)} * n::DOUBLE) AS BIGINT) AS rn, sv, sk FROM draws, facts)
       SELECT draw_id, event_id AS source_event_id,
              round(value + {normal_sql('draw_id', 5, 'value')} * (0.01::DOUBLE * sv), 4) + 0.0::DOUBLE AS value,
              greatest(round_even(k + {normal_sql('draw_id', 5, 'k')} * (0.01::DOUBLE * sk), 0), 0.0::DOUBLE) + 0.0::DOUBLE AS k
@@ -297,7 +296,7 @@ ORACLES = {
       hash AS (SELECT bit_xor(CAST('0x' || substr(md5(concat_ws('~', event_id, CAST(value AS DECIMAL(18,4)), label)), 1, 15) AS BIGINT)) AS reference_hash FROM ({DRIFT_REF})),
       sus AS ({sustained_sql(TEMPORAL)}),
       tmp AS (SELECT string_agg(slice || ':' || n || ':' || printf('%.4f', psi_max), ';' ORDER BY slice) AS temporal FROM ({TEMPORAL})),
-      seg AS (SELECT string_agg(event_type || ':' || n || ':' || printf('%.4f', psi_max), ';' ORDER BY event_type) AS segments FROM ({SEGMENTS})),
+      seg AS (SELECT string_agg(event_type || ':' || n || coalesce(':' || printf('%.4f', psi_max), ''), ';' ORDER BY event_type) AS segments FROM ({SEGMENTS})),
       flat AS (
         SELECT summary.*, pred.*, win.*, hash.*, sus.sustained, tmp.*, seg.*, perf.f1 AS perf_f1, base.f1 AS baseline_f1,
                greatest(base.f1 - perf.f1, 0.0::DOUBLE) AS perf_drop, auc.roc_auc AS perf_roc_auc, perf.n_samples AS n_labeled,

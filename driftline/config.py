@@ -11,7 +11,6 @@ KS_ALPHA = 0.01
 KS_FLOOR = 0.1
 TEMPORAL_SLICES = 3
 ROWS_PER_SLICE = 50
-MAX_SEGMENTS = 6
 MIN_SEGMENT_ROWS = 30
 DEFAULT_DECISION_THRESHOLD = 0.5
 

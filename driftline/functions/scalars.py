@@ -8,8 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_POW_32 = 4294967296.0
-
 # The characters allowed in a retrain reason, and its replacement text.
 # Letters, numbers and spaces of any script; combining marks are not word characters here.
 REASON_PATTERN = r"(?U)^[\p{L}\p{N}_\s\x1c-\x1f.,:;()\-/%>=<]+$"
@@ -32,14 +30,16 @@ def is_unusable(value: Column) -> Column:
     return value.isNull() | F.isnan(value) | is_infinite(value)
 
 
-def hash_uniform(key: Sequence[str], seed: Column | int | str, salt: str = "") -> Column:
-    """Uniform number in [0, 1) fixed by row key, seed and salt, whatever the partitioning."""
+def hash_uniform(key: Sequence[str], seed: Column | int | str, salt: str = "", digits: int = 8) -> Column:
+    """Uniform number in [0, 1) fixed by row key, seed and salt, whatever the partitioning.
+
+    It has 4 bits for each of the `digits`; 13 digits fill a double."""
     parts = [F.col(k).cast("string") for k in key]
     parts.append(seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)))
     if salt:
         parts.append(F.lit(salt))
-    digest = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8)
-    return F.conv(digest, 16, 10).cast("bigint") / F.lit(TWO_POW_32)
+    digest = F.substring(F.md5(F.concat_ws("|", *parts)), 1, digits)
+    return F.conv(digest, 16, 10).cast("bigint") / F.lit(16.0**digits)
 
 
 def clip(value: Column, low: float | None, high: float | None) -> Column:

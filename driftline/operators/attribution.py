@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import (
-    MAX_SEGMENTS,
     MIN_SEGMENT_ROWS,
     ROWS_PER_SLICE,
     TEMPORAL_SLICES,
@@ -88,25 +87,25 @@ def sustained(temporal: DataFrame, alert: float) -> DataFrame:
     )
 
 
-def first_segments(
-    production: DataFrame,
-    reference: DataFrame,
-    segment: str,
-    limit: int = MAX_SEGMENTS,
-    min_rows: int = MIN_SEGMENT_ROWS,
+def segment_list(
+    production: DataFrame, reference: DataFrame, segment: str, limit: int | None = None, min_rows: int = MIN_SEGMENT_ROWS
 ) -> DataFrame:
-    """The first `limit` segment values in ascending order, then without those that are too
-    small or unknown to the reference; at most `limit` rows, written once for its readers."""
-    counted = (
-        production.filter(F.col(segment).isNotNull())
-        .groupBy(segment)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(segment)
-        .limit(limit)
-        .filter(F.col("n") >= min_rows)
+    """Every segment of the window with its rows and status, written once for its readers.
+
+    A segment is `checked`, has `insufficient_data`, or has `no_reference`. Only an explicit
+    `limit` cuts the list, to the first values in ascending order.
+    """
+    counted = production.filter(F.col(segment).isNotNull()).groupBy(segment).agg(F.count(F.lit(1)).alias("n"))
+    if limit is not None:
+        counted = counted.orderBy(segment).limit(limit)
+    known = reference.select(segment).distinct().withColumn("_known", F.lit(True))
+    state = (
+        F.when(F.col("n") < min_rows, "insufficient_data")
+        .when(F.col("_known").isNull(), "no_reference")
+        .otherwise("checked")
     )
-    known = reference.select(segment).distinct()
-    return materialise(counted.join(known, segment, "left_semi"), "segments")
+    listed = counted.join(known, segment, "left").select(segment, "n", state.alias("status"))
+    return materialise(listed, "segments")
 
 
 def segment_drift(
@@ -114,20 +113,18 @@ def segment_drift(
     production: DataFrame,
     features: Sequence[str],
     segment: str,
-    limit: int = MAX_SEGMENTS,
+    limit: int | None = None,
     min_rows: int = MIN_SEGMENT_ROWS,
 ) -> DataFrame:
     """Largest PSI inside each segment, with edges and categories from the segment's own
-    reference rows. All segments share one pass: the segment is a group key, and a hot one
-    combines map-side or is spread by the range layout."""
-    chosen = first_segments(production, reference, segment, limit, min_rows)
-    small = F.broadcast(chosen.select(segment))
-    profile = build_profile(
-        reference.join(small, segment, "left_semi"), features, [segment], max_groups=limit
-    )
-    psi = feature_psi(production.join(small, segment, "left_semi"), features, profile)
+    reference rows; NULL for a segment that cannot be checked. All segments share one pass: the
+    segment is a group key, and a hot one combines map-side or is spread by the range layout."""
+    listed = segment_list(production, reference, segment, limit, min_rows)
+    checked = listed.filter("status = 'checked'").select(segment)
+    profile = build_profile(reference.join(checked, segment, "left_semi"), features, [segment], max_groups=limit)
+    psi = feature_psi(production.join(checked, segment, "left_semi"), features, profile)
     worst = psi.groupBy(segment).agg(F.round(F.max("psi"), 4).alias("psi_max"))
-    return chosen.join(worst, segment)
+    return listed.join(worst, segment, "left").select(segment, "n", "psi_max", "status")
 
 
 def top_features(table: DataFrame, k: int = 5) -> DataFrame:

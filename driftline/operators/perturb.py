@@ -1,4 +1,4 @@
-"""Perturbation of the user's own tables to stress-test detectors.
+"""Perturbation of the user's own tables to stress-test detectors.
 
 All noise is a function of row key, seed and column, so results do not depend on the
 partitioning and a lost task repeats exactly.
@@ -19,8 +19,6 @@ from driftline.operators.ordered import lay_out, running_totals
 # Fixed values of the published scenarios.
 FLIP_RATE = 0.35
 JITTER = 0.01
-SPREAD_SECONDS = 7 * 24 * 60 * 60
-POISSON_LIMIT = 20
 
 
 @dataclass(frozen=True)
@@ -55,17 +53,23 @@ def normal_noise(key: Sequence[str], seed: Column | int, salt: str) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
-def poisson_noise(key: Sequence[str], seed: Column | int, salt: str, rate: Column) -> Column:
-    """Poisson count, at most 20, by inverting the distribution at a hashed uniform."""
+def poisson_terms(rate: float) -> int:
+    """So many terms that the tail behind them is below the resolution of a hashed uniform."""
+    return int(rate + 10.0 * math.sqrt(rate) + 20.0)
+
+
+def poisson_noise(key: Sequence[str], seed: Column | int, salt: str, rate: Column, highest: float) -> Column:
+    """Poisson count by inverting the distribution at a hashed uniform; no rate is above `highest`."""
     u = hash_uniform(key, seed, salt)
-    term = F.exp(-rate)
-    reached = term
-    count = (u >= reached).cast("int")
-    for k in range(1, POISSON_LIMIT):
-        term = term * rate / F.lit(float(k))
-        reached = reached + term
-        count = count + (u >= reached).cast("int")
-    return count.cast("double")
+    steps = F.sequence(F.lit(1), F.lit(poisson_terms(highest)))
+    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("reached"), (u >= F.exp(-rate)).cast("int").alias("n"))
+
+    def step(state: Column, k: Column) -> Column:
+        term = state["term"] * rate / k
+        reached = state["reached"] + term
+        return F.struct(term.alias("term"), reached.alias("reached"), (state["n"] + (u >= reached).cast("int")).alias("n"))
+
+    return F.aggregate(steps, start, step, lambda state: state["n"].cast("double"))
 
 
 def inject_covariate_shift(
@@ -75,7 +79,7 @@ def inject_covariate_shift(
     key: Sequence[str],
     seed: Column | int,
 ) -> DataFrame:
-    """Shift the listed columns; missing readings stay missing."""
+    """Shift the listed columns; missing readings stay missing. A column of intensities holds at most 1."""
     i = intensity if isinstance(intensity, Column) else F.lit(float(intensity))
     changed = {}
     for s in shifts:
@@ -85,7 +89,8 @@ def inject_covariate_shift(
         if s.uniform_width:
             value = value + (hash_uniform(key, seed, s.column) - F.lit(0.5)) * F.lit(s.uniform_width)
         if s.poisson_rate:
-            value = value + poisson_noise(key, seed, s.column, F.lit(s.poisson_rate) * i)
+            highest = s.poisson_rate * (1.0 if isinstance(intensity, Column) else max(1.0, float(intensity)))
+            value = value + poisson_noise(key, seed, s.column, F.lit(s.poisson_rate) * i, highest)
         if s.low is not None or s.high is not None:
             value = clip(value, s.low, s.high)
         if s.rounded:
@@ -136,7 +141,7 @@ def bootstrap_jitter(
     ).first()
     draws = spark.range(n).withColumnRenamed("id", "draw_id")
     rows = draws.withColumn(
-        "_row", F.floor(hash_uniform(["draw_id"], seed, "draw") * F.lit(float(facts["rows"])))
+        "_row", F.floor(hash_uniform(["draw_id"], seed, "draw", digits=13) * F.lit(float(facts["rows"])))
     ).join(numbered, "_row")
     jittered = {}
     for c in columns:
@@ -146,37 +151,3 @@ def bootstrap_jitter(
             value = F.greatest(F.bround(value, 0), F.lit(0.0)) + F.lit(0.0)
         jittered[c] = F.when(F.col(c).isNotNull(), value)
     return rows.withColumns(jittered).drop("_row")
-
-
-def spread_timestamps(
-    df: DataFrame, base_time: Column, key: Sequence[str], seed: int, ts: str = "event_ts"
-) -> DataFrame:
-    """Whole seconds, uniform over the seven days before the base time."""
-    back = F.floor(hash_uniform(key, seed, "spread") * F.lit(float(SPREAD_SECONDS)))
-    return df.withColumn(ts, base_time - F.make_dt_interval(secs=back))
-
-
-def production_batch(
-    pool: DataFrame,
-    n: int,
-    key: str,
-    columns: Sequence[str],
-    label: str,
-    mode: str,
-    intensity: float,
-    shifts: Sequence[Shift],
-    flip_where: Column,
-    base_time: Column,
-    seed: int,
-    discrete: Sequence[str] = (),
-) -> DataFrame:
-    """Resample, shift, flip, stamp; the flip sees the shifted features."""
-    if mode not in ("none", "covariate", "concept", "both"):
-        raise ValueError(f"unknown drift mode {mode!r}")
-    labels = pool.select(F.col(key).alias(f"source_{key}"), label)
-    batch = bootstrap_jitter(pool, n, key, columns, discrete, seed).join(labels, f"source_{key}")
-    if mode in ("covariate", "both"):
-        batch = inject_covariate_shift(batch, shifts, intensity, ["draw_id"], seed)
-    if mode in ("concept", "both"):
-        batch = inject_label_flip(batch, label, flip_where, intensity, ["draw_id"], seed)
-    return spread_timestamps(batch, base_time, ["draw_id"], seed)

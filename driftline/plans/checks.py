@@ -156,7 +156,7 @@ def drift_report(
             segments.agg(
                 F.array_sort(
                     F.collect_list(
-                        F.struct(F.col(spec.segment).cast("string").alias("segment"), "n", "psi_max")
+                        F.struct(F.col(spec.segment).cast("string").alias("segment"), "n", "psi_max", "status")
                     )
                 ).alias("segments")
             )

@@ -82,10 +82,10 @@ def drifting_events(spark: SparkSession, folder: str) -> DataFrame:
 # --- the same tables as DuckDB SQL ---------------------------------------------------------
 
 
-def uniform_sql(key: str, seed: object, salt: str = "") -> str:
+def uniform_sql(key: str, seed: object, salt: str = "", digits: int = 8) -> str:
     tail = f" || '|{salt}'" if salt else ""
     text = f"CAST({key} AS VARCHAR) || '|{seed}'{tail}"
-    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+    return f"(CAST('0x' || substr(md5({text}), 1, {digits}) AS BIGINT) / CAST({16**digits} AS DOUBLE))"
 
 
 def score_sql(value: str = "value", k: str = "k") -> str:

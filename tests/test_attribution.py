@@ -58,18 +58,24 @@ def test_sustained_rule(spark, psis, expected):
     assert a.sustained(df, 0.25).first()["sustained"] is expected
 
 
-def test_segments_limit_before_skip_and_hot_segment(spark):
+def test_every_segment_is_listed_and_a_hot_one_measured(spark):
     rng = np.random.default_rng(1)
     ref_seg = rng.integers(1, 9, 2000).tolist()
     ref_x = rng.normal(0, 1, 2000)
-    # Segment 1 holds most rows, 2 is too small, 5 is unknown to the reference, 7 and 8 are beyond six.
+    # Segment 1 holds most rows, 2 is too small, 5 is unknown to the reference; only 8 drifts.
     prod_seg = [1] * 1500 + [2] * 10 + [3] * 60 + [4] * 60 + [5] * 60 + [6] * 60 + [7] * 60 + [8] * 60 + [None] * 5
-    prod_x = rng.normal(1, 1, len(prod_seg))
+    prod_x = rng.normal(0, 1, len(prod_seg)) + 3.0 * np.array([s == 8 for s in prod_seg])
     keep = [i for i, s in enumerate(ref_seg) if s != 5]
     ref = log(spark, ref_x[keep], [ref_seg[i] for i in keep])
     got = {r["seg"]: r for r in a.segment_drift(ref, log(spark, prod_x, prod_seg), ["x"], "seg").collect()}
-    assert set(got) == {1, 3, 4, 6}
+    assert {s: r["status"] for s, r in got.items() if r["status"] != "checked"} == {2: "insufficient_data", 5: "no_reference"}
+    assert set(got) == set(range(1, 9)) and got[2]["psi_max"] is None and got[5]["psi_max"] is None
+    assert got[8]["psi_max"] >= 0.25 > max(got[s]["psi_max"] for s in (1, 3))
+    first = a.segment_drift(ref, log(spark, prod_x, prod_seg), ["x"], "seg", limit=6)
+    assert {r["seg"] for r in first.collect()} == set(range(1, 7))
     for s, r in got.items():
+        if r["status"] != "checked":
+            continue
         inside = [x for x, t in zip(prod_x, prod_seg) if t == s]
         known = [ref_x[i] for i in keep if ref_seg[i] == s]
         assert r["n"] == len(inside)
