@@ -167,7 +167,8 @@ def dataset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_table(spark, folder, "orders")
     columns = [
         F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus",
-        F.col("o_totalprice").cast("decimal(18,2)").cast("string"), "o_orderpriority",
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), "o_orderpriority",
     ]
     return p.dataset_fingerprint(orders, columns)
 
@@ -195,6 +196,15 @@ CAT_SQL = """SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS cell, r, s FROM (
   FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}
   UNION ALL SELECT NULL, count(*) FILTER (WHERE {c} IS NULL AND l_shipdate < TIMESTAMP '1999-01-01'),
          count(*) FILTER (WHERE {c} IS NULL AND l_shipdate >= TIMESTAMP '1999-01-01') FROM lineitem)"""
+
+
+def fingerprint_sql(source: str, columns: list[str]) -> str:
+    row = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns)
+    return f"""SELECT count(*) AS n_rows, CAST(coalesce(sum(h), 0) % {2**60} AS BIGINT) AS fingerprint,
+        coalesce(bit_xor(h), 0) AS xor_check
+      FROM (SELECT CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT) AS h FROM {source})"""
+
+
 PSI_OF_CELLS = """SELECT {k}, round(sum((q - p) * ln(q / p)), 6) + 0.0::DOUBLE AS psi FROM (
   SELECT {k}, (r + 1.0::DOUBLE) / sum(r + 1.0::DOUBLE) OVER (PARTITION BY {k}) AS p,
          (s + 1.0::DOUBLE) / sum(s + 1.0::DOUBLE) OVER (PARTITION BY {k}) AS q FROM ({cells})) GROUP BY {k}"""
@@ -252,7 +262,8 @@ ORACLES = {
       FROM drift""",
     "prediction_psi": f"""WITH {q.psi_ctes(DRIFT_REF, DRIFT_PROD, ['score'], numeric=['score'])}
       SELECT round(psi, 6) + 0.0::DOUBLE AS prediction_drift_psi FROM psi""",
-    "dataset_fingerprint": """SELECT count(*) AS n_rows, coalesce(bit_xor(h), 0) AS fingerprint FROM (
-      SELECT CAST('0x' || substr(md5(concat_ws('~', o_orderkey, o_custkey, o_orderstatus,
-        CAST(o_totalprice AS DECIMAL(18,2)), o_orderpriority)), 1, 15) AS BIGINT) AS h FROM orders)""",
+    "dataset_fingerprint": fingerprint_sql("orders", [
+        "CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus",
+        "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)", "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')", "o_orderpriority",
+    ]),
 }

@@ -5,6 +5,7 @@ The history holds one check per event type and day of the drifting events.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ SPEC = ModelSpec(tuple(ds.EVENT_FEATURES), "ts", "event_id", ds.DECISION_THRESHO
 CONFIG = DriftConfig(min_samples=30)
 NOW = datetime(2024, 2, 1)
 COOLDOWN_MINUTES = 36 * 60
+REQUEST_CONFIG = replace(CONFIG, retrain_min_interval_minutes=COOLDOWN_MINUTES)
 
 
 def checks(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,31 +121,25 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("enabled", F.col("event_type") != "signup")
 
 
-def gated(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests that pass the switch and both thresholds, with the cooldown applied."""
-    rows = _requests(spark, folder)
-    return rows.withColumn(
-        "message",
-        g.gate_message(F.col("psi_max"), F.col("perf_drop"), F.lit(None).cast("double"), CONFIG, F.col("enabled")),
+def decided(spark: SparkSession, folder: str) -> DataFrame:
+    """Every request with its message and decision; clicks run dry, errors have no target."""
+    return g.decide_requests(
+        _requests(spark, folder), "event_type", "ts", REQUEST_CONFIG, F.col("enabled"),
+        F.col("event_type") == "click", F.col("event_type") != "error",
     )
 
 
 def retrain_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """The gate of each check; the last dispatch is taken as the newest alert of the model
-    on an earlier day, one day before."""
-    rows = gated(spark, folder)
-    since = F.when(F.col("event_type") == "view", F.lit(1800.0))
-    full = g.gate_message(F.col("psi_max"), F.col("perf_drop"), since, CONFIG, F.col("enabled"))
-    return rows.select("id", (full == "OK").alias("allowed"), full.alias("message"))
+    """The gate of each check, its rate limit taken from the dispatches before it."""
+    return decided(spark, folder).select("id", (F.col("message") == g.PASS_TEXT).alias("allowed"), "message")
 
 
 def gate_confusion(spark: SparkSession, folder: str) -> DataFrame:
-    """The gate against the rule written out, over the whole history."""
-    rows = retrain_gate(spark, folder).join(_requests(spark, folder), "id")
-    expected = (
-        (F.col("psi_max") >= 0.25) & (F.col("perf_drop") >= 0.05) & F.col("enabled") & (F.col("event_type") != "view")
-    )
-    found = g.gate_confusion(rows.withColumn("expected", expected), "allowed", "expected")
+    """The gate against the drift that was put into the events: from intensity 0.5 on a retrain
+    is expected."""
+    strong = F.dayofmonth("ts") >= 25
+    rows = decided(spark, folder).withColumns({"allowed": F.col("message") == g.PASS_TEXT, "expected": strong})
+    found = g.gate_confusion(rows, "allowed", "expected")
     return found.select("n", "tp", "tn", "fp", "fn", *[out(F.col(c)).alias(c) for c in ("accuracy", "false_trigger_rate", "missed_trigger_rate")])
 
 
@@ -155,16 +151,9 @@ def retrain_cooldown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audits(spark: SparkSession, folder: str) -> DataFrame:
-    """Audit rows of every request: the gate first, then the cooldown among those that pass."""
-    rows = materialise(gated(spark, folder), "gated")
-    passed = rows.filter("message = 'OK'").select("id", "event_type", "ts")
-    sent = g.retrain_cooldown(passed, ["event_type"], "ts", COOLDOWN_MINUTES).select("id", "dispatched")
-    both = rows.join(sent, "id", "left").withColumn(
-        "message",
-        F.when(F.col("dispatched") == False, F.lit("BLOCKED: rate limit")).otherwise(F.col("message")),  # noqa: E712
-    )
-    decision = g.dispatch_decision(F.col("message"), F.col("event_type") == "click", F.col("event_type") != "error")
-    return g.audit_rows(both, "ts", F.col("asked"), F.col("message"), decision)
+    """Audit rows of every request."""
+    rows = decided(spark, folder)
+    return g.audit_rows(rows, "ts", F.col("asked"), F.col("message"), F.col("decision"))
 
 
 def retrain_audit_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,15 +289,12 @@ REQUEST_CTES = f"""{HISTORY_CTES},
 
 
 def gate_sql(limited: str) -> str:
-    return f"""CASE WHEN NOT enabled THEN 'BLOCKED: retraining disabled (RETRAIN_ENABLED=false).'
+    return f"""CASE WHEN NOT enabled THEN 'BLOCKED: retraining disabled (retrain_enabled is off).'
       WHEN psi_max < 0.25 THEN printf('BLOCKED: psi_max=%.4f < 0.25 — data-drift condition not met.', psi_max)
       WHEN perf_drop < 0.05 THEN printf('BLOCKED: f1_drop=%.4f < 0.05 — performance-degradation condition not met.', perf_drop)
       {limited} ELSE 'OK' END"""
 
 
-GATE = gate_sql("WHEN event_type = 'view' THEN 'BLOCKED: last retrain was 30.0m ago (< 60m rate limit).'")
-
-
 def cooldown_sql(name: str, source: str, key: str, minutes: int) -> str:
     """Greedy dispatches of each key by walking from one to the next."""
     return f"""
@@ -322,11 +308,15 @@ def cooldown_sql(name: str, source: str, key: str, minutes: int) -> str:
 
 AUDIT_CTES = f"""{REQUEST_CTES},
   gated AS (SELECT *, {gate_sql('')} AS message FROM asked),
-  passed AS (SELECT * FROM gated WHERE message = 'OK'),
-  {cooldown_sql('sent', 'passed', 'event_type', COOLDOWN_MINUTES)},
+  counting AS (SELECT * FROM gated WHERE message = 'OK' AND event_type <> 'error'),
+  {cooldown_sql('sent', 'counting', 'event_type', COOLDOWN_MINUTES)},
+  timed AS (
+    SELECT *, (SELECT date_diff('microsecond', max(s.sent_at), g.ts) / 1000000.0::DOUBLE FROM sent s
+               WHERE s.k = g.event_type AND s.sent_at < g.ts) AS since FROM gated g),
   limited AS (
-    SELECT g.* REPLACE (CASE WHEN message = 'OK' AND sent_at IS NULL THEN 'BLOCKED: rate limit' ELSE message END AS message)
-    FROM gated g LEFT JOIN sent ON g.event_type = sent.k AND g.ts = sent.sent_at),
+    SELECT * REPLACE (CASE WHEN message = 'OK' AND since < {COOLDOWN_MINUTES} * 60
+      THEN printf('BLOCKED: last retrain was %.1fm ago (< {COOLDOWN_MINUTES}m rate limit).', since / 60.0::DOUBLE) ELSE message END AS message)
+    FROM timed),
   decided AS (
     SELECT *, CASE WHEN message <> 'OK' THEN 'blocked' WHEN event_type = 'click' THEN 'dry_run'
                    WHEN event_type = 'error' THEN 'skipped' ELSE 'dispatched' END AS decision
@@ -365,9 +355,8 @@ ORACLES = {
       FROM (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts)) FROM events),
                                           (SELECT date_trunc('hour', max(ts)) FROM events), INTERVAL 1 HOUR)) AS hour)
       LEFT JOIN (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1) USING (hour)""",
-    "retrain_gate": f"WITH {REQUEST_CTES}, r AS (SELECT id, {GATE} AS message FROM asked) SELECT id, message = 'OK' AS allowed, message FROM r",
-    "gate_confusion": f"""WITH {REQUEST_CTES}, r AS (
-        SELECT {GATE} = 'OK' AS a, psi_max >= 0.25 AND perf_drop >= 0.05 AND enabled AND event_type <> 'view' AS e FROM asked),
+    "retrain_gate": f"WITH RECURSIVE {AUDIT_CTES} SELECT id, message = 'OK' AS allowed, message FROM decided",
+    "gate_confusion": f"""WITH RECURSIVE {AUDIT_CTES}, r AS (SELECT message = 'OK' AS a, day(ts) >= 25 AS e FROM decided),
       c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a AND e) AS tp, count(*) FILTER (WHERE NOT a AND NOT e) AS tn,
                    count(*) FILTER (WHERE a AND NOT e) AS fp, count(*) FILTER (WHERE NOT a AND e) AS fn FROM r)
       SELECT n, tp, tn, fp, fn, round((tp + tn) / nullif(n, 0)::DOUBLE, 6) + 0.0::DOUBLE AS accuracy,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.catalog import sql as q
 from driftline.catalog.attribution import segment_sql, sustained_sql, temporal_sql
-from driftline.catalog.drift import DRIFT_REF, EV_PROD, EV_REF
+from driftline.catalog.drift import DRIFT_REF, EV_PROD, EV_REF, fingerprint_sql
 from driftline.config import DriftConfig
 from driftline.functions.scalars import out
 from driftline.operators import models as ml
@@ -86,7 +86,12 @@ def detector_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 def _fingerprint(ref: DataFrame) -> DataFrame:
     return dataset_fingerprint(
-        ref, [F.col("event_id").cast("string"), F.col("value").cast("decimal(18,4)").cast("string"), F.col("label").cast("string")]
+        ref,
+        [
+            *[F.col(c).cast("string") for c in ("event_id", "user_id", "event_type", "label")],
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+            *[F.col(c).cast("decimal(18,4)").cast("string") for c in ("value", "k", "score")],
+        ],
     )
 
 
@@ -252,6 +257,10 @@ LOG30 = f"SELECT * FROM ({ds.DRIFTING_SQL}) WHERE ts >= (SELECT max(ts) FROM eve
 COMPARE_REF = " UNION ALL ".join(f"SELECT '{m}@{float(i)}' AS scenario, * FROM ({EV_REF})" for m, i in bt.COMPARISON)
 COMPARE_PROD = f"SELECT mode || '@' || CAST(intensity AS VARCHAR) AS scenario, * FROM ({scenario_sql(bt.COMPARISON, SEEDS[:1])})"
 _E = f"{INTENSITY}::DOUBLE"
+REFERENCE_HASH = fingerprint_sql(f"({DRIFT_REF})", [
+    *[f"CAST({c} AS VARCHAR)" for c in ("event_id", "user_id", "event_type", "label")], "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')",
+    *[f"CAST(CAST({c} AS DECIMAL(18,4)) AS VARCHAR)" for c in ("value", "k", "score")],
+])
 
 ORACLES = {
     "inject_covariate_shift": f"""SELECT event_id,
@@ -293,7 +302,7 @@ ORACLES = {
       pred AS (SELECT psi AS prediction_drift_psi FROM (WITH {q.psi_ctes(DRIFT_REF, WINDOW, ['score'], numeric=['score'])} SELECT psi FROM psi)),
       base AS ({q.confusion_sql(DRIFT_REF, T)}), perf AS ({q.confusion_sql(LABELLED, T)}), auc AS ({q.auc_sql(LABELLED)}),
       win AS (SELECT count(*) AS n_samples, min(ts) AS window_start, max(ts) AS window_end FROM ({WINDOW})),
-      hash AS (SELECT bit_xor(CAST('0x' || substr(md5(concat_ws('~', event_id, CAST(value AS DECIMAL(18,4)), label)), 1, 15) AS BIGINT)) AS reference_hash FROM ({DRIFT_REF})),
+      hash AS (SELECT fingerprint AS reference_hash FROM ({REFERENCE_HASH})),
       sus AS ({sustained_sql(TEMPORAL)}),
       tmp AS (SELECT string_agg(slice || ':' || n || ':' || printf('%.4f', psi_max), ';' ORDER BY slice) AS temporal FROM ({TEMPORAL})),
       seg AS (SELECT string_agg(event_type || ':' || n || coalesce(':' || printf('%.4f', psi_max), ''), ';' ORDER BY event_type) AS segments FROM ({SEGMENTS})),

@@ -14,7 +14,7 @@ from driftline.session import materialise
 
 
 # The gate messages, and the audit detail of each decision that passed the gate.
-OFF_TEXT = "BLOCKED: retraining disabled (RETRAIN_ENABLED=false)."
+OFF_TEXT = "BLOCKED: retraining disabled (retrain_enabled is off)."
 PSI_TEXT = "BLOCKED: psi_max=%.4f < {limit} — data-drift condition not met."
 DROP_TEXT = "BLOCKED: f1_drop=%.4f < {limit} — performance-degradation condition not met."
 RATE_TEXT = "BLOCKED: last retrain was %.1fm ago (< {limit}m rate limit)."
@@ -172,6 +172,38 @@ def _reachable(start: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame
         )
 
 
+def decide_requests(
+    requests: DataFrame, key: str, ts: str, config: DriftConfig, enabled: Column, dry_run: Column, configured: Column
+) -> DataFrame:
+    """`message` and `decision` of every request of a history, as one batch job.
+
+    Only requests that were dispatched or run dry hold later ones back: one that is skipped for
+    want of a target does not. A request inside the interval names the minutes since the last
+    dispatch of its key. Requests of one key and time get one decision.
+    """
+    open_gate = gate_message(F.col("psi_max"), F.col("perf_drop"), F.lit(None).cast("double"), config, enabled)
+    asked = materialise(
+        requests.withColumns({"message": open_gate, "_dry": dry_run, "_ready": configured}), "requests"
+    )
+    counts = (F.col("message") == PASS_TEXT) & (F.col("_dry") | F.col("_ready"))
+    judged = retrain_cooldown(
+        asked.filter(counts).select(key, ts).distinct(), [key], ts, config.retrain_min_interval_minutes
+    )
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    sent = judged.filter("dispatched").select(key, micros.alias("_at"), F.lit(False).alias("_probe"))
+    passed = asked.filter(F.col("message") == PASS_TEXT).select(key, micros.alias("_at"), F.lit(True).alias("_probe"))
+    last = (
+        neighbours(sent.unionByName(passed.distinct()), [key], "_at", "_probe")
+        .filter("_probe")
+        .select(key, F.col("_at").alias("_asked"), ((F.col("_at") - F.col("previous")) / F.lit(1e6)).alias("seconds_since"))
+    )
+    timed = asked.withColumn("_asked", micros).join(materialise(last, "last"), [key, "_asked"], "left")
+    full = gate_message(F.col("psi_max"), F.col("perf_drop"), F.col("seconds_since"), config, enabled)
+    return timed.withColumn("message", full).withColumn(
+        "decision", dispatch_decision(F.col("message"), F.col("_dry"), F.col("_ready"))
+    ).drop("_asked", "_dry", "_ready")
+
+
 def alert_message(report_columns: dict[str, str] | None = None) -> Column:
     """Text of an alert from the columns of a report row."""
     names = {

@@ -147,3 +147,21 @@ def test_threshold_table_and_config_agree(spark):
 def test_html_escape(spark):
     df = spark.createDataFrame([("<a href=\"x\">&'",)], "t string")
     assert df.select(html_escape(F.col("t"))).first()[0] == "&lt;a href=&quot;x&quot;&gt;&amp;&#39;"
+
+
+def test_skipped_requests_never_hold_others_back(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(m, start + timedelta(minutes=at), 0.4, 0.1) for m in ("sent", "dry", "none") for at in (0, 10, 70, 80)]
+    rows.append(("sent", start + timedelta(minutes=5), 0.4, 0.0))
+    df = spark.createDataFrame(rows, "model string, ts timestamp, psi_max double, perf_drop double")
+    got = g.decide_requests(
+        df, "model", "ts", DriftConfig(), F.lit(True), F.col("model") == "dry", F.col("model") != "none"
+    ).orderBy("model", "ts").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["model"], []).append((r["decision"], r["message"]))
+    limited = ("blocked", "BLOCKED: last retrain was 10.0m ago (< 60m rate limit).")
+    assert found["none"] == [("skipped", "OK")] * 4
+    assert found["dry"] == [("dry_run", "OK"), limited, ("dry_run", "OK"), limited]
+    assert found["sent"][0] == ("dispatched", "OK") and found["sent"][1][0] == "blocked" and found["sent"][2] == limited
+    assert found["sent"][3:] == [("dispatched", "OK"), limited]

@@ -182,3 +182,20 @@ def test_alert_threshold_is_inclusive(spark):
     prod = frame(spark, v=np.array([1] * 200 + [2] * 800))
     psi = d.feature_drift(ref, prod, ["v"]).first()["psi"]
     assert d.feature_drift(ref, prod, ["v"], DriftConfig(psi_alert=psi)).first()["drifted"]
+
+
+def test_fingerprint_tells_nulls_copies_and_separators_apart(spark):
+    from driftline.operators.profile import dataset_fingerprint
+
+    def of(rows):
+        df = spark.createDataFrame(rows, "a string, b string, c string").repartition(3)
+        return tuple(dataset_fingerprint(df, ["a", "b", "c"]).first())
+
+    tables = [
+        [("1", None, "2")], [("1", "2", None)], [("1", "", "2")], [("1~", "2", "")], [("1", "~2", "")],
+        [("1", None, "2")] * 2, [("1", "2", None)] * 2, [("x", "y", "z")] * 2, [("x", "y", "z"), ("1", "2", "3")],
+    ]
+    found = [of(t) for t in tables]
+    assert len(set(found)) == len(tables)
+    assert of(tables[-1][::-1]) == found[-1]
+    assert of(tables[0][:0]) == (0, 0, 0)
