@@ -145,6 +145,14 @@ def feature_drift_by_segment(spark: SparkSession, folder: str) -> DataFrame:
     return rounded_table(table, ["event_type"])
 
 
+def feature_drift_new_segment(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a segment that the reference does not have."""
+    ref, prod = gappy_sides(spark, folder)
+    known = ref.filter("event_type <> 'signup'")
+    table = d.feature_drift(known, prod, ["value", "k"], keys=["event_type"])
+    return table.select("event_type", "feature", out(F.col("psi")).alias("psi"), "drifted", "status")
+
+
 def drift_summary(spark: SparkSession, folder: str) -> DataFrame:
     ref, prod = gappy_sides(spark, folder)
     summary = d.drift_summary(d.feature_drift(ref, prod, ["value", "k"]))
@@ -185,6 +193,7 @@ QUERIES = {
     "ks_two_sample": ks_two_sample,
     "feature_drift": feature_drift,
     "feature_drift_by_segment": feature_drift_by_segment,
+    "feature_drift_new_segment": feature_drift_new_segment,
     "drift_summary": drift_summary,
     "prediction_psi": prediction_psi,
     "dataset_fingerprint": dataset_fingerprint,
@@ -252,6 +261,10 @@ ORACLES = {
     "feature_drift": f"WITH {q.drift_table_ctes(REF, PROD, LF)} SELECT {DRIFT_SELECT} FROM drift",
     "feature_drift_by_segment": f"""WITH {q.drift_table_ctes(DRIFT_REF, GAPPY_PROD, ['value', 'k'], ['event_type'])}
       SELECT event_type, {DRIFT_SELECT} FROM drift""",
+    "feature_drift_new_segment": f"""WITH {q.drift_table_ctes(f"SELECT * FROM ({DRIFT_REF}) WHERE event_type <> 'signup'", GAPPY_PROD, ['value', 'k'], ['event_type'])}
+      SELECT event_type, feature, {q.rounded('psi')}, drifted, 'compared' AS status FROM drift
+      UNION ALL SELECT DISTINCT event_type, f, NULL, NULL, 'no_reference' FROM ({GAPPY_PROD}), (SELECT unnest(['value', 'k']) AS f)
+      WHERE event_type = 'signup'""",
     "drift_summary": f"""WITH {q.drift_table_ctes(DRIFT_REF, GAPPY_PROD, ['value', 'k'])}
       SELECT round(max(psi), 6) + 0.0::DOUBLE AS psi_max, round(avg(psi), 6) + 0.0::DOUBLE AS psi_mean,
              round(max(missing_rate_delta), 6) + 0.0::DOUBLE AS max_missing_rate_delta,

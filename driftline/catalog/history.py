@@ -1,6 +1,7 @@
 """Queries on the history of checks and on the decisions taken from it.
 
-The history holds one check per event type and day of the drifting events.
+The history holds one check per event type and day of the drifting events. It is measured once
+per application and folder and appended to a table, which all but `drift_check_history` read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,20 @@ COOLDOWN_MINUTES = 36 * 60
 REQUEST_CONFIG = replace(CONFIG, retrain_min_interval_minutes=COOLDOWN_MINUTES)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
 def checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored table of checks; the first reader in an application fills it from the log."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stored:
+        path = scratch_path(spark, "drift_checks")
+        sinks.append_rows(measured_checks(spark, folder), path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def measured_checks(spark: SparkSession, folder: str) -> DataFrame:
     log = ds.drifting_events(spark, folder)
     ref, _ = ds.split(log, "ts", ds.EVENT_SPLIT)
     dated = log.withColumn("day", F.to_date("ts"))
@@ -44,7 +58,7 @@ MEASURES = ["psi_max", "psi_mean", "prediction_drift_psi", "perf_f1", "perf_drop
 def drift_check_history(spark: SparkSession, folder: str) -> DataFrame:
     """Checks written to the append table and read back."""
     path = scratch_path(spark, "drift_checks")
-    sinks.append_rows(sinks.drift_check_rows(checks(spark, folder), ["event_type", "day"]), path)
+    sinks.append_rows(sinks.drift_check_rows(measured_checks(spark, folder), ["event_type", "day"]), path)
     stored = spark.read.parquet(path)
     return stored.select(
         "id", "ts", "status", *[out(F.col(c)).alias(c) for c in ("psi_max", "psi_mean", "perf_f1", "perf_drop")],
@@ -279,7 +293,13 @@ HISTORY_CTES = f"""{q.psi_ctes(DRIFT_REF, DATED, ['value', 'k', 'score'], _KEYS,
     SELECT *, CASE WHEN psi_max >= 0.25 OR perf_drop >= 0.05 OR prediction_drift_psi >= 0.25 THEN 'alert'
                    WHEN psi_max >= 0.10 OR prediction_drift_psi >= 0.10 THEN 'warn' ELSE 'ok' END AS plain_status
     FROM raw_checks),
-  checks AS (SELECT *, CASE WHEN n_samples < 30 THEN 'insufficient_data' ELSE plain_status END AS status FROM plain)"""
+  checks AS (
+    SELECT * REPLACE (CASE WHEN g THEN 0.0::DOUBLE ELSE psi_max END AS psi_max, CASE WHEN g THEN 0.0::DOUBLE ELSE psi_mean END AS psi_mean,
+                      CASE WHEN NOT g THEN prediction_drift_psi END AS prediction_drift_psi, CASE WHEN NOT g THEN perf_f1 END AS perf_f1,
+                      CASE WHEN NOT g THEN perf_drop END AS perf_drop, CASE WHEN g THEN '' ELSE drifted END AS drifted,
+                      CASE WHEN g THEN 0 ELSE n_labeled END AS n_labeled, CASE WHEN g THEN 'ok' ELSE plain_status END AS plain_status),
+           CASE WHEN g THEN 'insufficient_data' ELSE plain_status END AS status
+    FROM (SELECT *, n_samples < 30 AS g FROM plain))"""
 REQUEST_CTES = f"""{HISTORY_CTES},
   asked AS (
     SELECT *, event_type <> 'signup' AS enabled,
@@ -386,7 +406,7 @@ ORACLES = {
         SELECT id AS run_id, status, 'psi_max' AS metric, psi_max AS value FROM checks
         UNION ALL SELECT id, status, 'psi_mean', psi_mean FROM checks
         UNION ALL SELECT id, status, 'perf_f1', perf_f1 FROM checks WHERE status <> 'insufficient_data'
-        UNION ALL SELECT id, status, 'perf_drop', perf_drop FROM checks)
+        UNION ALL SELECT id, status, 'perf_drop', perf_drop FROM checks WHERE status <> 'insufficient_data')
       SELECT run_id, metric, {q.rounded('value')}, status FROM m""",
     "checks_with_verdicts": f"""WITH {HISTORY_CTES}
       SELECT id, status, CASE WHEN status = 'alert' THEN 'drift in ' || event_type END AS diagnosis,

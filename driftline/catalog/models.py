@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from driftline.catalog import sql as q
 from driftline.catalog.attribution import segment_sql, sustained_sql, temporal_sql
-from driftline.catalog.drift import DRIFT_REF, EV_PROD, EV_REF, fingerprint_sql
+from driftline.catalog.drift import DRIFT_PROD, DRIFT_REF, EV_PROD, EV_REF, fingerprint_sql
 from driftline.config import DriftConfig
-from driftline.functions.scalars import out
+from driftline.functions.scalars import hash_uniform, out
 from driftline.operators import models as ml
 from driftline.operators import perturb as x
 from driftline.operators.profile import dataset_fingerprint
@@ -116,7 +116,18 @@ def _parts(column: str, name: str):
 
 
 def drift_report_query(spark: SparkSession, folder: str) -> DataFrame:
-    return report_frame(spark, folder).select(
+    return _report_columns(report_frame(spark, folder))
+
+
+def drift_report_guarded(spark: SparkSession, folder: str) -> DataFrame:
+    """A window below the least number of rows: the same columns, with the guard's status."""
+    ref, prod = ds.split(ds.drifting_events(spark, folder), "ts", ds.EVENT_SPLIT)
+    rows = prod.count()
+    return _report_columns(drift_report(ref, prod, SPEC, DriftConfig(min_samples=rows + 1)))
+
+
+def _report_columns(report: DataFrame) -> DataFrame:
+    return report.select(
         "status", *[out(F.col(c)).alias(c) for c in REPORT_FLOATS], "ks_features_flagged",
         F.array_join("drifted_features", ",").alias("drifted_features"), "sustained", "concept_drift",
         "n_samples", "n_labeled", "n_ref_rows", "reference_hash", "window_start", "window_end",
@@ -125,12 +136,14 @@ def drift_report_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scored_versions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Two deterministic scores on the last 30 days: the usual one, and one without `k`."""
+    """Two deterministic scores on the last 30 days: the usual one, and one without `k`, which is
+    missing for one row in twenty."""
     log = lookback_window(ds.drifting_events(spark, folder), "ts", 24 * 30)
     simple = ds.round_to(F.lit(0.3) + F.lit(0.006) * F.col("value"), 4)
+    scored_by = hash_uniform(["event_id"], "unscored") >= 0.05
     both = F.array(
         F.struct(F.lit("champion").alias("version"), F.col("score").alias("s"), F.lit(ds.DECISION_THRESHOLD).alias("t")),
-        F.struct(F.lit("challenger").alias("version"), simple.alias("s"), F.lit(0.6).alias("t")),
+        F.struct(F.lit("challenger").alias("version"), F.when(scored_by, simple).alias("s"), F.lit(0.6).alias("t")),
     )
     scored = log.select("label", F.inline(both)).select(
         "version", "label", (F.col("s") >= F.col("t")).cast("int").alias("prediction")
@@ -207,6 +220,7 @@ QUERIES = {
     "detector_backtest": detector_backtest,
     "detector_comparison": detector_comparison,
     "drift_report": drift_report_query,
+    "drift_report_guarded": drift_report_guarded,
     "champion_challenger": champion_challenger,
     "train_baseline_metrics": train_baseline_metrics,
     "batch_score": batch_score,
@@ -253,6 +267,9 @@ WINDOW = f"""SELECT * FROM ({ds.DRIFTING_SQL}) WHERE ts >= (SELECT max(ts) FROM
 LABELLED = f"SELECT * FROM ({WINDOW}) WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL {REPORT_DELAY_DAYS} DAY"
 TEMPORAL = temporal_sql(DRIFT_REF, WINDOW, ds.EVENT_FEATURES)
 SEGMENTS = segment_sql(DRIFT_REF, WINDOW, ds.EVENT_FEATURES, "event_type")
+# A missing score counts as not predicted.
+CHALLENGER = f"""SELECT label, CASE WHEN {ds.uniform_sql('event_id', 'unscored')} >= 0.05::DOUBLE
+  THEN floor((0.3::DOUBLE + 0.006::DOUBLE * value) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE -1.0::DOUBLE END AS score FROM log"""
 LOG30 = f"SELECT * FROM ({ds.DRIFTING_SQL}) WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {24 * 30} HOUR"
 COMPARE_REF = " UNION ALL ".join(f"SELECT '{m}@{float(i)}' AS scenario, * FROM ({EV_REF})" for m, i in bt.COMPARISON)
 COMPARE_PROD = f"SELECT mode || '@' || CAST(intensity AS VARCHAR) AS scenario, * FROM ({scenario_sql(bt.COMPARISON, SEEDS[:1])})"
@@ -316,9 +333,14 @@ ORACLES = {
              {q.rounded(*REPORT_FLOATS)}, ks_features_flagged, drifted_features, sustained,
              perf_drop >= 0.05 AS concept_drift, n_samples, n_labeled, n_ref_rows, reference_hash,
              window_start, window_end, temporal, segments FROM flat""",
+    "drift_report_guarded": f"""SELECT 'insufficient_data' AS status, 0.0::DOUBLE AS psi_max, 0.0::DOUBLE AS psi_mean,
+        {', '.join(f'CAST(NULL AS DOUBLE) AS {c}' for c in REPORT_FLOATS[2:])}, 0::BIGINT AS ks_features_flagged, '' AS drifted_features,
+        CAST(NULL AS BOOLEAN) AS sustained, CAST(NULL AS BOOLEAN) AS concept_drift, count(*) AS n_samples, 0::BIGINT AS n_labeled,
+        CAST(NULL AS BIGINT) AS n_ref_rows, CAST(NULL AS BIGINT) AS reference_hash, min(ts) AS window_start, max(ts) AS window_end,
+        CAST(NULL AS VARCHAR) AS temporal, CAST(NULL AS VARCHAR) AS segments FROM ({DRIFT_PROD})""",
     "champion_challenger": f"""WITH log AS ({LOG30}),
       a AS ({q.confusion_sql('SELECT * FROM log', T)}),
-      b AS ({q.confusion_sql("SELECT label, floor((0.3::DOUBLE + 0.006::DOUBLE * value) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE AS score FROM log", '0.6')})
+      b AS ({q.confusion_sql(CHALLENGER, '0.6')})
       SELECT round(a.f1, 6) + 0.0::DOUBLE AS champion_f1, round(b.f1, 6) + 0.0::DOUBLE AS challenger_f1, b.n_samples AS eval_n,
              'production_window' AS eval_basis, b.f1 >= a.f1 AS promoted,
              CASE WHEN b.f1 >= a.f1 THEN 'challenger >= champion' ELSE 'challenger worse than champion' END AS reason FROM a, b""",

@@ -177,10 +177,12 @@ def auc_sql(source: str, keys: Sequence[str] = (), score: str = "score", label:
 def confusion_sql(source: str, threshold: str, keys: Sequence[str] = (), labelled: str = "true") -> str:
     by = comma(keys)
     group = f"GROUP BY {', '.join(keys)}" if keys else ""
-    known = f"label IS NOT NULL AND ({labelled})"
+    given = f"label IS NOT NULL AND ({labelled})"
+    known = f"{given} AND score IS NOT NULL"
     return f"""
     SELECT *, coalesce(2.0::DOUBLE * tp / nullif(2.0::DOUBLE * tp + fp + fn, 0), 0.0::DOUBLE) AS f1 FROM (
       SELECT {by}count(*) AS n_samples, count(*) FILTER (WHERE {known}) AS n_labeled,
+             count(*) FILTER (WHERE {given} AND score IS NULL) AS n_unscored,
              count(*) FILTER (WHERE {known} AND score >= {threshold} AND label = 1) AS tp,
              count(*) FILTER (WHERE {known} AND score >= {threshold} AND label <> 1) AS fp,
              count(*) FILTER (WHERE {known} AND score < {threshold} AND label = 1) AS fn,

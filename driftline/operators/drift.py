@@ -212,7 +212,10 @@ def feature_drift(
     keys: Sequence[str] = (),
     max_groups: int | None = None,
 ) -> DataFrame:
-    """The per-feature drift table, optionally per key (one comparison per key value)."""
+    """The per-feature drift table, optionally per key (one comparison per key value).
+
+    Per key there is a `status`: a key that only production has is listed with NULL measures
+    and `no_reference`, one that only the reference has with `no_production`."""
     table, _ = compare(reference, production, features, config, keys, max_groups)
     return table
 
@@ -281,8 +284,11 @@ def compare(
         "is_categorical",
         f"psi >= {config.psi_alert}D AS drifted",
     )
-    full = table if keys else _every_feature(table, features, NEUTRAL_FEATURE)
-    return full, profile
+    if not keys:
+        return _every_feature(table, features, NEUTRAL_FEATURE), profile
+    sides = runs.rows.groupBy(*by).agg(F.sum("n_ref").alias("_r"), F.sum("n_prod").alias("_s")).dropna(subset=list(keys))
+    state = F.when(F.col("_r") == 0, "no_reference").when(F.col("_s") == 0, "no_production").otherwise("compared")
+    return sides.join(table, by, "left").withColumn("status", state).drop("_r", "_s"), profile
 
 
 def ks_flag():

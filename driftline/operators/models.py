@@ -176,13 +176,15 @@ def promotion_decision(
     `scored` holds (version, label, prediction) for both; `versions` holds one row per
     version: version ('champion' or 'challenger'), baseline_f1, n_heldout. Without a labelled
     window both sides fall back to their held-out F1. No champion, or one without a positive
-    baseline, means the challenger is promoted.
+    baseline, means the challenger is promoted. A row that a version could not score counts as not
+    predicted, so missing scores never help a version.
     """
+    hit = F.coalesce(F.col("prediction") == 1, F.lit(False))
     counts = scored.filter(F.col("label").isNotNull()).groupBy("version").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if((F.col("prediction") == 1) & (F.col("label") == 1)).alias("tp"),
-        F.count_if((F.col("prediction") == 1) & (F.col("label") != 1)).alias("fp"),
-        F.count_if((F.col("prediction") != 1) & (F.col("label") == 1)).alias("fn"),
+        F.count_if(hit & (F.col("label") == 1)).alias("tp"),
+        F.count_if(hit & (F.col("label") != 1)).alias("fp"),
+        F.count_if(~hit & (F.col("label") == 1)).alias("fn"),
     )
     f1 = f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn"))
     window = counts.select("version", "n", f1.alias("f1"))

@@ -27,16 +27,19 @@ def confusion_counts(
     labelled: Column | None = None,
     carry: Sequence[Column] = (),
 ) -> DataFrame:
-    """n, n_labelled, tp, fp, fn, tn per key in one map-side-combined aggregation.
+    """n, n_labeled, n_unscored, tp, fp, fn, tn per key in one map-side-combined aggregation.
 
-    `carry` adds aggregates to the same pass."""
-    known = F.col(label).isNotNull()
+    A row with a label but without a score is counted as unscored and not as labelled, so the
+    four counts always add up to n_labeled. `carry` adds aggregates to the same pass."""
+    given = F.col(label).isNotNull()
     if labelled is not None:
-        known = known & labelled
+        given = given & labelled
+    known = given & F.col(score).isNotNull()
     hit, actual = predicted(score, threshold) == 1, F.col(label) == 1
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.count_if(known).alias("n_labeled"),
+        F.count_if(given & F.col(score).isNull()).alias("n_unscored"),
         F.count_if(known & hit & actual).alias("tp"),
         F.count_if(known & hit & ~actual).alias("fp"),
         F.count_if(known & ~hit & actual).alias("fn"),

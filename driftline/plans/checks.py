@@ -12,7 +12,7 @@ from driftline.config import DriftConfig
 from driftline.functions.scalars import f1_from_counts
 from driftline.operators import attribution as a
 from driftline.operators.decisions import guarded_status, status
-from driftline.operators.drift import compare, drift_summary, feature_psi
+from driftline.operators.drift import NEUTRAL_FEATURE, compare, drift_summary, feature_psi
 from driftline.operators.performance import (
     arrived,
     confusion_counts,
@@ -38,6 +38,34 @@ class ModelSpec:
     segment: str | None = None
 
 
+_FEATURE = ", ".join(
+    f"{name}: {'boolean' if isinstance(value, bool) else 'double'}" for name, value in NEUTRAL_FEATURE.items()
+)
+# The columns of every report, whether the window was checked or guarded; `time` is the log's type.
+REPORT = {
+    "status": "string", "psi_max": "double", "psi_mean": "double", "ks_features_flagged": "bigint",
+    "max_missing_rate_delta": "double", "max_abs_missing_rate_delta": "double", "drifted_features": "array<string>",
+    "by_feature": f"array<struct<feature: string, {_FEATURE}>>", "prediction_drift_psi": "double",
+    "n_slices": "bigint", "n_breached": "bigint", "sustained": "boolean",
+    "temporal": "array<struct<slice: int, n: bigint, psi_max: double>>",
+    "segments": "array<struct<segment: string, n: bigint, psi_max: double, status: string>>",
+    "n_samples": "bigint", "n_labeled": "bigint", "n_unscored": "bigint", "label_coverage": "double",
+    "baseline_f1": "double", "perf_f1": "double", "perf_drop": "double", "perf_roc_auc": "double",
+    "concept_drift": "boolean", "decision_threshold": "double", "n_ref_rows": "bigint", "reference_hash": "bigint",
+    "window_start": "time", "window_end": "time",
+}
+# What a window that was not measured shows; all other measures are NULL.
+UNMEASURED = {"psi_max": 0.0, "psi_mean": 0.0, "ks_features_flagged": 0, "n_labeled": 0, "n_unscored": 0}
+
+
+def as_report(row: DataFrame, kind: str) -> DataFrame:
+    """Exactly the columns of REPORT; those that the row lacks are NULL."""
+    types = {c: kind if t == "time" else t for c, t in REPORT.items()}
+    return row.select(
+        *[(F.col(c) if c in row.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()]
+    )
+
+
 def history(
     reference: DataFrame,
     log: DataFrame,
@@ -45,9 +73,14 @@ def history(
     model: str,
     window: str,
     config: DriftConfig,
+    expected: DataFrame | None = None,
 ) -> DataFrame:
     """One drift check per (model, window) of a log that carries both as columns.
 
+    `expected` holds the (model, window) pairs that must have a check; those without rows get
+    `no_data`. A model without a reference has the status `no_reference`. Windows that were not
+    measured show the same neutral values as a guarded report.
+
     The reference profile is built once per model. The log is scanned once for the cell
     counts of all features and the score, and once for confusion counts and times; both combine
     map-side, so what is shuffled grows with models and windows, not with rows.
@@ -75,16 +108,29 @@ def history(
         label=spec.label,
         carry=[F.min(spec.ts).alias("window_start"), F.max(spec.ts).alias("window_end")],
     )
+    if expected is not None:
+        counts = expected.select(model, window).distinct().join(counts, [model, window], "left").fillna(
+            0, ["n_samples", "n_labeled", "n_unscored", "tp", "fp", "fn", "tn"]
+        )
     measured = performance_vs_baseline(
-        counts.join(baseline.select(model, F.col("f1").alias("_base")), model), F.col("_base"), config
+        counts.join(baseline.select(model, F.col("f1").alias("_base")), model, "left"), F.col("_base"), config
     )
-    verdict = status(F.col("psi_max"), F.col("perf_drop"), F.col("prediction_drift_psi"), config)
-    return (
-        measured.join(drift, [model, window])
+    verdict = F.when(F.col("_base").isNull(), "no_reference").otherwise(
+        status(F.col("psi_max"), F.col("perf_drop"), F.col("prediction_drift_psi"), config)
+    )
+    checked = (
+        measured.join(drift, [model, window], "left")
         .withColumn("status", guarded_status(F.col("n_samples"), verdict, config.min_samples))
         .withColumn("ts", F.col("window_end"))
         .withColumn("id", F.concat_ws("|", F.col(model), F.col(window).cast("string")))
-        .drop("_base", "tp", "fp", "fn", "tn")
+    )
+    seen = ~F.col("status").isin("no_data", "insufficient_data", "no_reference")
+    neutral = {c: F.when(seen, F.col(c)).otherwise(F.lit(UNMEASURED.get(c)).cast(checked.schema[c].dataType))
+               for c in ("psi_max", "psi_mean", "prediction_drift_psi", "n_labeled", "n_unscored",
+                         "perf_f1", "perf_drop", "concept_drift", "label_coverage")}
+    none = F.array().cast("array<string>")
+    return checked.withColumns({**neutral, "drifted_features": F.when(seen, F.col("drifted_features")).otherwise(none)}).drop(
+        "_base", "tp", "fp", "fn", "tn"
     )
 
 
@@ -111,8 +157,9 @@ def drift_report(
         F.count(F.lit(1)).alias("n"), F.min(spec.ts).alias("start"), F.max(spec.ts).alias("end")
     )
     n, start, end = facts.first()
+    kind = production.schema[spec.ts].dataType
     if n < config.min_samples:
-        return _guard_row(spark, production, spec, n)
+        return _guard_row(spark, kind.simpleString(), n, start, end)
 
     features = list(spec.features)
     found, profile = compare(
@@ -133,7 +180,6 @@ def drift_report(
     sustained = a.sustained(temporal, config.psi_alert)
     slices = temporal.agg(F.array_sort(F.collect_list(F.struct("slice", "n", "psi_max"))).alias("temporal"))
 
-    kind = production.schema[spec.ts].dataType
     in_time = arrived(F.col(spec.ts), moment(end, kind), config.label_delay_days)
     counts = confusion_counts(
         production, spec.threshold, score=spec.score, label=spec.label, labelled=in_time
@@ -165,21 +211,16 @@ def drift_report(
         parts.append(fingerprint.select(F.col("fingerprint").alias("reference_hash")))
     joined = _one_row(parts)
     measured = performance_vs_baseline(joined, F.col("_base"), config)
-    return (
-        measured.withColumn("perf_roc_auc", F.when(F.col("perf_f1").isNotNull(), F.col("roc_auc")))
-        .withColumn(
-            "status",
-            status(F.col("psi_max"), F.col("perf_drop"), F.col("prediction_drift_psi"), config),
-        )
-        .withColumns(
-            {
-                "decision_threshold": F.lit(spec.threshold),
-                "window_start": moment(start, kind),
-                "window_end": moment(end, kind),
-            }
-        )
-        .drop("_base", "roc_auc", "tp", "fp", "fn", "tn")
+    row = measured.withColumns(
+        {
+            "perf_roc_auc": F.when(F.col("perf_f1").isNotNull(), F.col("roc_auc")),
+            "status": status(F.col("psi_max"), F.col("perf_drop"), F.col("prediction_drift_psi"), config),
+            "decision_threshold": F.lit(spec.threshold),
+            "window_start": moment(start, kind),
+            "window_end": moment(end, kind),
+        }
     )
+    return as_report(row, kind.simpleString())
 
 
 def _one_row(parts: Sequence[DataFrame]) -> DataFrame:
@@ -191,20 +232,9 @@ def _one_row(parts: Sequence[DataFrame]) -> DataFrame:
     return joined.drop("_one")
 
 
-def _guard_row(spark, production: DataFrame, spec: ModelSpec, n: int) -> DataFrame:
-    kind = production.schema[spec.ts].dataType.simpleString()
-    row = spark.createDataFrame([(n,)], "n_samples bigint")
-    return row.select(
-        F.when(F.col("n_samples") == 0, "no_data").otherwise("insufficient_data").alias("status"),
-        F.lit(0.0).alias("psi_max"),
-        F.lit(0.0).alias("psi_mean"),
-        F.lit(0).cast("bigint").alias("ks_features_flagged"),
-        F.array().cast("array<string>").alias("drifted_features"),
-        F.lit(None).cast("double").alias("perf_f1"),
-        F.lit(None).cast("double").alias("perf_drop"),
-        F.lit(None).cast("double").alias("prediction_drift_psi"),
-        "n_samples",
-        F.lit(0).cast("bigint").alias("n_labeled"),
-        F.lit(None).cast(kind).alias("window_start"),
-        F.lit(None).cast(kind).alias("window_end"),
+def _guard_row(spark, kind: str, n: int, start, end) -> DataFrame:
+    row = spark.createDataFrame([(n, start, end)], f"n_samples bigint, window_start {kind}, window_end {kind}").withColumns(
+        {c: F.lit(v) for c, v in UNMEASURED.items()}
     )
+    small = F.when(F.col("n_samples") == 0, "no_data").otherwise("insufficient_data")
+    return as_report(row.withColumns({"status": small, "drifted_features": F.array()}), kind)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.config import DriftConfig
 from driftline.operators.perturb import Shift
 from driftline.plans import backtest as bt
-from driftline.plans.checks import ModelSpec, drift_report
+from driftline.plans.checks import ModelSpec, drift_report, history
 
 SPEC = ModelSpec(("a", "b"), "ts", "id", 0.5, segment="seg")
 BASE = datetime(2024, 1, 1)
@@ -87,3 +87,27 @@ def test_backtest_tells_the_scenarios_apart(spark, reference):
     assert got[("concept", 1.0)]["concept_drift_detection_rate"] == 1.0
     assert got[("both", 1.0)]["any_alert_rate"] == 1.0
     assert got[("both", 1.0)]["expected_data_drift"] and got[("both", 1.0)]["expected_concept_drift"]
+
+
+def test_guarded_and_checked_reports_have_one_schema(spark, reference):
+    checked = drift_report(reference, table(spark, 1500, 1), SPEC)
+    guarded = drift_report(reference, table(spark, 20, 4), SPEC)
+    plain = drift_report(reference, table(spark, 1500, 1), ModelSpec(("a", "b"), "ts", "id", 0.5))
+    assert checked.schema.simpleString() == guarded.schema.simpleString() == plain.schema.simpleString()
+    assert guarded.first()["window_start"] == BASE
+
+
+def test_history_lists_missing_windows_and_unknown_models(spark, reference):
+    known = reference.withColumn("model", F.lit("known"))
+    log = table(spark, 300, 5).withColumn("day", F.lit(1))
+    both = log.withColumn("model", F.lit("known")).unionByName(log.withColumn("model", F.lit("new")))
+    small = log.filter("id < 10").withColumns({"model": F.lit("known"), "day": F.lit(2)})
+    expected = spark.createDataFrame([("known", 1), ("known", 2), ("known", 3), ("new", 1)], "model string, day int")
+    rows = history(known, both.unionByName(small), SPEC, "model", "day", DriftConfig(), expected).collect()
+    got = {(r["model"], r["day"]): r for r in rows}
+    assert {k: r["status"] for k, r in got.items()} == {
+        ("known", 1): "ok", ("known", 2): "insufficient_data", ("known", 3): "no_data", ("new", 1): "no_reference"
+    }
+    assert got["known", 3]["n_samples"] == 0 and got["new", 1]["n_samples"] == 300
+    for key in (("known", 2), ("known", 3), ("new", 1)):
+        assert (got[key]["psi_max"], got[key]["perf_f1"], got[key]["drifted_features"]) == (0.0, None, [])

@@ -199,3 +199,13 @@ def test_fingerprint_tells_nulls_copies_and_separators_apart(spark):
     assert len(set(found)) == len(tables)
     assert of(tables[-1][::-1]) == found[-1]
     assert of(tables[0][:0]) == (0, 0, 0)
+
+
+def test_a_group_that_is_new_in_production_is_listed(spark):
+    from driftline.operators.drift import feature_drift as table
+
+    ref = spark.createDataFrame([(s, float(i)) for s in (0, 1, 3) for i in range(200)], "seg int, x double")
+    prod = spark.createDataFrame([(s, float(i)) for s in (0, 1, 2) for i in range(200)], "seg int, x double")
+    got = {r["seg"]: (r["status"], r["psi"]) for r in table(ref, prod, ["x"], keys=["seg"]).collect()}
+    assert {s: v[0] for s, v in got.items()} == {0: "compared", 1: "compared", 2: "no_reference", 3: "no_production"}
+    assert got[2][1] is None and got[0][1] == 0.0

@@ -91,3 +91,13 @@ def test_promotion_rules(spark):
     for versions in ([("challenger", 0.6, 90)], [("champion", 0.0, 0), ("challenger", 0.6, 90)]):
         first = ml.promotion_decision(nothing, spark.createDataFrame(versions, VERSIONS)).first()
         assert first["promoted"] and first["reason"] == "no incumbent champion" and first["champion_f1"] == 0.0
+
+
+def test_a_version_that_cannot_score_is_not_promoted(spark):
+    label = [1, 1, 0, 0] * 50
+    rows = [("champion", c, c) for c in label]
+    rows += [("challenger", None if i % 2 else c, c) for i, c in enumerate(label)]
+    df = spark.createDataFrame(rows, "version string, prediction int, label int")
+    versions = spark.createDataFrame([("champion", 0.7, 100), ("challenger", 0.9, 90)], VERSIONS)
+    row = ml.promotion_decision(df, versions).first()
+    assert not row["promoted"] and row["challenger_f1"] == pytest.approx(2 / 3) and row["eval_n"] == 200

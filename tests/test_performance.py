@@ -77,3 +77,10 @@ def test_label_delay_masks_late_rows(spark):
     assert m.label_slice(df, "ts", end, 3).count() == 7
     assert m.label_slice(df, "ts", end, 30).count() == 0
     assert DriftConfig(label_delay_days=30).label_delay_days == 30
+
+
+def test_rows_without_a_score_are_not_labelled_rows(spark):
+    rows = [(0.9, 1), (0.1, 0), (None, 1), (None, 1), (None, 0), (0.8, None)]
+    row = m.f1_at_threshold(spark.createDataFrame(rows, "score double, label int"), 0.5).first()
+    assert (row["n_samples"], row["n_labeled"], row["n_unscored"]) == (6, 2, 3)
+    assert row["tp"] + row["fp"] + row["fn"] + row["tn"] == row["n_labeled"]
