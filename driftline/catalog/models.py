@@ -16,7 +16,7 @@ from driftline.operators.profile import dataset_fingerprint
 from driftline.operators.verdicts import extract_verdicts
 from driftline.plans import backtest as bt
 from driftline.plans import datasets as ds
-from driftline.plans.checks import ModelSpec, drift_report
+from driftline.plans.checks import ModelSpec, build_bundle, drift_report, load_bundle
 from driftline.session import materialise, scratch_path
 from driftline.sources.tables import lookback_window, read_table
 
@@ -119,6 +119,16 @@ def drift_report_query(spark: SparkSession, folder: str) -> DataFrame:
     return _report_columns(report_frame(spark, folder))
 
 
+def drift_report_from_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """The same report from what is kept with the model: saved, loaded, and without the reference."""
+    ref, prod = ds.split(ds.drifting_events(spark, folder), "ts", ds.EVENT_SPLIT)
+    path = scratch_path(spark, "bundle")
+    build_bundle(ref, SPEC, _fingerprint(ref)).save(path)
+    window = lookback_window(prod, "ts", REPORT_HOURS)
+    config = DriftConfig(label_delay_days=REPORT_DELAY_DAYS)
+    return _report_columns(drift_report(None, window, SPEC, config, bundle=load_bundle(spark, path)))
+
+
 def drift_report_guarded(spark: SparkSession, folder: str) -> DataFrame:
     """A window below the least number of rows: the same columns, with the guard's status."""
     ref, prod = ds.split(ds.drifting_events(spark, folder), "ts", ds.EVENT_SPLIT)
@@ -221,6 +231,7 @@ QUERIES = {
     "detector_comparison": detector_comparison,
     "drift_report": drift_report_query,
     "drift_report_guarded": drift_report_guarded,
+    "drift_report_from_bundle": drift_report_from_bundle,
     "champion_challenger": champion_challenger,
     "train_baseline_metrics": train_baseline_metrics,
     "batch_score": batch_score,
@@ -350,3 +361,4 @@ ORACLES = {
                CAST(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS INTEGER) AS n_recommendations
         FROM conversations WHERE role = 'assistant' OR turn = 0) GROUP BY ALL""",
 }
+ORACLES["drift_report_from_bundle"] = ORACLES["drift_report"]

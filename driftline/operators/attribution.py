@@ -88,17 +88,18 @@ def sustained(temporal: DataFrame, alert: float) -> DataFrame:
 
 
 def segment_list(
-    production: DataFrame, reference: DataFrame, segment: str, limit: int | None = None, min_rows: int = MIN_SEGMENT_ROWS
+    production: DataFrame, known: DataFrame, segment: str, limit: int | None = None, min_rows: int = MIN_SEGMENT_ROWS
 ) -> DataFrame:
     """Every segment of the window with its rows and status, written once for its readers.
 
-    A segment is `checked`, has `insufficient_data`, or has `no_reference`. Only an explicit
+    A segment is `checked`, has `insufficient_data`, or has `no_reference` because it is not among
+    the `known` ones. Only an explicit
     `limit` cuts the list, to the first values in ascending order.
     """
     counted = production.filter(F.col(segment).isNotNull()).groupBy(segment).agg(F.count(F.lit(1)).alias("n"))
     if limit is not None:
         counted = counted.orderBy(segment).limit(limit)
-    known = reference.select(segment).distinct().withColumn("_known", F.lit(True))
+    known = known.select(segment).distinct().withColumn("_known", F.lit(True))
     state = (
         F.when(F.col("n") < min_rows, "insufficient_data")
         .when(F.col("_known").isNull(), "no_reference")
@@ -109,19 +110,22 @@ def segment_list(
 
 
 def segment_drift(
-    reference: DataFrame,
+    reference: DataFrame | None,
     production: DataFrame,
     features: Sequence[str],
     segment: str,
     limit: int | None = None,
     min_rows: int = MIN_SEGMENT_ROWS,
+    profile: ReferenceProfile | None = None,
 ) -> DataFrame:
     """Largest PSI inside each segment, with edges and categories from the segment's own
     reference rows; NULL for a segment that cannot be checked. All segments share one pass: the
-    segment is a group key, and a hot one combines map-side or is spread by the range layout."""
-    listed = segment_list(production, reference, segment, limit, min_rows)
+    segment is a group key, and a hot one combines map-side or is spread by the range layout. With a saved profile per segment the
+    reference is not read."""
+    listed = segment_list(production, reference if profile is None else profile.features, segment, limit, min_rows)
     checked = listed.filter("status = 'checked'").select(segment)
-    profile = build_profile(reference.join(checked, segment, "left_semi"), features, [segment], max_groups=limit)
+    if profile is None:
+        profile = build_profile(reference.join(checked, segment, "left_semi"), features, [segment], max_groups=limit)
     psi = feature_psi(production.join(checked, segment, "left_semi"), features, profile)
     worst = psi.groupBy(segment).agg(F.round(F.max("psi"), 4).alias("psi_max"))
     return listed.join(worst, segment, "left").select(segment, "n", "psi_max", "status")

@@ -221,16 +221,19 @@ def feature_drift(
 
 
 def compare(
-    reference: DataFrame,
+    reference: DataFrame | None,
     production: DataFrame,
     features: Sequence[str],
     config: DriftConfig | None = None,
     keys: Sequence[str] = (),
     max_groups: int | None = None,
     numeric: Sequence[str] = (),
+    saved: DataFrame | None = None,
 ) -> tuple[DataFrame, ReferenceProfile]:
     """Drift table and the reference profile it was made with, for further windows.
 
+    With `saved`, the value counts of a reference as kept with its model, `reference` is not read.
+
     One scan of each side: readings are counted by distinct value, laid out in order and
     written once; edges, cells, KS and moments all come from that table. The deviations are
     taken around the means in the pass that counts the cells, which keeps them accurate when
@@ -241,9 +244,8 @@ def compare(
     by = [*keys, "feature"]
     groups = 1 if not keys else max_groups
     max_rows = None if groups is None else groups * len(features)
-    counts = value_counts(
-        reference_long(reference, features, keys), to_long(production, features, keys), keys
-    )
+    known = reference_long(reference, features, keys) if saved is None else saved
+    counts = value_counts(known, to_long(production, features, keys), keys)
     runs = lay_out_values(counts, keys)
     profile = profile_from_runs(runs, keys, max_rows, numeric)
     small = profile.small_features()

@@ -35,9 +35,11 @@ def value_counts(
 ) -> DataFrame:
     """Distinct readings with their count on each side; combined map-side before the shuffle.
 
-    `f_ref` and `f_prod` are the same counts with missing readings left out.
+    The reference is in long form, or its saved counts with a column `n_ref`. `f_ref` and
+    `f_prod` are the same counts with missing readings left out.
     """
-    tagged = reference.withColumns({"_r": F.lit(1), "_p": F.lit(0)})
+    counted_before = F.col("n_ref") if "n_ref" in reference.columns else F.lit(1)
+    tagged = reference.select(*keys, "feature", "value", counted_before.alias("_r"), F.lit(0).alias("_p"))
     if production is not None:
         tagged = tagged.unionByName(production.withColumns({"_r": F.lit(0), "_p": F.lit(1)}))
     counted = tagged.groupBy(*keys, "feature", "value").agg(

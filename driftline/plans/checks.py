@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.config import DriftConfig
@@ -20,8 +20,8 @@ from driftline.operators.performance import (
     performance_vs_baseline,
     roc_auc,
 )
-from driftline.operators.profile import build_profile
-from driftline.session import materialise
+from driftline.operators.profile import ReferenceProfile, build_profile, load_profile, reference_long, value_counts
+from driftline.session import materialise, scratch_scope
 from driftline.sources.tables import moment
 
 
@@ -134,25 +134,86 @@ def history(
     )
 
 
+@dataclass(frozen=True)
+class ReferenceBundle:
+    """What a check needs of a reference, as kept with its model.
+
+    `counts` holds the distinct readings of the features and the score with their number,
+    `segments` a profile for each segment, `baseline` F1 and rows, `fingerprint` the hash.
+    """
+
+    counts: DataFrame
+    segments: ReferenceProfile | None
+    baseline: tuple[float, int]
+    fingerprint: int | None = None
+
+    def save(self, path: str) -> None:
+        spark = self.counts.sparkSession
+        self.counts.write.parquet(f"{path}/counts")
+        if self.segments is not None:
+            self.segments.save(f"{path}/segments")
+        spark.createDataFrame(
+            [(*self.baseline, self.fingerprint, self.segments.keys[0] if self.segments else None)],
+            "f1 double, n_rows bigint, fingerprint bigint, segment string",
+        ).write.parquet(f"{path}/meta")
+
+
+def load_bundle(spark: SparkSession, path: str) -> ReferenceBundle:
+    meta = spark.read.parquet(f"{path}/meta").first()
+    segments = load_profile(spark, f"{path}/segments", [meta["segment"]]) if meta["segment"] else None
+    counts = spark.read.parquet(f"{path}/counts")
+    return ReferenceBundle(counts, segments, (meta["f1"], meta["n_rows"]), meta["fingerprint"])
+
+
+def build_bundle(reference: DataFrame, spec: ModelSpec, fingerprint: DataFrame | None = None) -> ReferenceBundle:
+    """The bundle of a scored reference; nothing is lost, so checks from it are exact."""
+    counts = value_counts(reference_long(reference, [*spec.features, spec.score]), None)
+    segments = build_profile(reference, list(spec.features), [spec.segment]) if spec.segment else None
+    base = confusion_counts(reference, spec.threshold, score=spec.score, label=spec.label).select(
+        f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"), "n_samples"
+    ).first()
+    known = None if fingerprint is None else fingerprint.first()["fingerprint"]
+    return ReferenceBundle(
+        counts.select("feature", "value", "n_ref"), segments, (base["f1"], base["n_samples"]), known
+    )
+
+
 def drift_report(
-    reference: DataFrame,
+    reference: DataFrame | None,
     production: DataFrame,
     spec: ModelSpec,
     config: DriftConfig | None = None,
     fingerprint: DataFrame | None = None,
     baseline: tuple[float, int] | None = None,
+    bundle: ReferenceBundle | None = None,
 ) -> DataFrame:
     """The whole check of one production window as one row.
 
-    `baseline` is (F1, reference rows) as kept with the model; without it both are measured
-    on the reference.
+    With a `bundle` the reference is not read and may be None. `baseline` is (F1, reference
+    rows); without it or a bundle both are measured on the reference.
 
     A window that is empty or too small gives the same columns with its guard status, so
-    that every run leaves a record. The window facts are two numbers and two times read on
-    the driver; everything else stays distributed.
+    that every run leaves a record. The work is done when this returns: the one row of the result
+    is held by the driver, and the intermediate tables are deleted.
     """
-    config = config or DriftConfig()
     spark = production.sparkSession
+    with scratch_scope(spark):
+        row = _report(reference, production, spec, config or DriftConfig(), fingerprint, baseline, bundle)
+        return spark.createDataFrame(row.collect(), row.schema)
+
+
+def _report(
+    reference: DataFrame | None,
+    production: DataFrame,
+    spec: ModelSpec,
+    config: DriftConfig,
+    fingerprint: DataFrame | None,
+    baseline: tuple[float, int] | None,
+    bundle: ReferenceBundle | None,
+) -> DataFrame:
+    spark = production.sparkSession
+    if bundle is not None:
+        baseline = bundle.baseline
     facts = production.agg(
         F.count(F.lit(1)).alias("n"), F.min(spec.ts).alias("start"), F.max(spec.ts).alias("end")
     )
@@ -163,7 +224,8 @@ def drift_report(
 
     features = list(spec.features)
     found, profile = compare(
-        reference, production, [*features, spec.score], config, numeric=[spec.score]
+        reference, production, [*features, spec.score], config, numeric=[spec.score],
+        saved=bundle.counts if bundle else None,
     )
     table = materialise(found, "drift")
     is_score = F.col("feature") == spec.score
@@ -197,7 +259,9 @@ def drift_report(
         )
     parts = [summary, sustained, slices, score_psi, counts, auc, base]
     if spec.segment:
-        segments = a.segment_drift(reference, production, features, spec.segment)
+        segments = a.segment_drift(
+            reference, production, features, spec.segment, profile=bundle.segments if bundle else None
+        )
         parts.append(
             segments.agg(
                 F.array_sort(
@@ -207,7 +271,9 @@ def drift_report(
                 ).alias("segments")
             )
         )
-    if fingerprint is not None:
+    if bundle is not None:
+        parts.append(spark.createDataFrame([(bundle.fingerprint,)], "reference_hash bigint"))
+    elif fingerprint is not None:
         parts.append(fingerprint.select(F.col("fingerprint").alias("reference_hash")))
     joined = _one_row(parts)
     measured = performance_vs_baseline(joined, F.col("_base"), config)

@@ -19,8 +19,8 @@ from driftline.operators.decisions import (
 )
 from driftline.operators.history import seconds_since_dispatch
 from driftline.operators.performance import label_slice
-from driftline.plans.checks import ModelSpec, drift_report
-from driftline.session import materialise
+from driftline.plans.checks import ModelSpec, ReferenceBundle, build_bundle, drift_report
+from driftline.session import materialise, scratch_scope
 from driftline.sources import sinks
 from driftline.sources.tables import latest, lookback_window
 
@@ -51,7 +51,7 @@ class MonitorTables:
 
 
 def run_check(
-    reference: DataFrame,
+    reference: DataFrame | None,
     log: DataFrame,
     spec: ModelSpec,
     tables: MonitorTables,
@@ -60,17 +60,16 @@ def run_check(
     hours: int = 24,
     config: DriftConfig | None = None,
     partition: str | None = None,
+    bundle: ReferenceBundle | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Check the newest window, persist it, and return the report and its alert, if any.
 
-    Guarded windows are recorded too; their status says so.
+    Guarded windows are recorded too; their status says so. With the model's bundle the
+    reference is not needed.
     """
     window = lookback_window(log, spec.ts, hours, partition)
-    report = materialise(
-        drift_report(reference, window, spec, config).withColumns(
-            {"model": F.lit(model), "ts": F.lit(checked_at)}
-        ),
-        "report",
+    report = drift_report(reference, window, spec, config, bundle=bundle).withColumns(
+        {"model": F.lit(model), "ts": F.lit(checked_at)}
     )
     rows = sinks.drift_check_rows(report, ["model", "ts"])
     sinks.append_rows(rows, tables.checks)
@@ -112,6 +111,63 @@ def request_retrain(
     return rows
 
 
+def train_and_persist(
+    spark: SparkSession,
+    training: DataFrame,
+    features: list[str],
+    label: str,
+    key: str,
+    tables: MonitorTables,
+    model: str,
+    version: int,
+    segment: str | None = None,
+    fingerprint: DataFrame | None = None,
+    alias: str | None = "champion",
+    trees: int = ml.TREES,
+) -> ml.TrainedModel:
+    """Train on a table, keep the model with the bundle of its scored reference and the reference
+    rows as a version, log the run and register the version."""
+    trained = ml.train(training, features, label, key, trees=trees)
+    keep_version(spark, training, trained, label, key, tables, model, version, segment, fingerprint, alias)
+    return trained
+
+
+def keep_version(
+    spark: SparkSession,
+    training: DataFrame,
+    trained: ml.TrainedModel,
+    label: str,
+    key: str,
+    tables: MonitorTables,
+    model: str,
+    version: int,
+    segment: str | None = None,
+    fingerprint: DataFrame | None = None,
+    alias: str | None = "champion",
+) -> None:
+    path = f"{tables.root}/models/{model}/v={version}"
+    ml.save_model(spark, trained, path)
+    spec = ModelSpec(trained.features, "", key, trained.threshold, label=label, segment=segment)
+    with scratch_scope(spark):
+        columns = dict.fromkeys([key, label, *trained.features, *([segment] if segment else [])])
+        scored = ml.batch_score(training.select(*columns), trained).filter("NOT quarantined")
+        build_bundle(scored, spec, fingerprint).save(f"{path}/reference")
+    reference = sinks.save_reference(training, f"{tables.root}/reference/{model}", version)
+    log_run(spark, tables, f"{model}|v={version}", trained, {"model": model, "version": str(version), "kind": "train"})
+    sinks.register_version(spark, tables.registry, model, version, alias, reference)
+
+
+def log_run(spark: SparkSession, tables: MonitorTables, run_id: str, trained: ml.TrainedModel, tags: dict[str, str]) -> None:
+    metrics = {
+        "f1": trained.baseline_f1, "f1_default": trained.f1_default, "roc_auc": trained.auc,
+        "decision_threshold": trained.threshold, "n_train": float(trained.n_train), "n_test": float(trained.n_test),
+    }
+    row = spark.createDataFrame(
+        [(run_id, metrics, tags)], "run_id string, metrics map<string, double>, tags map<string, string>"
+    )
+    sinks.append_rows(row, tables.runs)
+
+
 def evaluate_and_promote(
     spark: SparkSession,
     training: DataFrame,
@@ -152,11 +208,11 @@ def evaluate_and_promote(
         "version string, baseline_f1 double, n_heldout bigint",
     )
     decision = materialise(ml.promotion_decision(scored, versions, epsilon), "promotion")
-    if decision.first()["promoted"]:
-        path = f"{tables.root}/models/{model}/v={version}"
-        ml.save_model(spark, challenger, path)
-        reference = sinks.save_reference(training, f"{tables.root}/reference/{model}", version)
-        sinks.register_version(spark, tables.registry, model, version, "champion", reference)
+    outcome = decision.first()
+    tags = {"model": model, "version": str(version), "kind": "promotion", "reason": outcome["reason"]}
+    log_run(spark, tables, f"{model}|v={version}|promotion", challenger, tags)
+    if outcome["promoted"]:
+        keep_version(spark, training, challenger, label, key, tables, model, version)
     return decision
 
 

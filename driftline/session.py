@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,16 +53,41 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, grouped by application so it can be dropped whole."""
     app = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/driftline/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/driftline/{app}/{label}-{uuid.uuid4().hex}"
+    open_scopes = getattr(_scopes, "open", [])
+    if open_scopes:
+        open_scopes[-1].append(path)
+    return path
+
+
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what a job wrote below the shared folder when the job is done.
+
+    Frames that read those tables are of no use afterwards, so a job returns rows or what it
+    has stored elsewhere. A scope inside another one deletes its own tables only.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.open.pop():
+            _delete(spark, path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything this application wrote below the shared folder."""
-    app = spark.sparkContext.applicationId
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/driftline/{app}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    _delete(spark, f"{shared_root(spark)}/driftline/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 
 from driftline.config import DriftConfig
 from driftline.operators.decisions import alert_feed
-from driftline.plans.checks import ModelSpec, drift_report
+from driftline.plans.checks import ModelSpec, ReferenceBundle, drift_report
 from driftline.plans.monitor import MonitorTables
-from driftline.session import materialise
 from driftline.sources import sinks
 from driftline.sources.tables import lookback_window
 
 
 def check_each_batch(
     stream: DataFrame,
-    reference: DataFrame,
+    reference: DataFrame | None,
     spec: ModelSpec,
     tables: MonitorTables,
     model: str,
     hours: int = 24,
     config: DriftConfig | None = None,
+    bundle: ReferenceBundle | None = None,
 ):
     """Stream writer: append the batch to the log, check the newest window, keep check and alert.
 
     Every output lies in a folder of its batch id that a repeated batch replaces, and the
-    window only uses batches up to this one, so a repeated run gives the same tables.
+    window only uses batches up to this one, so a repeated run gives the same tables. With the
+    model's bundle no batch reads the reference; intermediate tables go with each check.
     """
 
     def check(batch: DataFrame, batch_id: int) -> None:
@@ -35,10 +36,9 @@ def check_each_batch(
         batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
         log = spark.read.parquet(log_path).filter(F.col("batch") <= batch_id).drop("batch")
         window = lookback_window(log, spec.ts, hours)
-        report = drift_report(reference, window, spec, config).withColumns(
+        report = drift_report(reference, window, spec, config, bundle=bundle).withColumns(
             {"model": F.lit(model), "ts": F.col("window_end"), "batch_id": F.lit(batch_id)}
         )
-        report = materialise(report, "report")
         rows = sinks.drift_check_rows(report, ["model", "batch_id"])
         rows.write.mode("overwrite").parquet(f"{tables.checks}/batch={batch_id}")
         alerts = alert_feed(report).select("model", "ts", "status", "text")

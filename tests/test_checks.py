@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 import brute
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from driftline.config import DriftConfig
 from driftline.operators.perturb import Shift
 from driftline.plans import backtest as bt
-from driftline.plans.checks import ModelSpec, drift_report, history
+from driftline.plans.checks import ModelSpec, build_bundle, drift_report, history, load_bundle
+from driftline.session import materialise, scratch_scope, shared_root
 
 SPEC = ModelSpec(("a", "b"), "ts", "id", 0.5, segment="seg")
 BASE = datetime(2024, 1, 1)
@@ -111,3 +113,36 @@ def test_history_lists_missing_windows_and_unknown_models(spark, reference):
     assert got["known", 3]["n_samples"] == 0 and got["new", 1]["n_samples"] == 300
     for key in (("known", 2), ("known", 3), ("new", 1)):
         assert (got[key]["psi_max"], got[key]["perf_f1"], got[key]["drifted_features"]) == (0.0, None, [])
+
+
+def scratch_files(spark):
+    root = f"{shared_root(spark)}/driftline/{spark.sparkContext.applicationId}".removeprefix("file:")
+    return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+
+def test_check_from_the_bundle_is_exact_and_cleans_up(spark, reference, tmp_path):
+    window = table(spark, 1500, 2, shift=1.0)
+    build_bundle(reference, SPEC).save(str(tmp_path / "b"))
+    bundle = load_bundle(spark, str(tmp_path / "b"))
+    before = scratch_files(spark)
+    saved = drift_report(None, window, SPEC, bundle=bundle)
+    direct = drift_report(reference, window, SPEC)
+    assert scratch_files(spark) == before
+    a, b = saved.first().asDict(recursive=True), direct.first().asDict(recursive=True)
+    for name, value in a.items():
+        if isinstance(value, float):
+            assert value == pytest.approx(b[name]), name
+        elif name != "by_feature":
+            assert value == b[name], name
+    assert [f["feature"] for f in a["by_feature"]] == [f["feature"] for f in b["by_feature"]]
+
+
+def test_scopes_delete_their_own_tables_only(spark):
+    df = spark.range(3)
+    before = scratch_files(spark)
+    with scratch_scope(spark):
+        materialise(df, "outer")
+        with scratch_scope(spark):
+            materialise(df, "inner")
+        assert [n.split("-")[0] for n in scratch_files(spark) - before] == ["outer"]
+    assert scratch_files(spark) == before

@@ -6,7 +6,8 @@ from test_checks import SPEC, table
 
 from driftline.config import DriftConfig
 from driftline.operators.history import recent, resolve_champions
-from driftline.plans.monitor import MonitorTables, evaluate_and_promote, request_retrain, run_check
+from driftline.plans.checks import load_bundle
+from driftline.plans.monitor import MonitorTables, evaluate_and_promote, request_retrain, run_check, train_and_persist
 
 NOW = datetime(2024, 2, 1)
 
@@ -64,3 +65,15 @@ def test_promotion_run(spark, reference, tmp_path):
     assert not second["promoted"] and second["eval_basis"] == "production_window" and second["eval_n"] == 800
     registry = spark.read.parquet(tables.registry)
     assert resolve_champions(registry).first()["uri"] == "models:/churn@champion (v1)"
+
+
+def test_train_and_persist_keeps_all_that_a_check_needs(spark, reference, tmp_path):
+    tables = MonitorTables(str(tmp_path))
+    model = train_and_persist(spark, reference, ["a", "b"], "label", "id", tables, "churn", 1, segment="seg", trees=3)
+    bundle = load_bundle(spark, f"{tables.root}/models/churn/v=1/reference")
+    assert bundle.baseline[1] == 2000 and bundle.segments.features.select("seg").distinct().count() == 3
+    run = spark.read.parquet(tables.runs).first()
+    assert run["metrics"]["f1"] == model.baseline_f1 and run["tags"]["kind"] == "train"
+    assert resolve_champions(spark.read.parquet(tables.registry)).first()["uri"] == "models:/churn@champion (v1)"
+    report, _ = run_check(None, table(spark, 1500, 1), SPEC, tables, "churn", NOW, bundle=bundle)
+    assert report.first()["n_ref_rows"] == 2000 and report.first()["n_samples"] == 1441
