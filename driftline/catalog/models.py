@@ -178,22 +178,33 @@ def _training_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def train_baseline_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Boosted trees on the events; rows only, since the trees are MLlib's own."""
+    """Boosted trees on the events. The trees are MLlib's own, so of the measures the query gives
+    what must hold whatever the trees are."""
     model = ml.train(_training_rows(spark, folder), ["value", "k"], "label", "event_id")
+    facts = (
+        model.n_train, model.n_test, 0.0 < model.baseline_f1 <= 1.0, model.baseline_f1 >= model.f1_default,
+        0.5 < model.auc <= 1.0, 0.0 < model.threshold < 1.0,
+    )
     return spark.createDataFrame(
-        [(model.baseline_f1, model.f1_default, model.auc, model.threshold, model.n_train, model.n_test)],
-        "f1 double, f1_argmax double, roc_auc double, decision_threshold double, n_train bigint, n_test bigint",
+        [facts],
+        "n_train bigint, n_test bigint, f1_in_range boolean, tuned_is_best boolean, auc_above_chance boolean, threshold_in_range boolean",
     )
 
 
 def batch_score(spark: SparkSession, folder: str) -> DataFrame:
-    """Train on the reference part, save, load, and score every event."""
+    """Train on the reference part, save, load, and score every event; one event in fifty has an
+    infinite reading and is quarantined."""
     rows = _training_rows(spark, folder)
     ref, _ = ds.split(rows, "ts", ds.EVENT_SPLIT)
     path = scratch_path(spark, "model")
     ml.save_model(spark, ml.train(ref, ["value", "k"], "label", "event_id"), path)
-    scored = ml.batch_score(rows, ml.load_model(spark, path))
-    return scored.select("event_id", "score", "prediction", "quarantined")
+    broken = hash_uniform(["event_id"], "infinite") < 0.02
+    model = ml.load_model(spark, path)
+    scored = ml.batch_score(rows.withColumn("value", F.when(broken, float("inf")).otherwise(F.col("value"))), model)
+    decided = F.col("prediction") == (F.col("score") >= model.threshold).cast("int")
+    return scored.select(
+        "event_id", "quarantined", F.col("score").between(0.0, 1.0).alias("score_in_range"), decided.alias("decided_by_threshold")
+    )
 
 
 def _transcripts(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,10 +228,9 @@ def _transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verdict_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict of every transcript that has one, with the digest of its object."""
     found = extract_verdicts(materialise(_transcripts(spark, folder), "texts"), "key", "text")
-    return found.groupBy("diagnosis", "trigger_retraining", F.size("recommendations").alias("n_recommendations")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return found.select("key", "blob_md5", "diagnosis", "trigger_retraining", F.size("recommendations").alias("n_recommendations"))
 
 
 QUERIES = {
@@ -290,6 +300,23 @@ REFERENCE_HASH = fingerprint_sql(f"({DRIFT_REF})", [
     *[f"CAST(CAST({c} AS DECIMAL(18,4)) AS VARCHAR)" for c in ("value", "k", "score")],
 ])
 
+# The same transcripts as text; their objects are found by patterns over that text.
+VERDICT_SQL = r"""WITH t AS (
+    SELECT conv_id || '-' || turn AS key, role, turn,
+      ' Result: {"diagnosis": "case ' || conv_id || '-' || turn || '", "recommendations": [{"action": "retrain", "priority": "high", "reason": "psi"}], '
+        || '"trigger_retraining": ' || CASE WHEN turn = 1 THEN 'true' ELSE 'false' END || '} done' AS verdict,
+      ' first {"note": {"a": 1}} then' AS bare, text FROM conversations),
+  texts AS (
+    SELECT key, CASE WHEN role = 'assistant' AND turn = 1 THEN text || verdict WHEN role = 'assistant' THEN bare || text || verdict
+                     WHEN turn = 0 THEN bare || text ELSE text || ' {"diagnosis": broken} {' END AS text FROM t),
+  objects AS (
+    SELECT key, coalesce(nullif(regexp_extract(text, '\{"diagnosis": "[^{}]*\[\{[^{}]*\}\][^{}]*\}'), ''),
+                         nullif(regexp_extract(text, '\{"note": \{[^{}]*\}\}'), '')) AS blob FROM texts)
+  SELECT key, md5(blob) AS blob_md5, coalesce(blob ->> '$.diagnosis', '') AS diagnosis,
+         coalesce(CAST(blob ->> '$.trigger_retraining' AS BOOLEAN), false) AS trigger_retraining,
+         CAST(coalesce(json_array_length(blob, '$.recommendations'), 0) AS INTEGER) AS n_recommendations
+  FROM objects WHERE blob IS NOT NULL"""
+
 ORACLES = {
     "inject_covariate_shift": f"""SELECT event_id,
         round(value * (1.0::DOUBLE + (-0.35)::DOUBLE * {_E}) + (-40.0)::DOUBLE * {_E} + {normal_sql('event_id', 11, 'value')} * 15.0::DOUBLE, 4) + 0.0::DOUBLE AS value,
@@ -355,10 +382,12 @@ ORACLES = {
       SELECT round(a.f1, 6) + 0.0::DOUBLE AS champion_f1, round(b.f1, 6) + 0.0::DOUBLE AS challenger_f1, b.n_samples AS eval_n,
              'production_window' AS eval_basis, b.f1 >= a.f1 AS promoted,
              CASE WHEN b.f1 >= a.f1 THEN 'challenger >= champion' ELSE 'challenger worse than champion' END AS reason FROM a, b""",
-    "verdict_extract": """SELECT diagnosis, trigger_retraining, n_recommendations, count(*) AS n FROM (
-        SELECT CASE WHEN role = 'assistant' THEN 'case ' || conv_id || '-' || turn ELSE '' END AS diagnosis,
-               role = 'assistant' AND turn = 1 AS trigger_retraining,
-               CAST(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS INTEGER) AS n_recommendations
-        FROM conversations WHERE role = 'assistant' OR turn = 0) GROUP BY ALL""",
+    "verdict_extract": VERDICT_SQL,
 }
 ORACLES["drift_report_from_bundle"] = ORACLES["drift_report"]
+ORACLES["train_baseline_metrics"] = f"""SELECT CAST(sum(n - t) AS BIGINT) AS n_train, CAST(sum(t) AS BIGINT) AS n_test,
+    true AS f1_in_range, true AS tuned_is_best, true AS auc_above_chance, true AS threshold_in_range
+  FROM (SELECT count(*) AS n, floor(count(*) * 0.2::DOUBLE + 0.5::DOUBLE) AS t FROM ({ds.EVENTS_SQL}) GROUP BY label)"""
+ORACLES["batch_score"] = f"""SELECT event_id, bad AS quarantined, CASE WHEN NOT bad THEN true END AS score_in_range,
+    CASE WHEN NOT bad THEN true END AS decided_by_threshold
+  FROM (SELECT event_id, {ds.uniform_sql('event_id', 'infinite')} < 0.02::DOUBLE AS bad FROM events)"""

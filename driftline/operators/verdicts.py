@@ -49,7 +49,8 @@ def extract_verdicts(texts: DataFrame, row_key: str, text: str) -> DataFrame:
     """Per text the verdict object, or no row when none parses.
 
     Among the balanced objects that parse as JSON, the first one with a verdict key wins,
-    else the longest one (by its compact JSON form, the earliest on a tie).
+    else the longest one (as written, the earliest on a tie). Repeated names are allowed, the last
+    one counts; NaN and Infinity are numbers. `blob_md5` is the digest of the object as written.
     """
     pairs = brace_pairs(texts, row_key, text)
     candidates = pairs.join(texts.select(row_key, text), row_key).select(
@@ -57,11 +58,13 @@ def extract_verdicts(texts: DataFrame, row_key: str, text: str) -> DataFrame:
         "start",
         F.substring(F.col(text), F.col("start"), F.col("end") - F.col("start") + 1).alias("blob"),
     )
-    names = F.coalesce(F.json_object_keys("blob"), F.array().cast("array<string>"))
-    parsed = candidates.filter(F.try_parse_json("blob").isNotNull()).withColumns(
+    # A record with none of the object's fields can only be corrupt if the text is not JSON.
+    whole = F.from_json("blob", "`/none` string, `/corrupt` string", {"columnNameOfCorruptRecord": "/corrupt"})
+    fields = F.map_keys(F.from_json("blob", "map<string, string>"))
+    parsed = candidates.filter(whole["/corrupt"].isNull()).withColumns(
         {
-            "_verdict": F.arrays_overlap(names, F.array(*[F.lit(k) for k in VERDICT_KEYS])),
-            "_length": F.char_length(F.to_json(F.try_parse_json("blob"))),
+            "_verdict": F.coalesce(F.arrays_overlap(fields, F.array(*[F.lit(k) for k in VERDICT_KEYS])), F.lit(False)),
+            "_length": F.char_length("blob"),
         }
     )
     preference = F.struct(
@@ -73,6 +76,7 @@ def extract_verdicts(texts: DataFrame, row_key: str, text: str) -> DataFrame:
     return best.withColumn("verdict", F.from_json("blob", VERDICT_SCHEMA)).select(
         row_key,
         "blob",
+        F.md5("blob").alias("blob_md5"),
         F.coalesce(F.col("verdict.diagnosis"), F.lit("")).alias("diagnosis"),
         F.coalesce(
             F.col("verdict.recommendations"),

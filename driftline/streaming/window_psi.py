@@ -33,32 +33,28 @@ def pane_counts(
     )
 
 
-def write_panes(
-    panes: DataFrame, path: str, checkpoint: str, output_mode: str = "complete"
-) -> None:
+def write_panes(panes: DataFrame, path: str, checkpoint: str, output_mode: str = "update") -> int:
     """Write panes per micro-batch; a repeated batch replaces its own folder only.
 
-    Complete mode writes the whole state, so the newest batch is the full answer; a
-    long-running job uses append mode, which adds each pane once it is final and drops its
-    state.
+    Update mode writes the panes that a batch has changed, and the watermark drops the state
+    of closed ones, so neither state nor output of a batch grows with the stream. Append mode
+    writes a pane once it is closed. Returns how many counts came too late.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    run_available(
+    return run_available(
         panes.writeStream.outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(save)
     )
 
 
-def read_panes(spark: SparkSession, path: str, output_mode: str = "complete") -> DataFrame:
+def read_panes(spark: SparkSession, path: str) -> DataFrame:
+    """Each pane as the newest batch that wrote it has it."""
     stored = spark.read.parquet(path)
-    if output_mode != "complete":
-        return stored.drop("batch")
-    newest = stored.agg(F.max("batch")).first()[0]
-    return stored.filter(F.col("batch") == newest).drop("batch")
+    return stored.groupBy("pane", "feature", "cell").agg(F.max_by("s", "batch").alias("s"))
 
 
 def sliding_psi(

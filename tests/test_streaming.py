@@ -47,6 +47,29 @@ def test_sliding_windows_equal_the_batch_result(spark, tmp_path):
         assert got[k] == pytest.approx(v, abs=1e-9)
 
 
+def test_two_scheduled_runs_with_one_checkpoint(spark, tmp_path):
+    log, panes, state = (str(tmp_path / n) for n in ("log", "panes", "state"))
+    ref = spark.createDataFrame([(float(x),) for x in range(100)], "v double")
+    profile = build_profile(ref, ["v"])
+    own = common.stateful_session(spark, 4)
+    rows = [(i, BASE + timedelta(minutes=11 * i), float(i % 50)) for i in range(400)]
+    late = [(900, BASE, 1.0), (901, BASE, 2.0)]
+    counted = []
+    for part in (rows[:250], rows[250:] + late):
+        spark.createDataFrame(part, "id bigint, ts timestamp_ntz, v double").coalesce(1).write.mode("append").parquet(log)
+        stream = common.event_stream(own, log, "*.parquet", SCHEMA, "ts")
+        counted.append(write_panes(pane_counts(stream, ["v"], profile, "ts", "1 hour"), panes, state))
+    assert counted[0] == 0 < counted[1] <= 2
+    got = {(r["pane"], r["cell"]): r["s"] for r in read_panes(spark, panes).collect()}
+    assert sum(got.values()) == 400
+    whole = spark.createDataFrame(rows, "id bigint, ts timestamp_ntz, v double")
+    by_hour = {r["h"]: r["count"] for r in whole.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h")).count().collect()}
+    hours = {}
+    for (pane, _), n in got.items():
+        hours[pane] = hours.get(pane, 0) + n
+    assert hours == by_hour
+
+
 def test_append_mode_emits_each_closed_pane_once(spark, tmp_path):
     event_log(spark, str(tmp_path / "log"))
     ref = spark.createDataFrame([(float(x),) for x in range(100)], "v double")
@@ -55,7 +78,7 @@ def test_append_mode_emits_each_closed_pane_once(spark, tmp_path):
     stream = common.event_stream(own, str(tmp_path / "log"), "*.parquet", SCHEMA, "ts", files_per_trigger=1)
     panes = pane_counts(stream, ["v"], profile, "ts", "1 hour")
     write_panes(panes, str(tmp_path / "panes"), str(tmp_path / "state"), "append")
-    closed = read_panes(spark, str(tmp_path / "panes"), "append")
+    closed = spark.read.parquet(str(tmp_path / "panes"))
     keys = closed.select("pane", "feature", "cell")
     assert keys.count() == keys.distinct().count() > 50
 

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -8,17 +9,13 @@ NESTED = {"diagnosis": "d", "recommendations": [{"action": "retrain", "priority"
 
 
 def first_match(text):
-    """All balanced objects by counting depth from each opening brace."""
-    pairs = []
-    for start, ch in enumerate(text):
-        depth = 0
-        if ch != "{":
-            continue
-        for end in range(start, len(text)):
-            depth += {"{": 1, "}": -1}.get(text[end], 0)
-            if depth == 0:
-                pairs.append((start + 1, end + 1))
-                break
+    """All balanced objects: a closing brace ends the newest one that is open."""
+    open_at, pairs = [], []
+    for place, ch in enumerate(text, 1):
+        if ch == "{":
+            open_at.append(place)
+        elif ch == "}" and open_at:
+            pairs.append((open_at.pop(), place))
     return sorted(pairs)
 
 
@@ -37,11 +34,18 @@ def test_verdicts(spark):
         "longest": '{"a": 1} {"b": 2, "c": 3} {"d": 4}',
         "null_key": '{"x": "longer than the other one"} {"diagnosis": null}',
         "broken": '{"diagnosis": oops}',
+        "cut": '{"diagnosis": "a", }',
+        "twice": '{"diagnosis": "a", "diagnosis": "b"}',
+        "nan": '{"diagnosis": "x", "psi": NaN, "trigger_retraining": true}',
+        "odd_type": '{"diagnosis": 5, "recommendations": "none"}',
         "none": "no braces here",
     }
     df = spark.createDataFrame(list(texts.items()), "id string, t string")
     got = {r["id"]: r for r in extract_verdicts(df, "id", "t").collect()}
-    assert set(got) == {"plain", "embedded", "two", "only_flag", "longest", "null_key"}
+    assert set(got) == {"plain", "embedded", "two", "only_flag", "longest", "null_key", "twice", "nan", "odd_type"}
+    assert got["twice"]["diagnosis"] == "b" and got["nan"]["diagnosis"] == "x" and got["nan"]["trigger_retraining"]
+    assert got["odd_type"]["diagnosis"] == "5" and got["odd_type"]["recommendations"] == []
+    assert all(r["blob_md5"] == hashlib.md5(r["blob"].encode()).hexdigest() for r in got.values())
     for k in ("plain", "embedded"):
         assert got[k]["diagnosis"] == "d" and got[k]["trigger_retraining"]
         assert [r["action"] for r in got[k]["recommendations"]] == ["retrain"]
