@@ -16,7 +16,7 @@ from driftline.config import DEFAULT_DECISION_THRESHOLD
 from driftline.functions.scalars import f1_from_counts, is_unusable
 from driftline.operators.ordered import lay_out, rows_at_ranks
 from driftline.operators.performance import confusion_counts, roc_auc, tune_threshold
-from driftline.session import broadcast_bounded
+from driftline.session import materialise
 
 # The published training settings.
 TREES = 150
@@ -32,13 +32,12 @@ def stratified_split(
     label: str,
     test_share: float = TEST_SHARE,
     seed: int = SEED,
-    classes: int = 2,
 ) -> DataFrame:
     """Exact split inside every label by hashed key order; adds is_test.
 
     Per label the rank of the last test row is looked up through the range layout, which
     moves only label, hash and key. The rows themselves are then marked by comparison with
-    that boundary: one row per label, and `classes` is the proven bound on the labels.
+    that boundary: one row per label, written, so that its real size decides how it is joined.
     """
     digest = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
     hashed = df.withColumn("_hash", digest)
@@ -61,7 +60,7 @@ def stratified_split(
         (F.col("_hash") == F.col("_cut_hash")) & (F.col(key) <= F.col("_cut_key"))
     )
     return (
-        hashed.join(broadcast_bounded(cut, classes), label, "left")
+        hashed.join(materialise(cut, "cuts"), label, "left")
         .withColumn("is_test", F.coalesce(inside, F.lit(False)))
         .drop("_hash", "_cut_hash", "_cut_key")
     )
@@ -106,7 +105,8 @@ def train(
     parts = stratified_split(df.select(key, label, *features), key, label)
     fit_rows, test_rows = parts.filter("NOT is_test"), parts.filter("is_test")
     model = make_pipeline(features, label, trees, depth).fit(fit_rows)
-    scored = probability(model.transform(test_rows))
+    # Written, as four measures read it; else split and trees would run for each of them.
+    scored = materialise(probability(model.transform(test_rows)).select(label, "score"), "held-out")
     threshold = tune_threshold(scored, label=label).first()["threshold"]
     counts = confusion_counts(scored, threshold, label=label)
     at_default = confusion_counts(scored, DEFAULT_DECISION_THRESHOLD, label=label)

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import DriftConfig
-from driftline.operators.drift import feature_drift, feature_psi, ks_flag
+from driftline.operators.drift import feature_psi, ks_flag
+from driftline.operators.ordered import RUN, Runs, lay_out
 from driftline.operators.performance import (
     confusion_counts,
     f1_at_threshold,
     performance_vs_baseline,
 )
 from driftline.operators.perturb import FLIP_RATE, Shift, inject_covariate_shift, inject_label_flip
-from driftline.operators.profile import build_profile
+from driftline.operators.profile import build_profile, order_statistics, profile_from_runs, reference_long, to_long
 from driftline.plans.checks import ModelSpec
 
 # The published scenarios, and the ones of the detector comparison.
@@ -116,25 +117,40 @@ def detector_comparison(
 ) -> DataFrame:
     """Per scenario and feature the PSI gate next to the KS rule, on the same batches.
 
-    The reference is fanned out over the scenarios of the comparison, so one keyed drift
-    table answers for all of them.
+    One layout of distinct readings holds the reference count and one count for each scenario, so
+    the reference is counted once; the KS statistic of a scenario reads its column of it.
     """
     config = config or DriftConfig()
+    names = [f"{m}@{float(i)}" for m, i in COMPARISON]
     keyed = batches.withColumn("scenario", F.concat_ws("@", "mode", F.col("intensity").cast("string")))
-    names = F.array(*[F.lit(f"{m}@{float(i)}") for m, i in COMPARISON])
-    fanned = reference.withColumn("scenario", F.explode(names))
-    table = feature_drift(
-        fanned, keyed, features, config, keys=["scenario"], max_groups=len(COMPARISON)
+    tagged = reference_long(reference, features).select("feature", "value", F.lit(None).cast("string").alias("scenario")).unionByName(
+        to_long(keyed, features, ["scenario"])
     )
-    methods = F.array(
-        F.struct(F.lit("psi").alias("method"), F.col("drifted").alias("flag")),
-        F.struct(F.lit("ks").alias("method"), ks_flag().alias("flag")),
-    )
-    return (
-        table.select("scenario", "feature", F.inline(methods))
-        .groupBy("scenario", "feature")
-        .pivot("method", ["psi", "ks"])
-        .agg(F.first("flag"))
-        .withColumnsRenamed({"psi": "psi_flag", "ks": "ks_flag"})
-        .withColumn("agree", F.col("psi_flag") == F.col("ks_flag"))
+    present = F.col("value").isNotNull()
+    of = [F.col("scenario").isNull(), *[F.col("scenario") == n for n in names]]
+    counted = tagged.groupBy("feature", "value").agg(
+        *[F.count_if(side).alias(f"n{i}") for i, side in enumerate(of)],
+        *[F.count_if(side & present).alias(f"f{i}") for i, side in enumerate(of)],
     )
+    runs = lay_out(counted, ["feature"], ["value"], [f"f{i}" for i in range(len(of))])
+
+    def against(i: int) -> Runs:
+        """The layout as one of the reference and scenario number i."""
+        sides = {"ref": 0, "prod": i}
+        rows = runs.rows.select(
+            "feature", "value", RUN, *[F.col(f"{w}{k}").alias(f"{w}_{side}") for side, k in sides.items() for w in "nf"]
+        )
+        totals = runs.totals.select(
+            "feature", RUN, *[F.col(f"f{k}_{t}").alias(f"f_{side}_{t}") for side, k in sides.items() for t in ("run", "before")]
+        )
+        return Runs(rows, totals, ("feature",), ("value",), ("f_ref", "f_prod"))
+
+    profile = profile_from_runs(against(1), (), len(features))
+    psi = feature_psi(keyed, features, profile, ["scenario"])
+    flags = None
+    for i, name in enumerate(names, 1):
+        one = order_statistics(against(i)).select(F.lit(name).alias("scenario"), "feature", ks_flag().alias("ks_flag"))
+        flags = one if flags is None else flags.unionByName(one)
+    return psi.join(flags, ["scenario", "feature"]).select(
+        "scenario", "feature", (F.col("psi") >= config.psi_alert).alias("psi_flag"), "ks_flag"
+    ).withColumn("agree", F.col("psi_flag") == F.col("ks_flag"))
