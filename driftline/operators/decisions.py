@@ -216,6 +216,7 @@ def alert_message(report_columns: dict[str, str] | None = None) -> Column:
         "labelled": "n_labeled",
         **(report_columns or {}),
     }
+    # The layout of the message.
     drifted = F.coalesce(F.nullif(F.array_join(names["drifted"], ", "), F.lit("")), F.lit("none"))
     return F.format_string(
         ":warning: Model monitor — *%s*\n• psi_max: %.3f  • F1 drop: %.3f  • pred-PSI: %.3f\n"

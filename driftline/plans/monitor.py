@@ -65,19 +65,19 @@ def run_check(
     """Check the newest window, persist it, and return the report and its alert, if any.
 
     Guarded windows are recorded too; their status says so. With the model's bundle the
-    reference is not needed.
+    reference is not needed. A repeated run replaces its own rows.
     """
     window = lookback_window(log, spec.ts, hours, partition)
     report = drift_report(reference, window, spec, config, bundle=bundle).withColumns(
         {"model": F.lit(model), "ts": F.lit(checked_at)}
     )
     rows = sinks.drift_check_rows(report, ["model", "ts"])
-    sinks.append_rows(rows, tables.checks)
+    sinks.put_rows(rows, tables.checks, f"{model}|{checked_at}")
     keyed = report.withColumns(
         {"id": F.concat_ws("|", "model", F.col("ts").cast("string")), "drift_status": F.col("status")}
     )
     run = sinks.run_rows(keyed, F.col("id"), RUN_METRICS, ["drift_status", "window_start", "window_end"])
-    sinks.append_rows(run, tables.runs)
+    sinks.put_rows(run, tables.runs, f"{model}|{checked_at}")
     return report, alert_feed(report)
 
 
@@ -165,7 +165,7 @@ def log_run(spark: SparkSession, tables: MonitorTables, run_id: str, trained: ml
     row = spark.createDataFrame(
         [(run_id, metrics, tags)], "run_id string, metrics map<string, double>, tags map<string, string>"
     )
-    sinks.append_rows(row, tables.runs)
+    sinks.put_rows(row, tables.runs, run_id)
 
 
 def evaluate_and_promote(

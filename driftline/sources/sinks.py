@@ -6,6 +6,7 @@ Ids are natural keys made from the row, not counters, so a repeated task cannot
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,11 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def put_rows(rows: DataFrame, path: str, key: str) -> None:
+    """Append the rows of one event, named by its key; the same event again replaces its rows."""
+    rows.write.mode("overwrite").parquet(f"{path}/event={hashlib.md5(key.encode()).hexdigest()}")
+
+
 def verdict_rows(verdicts: DataFrame) -> DataFrame:
     """Verdicts as stored: text, nested recommendations, and the flag as 0 or 1."""
     return verdicts.withColumn(
