@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.catalog import sql as q
-from driftline.catalog.drift import DRIFT_PROD, DRIFT_REF, drifting_sides
-from driftline.functions.scalars import out
+from driftline.catalog.drift import DRIFT_PROD, DRIFT_REF, DRIFT_SELECT, drifting_sides, rounded_table
 from driftline.operators import attribution as a
 from driftline.operators.drift import feature_drift
 from driftline.operators.profile import build_profile
@@ -61,7 +60,7 @@ def drift_attribution(spark: SparkSession, folder: str) -> DataFrame:
 def top_drifting_features(spark: SparkSession, folder: str) -> DataFrame:
     ref, prod = ds.lineitem_sides(spark, folder)
     table = feature_drift(ref, prod, ds.LINEITEM_FEATURES)
-    return a.top_features(table, 3).select("feature", out(F.col("psi")).alias("psi"), out(F.col("ks_statistic")).alias("ks_statistic"))
+    return rounded_table(a.top_features(table, 3), [])
 
 
 def inspect_feature(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,9 +68,7 @@ def inspect_feature(spark: SparkSession, folder: str) -> DataFrame:
     ref, prod = drifting_sides(spark, folder)
     table = feature_drift(ref, prod, FEATURES)
     both = a.inspect_feature(table, "value").unionByName(a.inspect_feature(table, "nothing"))
-    return both.select(
-        "wanted", out(F.col("psi")).alias("psi"), out(F.col("ks_statistic")).alias("ks_statistic"), "drifted", "available"
-    )
+    return rounded_table(both.withColumn("feature", F.col("wanted")), ["wanted", "available"]).drop("feature")
 
 
 QUERIES = {
@@ -130,8 +127,8 @@ ORACLES = {
       CROSS JOIN (SELECT sustained FROM ({sustained_sql(TEMPORAL)}))""",
     "top_drifting_features": f"""WITH {q.drift_table_ctes("SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01'",
         "SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01'", ds.LINEITEM_FEATURES)}
-      SELECT feature, {q.rounded('psi', 'ks_statistic')} FROM drift ORDER BY drift.psi DESC, feature LIMIT 3""",
+      SELECT {DRIFT_SELECT} FROM drift ORDER BY drift.psi DESC, feature LIMIT 3""",
     "inspect_feature": f"""WITH {q.drift_table_ctes(DRIFT_REF, DRIFT_PROD, FEATURES)}
-      SELECT 'value' AS wanted, {q.rounded('psi', 'ks_statistic')}, drifted, {_INSPECT} FROM drift WHERE feature = 'value'
-      UNION ALL SELECT 'nothing', NULL, NULL, NULL, {_INSPECT}""",
+      SELECT 'value' AS wanted, {_INSPECT}, * EXCLUDE (feature) FROM (SELECT {DRIFT_SELECT} FROM drift) WHERE feature = 'value'
+      UNION ALL SELECT 'nothing', {_INSPECT}, {', '.join(['NULL'] * 10)}""",
 }

@@ -137,13 +137,13 @@ def top_features(table: DataFrame, k: int = 5) -> DataFrame:
 
 
 def inspect_feature(table: DataFrame, name: str) -> DataFrame:
-    """One feature's record, and for an unknown name the sorted list of known ones.
+    """One feature's whole record, and for an unknown name the sorted list of known ones.
 
     The list has one entry per configured feature.
     """
     return table.agg(
         F.lit(name).alias("wanted"),
-        F.max(F.when(F.col("feature") == name, F.struct("psi", "ks_statistic", "drifted"))).alias(
+        F.max(F.when(F.col("feature") == name, F.struct(*[c for c in table.columns if c != "feature"]))).alias(
             "record"
         ),
         F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("available"),

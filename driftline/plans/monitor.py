@@ -17,8 +17,9 @@ from driftline.operators.decisions import (
     dispatch_decision,
     gate_message,
 )
-from driftline.operators.history import seconds_since_dispatch
+from driftline.operators.history import checks_with_verdicts, recent, seconds_since_dispatch
 from driftline.operators.performance import label_slice
+from driftline.operators.verdicts import extract_verdicts
 from driftline.plans.checks import ModelSpec, ReferenceBundle, build_bundle, drift_report
 from driftline.session import materialise, scratch_scope
 from driftline.sources import sinks
@@ -45,6 +46,10 @@ class MonitorTables:
     def audits(self) -> str:
         return f"{self.root}/retrain_audits"
 
+    @property
+    def verdicts(self) -> str:
+        return f"{self.root}/verdicts"
+
     @property
     def registry(self) -> str:
         return f"{self.root}/model_registry"
@@ -81,6 +86,32 @@ def run_check(
     return report, alert_feed(report)
 
 
+def record_verdicts(texts: DataFrame, check_id: str, text: str, tables: MonitorTables) -> DataFrame:
+    """Take the verdict object out of each text and append it under its check's id."""
+    found = extract_verdicts(texts, check_id, text).select(
+        F.col(check_id).alias("drift_check_id"), "diagnosis", "recommendations",
+        F.col("trigger_retraining").alias("triggered_retraining"),
+    )
+    rows = materialise(sinks.verdict_rows(found), "verdicts")
+    sinks.append_rows(rows, tables.verdicts)
+    return rows
+
+
+def report_list(spark: SparkSession, tables: MonitorTables, limit: int = 20) -> DataFrame:
+    """The newest stored checks with their verdicts."""
+    newest = recent(spark.read.parquet(tables.checks), "ts", limit=limit)
+    return checks_with_verdicts(newest, spark.read.parquet(tables.verdicts))
+
+
+def performance_view(checks: DataFrame, limit: int = 20) -> DataFrame:
+    """Quality of the newest stored checks, from the reports kept with them."""
+    field = lambda name, kind: F.get_json_object("report", f"$.{name}").cast(kind).alias(name)
+    return recent(checks, "ts", limit=limit).select(
+        "id", "ts", "status", "perf_f1", "perf_drop", field("baseline_f1", "double"), field("perf_roc_auc", "double"),
+        field("label_coverage", "double"), field("n_samples", "bigint"), field("n_labeled", "bigint"), field("concept_drift", "boolean"),
+    )
+
+
 def request_retrain(
     report: DataFrame,
     reason: str,

@@ -7,7 +7,17 @@ from test_checks import SPEC, table
 from driftline.config import DriftConfig
 from driftline.operators.history import recent, resolve_champions
 from driftline.plans.checks import load_bundle
-from driftline.plans.monitor import MonitorTables, evaluate_and_promote, request_retrain, run_check, train_and_persist
+from driftline.plans.monitor import (
+    MonitorTables,
+    evaluate_and_promote,
+    performance_view,
+    record_verdicts,
+    report_list,
+    request_retrain,
+    run_check,
+    train_and_persist,
+)
+from driftline.sources import sinks
 
 NOW = datetime(2024, 2, 1)
 
@@ -31,6 +41,17 @@ def test_checks_are_persisted_and_listed_newest_first(spark, reference, tmp_path
     guarded = runs[f"m|{NOW + timedelta(hours=2)}"]
     assert "perf_f1" not in guarded["metrics"] and guarded["tags"]["drift_status"] == "insufficient_data"
 
+    said = '{"diagnosis": "moved", "recommendations": [], "trigger_retraining": true}'
+    ids = [r["id"] for r in recent(stored, "ts").collect()]
+    texts = spark.createDataFrame([(ids[1], f"so {said}"), (ids[2], "nothing")], "id string, text string")
+    assert record_verdicts(texts, "id", "text", tables).count() == 1
+    listed = {r["id"]: r["diagnosis"] for r in report_list(spark, tables).collect()}
+    assert listed == {ids[0]: None, ids[1]: "moved", ids[2]: None}
+    shown = performance_view(stored).collect()
+    assert [r["n_samples"] for r in shown] == [20, 1441, 1441] and shown[1]["concept_drift"] and shown[0]["perf_f1"] is None
+    sinks.export_json(performance_view(stored), str(tmp_path / "export"))
+    assert spark.read.json(str(tmp_path / "export")).count() == 3
+
 
 def test_requests_are_gated_and_audited(spark, tmp_path):
     tables = MonitorTables(str(tmp_path))
