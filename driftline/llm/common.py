@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -20,6 +22,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay alive beside their executor's JVM
+    when a task is done, and share its memory limit."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that gives memory back when its partition is done."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            give_back()
+
+    return tidied
+
+
 def map_rows(
     df: DataFrame,
     columns: Sequence[str],
@@ -58,7 +82,7 @@ def map_rows(
         if kept:
             yield batch_of(kept, arrow)
 
-    return df.select(*[F.col(c) for c in names]).mapInArrow(run, struct)
+    return df.select(*[F.col(c) for c in names]).mapInArrow(tidy(run), struct)
 
 
 def batch_of(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:

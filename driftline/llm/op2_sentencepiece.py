@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftline.llm.common import read_table, schema_of
+from driftline.llm.common import read_table, schema_of, tidy
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -229,14 +229,16 @@ def _chunks(batch: pa.RecordBatch, weigh) -> Iterator[pa.RecordBatch]:
 
 
 def encode(
-    df: DataFrame, path: str, end: bool = True, text: str = "text", key: str = "doc_id"
+    df: DataFrame, path: str, end: bool = True, text: str = "text", key: str = "doc_id", back: bool = False
 ) -> DataFrame:
-    """key, ids, and cuts: piece i is the original's UTF-8 bytes cuts[i] to cuts[i + 1].
+    """key, ids, and cuts: piece i is the original's UTF-8 bytes cuts[i] to cuts[i + 1]. With
+    `back` also `decoded`, what decode() makes of the ids, in the same pass and Python worker.
 
     Null text: empty, so only the end id. Key is passed on as it is (null, repeated rows stay);
     other columns are ignored. A control id has an empty span at its place.
     """
-    schema = schema_of(f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, cuts array<int>")
+    more = ", decoded string" if back else ""
+    schema = schema_of(f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, cuts array<int>{more}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
@@ -247,11 +249,13 @@ def encode(
                 ids = model.encode(texts, end)
                 cuts = [model.cuts(t, i) for t, i in zip(texts, ids, strict=True)]
                 columns = [part.column(0), _lists(ids), _lists(cuts)]
+                if back:
+                    columns.append(pa.array([model.library.decode(i) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
                 )
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -273,23 +277,17 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                     [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def digests(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded text, and the source bytes that the spans cover."""
-    encoded = encode(df, path).select(
+    return encode(df, path, back=True).select(
         "doc_id",
-        "ids",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.element_at("cuts", -1).cast("long").alias("n_source_bytes"),
-    )
-    return decode(encoded, path).select(
-        "doc_id",
-        "n_tokens",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        "n_source_bytes",
+        F.element_at("cuts", -1).cast("long").alias("n_source_bytes"),
     )
 
 

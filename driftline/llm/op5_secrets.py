@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftline.llm.common import map_rows, read_table
+from driftline.llm.common import map_rows, read_table, tidy
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "token", "key", "hexkey")
@@ -244,7 +244,7 @@ def rewrite_text(df: DataFrame, change: Callable[[str], str], text: str = "text"
                     [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def mask_secrets(df: DataFrame, text: str = "text") -> DataFrame:

@@ -100,3 +100,5 @@ def test_frames_with_nulls_repeats_and_other_columns(spark):
         wanted.append((key, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)), len((text or "").encode())))
     assert sorted(map(tuple, found), key=str) == sorted(wanted, key=str)
     assert sp.digests(df.limit(0), PATH).count() == 0
+    both = sp.decode(sp.encode(df, PATH, back=True).withColumnRenamed("decoded", "other"), PATH)
+    assert both.where("decoded <> other").count() == 0 and both.count() == len(rows)
