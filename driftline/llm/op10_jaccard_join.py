@@ -29,11 +29,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftline.llm.common import fresh, read_table, schema_of
+from driftline.llm.common import fresh, read_table, schema_of, tidy
 from driftline.llm.graph import components
 from driftline.operators.ordered import lay_out, running_totals
 from driftline.session import materialise
@@ -185,7 +186,7 @@ def signatures(df: DataFrame, text: str, key: str, width: int, p: int, q: int) -
                     [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
                 )
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(tidy(run), schema)
 
 
 def key_filter(ids: DataFrame) -> np.ndarray:
@@ -200,13 +201,17 @@ def key_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def filter_place(key: str) -> Column:
+    """The bit of a key in key_filter(), -1 for a null key."""
+    return F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))).otherwise(-1)
+
+
 def sets_of(df: DataFrame, ids: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """(member, hashes) of the rows that `ids` may name; a superset, to be joined by member.
+    """(id, member, hashes) of the rows that `ids` may name; a superset, to be joined by id and member.
 
     The text of other rows is not looked at, and nothing of them is shuffled."""
     shared = df.sparkSession.sparkContext.broadcast(key_filter(ids))
-    schema = schema_of("member bigint, hashes binary")
-    place = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS * 64))).otherwise(-1)
+    schema = schema_of(f"id {df.schema[key].dataType.simpleString()}, member bigint, hashes binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
@@ -215,15 +220,14 @@ def sets_of(df: DataFrame, ids: DataFrame, text: str, key: str, width: int) -> D
             at = batch.column(0).to_numpy()
             hit = np.flatnonzero((at < 0) | (bits[at // 64] >> (at % 64) & 1 == 1))
             for start in range(0, len(hit), 128):
-                texts = batch.column(1).take(pa.array(hit[start : start + 128])).to_pylist()
-                sets = [s for s in map(shingle, [t or "" for t in texts]) if len(s)]
-                if sets:
-                    names = _signed(np.array([fingerprint(s) for s in sets], np.uint64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names), pa.array([s.tobytes() for s in sets], pa.binary())], schema=arrow
-                    )
+                part = batch.take(pa.array(hit[start : start + 128]))
+                sets = [shingle(t or "") for t in part.column(2).to_pylist()]
+                names = _signed(np.array([fingerprint(s) for s in sets], np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(1), pa.array(names), pa.array([s.tobytes() for s in sets], pa.binary())], schema=arrow
+                )
 
-    return df.select(place.alias("place"), text).mapInArrow(run, schema)
+    return df.select(filter_place(key).alias("place"), key, text).mapInArrow(tidy(run), schema)
 
 
 class Forest:
@@ -426,9 +430,9 @@ def component_table(
     )
     named = signed.groupBy("member").agg(F.min(key).alias("id"), F.max("n").alias("n"))
     candidates = materialise(clusters.join(named, "member"), "candidates")
-    runs = lay_out(candidates.withColumn("n", F.col("n")), ["cluster"], ["n", "member"], ["n"])
+    runs = lay_out(candidates, ["cluster"], ["n", "member"], ["n"])
     placed = running_totals(runs).withColumn("block", F.floor(F.col("n_prior") / block_shingles)).select(
-        "member", "cluster", "n", "block"
+        "member", F.col("id").alias("first_id"), "cluster", "n", "block"
     )
     placed = materialise(placed, "placed")
     blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -441,7 +445,8 @@ def component_table(
     )
     tasks = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     sets = sets_of(df, candidates.select("id").where("id is not null"), text, key, width)
-    members = sets.join(placed, "member").join(tasks, ["cluster", "block"])
+    # One row stands for all copies of a set: the one with the smallest key.
+    members = sets.join(placed, "member").where(F.col("id").eqNullSafe(F.col("first_id"))).join(tasks, ["cluster", "block"])
     links = materialise(block_links(members.select("cluster", "i", "j", "block", "member", "hashes"), p, q), "links")
     roots = components(links).select(F.col("node").alias("member"), "root")
     per_member = named.join(roots, "member", "left").withColumn("root", F.coalesce("root", "member"))
@@ -468,12 +473,32 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", **option
     by_key = materialise(
         found.groupBy(key).agg(F.max(F.col(key) == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "stays"
     )
-    # Most rows stay: what is joined are the few keys that go or are repeated.
-    once = df.join(by_key.where("not stays or n > 1").select(key), key, "left_anti").select(*df.columns)
-    again = df.join(by_key.where("stays and n > 1").select(key), key, "left_semi").select(*df.columns)
+    # Most rows stay. Only those whose key may go or may be repeated are dealt out by key.
+    in_doubt = by_key.where("not stays or n > 1").select(key)
+    bits = df.sparkSession.sparkContext.broadcast(key_filter(in_doubt.withColumnRenamed(key, "id")))
+    sure, doubtful = may_hold(df, key, bits, False), may_hold(df, key, bits, True)
+    once = doubtful.join(in_doubt, key, "left_anti").select(*df.columns)
+    again = doubtful.join(by_key.where("stays and n > 1").select(key), key, "left_semi").select(*df.columns)
     number = F.row_number().over(Window.partitionBy(key).orderBy(text))
     (row,) = fresh(df, "_row")
-    return once.unionByName(again.withColumn(row, number).where(F.col(row) == 1).select(*df.columns))
+    first = again.withColumn(row, number).where(F.col(row) == 1).select(*df.columns)
+    return sure.unionByName(once).unionByName(first)
+
+
+def may_hold(df: DataFrame, key: str, bits: Broadcast, wanted: bool) -> DataFrame:
+    """The rows of df whose key the filter may hold, or those that it does not hold."""
+    schema = df.schema
+    (name,) = fresh(df, "_place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            hit = (at >= 0) & (bits.value[at // 64] >> (at % 64) & 1 == 1)
+            kept = batch.select(range(batch.num_columns - 1)).filter(pa.array(hit == wanted))
+            for start in range(0, kept.num_rows, 256):
+                yield kept.slice(start, 256)
+
+    return df.select(*df.columns, filter_place(key).alias(name)).mapInArrow(tidy(run), schema)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,8 @@ def settle(units: DataFrame, block_size: int, seed: int) -> DataFrame:
     fields = [f.name for f in schema]
     settled, rounds = None, 0
     while True:
-        counts = units.groupBy("source").agg(F.ceil(F.count("*") / block_size).alias("_blocks"))
+        # Written, so that its real size is known and units are not dealt out by source.
+        counts = materialise(units.groupBy("source").agg(F.ceil(F.count("*") / block_size).alias("_blocks")), "blocks")
         dealt = (
             units.join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
             .withColumn("_order", F.xxhash64(F.lit(seed + rounds), "key", "size"))
@@ -250,7 +251,8 @@ def repeat_rows(df: DataFrame, decided: DataFrame, text: str = "text", key: str
         F.col("key").alias(k), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").cast("int").alias(copies)
     )
     same = F.col(key).eqNullSafe(F.col(k)) & F.col(source).eqNullSafe(F.col(s)) & (word_count(F.col(text)) == F.col(n))
-    taken = df.join(other, same).select(*names, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy))
+    # Every row needs its decision, so the texts are dealt out once, at any size.
+    taken = df.join(other.hint("merge"), same).select(*names, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy))
     return taken.select(*names)
 
 
