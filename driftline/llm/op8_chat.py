@@ -73,6 +73,8 @@ def live_events(events: DataFrame) -> DataFrame:
         .select("conv_id", "turn", F.greatest("before", "inside").alias("void_to"))
         .where("void_to is not null")
     )
+    # Mostly a small table; written, its real size decides how the texts meet it.
+    voids = materialise(voids, "voids")
     return events.join(voids, ["conv_id", "turn"], "left").where("void_to is null or seq > void_to").drop("void_to")
 
 
