@@ -44,6 +44,7 @@ NUMERATOR, DENOMINATOR = 9, 10
 THIN = 3
 BLOCK_SHINGLES = 4 << 20
 FAN_OUT = 8
+BITMAP_BYTES = 64 << 20
 FILTER_WORDS = 1 << 18
 WORD_CACHE = 1 << 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -298,6 +299,14 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def bitmap_width(largest: int, members: int) -> int:
+    """Bits of a bitmap: four for each shingle of the largest set, so that those of single
+    members are sparse, but no more than BITMAP_BYTES allow for all members."""
+    wanted = 1 << max(8, (4 * largest - 1).bit_length())
+    allowed = 1 << max(8, (BITMAP_BYTES * 8 // members).bit_length() - 1)
+    return min(wanted, allowed, 1 << 17)
+
+
 def linked_pairs(left: list[int], right: list[int], sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
     """Links between positions of left and of right that connect all that are linked.
 
@@ -321,8 +330,8 @@ def linked_pairs(left: list[int], right: list[int], sets: list[np.ndarray], p: i
                 if x < y or left is not right:
                     test(x, y)
         return links
-    # Four bits for each shingle of the largest set keep bitmaps of single members sparse.
-    width = int(min(max(2 ** int(np.ceil(np.log2(4 * sizes.max()))), 256), 1 << 17))
+    width = bitmap_width(int(sizes.max()), len(sets))
+    most = min(8192, max(64, (BITMAP_BYTES // 8) // (width // 8)))  # pairs of nodes looked at together
     bitmaps = np.zeros((len(sets), width // 64), np.uint64)
     for i, s in enumerate(sets):
         bit = mixed(s) & np.uint64(width - 1)
@@ -347,7 +356,7 @@ def linked_pairs(left: list[int], right: list[int], sets: list[np.ndarray], p: i
     stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, i, j = stack.pop()
-        if len(i) > 4096:
+        if len(i) > most:
             half = len(i) // 2
             stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
             continue

@@ -98,7 +98,9 @@ def test_linked_sets_share_a_key():
 
 
 @pytest.mark.parametrize("cross", [False, True])
-def test_tree_finds_every_component(cross):
+@pytest.mark.parametrize("room", [64 << 20, 40_000])
+def test_tree_finds_every_component(cross, room, monkeypatch):
+    monkeypatch.setattr(jj, "BITMAP_BYTES", room)
     draw = random.Random(6)
     sets = []
     for _ in range(25):
@@ -125,6 +127,14 @@ def test_tree_finds_every_component(cross):
     assert len(links) < len(sets)
 
 
+def test_bitmaps_are_bounded():
+    for largest in (1, 3, 100, 20_000, 10**7):
+        for members in (9, 1000, 40_000, 10**6):
+            width = jj.bitmap_width(largest, members)
+            assert width % 64 == 0 and width >= 256
+            assert width == 256 or width * members <= jj.BITMAP_BYTES * 8
+
+
 def test_graph_components(spark):
     draw = random.Random(7)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
