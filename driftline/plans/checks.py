@@ -214,6 +214,9 @@ def _report(
     spark = production.sparkSession
     if bundle is not None:
         baseline = bundle.baseline
+    # Each side is scanned once, for the needed columns; all that follows reads the slim copies.
+    needed = [*spec.features, spec.score, spec.label, *([spec.segment] if spec.segment else [])]
+    production = materialise(production.select(*dict.fromkeys([spec.ts, spec.row_key, *needed])), "window")
     facts = production.agg(
         F.count(F.lit(1)).alias("n"), F.min(spec.ts).alias("start"), F.max(spec.ts).alias("end")
     )
@@ -223,6 +226,8 @@ def _report(
         return _guard_row(spark, kind.simpleString(), n, start, end)
 
     features = list(spec.features)
+    if bundle is None:
+        reference = materialise(reference.select(*dict.fromkeys(needed)), "reference")
     found, profile = compare(
         reference, production, [*features, spec.score], config, numeric=[spec.score],
         saved=bundle.counts if bundle else None,
