@@ -53,19 +53,20 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     )
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     cap = F.col("source_size") * most
-    level = float("inf")
+    level, n_full = 0.0, -1
     while True:
-        # The sources that the level of the last round would lift above their cap get the cap.
-        full = cap <= F.col("weight") * level
+        # The sources that the level of the last round would lift above their cap get the cap. They
+        # stay at it, as the level only rises, so their number tells when nothing changes.
+        full = (cap <= F.col("weight") * level) if n_full >= 0 else F.lit(False)
         row = ranked.agg(
-            F.sum(F.when(full, cap)).alias("given"), F.sum(F.when(~full, F.col("weight"))).alias("weight")
-        ).first() if level < float("inf") else ranked.agg(F.lit(0.0).alias("given"), F.sum("weight").alias("weight")).first()
-        if not row["weight"]:
+            F.coalesce(F.sum(F.when(full, cap)), F.lit(0.0)).alias("given"),
+            F.sum(F.when(~full, F.col("weight"))).alias("weight"),
+            F.count_if(full).alias("n_full"),
+        ).first()
+        if not row["weight"] or row["n_full"] == n_full:
             break
-        new = (share * total - (row["given"] or 0.0)) / row["weight"]
-        if new == level:
-            break
-        level = new
+        n_full = row["n_full"]
+        level = (share * total - row["given"]) / row["weight"]
     return ranked.select("source", "source_size", F.least(cap, F.col("weight") * level).alias("target"))
 
 
