@@ -47,24 +47,30 @@ def lookback_window(
     partitioned log it prunes whole dates.
     """
     newest = latest(log, ts, partition)
-    if newest is None:
-        return log
-    cutoff = newest - timedelta(hours=hours)
+    return log if newest is None else since(log, ts, newest - timedelta(hours=hours), partition)
+
+
+def since(log: DataFrame, ts: str, cutoff: datetime, partition: str | None = None) -> DataFrame:
+    """Rows from the cutoff on; a log partitioned by date skips whole dates."""
     recent = log.filter(F.col(ts) >= moment(cutoff, log.schema[ts].dataType))
-    if partition is not None:
-        recent = recent.filter(F.col(partition) >= F.lit(cutoff.date()))
-    return recent
+    return recent if partition is None else recent.filter(F.col(partition) >= F.lit(cutoff.date()))
 
 
 def legacy_union_window(
-    legacy: DataFrame | None, parts: DataFrame, ts: str, hours: int
+    legacy: DataFrame | None, parts: DataFrame, ts: str, hours: int, partition: str | None = None
 ) -> DataFrame:
     """Lookback over the older single table and the newer parts together.
 
-    The maximum is taken over both and the one literal cutoff reaches both scans.
+    The newest time of both gives the one literal cutoff that reaches both scans; `partition`
+    is the date column of the parts.
     """
-    log = parts if legacy is None else legacy.unionByName(parts, allowMissingColumns=True)
-    return lookback_window(log, ts, hours)
+    if legacy is None:
+        return lookback_window(parts, ts, hours, partition)
+    known = [t for t in (latest(legacy, ts), latest(parts, ts, partition)) if t is not None]
+    if known:
+        cutoff = max(known) - timedelta(hours=hours)
+        legacy, parts = since(legacy, ts, cutoff), since(parts, ts, cutoff, partition)
+    return legacy.unionByName(parts, allowMissingColumns=True)
 
 
 def empty_log(spark: SparkSession, schema: T.StructType) -> DataFrame:

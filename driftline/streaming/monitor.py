@@ -13,6 +13,9 @@ from driftline.sources import sinks
 from driftline.sources.tables import lookback_window
 
 
+DATE = "event_date"
+
+
 def check_each_batch(
     stream: DataFrame,
     reference: DataFrame | None,
@@ -33,9 +36,11 @@ def check_each_batch(
     def check(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         log_path = f"{tables.root}/log"
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        # By date inside the batch, so that the window reads the newest dates only.
+        dated = batch.withColumn(DATE, F.to_date(spec.ts))
+        dated.write.mode("overwrite").partitionBy(DATE).parquet(f"{log_path}/batch={batch_id}")
         log = spark.read.parquet(log_path).filter(F.col("batch") <= batch_id).drop("batch")
-        window = lookback_window(log, spec.ts, hours)
+        window = lookback_window(log, spec.ts, hours, DATE).drop(DATE)
         report = drift_report(reference, window, spec, config, bundle=bundle).withColumns(
             {"model": F.lit(model), "ts": F.col("window_end"), "batch_id": F.lit(batch_id)}
         )

@@ -47,6 +47,8 @@ def test_legacy_union_takes_the_newest_time_of_both(spark):
     window = legacy_union_window(newer, parts, "ts", 24)
     assert sorted((r["id"], r["extra"]) for r in window.collect()) == [(-1, None), (96, 1), (97, 1), (98, 1), (99, 1)]
     assert legacy_union_window(None, parts, "ts", 24).count() == 25
+    dated = parts.withColumn("day", F.to_date("ts"))
+    assert legacy_union_window(newer, dated, "ts", 24, "day").drop("day").exceptAll(window).isEmpty()
 
 
 def test_empty_log_keeps_its_columns(spark):
