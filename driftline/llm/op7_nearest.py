@@ -10,8 +10,9 @@ at the edge of the radius collides in a direction with probability 0.68, so it s
 threshold one time in ten, and a nearer one hardly ever; measured recall is in the README. A radius over
 the whole sphere verifies all that is left.
 
-Equal vectors are one entry with its smallest k + 1 ids, found by a map-side limited ranking, so
-that a vector which a third of the rows share costs no more than any other.
+Equal vectors are one entry with its smallest k + 1 ids. Repeated rows (same id, same vector) are
+made one by a map-side group-by, and then a map-side limited ranking finds the ids, so that a
+vector which a third of the rows share costs no more than any other.
 """
 
 from __future__ import annotations
@@ -149,10 +150,12 @@ def nearest(
     copies = Window.partitionBy("hash", "embedding").orderBy("vec_id")
     few = (
         rows.withColumn("hash", F.xxhash64("embedding"))
+        .groupBy("hash", "embedding", "width", "vec_id")  # repeated rows are one before places are given
+        .agg(F.lit(1).alias("one"))
         .withColumn("place", F.row_number().over(copies))
-        .where(F.col("place") <= 2 * (k + 1))
+        .where(F.col("place") <= k + 1)
         .groupBy("hash", "embedding", "width")
-        .agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
+        .agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     )
     entries = materialise(few, "entries")
     queries = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id", "width").agg(F.min("embedding").alias("embedding"))
