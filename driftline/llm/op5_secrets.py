@@ -3,14 +3,14 @@
 A base64 or hexadecimal run is reported only if its decoded bytes are a private key: the nested
 lengths of its DER encoding must fill each other exactly and have the fields of PKCS#1, PKCS#8,
 SEC 1, DSA or an encrypted PKCS#8 key, or the length-prefixed fields of an OpenSSH key must add
-up. A dotted token is reported only if its header decodes to a JSON object with an algorithm, and
+up. Runs may have line ends, real or escaped, and indentation, base64 may be the URL-safe one, and a
+run whose bytes are a text is searched once more. A dotted token is reported only if its header decodes to a JSON object with an algorithm, and
 its claims (or, for encrypted tokens, the header's `enc`) fit that form.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import json
 import re
 import struct
@@ -35,11 +35,21 @@ ASSIGN = re.compile(
 # longest run with the short ones left out.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])e[wy][A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]*){2,4}(?![A-Za-z0-9_-])")
+TOKEN = re.compile(r"e[wy][A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]*){2,4}(?![A-Za-z0-9_-])")
+# Line ends as they are or escaped (also twice), and the indentation of the next line.
+BREAK = r"(?:\r?\n|(?:\\{1,2}r)?\\{1,2}n)[\x20\t]*"
+DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
+BREAKS = re.compile(BREAK)
 # DER keys begin with byte 0x30, in base64 M and one of A to P; OpenSSH keys with their magic.
-KEY = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/]{14,}")
-HEXKEY = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{40,}(?![0-9A-Fa-f])")
-LINES = re.compile(r"[A-Za-z0-9+/]+(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+KEY = re.compile(r"(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{14}")
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}(?:{BREAK}[A-Za-z0-9+/_-]+)*")
+HEXRUN = re.compile(rf"[0-9A-Fa-f]{{40,}}(?:{BREAK}[0-9A-Fa-f]+)*")
+HEXSTART = re.compile(r"(?=30|6f70656e7373682d6b65792d763100)")
+PEM_END = re.compile(r"\s*-----END [A-Z0-9 ]*-----\s?")
+PEM_BASE64 = "LS0tLS1CRUdJTi"
+TEXT_BYTES = frozenset([9, 10, 13, *range(32, 127)])
+STANDARD = str.maketrans("-_", "+/")
+DEPTH = 2  # decodings of a text inside a text
 OPENSSH = b"openssh-key-v1\0"
 # Object identifier prefixes (DER) of password-based encryption schemes.
 ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
@@ -127,39 +137,130 @@ def openssh_length(data: bytes) -> int | None:
     return at if private and len(private) % 8 == 0 else None
 
 
+def gather(text: str, start: int, wanted: int) -> tuple[str, int]:
+    """Up to `wanted` base64 digits from start on, over line breaks, and the place after the last."""
+    kept, count, at = [], 0, start
+    while count < wanted:
+        line = DIGITS.match(text, at, at + wanted - count)
+        if not line:
+            break
+        kept.append(line.group())
+        count += len(kept[-1])
+        end = at = line.end()
+        if count < wanted:
+            gap = BREAKS.match(text, at)
+            if not gap or not DIGITS.match(text, gap.end(), gap.end() + 1):
+                return "".join(kept).translate(STANDARD), end
+            at = gap.end()
+    return "".join(kept).translate(STANDARD), at
+
+
+def decoded(digits: str) -> bytes:
+    """The whole bytes that base64 digits without padding begin with."""
+    spare = len(digits) % 4
+    return base64.b64decode(digits[:-1] if spare == 1 else digits + "=" * (-spare % 4))
+
+
 def confirm_key(text: str, start: int) -> int | None:
     """End of the base64 private key that begins at start, line breaks included."""
-    head = text[start : start + 20]
-    if head.startswith("b3BlbnNzaC1rZXktdjE"):
-        run = re.sub(r"[\r\n=]", "", LINES.match(text, start).group())
-        data = base64.b64decode(run[: len(run) // 4 * 4] + (run[len(run) // 4 * 4 :] + "==")[:4] * bool(len(run) % 4 > 1))
+    if text.startswith("b3BlbnNzaC1rZXktdjE", start):
+        data = decoded(gather(text, start, len(text))[0])
         size = openssh_length(data) if data.startswith(OPENSSH) else None
     else:
-        found = der_length(base64.b64decode(head[:8]), 0)
+        found = der_length(decoded(gather(text, start, 8)[0]), 0)
         size = found and found[1]
     if not size:
         return None
     # So many base64 characters hold the key; the rest of the run is not part of it.
-    wanted, at, kept = -(-size * 4 // 3), start, []
-    while len(kept) < wanted:
-        line = re.compile(r"[A-Za-z0-9+/]+").match(text, at)
-        if not line:
-            return None
-        part = line.group()[: wanted - len(kept)]
-        kept.extend(part)
-        at += len(part)
-        if len(kept) < wanted:
-            at += 2 if text.startswith("\r\n", at) else 1 if text.startswith("\n", at) else len(text) + 1
-    padding = -len(kept) % 4
+    wanted = -(-size * 4 // 3)
+    if wanted > len(text) - start:
+        return None
+    digits, at = gather(text, start, wanted)
+    if len(digits) < wanted:
+        return None
+    padding = -wanted % 4
     if text[at : at + padding] == "=" * padding:
         at += padding
-    try:
-        data = base64.b64decode("".join(kept) + "=" * padding)[:size]
-    except binascii.Error:
-        return None
+    data = decoded(digits)[:size]
     return at if data.startswith(OPENSSH) or der_key(data) else None
 
 
+def key_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int]]:
+    """Private keys in base64 or hexadecimal, and runs that hold a text with such a key."""
+    found, done = [], 0
+    m = KEY.search(text)
+    while m:
+        end = confirm_key(text, m.start())
+        if end:
+            found.append(("key", m.start(), end))
+        m = KEY.search(text, end or m.start() + 1)
+    for m in HEXRUN.finditer(text):
+        found += hex_keys(text, m, depth)
+    if depth:
+        for m in RUN.finditer(text):
+            begin = m.start()
+            inner = m.group().find(PEM_BASE64)
+            for start in dict.fromkeys((begin, begin + inner if inner >= 0 else begin)):
+                if start >= done and (end := text_with_key(text, start, depth)):
+                    found.append(("key", start, end))
+                    done = end
+    return found
+
+
+def last_of_key(data: bytes, depth: int) -> int:
+    """Where the last key of a decoded text ends, its closing PEM line included; 0 without a key."""
+    if not TEXT_BYTES.issuperset(data[:30]):
+        return 0
+    inside = data.decode("latin-1")
+    last = max((end for _, _, end in key_spans(inside, depth - 1)), default=0)
+    closing = PEM_END.match(inside, last) if last else None
+    return closing.end() if closing else last
+
+
+def text_with_key(text: str, start: int, depth: int) -> int | None:
+    """End of the base64 run from start on, as far as its text holds a private key."""
+    if not TEXT_BYTES.issuperset(decoded(gather(text, start, 40)[0])):
+        return None
+    last = last_of_key(decoded(gather(text, start, len(text))[0]), depth)
+    if not last:
+        return None
+    wanted = -(-last * 4 // 3)
+    at = gather(text, start, wanted)[1]
+    padding = -wanted % 4
+    return at + padding if text[at : at + padding] == "=" * padding else at
+
+
+def hex_keys(text: str, m: re.Match, depth: int) -> list[tuple[str, int, int]]:
+    """Private keys, and texts that hold one, in a run of hexadecimal lines."""
+    digits, places, at = [], [], m.start()
+    while at < m.end():
+        if gap := BREAKS.match(text, at):
+            at = gap.end()
+        digits.append(text[at])
+        places.append(at)
+        at += 1
+    run = "".join(digits).lower()
+    found, done = [], 0
+    for start in (x.start() for x in HEXSTART.finditer(run)):
+        if start < done:
+            continue
+        if run.startswith("30", start):
+            head = bytes.fromhex(run[start : start + 12][: (len(run) - start) // 2 * 2])
+            size = (der_length(head, 0) or (0, 0))[1]
+            good = 20 <= size <= (len(run) - start) // 2 and der_key(bytes.fromhex(run[start : start + 2 * size]))
+        else:
+            size = openssh_length(bytes.fromhex(run[start : start + (len(run) - start) // 2 * 2]))
+            good = bool(size)
+        if good:
+            done = start + 2 * size
+            found.append(("hexkey", places[start], places[done - 1] + 1))
+    if not found and depth:
+        last = last_of_key(bytes.fromhex(run[: len(run) // 2 * 2]), depth)
+        if last:
+            found.append(("hexkey", places[0], places[2 * last - 1] + 1))
+    return found
+
+
 def json_part(text: str) -> dict | None:
     try:
         value = json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)))
@@ -185,20 +286,18 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    for m in TOKEN.finditer(text):
-        # The full stop of a sentence may follow a token, an empty signature may end it.
-        for run in dict.fromkeys((m.group(), m.group().rstrip("."))):
+    m = TOKEN.search(text)
+    while m:
+        # The full stop of a sentence, or a stop and a word, may follow a token, an empty
+        # signature may end it.
+        parts, end = m.group().split("."), 0
+        for run in dict.fromkeys((m.group(), m.group().rstrip("."), ".".join(parts[:3]), ".".join([*parts[:2], ""]))):
             if confirm_token(run):
-                found.append(("token", m.start(), m.start() + len(run)))
+                end = m.start() + len(run)
+                found.append(("token", m.start(), end))
                 break
-    done = 0
-    for m in KEY.finditer(text):
-        if m.start() >= done and (end := confirm_key(text, m.start())):
-            found.append(("key", m.start(), end))
-            done = end
-    for m in HEXKEY.finditer(text):
-        if len(m.group()) % 2 == 0 and der_key(bytes.fromhex(m.group())):
-            found.append(("hexkey", *m.span()))
+        m = TOKEN.search(text, end or m.start() + 1)
+    found += key_spans(text)
     return sorted(found, key=lambda s: (s[1], RANK[s[0]], s[2]))
 
 
