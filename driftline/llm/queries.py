@@ -15,6 +15,7 @@ MODULES = (
     "op8_chat",
     "op9_quality_rules",
     "op10_jaccard_join",
+    "op13_merkle_manifest",
 )
 
 
