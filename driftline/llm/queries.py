@@ -15,6 +15,8 @@ MODULES = (
     "op8_chat",
     "op9_quality_rules",
     "op10_jaccard_join",
+    "op11_near_embeddings",
+    "op12_collocations",
     "op13_merkle_manifest",
 )
 
