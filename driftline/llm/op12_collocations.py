@@ -37,6 +37,10 @@ TOP = 2000
 SHARD_WORDS = 4 << 20
 CHUNK = 1 << 20
 FILTER_BITS = 1 << 25
+# Products of counts pass 64 bits; decimals hold them exactly.
+SCORE = (
+    "cast(1000 * (cast(a as decimal(19,0)) * cast(n as decimal(19,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as bigint)"
+)
 _BORDER = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 _GAP = re.compile(rb"[.,;:!?\x09-\x0D\x20]")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -374,7 +378,7 @@ def collocations(
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     scored = (
         cuts.join(size, "lang")
-        .withColumn("score", F.expr("cast(1000 * (cast(a as decimal(19,0)) * cast(n as decimal(19,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as bigint)"))
+        .withColumn("score", F.expr(SCORE))
         .groupBy("lang", "phrase")
         .agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("cut"))
         .select("lang", "phrase", "cut.a", "cut.l", "cut.r", "cut.n", "cut.score")
