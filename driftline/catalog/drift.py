@@ -19,6 +19,8 @@ EV_REF = f"SELECT * FROM ({ds.SCORED_SQL}) WHERE ts < TIMESTAMP '2024-01-21'"
 EV_PROD = f"SELECT * FROM ({ds.SCORED_SQL}) WHERE ts >= TIMESTAMP '2024-01-21'"
 DRIFT_REF = f"SELECT * FROM ({ds.DRIFTING_SQL}) WHERE ts < TIMESTAMP '2024-01-21'"
 DRIFT_PROD = f"SELECT * FROM ({ds.DRIFTING_SQL}) WHERE ts >= TIMESTAMP '2024-01-21'"
+EACH_DAY = f"SELECT event_type, value, k, CAST(ts AS DATE) AS day FROM ({ds.DRIFTING_SQL})"
+WEEK_BEFORE = f"SELECT event_type, value, k, CAST(ts AS DATE) + 7 AS day FROM ({ds.DRIFTING_SQL})"
 # A fifth of the production readings go missing, chosen by hash.
 GAPPY_PROD = f"""SELECT event_id, event_type, k,
   CASE WHEN {ds.uniform_sql('event_id', 'gap')} < 0.2::DOUBLE THEN NULL ELSE value END AS value
@@ -114,7 +116,21 @@ def ks_two_sample(spark: SparkSession, folder: str) -> DataFrame:
     ref, prod = ds.lineitem_sides(spark, folder)
     return d.ks_two_sample(ref, prod, LF).select(
         "feature", "n_ref", "n_prod",
-        out(F.col("ks_statistic")).alias("ks_statistic"), out(F.col("ks_pvalue")).alias("ks_pvalue"),
+        out(F.col("ks_statistic")).alias("ks_statistic"), out(F.col("ks_pvalue")).alias("ks_pvalue"), "ks_method",
+    )
+
+
+def ks_small_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every day after the split against the day a week before it, for each event type: windows of a
+    few hundred rows, where the exact p-value and the asymptotic one differ visibly."""
+    events = ds.drifting_events(spark, folder)
+    day = F.to_date("ts")
+    later = events.withColumn("day", day)
+    earlier = events.withColumn("day", F.date_add(day, 7))
+    found = d.ks_two_sample(earlier, later, ["value", "k"], keys=["event_type", "day"])
+    return found.where("n_ref > 0 and n_prod > 0").select(
+        "event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "feature", "n_ref", "n_prod",
+        out(F.col("ks_statistic")).alias("ks_statistic"), out(F.col("ks_pvalue"), 9).alias("ks_pvalue"), "ks_method",
     )
 
 
@@ -125,12 +141,12 @@ DRIFT_MOMENTS = ["ref_mean", "prod_mean", "ref_std", "prod_std"]
 def rounded_table(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.select(
         *keys, "feature", *[out(F.col(c)).alias(c) for c in DRIFT_FLOATS],
-        *[out(F.col(c), 4).alias(c) for c in DRIFT_MOMENTS], "is_categorical", "drifted",
+        *[out(F.col(c), 4).alias(c) for c in DRIFT_MOMENTS], "ks_method", "is_categorical", "drifted",
     )
 
 
 DRIFT_SELECT = (
-    f"feature, {q.rounded(*DRIFT_FLOATS)}, {q.rounded(*DRIFT_MOMENTS, digits=4)}, is_categorical, drifted"
+    f"feature, {q.rounded(*DRIFT_FLOATS)}, {q.rounded(*DRIFT_MOMENTS, digits=4)}, ks_method, is_categorical, drifted"
 )
 
 
@@ -191,6 +207,7 @@ QUERIES = {
     "missing_rate_delta": missing_rate_delta,
     "feature_moments": feature_moments,
     "ks_two_sample": ks_two_sample,
+    "ks_small_windows": ks_small_windows,
     "feature_drift": feature_drift,
     "feature_drift_by_segment": feature_drift_by_segment,
     "feature_drift_new_segment": feature_drift_new_segment,
@@ -257,7 +274,11 @@ ORACLES = {
       FROM prod_l GROUP BY feature""",
     "ks_two_sample": f"""WITH ref_l AS ({q.long_sql(REF, LF)}), prod_l AS ({q.long_sql(PROD, LF)}), {q.ks_ctes()}
       SELECT feature, n_ref, n_prod, round(d, 6) + 0.0::DOUBLE AS ks_statistic,
-             round(p, 6) + 0.0::DOUBLE AS ks_pvalue FROM ks""",
+             round(p, 6) + 0.0::DOUBLE AS ks_pvalue, method AS ks_method FROM ks""",
+    "ks_small_windows": f"""WITH ref_l AS ({q.long_sql(WEEK_BEFORE, ['value', 'k'], ['event_type', 'day'])}),
+      prod_l AS ({q.long_sql(EACH_DAY, ['value', 'k'], ['event_type', 'day'])}), {q.ks_ctes(['event_type', 'day'])}
+      SELECT event_type, strftime(day, '%Y-%m-%d') AS day, feature, n_ref, n_prod, round(d, 6) + 0.0::DOUBLE AS ks_statistic,
+             round(p, 9) + 0.0::DOUBLE AS ks_pvalue, method AS ks_method FROM ks WHERE n_ref > 0 AND n_prod > 0""",
     "feature_drift": f"WITH {q.drift_table_ctes(REF, PROD, LF)} SELECT {DRIFT_SELECT} FROM drift",
     "feature_drift_by_segment": f"""WITH {q.drift_table_ctes(DRIFT_REF, GAPPY_PROD, ['value', 'k'], ['event_type'])}
       SELECT event_type, {DRIFT_SELECT} FROM drift""",

@@ -86,6 +86,26 @@ def psi_ctes(
     FROM shares GROUP BY {win}{by}feature)"""
 
 
+# The exact p-value as 1 - (paths inside the band) / (all paths). Paths are counted diagonal by
+# diagonal, halved each time, as numbers of paths do not fit a double; s[1] is the diagonal.
+KS_IS_EXACT = "greatest(n_ref, n_prod) <= 10000 AND 2.0::DOUBLE * d * n_ref * n_prod <= 10000000"
+
+
+def _band(s: str) -> tuple[str, str]:
+    low = f"greatest(0, {s} - n_prod, CAST(floor(({s} * n_ref - h) / (n_ref + n_prod)::DOUBLE) AS BIGINT) + 1)"
+    return low, f"least({s}, n_ref, CAST(ceil(({s} * n_ref + h) / (n_ref + n_prod)::DOUBLE) AS BIGINT) - 1)"
+
+
+_LOW, _HIGH = _band("CAST(s[1] AS BIGINT)")
+_BEFORE = _band("(CAST(s[1] AS BIGINT) - 1)")[0]
+KS_PATHS = f"""CASE WHEN h = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - coalesce(list_reduce(
+    list_prepend([1.0::DOUBLE], list_transform(range(1, n_ref + n_prod + 1), lambda t: [CAST(t AS DOUBLE)])),
+    lambda paths, s: list_transform(range({_LOW}, {_HIGH} + 1), lambda x:
+      (CASE WHEN x - ({_BEFORE}) >= 1 THEN coalesce(paths[x - ({_BEFORE})], 0.0::DOUBLE) ELSE 0.0::DOUBLE END
+       + CASE WHEN x - ({_BEFORE}) >= 0 THEN coalesce(paths[x - ({_BEFORE}) + 1], 0.0::DOUBLE) ELSE 0.0::DOUBLE END) / 2))[1], 0.0::DOUBLE)
+    * exp((n_ref + n_prod) * ln(2.0::DOUBLE) + lgamma(n_ref + 1) + lgamma(n_prod + 1) - lgamma(n_ref + n_prod + 1)) END"""
+
+
 def ks_ctes(keys: Sequence[str] = ()) -> str:
     """ks(keys, feature, n_ref, n_prod, d, p) over the CTEs ref_l and prod_l."""
     by = comma(keys)
@@ -112,12 +132,15 @@ def ks_ctes(keys: Sequence[str] = ()) -> str:
     FROM ks_d),
   ks AS (
     SELECT {by}feature, n_ref, n_prod, d,
-           CASE WHEN n_ref = 0 OR n_prod = 0 OR lam < 0.2 THEN 1.0::DOUBLE
+           CASE WHEN n_ref = 0 OR n_prod = 0 THEN 'none' WHEN {KS_IS_EXACT} THEN 'exact' ELSE 'asymptotic' END AS method,
+           CASE WHEN n_ref = 0 OR n_prod = 0 THEN 1.0::DOUBLE
+                WHEN {KS_IS_EXACT} THEN {KS_PATHS}
+                WHEN lam < 0.2 THEN 1.0::DOUBLE
                 ELSE least(greatest(2.0::DOUBLE * list_sum(list_transform(range(1, 101),
                   lambda j: (CASE WHEN j % 2 = 1 THEN 1.0::DOUBLE ELSE (-1.0)::DOUBLE END)
                             * exp(-2.0::DOUBLE * j * j * lam * lam))), 0.0::DOUBLE), 1.0::DOUBLE)
            END AS p
-    FROM ks_l)"""
+    FROM (SELECT *, CAST(round(d * n_ref * n_prod) AS BIGINT) AS h FROM ks_l))"""
 
 
 def moments_ctes(keys: Sequence[str] = ()) -> str:
@@ -149,7 +172,7 @@ def drift_table_ctes(reference: str, production: str, features: Sequence[str], k
         + moments_ctes(keys)
         + f""",
   drift AS (
-    SELECT {by}feature, psi.psi, ks.d AS ks_statistic, ks.p AS ks_pvalue, ref_mean, prod_mean,
+    SELECT {by}feature, psi.psi, ks.d AS ks_statistic, ks.p AS ks_pvalue, ks.method AS ks_method, ref_mean, prod_mean,
            ref_std, prod_std, missing_rate_delta, prof.cat AS is_categorical,
            psi.psi >= {alert} AS drifted
     FROM psi JOIN prof USING ({on}) JOIN ks USING ({on}) JOIN mom USING ({on}))"""

@@ -71,8 +71,8 @@ def f1_from_counts(tp: Column, fp: Column, fn: Column) -> Column:
     )
 
 
-def ks_pvalue(statistic: str, n_ref: str, n_prod: str, terms: int = 100) -> Column:
-    """Two-sample p-value from the asymptotic Kolmogorov series.
+def ks_asymptotic(statistic: str, n_ref: str, n_prod: str, terms: int = 100) -> str:
+    """SQL of the two-sample p-value from the asymptotic Kolmogorov series.
 
     Below lambda = 0.2 the series has not settled after `terms` terms and the value
     is 1 to more than ten digits, so it is set there.
@@ -85,9 +85,62 @@ def ks_pvalue(statistic: str, n_ref: str, n_prod: str, terms: int = 100) -> Colu
         f"aggregate(sequence(1, {terms}), 0.0D, (acc, k) -> "
         f"acc + IF(k % 2 = 1, 1.0D, -1.0D) * exp(-2.0D * k * k * {lam} * {lam}))"
     )
+    return f"IF(coalesce({lam}, 0.0D) < 0.2D, 1.0D, least(greatest(2.0D * {series}, 0.0D), 1.0D))"
+
+
+def ks_exact(statistic: str, n_ref: str, n_prod: str) -> str:
+    """SQL of the exact two-sample p-value: the chance that a random order of the pooled readings
+    moves the two distribution functions at least `statistic` apart.
+
+    An order is a lattice path from (0, 0) to (n, m). The chance to have been outside the band
+    |x / n - y / m| < statistic is carried from one diagonal x + y = s to the next: a path to
+    (x, y) came from (x - 1, y) with chance x / s, else from (x, y - 1), and has been outside for
+    certain if that point is. A diagonal keeps only its points inside the band, so memory grows with
+    the band's width, and nothing is subtracted from 1, so small values keep their digits. The
+    band's edge is an integer, statistic * n * m, as all gaps are multiples of 1 / (n * m).
+    """
+    n, m = f"cast({n_ref} AS bigint)", f"cast({n_prod} AS bigint)"
+    edge = f"cast(round({statistic} * {n} * {m}) AS bigint)"
+
+    def low(s: str) -> str:
+        return f"greatest(0L, {s} - {m}, cast(floor(({s} * {n} - {edge}) / ({n} + {m})) AS bigint) + 1)"
+
+    def high(s: str) -> str:
+        return f"least({s}, {n}, cast(ceil(({s} * {n} + {edge}) / ({n} + {m})) AS bigint) - 1)"
+
+    before = "coalesce(get(acc.v, cast(x - {0} - acc.low AS int)), 1.0D)"
+    point = f"x / s * {before.format('1')} + (s - x) / s * {before.format('0')}"
+    values = f"IF({low('s')} > {high('s')}, cast(array() AS array<double>), transform(sequence({low('s')}, {high('s')}), x -> {point}))"
+    return (
+        f"aggregate(sequence(1L, {n} + {m}), named_struct('low', 0L, 'v', IF({edge} > 0, array(0.0D), cast(array() AS array<double>))), "
+        f"(acc, s) -> named_struct('low', {low('s')}, 'v', {values}), "
+        f"acc -> coalesce(get(acc.v, cast({n} - acc.low AS int)), 1.0D))"
+    )
+
+
+# The exact p-value is taken up to this many present readings on the larger side and up to this
+# many lattice points inside the band. A band with more points is so wide that the value is below
+# 1e-20, where the two differ by less than any use of them can notice.
+KS_EXACT_ROWS = 10_000
+KS_EXACT_POINTS = 10_000_000
+
+
+def ks_method(
+    statistic: str, n_ref: str, n_prod: str, exact_rows: int = KS_EXACT_ROWS, exact_points: int = KS_EXACT_POINTS
+) -> Column:
+    """`exact`, `asymptotic`, or `none` without readings on a side."""
+    points = f"2.0D * {statistic} * cast({n_ref} AS double) * {n_prod}"
+    return F.expr(
+        f"CASE WHEN coalesce({n_ref}, 0) = 0 OR coalesce({n_prod}, 0) = 0 THEN 'none' "
+        f"WHEN greatest({n_ref}, {n_prod}) <= {exact_rows} AND {points} <= {exact_points} THEN 'exact' ELSE 'asymptotic' END"
+    )
+
+
+def ks_pvalue(statistic: str, n_ref: str, n_prod: str, method: str) -> Column:
+    """Two-sample p-value by the method that the column `method` names, 1 without readings."""
     return F.expr(
-        f"CASE WHEN coalesce({n_ref}, 0) = 0 OR coalesce({n_prod}, 0) = 0 OR coalesce({lam}, 0.0D) < 0.2D THEN 1.0D "
-        f"ELSE least(greatest(2.0D * {series}, 0.0D), 1.0D) END"
+        f"CASE {method} WHEN 'exact' THEN {ks_exact(statistic, n_ref, n_prod)} "
+        f"WHEN 'asymptotic' THEN {ks_asymptotic(statistic, n_ref, n_prod)} ELSE 1.0D END"
     )
 
 

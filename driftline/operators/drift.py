@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import KS_ALPHA, KS_FLOOR, DriftConfig
-from driftline.functions.scalars import reading
+from driftline.functions.scalars import KS_EXACT_ROWS, reading
 from driftline.operators.profile import (
     ReferenceProfile,
     build_profile,
@@ -175,17 +175,33 @@ def categorical_psi(
     return psi_from_counts(cells, ["feature"], "r", "s")
 
 
-def ks_two_sample(reference: DataFrame, production: DataFrame, features: Sequence[str]) -> DataFrame:
-    counts = value_counts(reference_long(reference, features), to_long(production, features))
-    found = order_statistics(lay_out_values(counts)).select(
+def ks_two_sample(
+    reference: DataFrame,
+    production: DataFrame,
+    features: Sequence[str],
+    keys: Sequence[str] = (),
+    exact_rows: int = KS_EXACT_ROWS,
+) -> DataFrame:
+    """KS statistic and p-value per feature, and per value of `keys` where some are given.
+
+    The p-value is exact while neither side has more than `exact_rows` present readings, else
+    asymptotic; `ks_method` names it. A feature without readings on a side has the statistic 0,
+    the p-value 1 and the method `none`; with keys, only keys that have rows are listed.
+    """
+    counts = value_counts(reference_long(reference, features, keys), to_long(production, features, keys), keys)
+    found = order_statistics(lay_out_values(counts, keys), exact_rows).select(
+        *keys,
         "feature",
         F.col("present_ref").alias("n_ref"),
         F.col("present_prod").alias("n_prod"),
         "ks_statistic",
         "ks_pvalue",
+        "ks_method",
     )
+    if keys:
+        return found
     return _every_feature(
-        found, features, {"n_ref": 0, "n_prod": 0, "ks_statistic": 0.0, "ks_pvalue": 1.0}
+        found, features, {"n_ref": 0, "n_prod": 0, "ks_statistic": 0.0, "ks_pvalue": 1.0, "ks_method": "none"}
     )
 
 
@@ -194,6 +210,7 @@ NEUTRAL_FEATURE = {
     "psi": 0.0,
     "ks_statistic": 0.0,
     "ks_pvalue": 1.0,
+    "ks_method": "none",
     "ref_mean": 0.0,
     "prod_mean": 0.0,
     "ref_std": 0.0,
@@ -278,6 +295,7 @@ def compare(
         "psi",
         "ks_statistic",
         "ks_pvalue",
+        "ks_method",
         "coalesce(mean_ref, 0.0D) AS ref_mean",
         "coalesce(mean_prod, 0.0D) AS prod_mean",
         "coalesce(sqrt(sq_ref / nullif(present_ref, 0)), 0.0D) AS ref_std",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.config import BINS, CATEGORICAL_LIMIT
-from driftline.functions.scalars import is_infinite, ks_pvalue, reading
+from driftline.functions.scalars import KS_EXACT_ROWS, is_infinite, ks_method, ks_pvalue, reading
 from driftline.operators.ordered import RUN, Runs, lay_out, running_totals
 from driftline.session import broadcast_bounded, materialise
 
@@ -73,14 +73,15 @@ EDGES_SQL = f"""
          * ((present_ref - 1) * q - floor((present_ref - 1) * q))))), NULL)"""
 
 
-def order_statistics(runs: Runs) -> DataFrame:
+def order_statistics(runs: Runs, exact_rows: int = KS_EXACT_ROWS) -> DataFrame:
     """Exact quantile edges of the reference side and the two-sample KS statistic per key.
 
     Both come from one pass over as few runs as possible. A run is read and sorted only if
     it contains a rank some quantile needs, or if it can hold the largest gap between the
     two distribution functions: the gap at the end of every run is known from the totals
     alone and gives a lower bound, and a run whose totals cannot exceed that bound is
-    skipped. The collected list has at most 22 entries per key.
+    skipped. The collected list has at most 22 entries per key. The p-value is exact up to
+    `exact_rows` readings on a side, `ks_method` tells which.
     """
     keys = list(runs.keys)
     part = f"OVER (PARTITION BY {', '.join(keys)})"
@@ -146,7 +147,8 @@ def order_statistics(runs: Runs) -> DataFrame:
             *keys, "present_ref", "present_prod", "ks_statistic",
             f"IF(size(_edges) < 2, array(_edges[0] - {margin}, _edges[0] + {margin}), _edges) AS edges",
         )
-        .withColumn("ks_pvalue", ks_pvalue("ks_statistic", "present_ref", "present_prod"))
+        .withColumn("ks_method", ks_method("ks_statistic", "present_ref", "present_prod", exact_rows))
+        .withColumn("ks_pvalue", ks_pvalue("ks_statistic", "present_ref", "present_prod", "ks_method"))
     )
 
 

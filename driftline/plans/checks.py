@@ -38,9 +38,8 @@ class ModelSpec:
     segment: str | None = None
 
 
-_FEATURE = ", ".join(
-    f"{name}: {'boolean' if isinstance(value, bool) else 'double'}" for name, value in NEUTRAL_FEATURE.items()
-)
+_KINDS = {bool: "boolean", float: "double", str: "string"}
+_FEATURE = ", ".join(f"{name}: {_KINDS[type(value)]}" for name, value in NEUTRAL_FEATURE.items())
 # The columns of every report, whether the window was checked or guarded; `time` is the log's type.
 REPORT = {
     "status": "string", "psi_max": "double", "psi_mean": "double", "ks_features_flagged": "bigint",
