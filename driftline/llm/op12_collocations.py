@@ -5,12 +5,13 @@
    a pair is rare, and so is every phrase that holds it.
 2. Every task sorts the windows of its shard that have no rare pair and builds a count transducer from
    them: a minimal acyclic automaton over words, built incrementally, whose arc weights are the counts of
-   the phrases that end there. It leaves the task cut by heads, the first two words of a phrase.
-3. Heads are laid out in prefix ranges. A range passes in order; the transducers of a head from all
-   shards are united, weights added, and arcs below the least count, which nothing above can need,
-   are left out.
+   the phrases that end there. It leaves the task in slices, one for each prefix range.
+3. Prefix ranges have about equal weight by the counts of first words; a word that outweighs a range is
+   cut further by second words. The slices of a range from all shards are united and weights added;
+   arcs below the least count, which nothing above can need, are left out then.
 4. The phrases of the united transducers are the candidates. Each part of a candidate is looked up by
-   composing it with the transducer of its own head: a join by head, then a walk along the arcs.
+   composing it with the transducer of its own head, its first two words: a join by head, then a walk
+   along the arcs.
 
 All counts are exact. The filter only saves work: pairs that it lets through by mistake are counted
 like others and do not reach the least count.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import marshal
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.common import map_rows, read_table
+from driftline.operators.ordered import lay_out, running_totals
 from driftline.session import materialise
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-SHARD_WORDS = 4 << 20
+SHARD_WORDS = 2 << 20
 CHUNK = 1 << 20
 FILTER_BITS = 1 << 25
 # Products of counts pass 64 bits; decimals hold them exactly.
@@ -229,16 +232,50 @@ def shard_transducer(shard: Shard, sequence: np.ndarray, open_: np.ndarray, long
     table = np.stack([c[order] for c in columns], axis=1)
     new = np.concatenate([[True], (table[1:] != table[:-1]).any(axis=1)])
     at = np.flatnonzero(new)
-    counts = np.diff(np.concatenate([at, [len(table)]])).tolist()
+    counts = np.diff(np.concatenate([at, [len(table)]]))
     in_order = [text[i] for i in by_text]
     build = Builder()
-    for row, count in zip(table[at].tolist(), counts, strict=True):
-        build.add([in_order[i] for i in row if i >= 0], count)
+    for start in range(0, len(at), 1 << 15):
+        some = at[start : start + (1 << 15)]
+        for row, count in zip(table[some].tolist(), counts[start : start + (1 << 15)].tolist(), strict=True):
+            build.add([in_order[i] for i in row if i >= 0], count)
     return build.finish()
 
 
-def shard_heads(docs: DataFrame, bits, ranges: int, longest: int) -> DataFrame:
-    """(lang, head, n, tail): the transducers of all shards, cut after the first two words."""
+class Parts:
+    """The prefix ranges: which slice of a transducer a phrase belongs to, by its first two words.
+
+    `starts` are the first words of the ranges, in order of (lang, word). A word that alone outweighs a
+    range is cut further by its second words: `heavy` has its number of slices. Both lists are as
+    long as the number of ranges at most."""
+
+    def __init__(self, starts: list[tuple[str, str]], heavy: dict[tuple[str, str], int]) -> None:
+        self.starts, self.heavy = starts, heavy
+
+    def of(self, lang: str, first: str) -> tuple[str, int]:
+        """The range of a first word, and the number of slices by second words."""
+        slices = self.heavy.get((lang, first), 1)
+        at = str(bisect_right(self.starts, (lang, first)))
+        return (f"{at}:{xxhash.xxh3_64_intdigest(first)}" if slices > 1 else at), slices
+
+
+def prefix_parts(words: DataFrame, number: int, least: int) -> Parts:
+    """About `number` ranges of equal weight over the frequent words of all languages together."""
+    frequent = words.where(F.col("f") >= least).select(F.lit(0).alias("all"), "lang", "word", "f")
+    runs = lay_out(frequent, ["all"], ["lang", "word"], ["f"])
+    weight = runs.totals.agg(F.sum("f_run")).first()[0]
+    if weight is None:
+        return Parts([], {})
+    target = -(-weight // number)
+    placed = materialise(running_totals(runs).select("lang", "word", "f", F.floor(F.col("f_prior") / target).alias("range")), "ranges")
+    starts = placed.groupBy("range").agg(F.min(F.struct("lang", "word")).alias("at")).select("at.lang", "at.word").collect()
+    heavy = placed.where(F.col("f") > target).collect()
+    return Parts(sorted((r.lang, r.word) for r in starts), {(r.lang, r.word): -(-r.f // target) for r in heavy})
+
+
+def shard_slices(docs: DataFrame, bits, parts, ranges: int, longest: int) -> DataFrame:
+    """(part, slice): the transducers of all shards, cut at the prefix ranges. A slice begins with
+    the language."""
 
     def make():
         def done(lang: str, shard: Shard) -> Iterator[tuple]:
@@ -246,15 +283,23 @@ def shard_heads(docs: DataFrame, bits, ranges: int, longest: int) -> DataFrame:
             inside, hashes = pair_hashes(shard, lang, sequence)
             places = filter_places(hashes % np.uint64(ranges), hashes >> np.uint64(32))
             open_ = inside & (bits.value[places >> 6] >> (places & 63) & 1 == 1)
-            for first, _, state in shard_transducer(shard, sequence, open_, longest):
-                for second, n, tail in state:
-                    yield lang, f"{first} {second}", n, marshal.dumps(tail)
+            held: dict[str, list] = {}
+            for first, n, state in shard_transducer(shard, sequence, open_, longest):
+                part, slices = parts.value.of(lang, first)
+                if slices == 1:
+                    held.setdefault(part, []).append((first, n, state))
+                    continue
+                cut: dict[int, list] = {}
+                for arc in state:
+                    cut.setdefault(xxhash.xxh3_64_intdigest(arc[0]) % slices, []).append(arc)
+                for k, arcs in cut.items():
+                    held.setdefault(f"{part}:{k}", []).append((first, sum(n for _, n, _ in arcs), tuple(arcs)))
+            for part, arcs in held.items():
+                yield part, marshal.dumps((lang, arcs))
 
         return lambda rows: over_shards(rows, done)
 
-    return map_rows(
-        docs, ["lang", "text"], "lang string, head string, n bigint, tail binary", make, lambda row: 64 + len(row[1]) + len(row[3])
-    )
+    return map_rows(docs, ["lang", "text"], "part string, slice binary", make, lambda row: 64 + len(row[1]))
 
 
 def add_state(total: dict, state: State) -> None:
@@ -272,28 +317,32 @@ def pruned(total: dict, least: int) -> State:
     return tuple((w, total[w][0], pruned(total[w][1], least)) for w in sorted(total) if total[w][0] >= least)
 
 
-def united_heads(heads: DataFrame, least: int) -> DataFrame:
-    """(lang, head, n, tail) with the weights of all shards, in prefix ranges."""
+def united_heads(slices: DataFrame, least: int) -> DataFrame:
+    """(lang, head, n, tail) with the weights of all shards; a task unites one prefix range after another."""
 
     def make():
+        def done(total: dict) -> Iterator[tuple]:
+            for lang in total:
+                for first, (_, seconds) in total[lang].items():
+                    for second, (n, below) in seconds.items():
+                        if n >= least:
+                            yield lang, f"{first} {second}", n, marshal.dumps(pruned(below, least))
+
         def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-            name, n, total = None, 0, {}
-            for lang, head, count, tail in rows:
-                if (lang, head) != name:
-                    if n >= least:
-                        yield *name, n, marshal.dumps(pruned(total, least))
-                    name, n, total = (lang, head), 0, {}
-                n += count
-                add_state(total, marshal.loads(tail))
-            if n >= least:
-                yield *name, n, marshal.dumps(pruned(total, least))
+            name, total = None, {}
+            for part, blob in rows:
+                if part != name:
+                    yield from done(total)
+                    name, total = part, {}
+                lang, arcs = marshal.loads(blob)
+                add_state(total.setdefault(lang, {}), arcs)
+            yield from done(total)
 
         return run
 
-    ordered = heads.repartitionByRange("lang", "head").sortWithinPartitions("lang", "head")
     return map_rows(
-        ordered, ["lang", "head", "n", "tail"], "lang string, head string, n bigint, tail binary", make,
-        lambda row: 64 + len(row[1]) + len(row[3]),
+        slices.repartition("part").sortWithinPartitions("part"), ["part", "slice"],
+        "lang string, head string, n bigint, tail binary", make, lambda row: 64 + len(row[1]) + len(row[3]),
     )
 
 
@@ -366,9 +415,8 @@ def collocations(
     words = materialise(counted.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     size = materialise(words.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
     bits = spark.sparkContext.broadcast(pair_filter(counted.where("range is not null").select("range", "pairs"), least))
-    # Written, as the range layout reads it twice.
-    shards = materialise(shard_heads(docs, bits, ranges, longest), "heads")
-    heads = materialise(united_heads(shards, least), "united")
+    parts = spark.sparkContext.broadcast(prefix_parts(words, ranges, least))
+    heads = materialise(united_heads(shard_slices(docs, bits, parts, ranges, longest), least), "united")
     singles = words.where(F.col("f") >= least).select("lang", F.col("word").alias("head"), F.col("f").alias("n"), F.lit(marshal.dumps(())).alias("tail"))
     asked = candidate_parts(heads).join(heads.unionByName(singles), ["lang", "head"])
     found = materialise(composed(asked), "parts")
