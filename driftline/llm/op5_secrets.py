@@ -16,6 +16,7 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,10 @@ ASSIGN = re.compile(
 # longest run with the short ones left out.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"e[wy][A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]*){2,4}(?![A-Za-z0-9_-])")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+HEADER = re.compile(r"e[wy]")
+AFTER_BRACE = frozenset(b' \t\r\n"}')
+HEAD_CHARS = 256  # of a header are looked at first, then four times as many as before
 # Line ends as they are or escaped (also twice), and the indentation of the next line.
 BREAK = r"(?:\r?\n|(?:\\{1,2}r)?\\{1,2}n)[\x20\t]*"
 DIGITS = re.compile(r"[A-Za-z0-9+/_-]+")
@@ -44,6 +48,7 @@ BREAKS = re.compile(BREAK)
 KEY = re.compile(r"(?:M[A-P]|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_-]{14}")
 RUN = re.compile(rf"[A-Za-z0-9+/_-]{{40,}}(?:{BREAK}[A-Za-z0-9+/_-]+)*")
 HEXRUN = re.compile(rf"[0-9A-Fa-f]{{40,}}(?:{BREAK}[0-9A-Fa-f]+)*")
+HEXDIGITS = re.compile(r"[0-9A-Fa-f]+")
 HEXSTART = re.compile(r"(?=30|6f70656e7373682d6b65792d763100)")
 PEM_END = re.compile(r"\s*-----END [A-Z0-9 ]*-----\s?")
 PEM_BASE64 = "LS0tLS1CRUdJTi"
@@ -110,31 +115,39 @@ def der_key(data: bytes) -> bool:
     return False
 
 
-def openssh_length(data: bytes) -> int | None:
-    """Bytes of the OpenSSH private key that data begins with."""
+def openssh_length(read: Callable[[int], bytes], most: int) -> int | None:
+    """Bytes of the OpenSSH private key at the beginning of some data.
+
+    read(n) gives at least n bytes of the data, or all; `most` is more than it can have. Lengths are
+    looked at before what they measure is read, so most of what is no key is never decoded."""
     at = len(OPENSSH)
 
-    def field() -> bytes:
+    def number() -> int:
         nonlocal at
-        size = struct.unpack_from(">I", data, at)[0]
-        if at + 4 + size > len(data):
+        at += 4
+        return struct.unpack_from(">I", read(at), at - 4)[0]
+
+    def field() -> int:
+        nonlocal at
+        size = number()
+        at += size
+        if at > most:
             raise struct.error
-        at += 4 + size
-        return data[at - size : at]
+        return size
 
     try:
-        cipher, kdf, _ = field(), field(), field()
-        keys = struct.unpack_from(">I", data, at)[0]
-        at += 4
+        cipher, kdf = field(), field()
+        field()
+        keys = number()
         if not 1 <= keys <= 16 or not cipher or not kdf:
             return None
         for _ in range(keys):
-            if len(field()) < 8:
+            if field() < 8:
                 return None
         private = field()
     except struct.error:
         return None
-    return at if private and len(private) % 8 == 0 else None
+    return at if private and private % 8 == 0 and len(read(at)) >= at else None
 
 
 def gather(text: str, start: int, wanted: int) -> tuple[str, int]:
@@ -161,11 +174,23 @@ def decoded(digits: str) -> bytes:
     return base64.b64decode(digits[:-1] if spare == 1 else digits + "=" * (-spare % 4))
 
 
+def reader(text: str, start: int) -> Callable[[int], bytes]:
+    """The bytes of the base64 run from start on, decoded as far as they are asked for."""
+    held = b""
+
+    def read(wanted: int) -> bytes:
+        nonlocal held
+        if len(held) < wanted:
+            held = decoded(gather(text, start, max(64, 2 * wanted) * 4 // 3 + 4)[0])
+        return held
+
+    return read
+
+
 def confirm_key(text: str, start: int) -> int | None:
     """End of the base64 private key that begins at start, line breaks included."""
     if text.startswith("b3BlbnNzaC1rZXktdjE", start):
-        data = decoded(gather(text, start, len(text))[0])
-        size = openssh_length(data) if data.startswith(OPENSSH) else None
+        size = openssh_length(reader(text, start), len(text) - start)
     else:
         found = der_length(decoded(gather(text, start, 8)[0]), 0)
         size = found and found[1]
@@ -234,30 +259,32 @@ def hex_keys(text: str, m: re.Match, depth: int) -> list[tuple[str, int, int]]:
     """Private keys, and texts that hold one, in a run of hexadecimal lines."""
     digits, places, at = [], [], m.start()
     while at < m.end():
-        if gap := BREAKS.match(text, at):
-            at = gap.end()
-        digits.append(text[at])
-        places.append(at)
-        at += 1
-    run = "".join(digits).lower()
+        line = HEXDIGITS.match(text, at, m.end())
+        digits.append(line.group())
+        places.append(np.arange(at, line.end()))
+        gap = BREAKS.match(text, line.end(), m.end())
+        at = gap.end() if gap else m.end()
+    run, place = "".join(digits).lower(), np.concatenate(places)
+    # A key may begin at an even or at an odd digit.
+    both = [bytes.fromhex(run[odd : odd + (len(run) - odd) // 2 * 2]) for odd in (0, 1)]
     found, done = [], 0
     for start in (x.start() for x in HEXSTART.finditer(run)):
         if start < done:
             continue
+        data, begin = both[start % 2], start // 2
         if run.startswith("30", start):
-            head = bytes.fromhex(run[start : start + 12][: (len(run) - start) // 2 * 2])
-            size = (der_length(head, 0) or (0, 0))[1]
-            good = 20 <= size <= (len(run) - start) // 2 and der_key(bytes.fromhex(run[start : start + 2 * size]))
+            size = (der_length(data[begin : begin + 6], 0) or (0, 0))[1]
+            good = 20 <= size <= len(data) - begin and der_key(data[begin : begin + size])
         else:
-            size = openssh_length(bytes.fromhex(run[start : start + (len(run) - start) // 2 * 2]))
+            size = openssh_length(lambda n: data[begin : begin + n], len(data) - begin)  # noqa: B023
             good = bool(size)
         if good:
             done = start + 2 * size
-            found.append(("hexkey", places[start], places[done - 1] + 1))
+            found.append(("hexkey", int(place[start]), int(place[done - 1]) + 1))
     if not found and depth:
-        last = last_of_key(bytes.fromhex(run[: len(run) // 2 * 2]), depth)
+        last = last_of_key(both[0], depth)
         if last:
-            found.append(("hexkey", places[0], places[2 * last - 1] + 1))
+            found.append(("hexkey", int(place[0]), int(place[2 * last - 1]) + 1))
     return found
 
 
@@ -269,6 +296,34 @@ def json_part(text: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+def may_be_header(part: str, start: int) -> bool:
+    """False if the base64 text of part[start:] does not begin like a JSON object.
+
+    A growing beginning is parsed: most of what is no header fails within its first bytes."""
+    wanted = 4
+    while True:
+        end = min(len(part), start + wanted)
+        data = decoded(part[start:end].translate(STANDARD))
+        if data[:1] != b"{" or data[1:2] and data[1] not in AFTER_BRACE:
+            return False
+        if end == len(part):
+            return True
+        if wanted > 4:
+            try:
+                json.loads(data.decode("utf-8", "strict"))
+                return False  # an object that ends before the part does
+            except json.JSONDecodeError as error:
+                # An error at the very end, or in a string that goes on, may be mended by what follows.
+                if error.pos < len(error.doc) - 8 and not error.msg.startswith(("Unterminated", "Invalid \\")):
+                    return False
+            except UnicodeDecodeError as error:
+                if error.start < len(data) - 4:
+                    return False
+            except RecursionError:
+                return False
+        wanted = max(HEAD_CHARS, 4 * wanted)
+
+
 def confirm_token(text: str) -> bool:
     """Whether a dotted run is a signed or encrypted token."""
     parts = text.split(".")
@@ -281,22 +336,37 @@ def confirm_token(text: str) -> bool:
     return len(parts) == 5 and isinstance(header.get("enc"), str) and all(parts[2:])
 
 
+def token_spans(text: str) -> list[tuple[str, int, int]]:
+    """Confirmed tokens. Every dotted run is cut at its dots once; a header is a part's end, of 12
+    characters at least, with two more parts behind it."""
+    found, done = [], 0
+    for run in DOTTED.finditer(text):
+        parts, at = run.group().split("."), run.start()
+        for number, part in enumerate(parts[:-2]):
+            for start in HEADER.finditer(part, max(0, done - at), max(0, len(part) - 10)):
+                if not may_be_header(part, start.start()):
+                    continue
+                rest = [part[start.start() :], *parts[number + 1 : number + 5]]
+                whole = ".".join(rest)
+                # The full stop of a sentence, or a stop and a word, may follow a token, an empty
+                # signature may end it.
+                for token in dict.fromkeys((whole, whole.rstrip("."), ".".join(rest[:3]), ".".join([*rest[:2], ""]))):
+                    if confirm_token(token):
+                        done = at + start.start() + len(token)
+                        found.append(("token", done - len(token), done))
+                        break
+                if found and done > at + start.start():
+                    break
+            at += len(part) + 1
+    return found
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then by the order of KINDS."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    m = TOKEN.search(text)
-    while m:
-        # The full stop of a sentence, or a stop and a word, may follow a token, an empty
-        # signature may end it.
-        parts, end = m.group().split("."), 0
-        for run in dict.fromkeys((m.group(), m.group().rstrip("."), ".".join(parts[:3]), ".".join([*parts[:2], ""]))):
-            if confirm_token(run):
-                end = m.start() + len(run)
-                found.append(("token", m.start(), end))
-                break
-        m = TOKEN.search(text, end or m.start() + 1)
+    found += token_spans(text)
     found += key_spans(text)
     return sorted(found, key=lambda s: (s[1], RANK[s[0]], s[2]))
 

@@ -57,12 +57,13 @@ _FAST = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
     f"|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 )
-_FAST_RUN = re.compile(f"[{_SPACES}]{{2,}}(?=[^{_SPACES}])")
+# A run of blanks is tried once, from its first blank, and never given back.
+_FAST_RUN = re.compile(f"(?<![{_SPACES}])[{_SPACES}]{{2,}}+(?=[^{_SPACES}])")
 _WIDE = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-_WIDE_RUN = regex.compile(r"\p{White_Space}{2,}(?=\P{White_Space})")
+_WIDE_RUN = regex.compile(r"(?<!\p{White_Space})\p{White_Space}{2,}+(?=\P{White_Space})")
 
 
 class PrefixCounter:
