@@ -18,7 +18,9 @@ def _rewire(neighbours: DataFrame, keep_self: bool) -> DataFrame:
     The smallest is found by an aggregation with map-side sums; the join back may meet a node
     with very many neighbours, which adaptive execution splits.
     """
-    smallest = neighbours.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    neighbours = materialise(neighbours, "neighbours")
+    # Written, so that the join reads both sides from a shuffle and a hot side can be split.
+    smallest = materialise(neighbours.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "smallest")
     linked = neighbours.join(smallest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     if keep_self:
         linked = linked.unionByName(smallest.select("a", F.col("m").alias("b")))
@@ -35,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         around = _both_ways(edges)
         # Large star: the larger neighbours of a node move to its smallest neighbour.
-        small = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        small = materialise(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "smallest")
         large = around.join(small, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # Small star: a node and its smaller neighbours move to the smallest of these.

@@ -151,43 +151,55 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, np.uint64).view(np.int64)
 
 
-def _list_array(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+def signatures(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
+    """key, n (size of the set) and member (its fingerprint), for each row."""
+    schema = schema_of(f"`{key}` {df.schema[key].dataType.simpleString()}, n bigint, member bigint")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        shingle = Shingler(width)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                sets = [shingle(value or "") for value in part.column(1).to_pylist()]
+                names = np.array([fingerprint(s) for s in sets], np.uint64)
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(names))]
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
+                )
 
-def signatures(df: DataFrame, text: str, key: str, width: int, p: int, q: int) -> DataFrame:
-    """key, n (size of the set), member (its fingerprint) and meeting keys, for each row.
+    return df.select(key, text).mapInArrow(tidy(run), schema)
 
-    A set that the task has seen before has no keys: a task sends the keys of copies once.
-    """
-    schema = schema_of(f"`{key}` {df.schema[key].dataType.simpleString()}, n bigint, member bigint, keys array<bigint>")
+
+def meetings(df: DataFrame, text: str, width: int, p: int, q: int) -> DataFrame:
+    """(member, k): the meeting keys of every set. A task sends the keys of copies once.
+
+    They are made from the text when they are shuffled and kept nowhere, as they are as large
+    as the text."""
+    schema = schema_of("member bigint, k bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         shingle, classes, seen = Shingler(width), SizeClasses(p, q), set()
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                sizes, members, keys = [], [], []
-                for value in part.column(1).to_pylist():
+                members, keys = [], []
+                for value in batch.slice(start, 128).column(0).to_pylist():
                     hashes = shingle(value or "")
                     name = fingerprint(hashes)
-                    sizes.append(len(hashes))
-                    members.append(name)
-                    keys.append(_signed(part_keys(hashes, classes)) if name not in seen else np.zeros(0, np.int64))
+                    if name in seen:
+                        continue
                     if len(seen) > 1 << 20:
                         seen.clear()
                     seen.add(name)
-                columns = [
-                    part.column(0), pa.array(sizes, pa.int64()), pa.array(_signed(np.array(members, np.uint64))), _list_array(keys)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
-                )
+                    own = part_keys(hashes, classes)
+                    keys.append(own)
+                    members.append(np.full(len(own), name, np.uint64))
+                if keys:
+                    columns = [pa.array(_signed(np.concatenate(c))) for c in (members, keys)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.select(key, text).mapInArrow(tidy(run), schema)
+    return df.select(text).mapInArrow(tidy(run), schema)
 
 
 def key_filter(ids: DataFrame) -> np.ndarray:
@@ -429,11 +441,12 @@ def component_table(
     so share a component. A null key is passed on; it never names a component unless no row of
     the component has a key. Other columns are ignored; an empty table gives an empty result.
     """
-    signed = materialise(signatures(df, text, key, width, p, q), "signatures")
-    meeting = signed.where(F.size("keys") > 0).select("member", F.explode("keys").alias("k"))
-    # The smallest member at a key; a group of any size passes by without being gathered.
-    first = meeting.groupBy("k").agg(F.min("member").alias("a"), F.max("member").alias("z")).where("a <> z")
-    edges = meeting.join(first, "k").where("member <> a").select("a", F.col("member").alias("b"))
+    signed = materialise(signatures(df, text, key, width), "signatures")
+    # Every set is connected with the smallest one at its key. Keys are shuffled once and pass by in
+    # order; a key that one set has alone leaves nothing.
+    smallest = F.min("member").over(Window.partitionBy("k"))
+    meeting = meetings(df, text, width, p, q).withColumn("a", smallest)
+    edges = meeting.where("member <> a").select("a", F.col("member").alias("b"))
     clusters = materialise(
         components(edges).select(F.col("node").alias("member"), F.col("root").alias("cluster")), "clusters"
     )
@@ -462,7 +475,7 @@ def component_table(
     smallest = per_member.groupBy("root").agg(F.min("id").alias("component_id"))
     of_member = materialise(per_member.join(smallest, "root").select("member", "component_id"), "components")
     return (
-        signed.drop("keys")
+        signed
         .join(of_member, "member", "left")
         .select(
             key,

@@ -2,14 +2,8 @@
 
 import random
 
-import public_tokenizers
-import sentencepiece
-
 import corpus_pipeline
-from driftline.llm import op2_sentencepiece, op5_secrets
-from driftline.llm.op4_mixture import mix
 from driftline.llm.op10_jaccard_join import component_table
-from driftline.session import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,24 +46,3 @@ def test_stage_agrees_with_the_join_on_documents(spark, small):
     found = component_table(docs, width=5, p=4, q=5).where("doc_id = component_id")
     kept = corpus_pipeline.jaccard_join(spark, docs, small)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in found.collect())
-
-
-def test_stages_after_the_join(spark, small):
-    """What follows the join, with the join at its own setting."""
-    after = {"start": spark.read.parquet(f"{small}/documents.parquet")}
-    last = after["start"]
-    for name, stage in corpus_pipeline.STAGES:
-        last = after[name] = materialise(stage(spark, last, small), name)
-    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
-    joined = component_table(after["quality_rules"], width=5, p=4, q=5).where("doc_id = component_id")
-    assert ids(after["jaccard_join"]) == ids(joined)
-    before = {r.doc_id: r.text for r in after["jaccard_join"].collect()}
-    for r in after["secrets"].collect():
-        assert r.text == op5_secrets.masked(before[r.doc_id]) and r.n_chars == len(r.text)
-    copies = {r.doc_id: r.copies for r in mix(after["secrets"])[0].collect()}
-    assert ids(after["mixture"]) == sorted(i for i, n in copies.items() for _ in range(n))
-    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(op2_sentencepiece.MODEL))
-    texts = {r.doc_id: r.text for r in after["mixture"].collect()}
-    got = last.collect()
-    assert len(got) == after["mixture"].count()
-    assert all(r.n_tokens == len(library.encode(texts[r.doc_id], add_eos=True)) for r in got)
