@@ -9,7 +9,9 @@ from driftline.catalog import sql as q
 from driftline.functions.scalars import hash_uniform, out
 from driftline.operators import drift as d
 from driftline.operators import profile as p
+from driftline.operators import sketches as sk
 from driftline.plans import datasets as ds
+from driftline.session import scratch_path
 from driftline.sources.tables import moment, read_table
 
 LF = ds.LINEITEM_FEATURES
@@ -134,6 +136,27 @@ def ks_small_windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sketch_drift_by_date(spark: SparkSession, folder: str) -> DataFrame:
+    """Drift from sketches stored per date and merged, next to the exact PSI, and whether that PSI and
+    the exact KS statistic lie within what the sketches state."""
+    names = ["value", "k"]
+    ref, prod = gappy_sides(spark, folder)
+    path = scratch_path(spark, "dates")
+    categorical = sk.categorical_names(sk.sketch(ref, names, quarantine=True))
+    kept = []
+    for side, df in (("ref", ref), ("prod", prod)):
+        sk.store_dates(df, names, "ts", f"{path}/{side}", categorical, quarantine=side == "ref")
+        kept += sk.load_dates(spark, f"{path}/{side}", "1970-01-01", "2999-12-31")
+    rough = sk.sketch_drift(kept[0], kept[2], kept[1], kept[3], categorical)
+    exact = d.feature_drift(ref, prod, names).select("feature", F.col("psi").alias("_psi"), F.col("ks_statistic").alias("_ks"))
+    inside = F.expr("_psi BETWEEN psi_low - 1e-9D AND psi_high + 1e-9D AND abs(_ks - ks_statistic) <= ks_error + 1e-9D")
+    narrow = F.expr("psi_high - psi_low <= 0.1D + 0.3D * psi AND ks_error <= 0.01D")
+    return rough.join(exact, "feature").select(
+        "feature", out(F.col("_psi")).alias("psi"), (inside & narrow).alias("within"),
+        *[out(F.col(c), 4).alias(c) for c in DRIFT_MOMENTS], out(F.col("missing_rate_delta")).alias("missing_rate_delta"), "is_categorical",
+    )
+
+
 DRIFT_FLOATS = ["psi", "ks_statistic", "ks_pvalue", "missing_rate_delta"]
 DRIFT_MOMENTS = ["ref_mean", "prod_mean", "ref_std", "prod_std"]
 
@@ -208,6 +231,7 @@ QUERIES = {
     "feature_moments": feature_moments,
     "ks_two_sample": ks_two_sample,
     "ks_small_windows": ks_small_windows,
+    "sketch_drift_by_date": sketch_drift_by_date,
     "feature_drift": feature_drift,
     "feature_drift_by_segment": feature_drift_by_segment,
     "feature_drift_new_segment": feature_drift_new_segment,
@@ -279,6 +303,8 @@ ORACLES = {
       prod_l AS ({q.long_sql(EACH_DAY, ['value', 'k'], ['event_type', 'day'])}), {q.ks_ctes(['event_type', 'day'])}
       SELECT event_type, strftime(day, '%Y-%m-%d') AS day, feature, n_ref, n_prod, round(d, 6) + 0.0::DOUBLE AS ks_statistic,
              round(p, 9) + 0.0::DOUBLE AS ks_pvalue, method AS ks_method FROM ks WHERE n_ref > 0 AND n_prod > 0""",
+    "sketch_drift_by_date": f"""WITH {q.drift_table_ctes(DRIFT_REF, GAPPY_PROD, ['value', 'k'])}
+      SELECT feature, {q.rounded('psi')}, true AS within, {q.rounded(*DRIFT_MOMENTS, digits=4)}, {q.rounded('missing_rate_delta')}, is_categorical FROM drift""",
     "feature_drift": f"WITH {q.drift_table_ctes(REF, PROD, LF)} SELECT {DRIFT_SELECT} FROM drift",
     "feature_drift_by_segment": f"""WITH {q.drift_table_ctes(DRIFT_REF, GAPPY_PROD, ['value', 'k'], ['event_type'])}
       SELECT event_type, {DRIFT_SELECT} FROM drift""",

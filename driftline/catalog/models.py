@@ -71,8 +71,9 @@ RATES = [
 
 
 def detector_backtest(spark: SparkSession, folder: str) -> DataFrame:
-    ref, batches = _batches(spark, folder, bt.SCENARIOS, SEEDS)
-    rates = bt.detection_rates(bt.trials(ref, batches, SPEC))
+    ref, prod = ds.split(ds.scored_events(spark, folder), "ts", ds.EVENT_SPLIT)
+    rows = bt.factorised_trials(ref, prod, SPEC, bt.SCENARIOS, SEEDS, BACKTEST_SHIFTS, F.col("value") > 30.0, ds.with_score)
+    rates = bt.detection_rates(rows)
     return rates.select(
         "mode", "intensity", "trials", *[out(F.col(c)).alias(c) for c in RATES],
         "expected_data_drift", "expected_concept_drift",
@@ -136,6 +137,31 @@ def drift_report_guarded(spark: SparkSession, folder: str) -> DataFrame:
     return _report_columns(drift_report(ref, prod, SPEC, DriftConfig(min_samples=rows + 1)))
 
 
+# The measures that the approximate report is held against, and the error it states for each.
+APPROXIMATED = {"psi_max": "psi_error", "prediction_drift_psi": "psi_error", "perf_roc_auc": "auc_error", "perf_f1": None, "max_missing_rate_delta": None}
+
+
+def drift_report_approximate(spark: SparkSession, folder: str) -> DataFrame:
+    """The report from sketches next to the exact one: the exact measures, and whether the approximate
+    ones are within the error that their own report states (which has to be small itself)."""
+    log = ds.drifting_events(spark, folder)
+    ref, prod = ds.split(log, "ts", ds.EVENT_SPLIT)
+    window = lookback_window(prod, "ts", REPORT_HOURS)
+    config = DriftConfig(label_delay_days=REPORT_DELAY_DAYS)
+    exact, rough = (drift_report(ref, window, SPEC, config, mode=m) for m in ("exact", "approximate"))
+    sides = exact.select([F.col(c).alias(f"e_{c}") for c in APPROXIMATED] + [F.lit(1).alias("one")]).join(
+        rough.select(*[F.col(c).alias(f"a_{c}") for c in APPROXIMATED], "psi_error", "ks_error", "auc_error", F.lit(1).alias("one")), "one"
+    )
+    small = F.expr("psi_error <= 0.05 + 0.1 * a_psi_max AND ks_error <= 0.01 AND auc_error <= 0.01")
+
+    def held(name: str, error: str | None):
+        allowed = (F.col(error) if error else F.lit(0.0)) + F.lit(1e-9)
+        close = F.abs(F.col(f"a_{name}") - F.col(f"e_{name}")) <= allowed
+        return F.struct(F.lit(name).alias("measure"), out(F.col(f"e_{name}")).alias("exact"), (close & small).alias("within"))
+
+    return sides.select(F.inline(F.array(*[held(*x) for x in APPROXIMATED.items()])))
+
+
 def _report_columns(report: DataFrame) -> DataFrame:
     return report.select(
         "status", *[out(F.col(c)).alias(c) for c in REPORT_FLOATS], "ks_features_flagged",
@@ -242,6 +268,7 @@ QUERIES = {
     "drift_report": drift_report_query,
     "drift_report_guarded": drift_report_guarded,
     "drift_report_from_bundle": drift_report_from_bundle,
+    "drift_report_approximate": drift_report_approximate,
     "champion_challenger": champion_challenger,
     "train_baseline_metrics": train_baseline_metrics,
     "batch_score": batch_score,
@@ -391,3 +418,6 @@ ORACLES["train_baseline_metrics"] = f"""SELECT CAST(sum(n - t) AS BIGINT) AS n_t
 ORACLES["batch_score"] = f"""SELECT event_id, bad AS quarantined, CASE WHEN NOT bad THEN true END AS score_in_range,
     CASE WHEN NOT bad THEN true END AS decided_by_threshold
   FROM (SELECT event_id, {ds.uniform_sql('event_id', 'infinite')} < 0.02::DOUBLE AS bad FROM events)"""
+
+ORACLES["drift_report_approximate"] = f"""SELECT unnest([{', '.join(f"'{c}'" for c in APPROXIMATED)}]) AS measure,
+  unnest([{', '.join(APPROXIMATED)}]) AS exact, true AS within FROM ({ORACLES['drift_report']})"""

@@ -88,7 +88,8 @@ def psi_ctes(
 
 # The exact p-value as 1 - (paths inside the band) / (all paths). Paths are counted diagonal by
 # diagonal, halved each time, as numbers of paths do not fit a double; s[1] is the diagonal.
-KS_IS_EXACT = "greatest(n_ref, n_prod) <= 10000 AND 2.0::DOUBLE * d * n_ref * n_prod <= 10000000"
+KS_IS_EXACT = """greatest(n_ref, n_prod) <= 10000 AND (2.0::DOUBLE * d * n_ref * n_prod <= 200000
+  OR d * sqrt(n_ref::DOUBLE * n_prod / (n_ref + n_prod)) <= 3.5)"""
 
 
 def _band(s: str) -> tuple[str, str]:

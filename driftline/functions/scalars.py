@@ -118,21 +118,22 @@ def ks_exact(statistic: str, n_ref: str, n_prod: str) -> str:
     )
 
 
-# The exact p-value is taken up to this many present readings on the larger side and up to this
-# many lattice points inside the band. A band with more points is so wide that the value is below
-# 1e-20, where the two differ by less than any use of them can notice.
+# The exact p-value is taken up to this many present readings on the larger side. It costs time for each
+# lattice point inside the band, so a band with more than KS_EXACT_POINTS points is left to the
+# series if it is so wide, KS_EXACT_WIDTH in the series' own unit, that the value is below 1e-10.
 KS_EXACT_ROWS = 10_000
-KS_EXACT_POINTS = 10_000_000
+KS_EXACT_POINTS = 200_000
+KS_EXACT_WIDTH = 3.5
 
 
-def ks_method(
-    statistic: str, n_ref: str, n_prod: str, exact_rows: int = KS_EXACT_ROWS, exact_points: int = KS_EXACT_POINTS
-) -> Column:
+def ks_method(statistic: str, n_ref: str, n_prod: str, exact_rows: int = KS_EXACT_ROWS) -> Column:
     """`exact`, `asymptotic`, or `none` without readings on a side."""
-    points = f"2.0D * {statistic} * cast({n_ref} AS double) * {n_prod}"
+    pairs = f"nullif(cast({n_ref} AS double) * {n_prod}, 0.0D)"
+    narrow = f"2.0D * {statistic} * {pairs} <= {KS_EXACT_POINTS}"
+    likely = f"{statistic} * sqrt({pairs} / (cast({n_ref} AS double) + {n_prod})) <= {KS_EXACT_WIDTH}D"
     return F.expr(
         f"CASE WHEN coalesce({n_ref}, 0) = 0 OR coalesce({n_prod}, 0) = 0 THEN 'none' "
-        f"WHEN greatest({n_ref}, {n_prod}) <= {exact_rows} AND {points} <= {exact_points} THEN 'exact' ELSE 'asymptotic' END"
+        f"WHEN greatest({n_ref}, {n_prod}) <= {exact_rows} AND ({narrow} OR {likely}) THEN 'exact' ELSE 'asymptotic' END"
     )
 
 

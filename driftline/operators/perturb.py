@@ -72,6 +72,36 @@ def poisson_noise(key: Sequence[str], seed: Column | int, salt: str, rate: Colum
     return F.aggregate(steps, start, step, lambda state: state["n"].cast("double"))
 
 
+def draw_noise(df: DataFrame, shifts: Sequence[Shift], key: Sequence[str], seed: Column | int) -> DataFrame:
+    """df with a column `_noise_<column>` for each shift: the part of it that no intensity changes."""
+    drawn = {}
+    for s in shifts:
+        noise = F.lit(0.0)
+        if s.normal_sd:
+            noise = noise + normal_noise(key, seed, s.column) * F.lit(s.normal_sd)
+        if s.uniform_width:
+            noise = noise + (hash_uniform(key, seed, s.column) - F.lit(0.5)) * F.lit(s.uniform_width)
+        drawn[f"_noise_{s.column}"] = noise
+    return df.withColumns(drawn)
+
+
+def shift_drawn(
+    df: DataFrame, shifts: Sequence[Shift], intensity: Column, key: Sequence[str], seed: Column | int, highest: float = 1.0
+) -> DataFrame:
+    """Move the columns of a frame with drawn noise; the noise columns are dropped."""
+    changed = {}
+    for s in shifts:
+        value = F.col(s.column) * (F.lit(1.0) + F.lit(s.scale) * intensity) + F.lit(s.offset) * intensity + F.col(f"_noise_{s.column}")
+        if s.poisson_rate:
+            value = value + poisson_noise(key, seed, s.column, F.lit(s.poisson_rate) * intensity, s.poisson_rate * highest)
+        if s.low is not None or s.high is not None:
+            value = clip(value, s.low, s.high)
+        if s.rounded:
+            value = F.bround(value, 0)
+        changed[s.column] = value
+    return df.withColumns(changed).drop(*[f"_noise_{s.column}" for s in shifts])
+
+
 def inject_covariate_shift(
     df: DataFrame,
     shifts: Sequence[Shift],

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.config import DriftConfig
-from driftline.operators.drift import feature_psi, ks_flag
-from driftline.operators.ordered import RUN, Runs, lay_out
+from driftline.config import BINS, DriftConfig
+from driftline.functions.scalars import hash_uniform, ks_method, ks_pvalue
+from driftline.operators.drift import feature_psi, ks_flag, psi_against_profile
+from driftline.operators.ordered import RUN, Runs, lay_out, running_totals
 from driftline.operators.performance import (
     confusion_counts,
     f1_at_threshold,
     performance_vs_baseline,
 )
-from driftline.operators.perturb import FLIP_RATE, Shift, inject_covariate_shift, inject_label_flip
-from driftline.operators.profile import build_profile, order_statistics, profile_from_runs, reference_long, to_long
+from driftline.operators.perturb import FLIP_RATE, Shift, draw_noise, inject_covariate_shift, inject_label_flip, shift_drawn
+from driftline.operators.profile import build_profile, cell, profile_from_runs, reference_long, to_long
 from driftline.plans.checks import ModelSpec
+from driftline.session import broadcast_bounded, materialise
 
 # The published scenarios, and the ones of the detector comparison.
 SCENARIOS = (
@@ -70,8 +72,13 @@ def trials(
         F.max(F.when(~is_score, F.col("psi"))).alias("psi_max"),
         F.max(F.when(is_score, F.col("psi"))).alias("pred_psi"),
     )
-    base = f1_at_threshold(reference, spec.threshold, score=spec.score, label=spec.label).first()["f1"]
     counts = confusion_counts(batches, spec.threshold, GROUP, score=spec.score, label=spec.label)
+    return _judged(drift, counts, reference, spec, config)
+
+
+def _judged(drift: DataFrame, counts: DataFrame, reference: DataFrame, spec: ModelSpec, config: DriftConfig) -> DataFrame:
+    """PSI and confusion per trial as measures and alert decisions."""
+    base = f1_at_threshold(reference, spec.threshold, score=spec.score, label=spec.label).first()["f1"]
     measured = performance_vs_baseline(counts, F.lit(base), config).select(
         *GROUP, F.col("perf_drop").alias("f1_drop"), F.col("concept_drift").alias("concept_alert")
     )
@@ -86,6 +93,85 @@ def trials(
     )
 
 
+OUTCOME = "_outcome"
+
+
+def factorised_trials(
+    reference: DataFrame,
+    production: DataFrame,
+    spec: ModelSpec,
+    scenarios: Sequence[tuple[str, float]],
+    seeds: Sequence[int],
+    shifts: Sequence[Shift],
+    flip_where: Column,
+    rescore: Callable[[DataFrame], DataFrame],
+    config: DriftConfig | None = None,
+    rate: float = FLIP_RATE,
+) -> DataFrame:
+    """What trials() gives on scenario_batches(), without a copy of the rows for each scenario.
+
+    A row is drawn once for each seed and moved once for each covariate intensity. Labels are never
+    flipped: a row flips at every concept intensity above its draw, so counts of outcomes by the
+    band its draw falls into, added up, give the confusion of each concept intensity. Features and
+    outcomes are counted in one pass that combines map-side. Labels are 0, 1 or missing.
+    """
+    config = config or DriftConfig()
+    moved = sorted({float(i) if m in ("covariate", "both") else 0.0 for m, i in scenarios})
+    flipped = sorted({float(i) if m in ("concept", "both") else 0.0 for m, i in scenarios})
+    columns = [*spec.features, spec.score]
+    profile = build_profile(reference, columns, numeric=[spec.score])
+
+    seed = F.col("seed")
+    fanned = production.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    draw = hash_uniform([spec.row_key], seed, "flip")
+    # The first of `flipped` that flips the row; beyond them all for a row that none flips.
+    band = sum(((draw >= F.lit(rate) * F.lit(c)).cast("int") for c in flipped), F.lit(0))
+    drawn = draw_noise(fanned.withColumn("_band", band), shifts, [spec.row_key], seed)
+    each = drawn.withColumn("covariate", F.explode(F.array(*[F.lit(c) for c in moved])))
+    scored = rescore(shift_drawn(each, shifts, F.col("covariate"), [spec.row_key], seed, max(1.0, *moved)))
+    state = lambda c, yes: F.when(F.col(c).isNull(), 0).when(yes, 1).otherwise(2)
+    reached = F.when(F.coalesce(flip_where, F.lit(False)), F.col("_band")).otherwise(len(flipped))
+    outcome = reached * 9 + state(spec.label, F.col(spec.label) == 1) * 3 + state(spec.score, F.col(spec.score) >= spec.threshold)
+    long = to_long(scored.withColumn(OUTCOME, outcome), [*columns, OUTCOME], ["covariate", "seed"])
+    bins = profile.features.select("feature", "is_categorical", *[f"b{i}" for i in range(1, BINS)])
+    own = bins.sparkSession.createDataFrame([(OUTCOME, True)], "feature string, is_categorical boolean")
+    bins = bins.unionByName(own, allowMissingColumns=True)
+    counts = materialise(
+        long.join(broadcast_bounded(bins, len(columns) + 1), "feature")
+        .select("covariate", "seed", "feature", cell().alias("cell"))
+        .groupBy("covariate", "seed", "feature", "cell").agg(F.count(F.lit(1)).alias("s")),
+        "backtest_counts",
+    )
+    psi = psi_against_profile(counts.where(F.col("feature") != OUTCOME), profile, ["covariate", "seed"])
+    is_score = F.col("feature") == spec.score
+    drift = psi.groupBy("covariate", "seed").agg(
+        F.max(F.when(~is_score, F.col("psi"))).alias("psi_max"), F.max(F.when(is_score, F.col("psi"))).alias("pred_psi")
+    )
+    grid = [
+        (m, float(i), float(i) if m in ("covariate", "both") else 0.0, flipped.index(float(i) if m in ("concept", "both") else 0.0))
+        for m, i in scenarios
+    ]
+    wanted = broadcast_bounded(
+        drift.sparkSession.createDataFrame(grid, "mode string, intensity double, covariate double, level int"), len(grid)
+    )
+    code = F.col("cell").cast("int")
+    kinds = counts.where(F.col("feature") == OUTCOME).select(
+        "covariate", "seed", "s", F.floor(code / 9).alias("reached"), (F.floor(code / 3) % 3).alias("known"), (code % 3).alias("said")
+    )
+    turned = F.when(F.col("reached") <= F.col("level"), 3 - F.col("known")).otherwise(F.col("known"))
+    judged = kinds.join(wanted, "covariate").withColumn("truth", F.when(F.col("known") == 0, 0).otherwise(turned))
+
+    def counted(condition: str):
+        return F.coalesce(F.sum(F.when(F.expr(condition), F.col("s"))), F.lit(0).cast("bigint"))
+
+    confusion = judged.groupBy(*GROUP).agg(
+        F.sum("s").alias("n_samples"), counted("truth > 0 AND said > 0").alias("n_labeled"), counted("truth > 0 AND said = 0").alias("n_unscored"),
+        counted("truth = 1 AND said = 1").alias("tp"), counted("truth = 2 AND said = 1").alias("fp"),
+        counted("truth = 1 AND said = 2").alias("fn"), counted("truth = 2 AND said = 2").alias("tn"),
+    )
+    return _judged(drift.join(wanted, "covariate").drop("covariate", "level"), confusion, reference, spec, config)
+
+
 def detection_rates(trial_rows: DataFrame) -> DataFrame:
     """Rates and means per scenario."""
 
@@ -118,7 +204,7 @@ def detector_comparison(
     """Per scenario and feature the PSI gate next to the KS rule, on the same batches.
 
     One layout of distinct readings holds the reference count and one count for each scenario, so
-    the reference is counted once; the KS statistic of a scenario reads its column of it.
+    the reference is counted once; the KS statistics of all scenarios come from one pass over it.
     """
     config = config or DriftConfig()
     names = [f"{m}@{float(i)}" for m, i in COMPARISON]
@@ -134,23 +220,37 @@ def detector_comparison(
     )
     runs = lay_out(counted, ["feature"], ["value"], [f"f{i}" for i in range(len(of))])
 
-    def against(i: int) -> Runs:
-        """The layout as one of the reference and scenario number i."""
-        sides = {"ref": 0, "prod": i}
-        rows = runs.rows.select(
-            "feature", "value", RUN, *[F.col(f"{w}{k}").alias(f"{w}_{side}") for side, k in sides.items() for w in "nf"]
-        )
-        totals = runs.totals.select(
-            "feature", RUN, *[F.col(f"f{k}_{t}").alias(f"f_{side}_{t}") for side, k in sides.items() for t in ("run", "before")]
-        )
-        return Runs(rows, totals, ("feature",), ("value",), ("f_ref", "f_prod"))
-
-    profile = profile_from_runs(against(1), (), len(features))
+    # The first scenario's view of the layout gives the profile, which only looks at the reference.
+    first = {"ref": 0, "prod": 1}
+    rows = runs.rows.select("feature", "value", RUN, *[F.col(f"{w}{k}").alias(f"{w}_{side}") for side, k in first.items() for w in "nf"])
+    totals = runs.totals.select(
+        "feature", RUN, *[F.col(f"f{k}_{t}").alias(f"f_{side}_{t}") for side, k in first.items() for t in ("run", "before")]
+    )
+    profile = profile_from_runs(Runs(rows, totals, ("feature",), ("value",), ("f_ref", "f_prod")), (), len(features))
     psi = feature_psi(keyed, features, profile, ["scenario"])
-    flags = None
-    for i, name in enumerate(names, 1):
-        one = order_statistics(against(i)).select(F.lit(name).alias("scenario"), "feature", ks_flag().alias("ks_flag"))
-        flags = one if flags is None else flags.unionByName(one)
-    return psi.join(flags, ["scenario", "feature"]).select(
+    return psi.join(_ks_flags(runs, names), ["scenario", "feature"]).select(
         "scenario", "feature", (F.col("psi") >= config.psi_alert).alias("psi_flag"), "ks_flag"
     ).withColumn("agree", F.col("psi_flag") == F.col("ks_flag"))
+
+
+def _ks_flags(runs: Runs, names: Sequence[str]) -> DataFrame:
+    """scenario, feature and ks_flag: the gaps of all scenarios from one ordered pass over the layout."""
+    sides = range(len(names) + 1)
+    whole = runs.totals.groupBy("feature").agg(*[F.sum(f"f{i}_run").alias(f"n{i}") for i in sides])
+    ordered = running_totals(runs).join(broadcast_bounded(whole.withColumnRenamed("feature", "_of"), None), F.col("feature") == F.col("_of"))
+    share = lambda i: F.col(f"f{i}_upto") / F.nullif(F.col(f"t{i}"), F.lit(0))
+    sized = ordered.select("feature", *[f"f{i}_upto" for i in sides], *[whole[f"n{i}"].alias(f"t{i}") for i in sides])
+    gaps = sized.groupBy("feature").agg(
+        *[F.max(f"t{i}").alias(f"t{i}") for i in sides],
+        *[F.coalesce(F.max(F.abs(share(0) - share(i))), F.lit(0.0)).alias(f"gap{i}") for i in sides[1:]],
+    )
+    one = [
+        F.struct(F.lit(name).alias("scenario"), F.col("t0").alias("n_ref"), F.col(f"t{i}").alias("n_prod"), F.col(f"gap{i}").alias("ks_statistic"))
+        for i, name in enumerate(names, 1)
+    ]
+    return (
+        gaps.select("feature", F.inline(F.array(*one)))
+        .withColumn("ks_method", ks_method("ks_statistic", "n_ref", "n_prod"))
+        .withColumn("ks_pvalue", ks_pvalue("ks_statistic", "n_ref", "n_prod", "ks_method"))
+        .select("scenario", "feature", ks_flag().alias("ks_flag"))
+    )

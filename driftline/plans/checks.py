@@ -8,15 +8,17 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.config import DriftConfig
+from driftline.config import ROWS_PER_SLICE, TEMPORAL_SLICES, DriftConfig
 from driftline.functions.scalars import f1_from_counts
 from driftline.operators import attribution as a
+from driftline.operators import sketches as sk
 from driftline.operators.decisions import guarded_status, status
 from driftline.operators.drift import NEUTRAL_FEATURE, compare, drift_summary, feature_psi
 from driftline.operators.performance import (
     arrived,
     confusion_counts,
     f1_at_threshold,
+    binned_auc,
     performance_vs_baseline,
     roc_auc,
 )
@@ -52,6 +54,7 @@ REPORT = {
     "baseline_f1": "double", "perf_f1": "double", "perf_drop": "double", "perf_roc_auc": "double",
     "concept_drift": "boolean", "decision_threshold": "double", "n_ref_rows": "bigint", "reference_hash": "bigint",
     "window_start": "time", "window_end": "time",
+    "mode": "string", "psi_error": "double", "ks_error": "double", "auc_error": "double",
 }
 # What a window that was not measured shows; all other measures are NULL.
 UNMEASURED = {"psi_max": 0.0, "psi_mean": 0.0, "ks_features_flagged": 0, "n_labeled": 0, "n_unscored": 0}
@@ -185,9 +188,16 @@ def drift_report(
     fingerprint: DataFrame | None = None,
     baseline: tuple[float, int] | None = None,
     bundle: ReferenceBundle | None = None,
+    mode: str = "exact",
 ) -> DataFrame:
     """The whole check of one production window as one row.
 
+    `mode="approximate"` takes all distributions from sketches: each side is scanned once, and what is
+    shuffled does not grow with the rows. `psi_error`, `ks_error` and `auc_error` bound the difference to
+    the exact report (0 there): of the largest PSI of a feature, of a KS statistic, and of the AUC.
+    Categories are decided on the whole reference also inside segments, and slices end near, not
+    exactly at, equal parts. It needs the reference's rows, so no bundle.
+
     With a `bundle` the reference is not read and may be None. `baseline` is (F1, reference
     rows); without it or a bundle both are measured on the reference.
 
@@ -196,8 +206,10 @@ def drift_report(
     is held by the driver, and the intermediate tables are deleted.
     """
     spark = production.sparkSession
+    if mode not in ("exact", "approximate") or (mode == "approximate" and bundle is not None):
+        raise ValueError("mode is exact, or approximate without a bundle")
     with scratch_scope(spark):
-        row = _report(reference, production, spec, config or DriftConfig(), fingerprint, baseline, bundle)
+        row = _report(reference, production, spec, config or DriftConfig(), fingerprint, baseline, bundle, mode)
         return spark.createDataFrame(row.collect(), row.schema)
 
 
@@ -209,6 +221,7 @@ def _report(
     fingerprint: DataFrame | None,
     baseline: tuple[float, int] | None,
     bundle: ReferenceBundle | None,
+    mode: str = "exact",
 ) -> DataFrame:
     spark = production.sparkSession
     if bundle is not None:
@@ -227,31 +240,19 @@ def _report(
     features = list(spec.features)
     if bundle is None:
         reference = materialise(reference.select(*dict.fromkeys(needed)), "reference")
-    found, profile = compare(
-        reference, production, [*features, spec.score], config, numeric=[spec.score],
-        saved=bundle.counts if bundle else None,
-    )
-    table = materialise(found, "drift")
-    is_score = F.col("feature") == spec.score
-    summary = drift_summary(table.filter(~is_score))
-    score_psi = table.filter(is_score).select(F.col("psi").alias("prediction_drift_psi"))
-    sliced = a.add_slice(production, spec.ts, spec.row_key)
-    by_slice = feature_psi(sliced, features, profile, ["slice"])
-    temporal = materialise(
-        a.slice_bounds(sliced, spec.ts).join(
-            by_slice.groupBy("slice").agg(F.round(F.max("psi"), 4).alias("psi_max")), "slice"
-        ),
-        "temporal",
-    )
-    sustained = a.sustained(temporal, config.psi_alert)
-    slices = temporal.agg(F.array_sort(F.collect_list(F.struct("slice", "n", "psi_max"))).alias("temporal"))
+    if mode == "approximate":
+        parts, segments = _sketched(reference, production, spec, config, n)
+    else:
+        parts, segments = _measured(reference, production, spec, config, bundle)
 
     in_time = arrived(F.col(spec.ts), moment(end, kind), config.label_delay_days)
     counts = confusion_counts(
         production, spec.threshold, score=spec.score, label=spec.label, labelled=in_time
     )
     labelled = production.filter(in_time) if config.label_delay_days > 0 else production
-    auc = roc_auc(labelled, score=spec.score, label=spec.label).select("roc_auc")
+    auc = binned_auc if mode == "approximate" else roc_auc
+    area = auc(labelled, score=spec.score, label=spec.label)
+    area = area.select("roc_auc", *([] if mode == "exact" else ["auc_error"]))
     if baseline is not None:
         base = spark.createDataFrame([baseline], "_base double, n_ref_rows bigint")
     else:
@@ -261,11 +262,8 @@ def _report(
             f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn")).alias("_base"),
             F.col("n_samples").alias("n_ref_rows"),
         )
-    parts = [summary, sustained, slices, score_psi, counts, auc, base]
-    if spec.segment:
-        segments = a.segment_drift(
-            reference, production, features, spec.segment, profile=bundle.segments if bundle else None
-        )
+    parts += [counts, area, base]
+    if segments is not None:
         parts.append(
             segments.agg(
                 F.array_sort(
@@ -286,6 +284,8 @@ def _report(
             "perf_roc_auc": F.when(F.col("perf_f1").isNotNull(), F.col("roc_auc")),
             "status": status(F.col("psi_max"), F.col("perf_drop"), F.col("prediction_drift_psi"), config),
             "decision_threshold": F.lit(spec.threshold),
+            "mode": F.lit(mode),
+            **({} if mode == "approximate" else {c: F.lit(0.0) for c in ("psi_error", "ks_error", "auc_error")}),
             "window_start": moment(start, kind),
             "window_end": moment(end, kind),
         }
@@ -293,6 +293,86 @@ def _report(
     return as_report(row, kind.simpleString())
 
 
+def _measured(
+    reference: DataFrame | None, production: DataFrame, spec: ModelSpec, config: DriftConfig, bundle: ReferenceBundle | None
+) -> tuple[list[DataFrame], DataFrame | None]:
+    """One-row parts of the report on distributions, and the segments, exactly."""
+    features = list(spec.features)
+    found, profile = compare(
+        reference, production, [*features, spec.score], config, numeric=[spec.score],
+        saved=bundle.counts if bundle else None,
+    )
+    table = materialise(found, "drift")
+    is_score = F.col("feature") == spec.score
+    summary = drift_summary(table.filter(~is_score))
+    score_psi = table.filter(is_score).select(F.col("psi").alias("prediction_drift_psi"))
+    sliced = a.add_slice(production, spec.ts, spec.row_key)
+    by_slice = feature_psi(sliced, features, profile, ["slice"])
+    temporal = materialise(
+        a.slice_bounds(sliced, spec.ts).join(
+            by_slice.groupBy("slice").agg(F.round(F.max("psi"), 4).alias("psi_max")), "slice"
+        ),
+        "temporal",
+    )
+    sustained = a.sustained(temporal, config.psi_alert)
+    slices = temporal.agg(F.array_sort(F.collect_list(F.struct("slice", "n", "psi_max"))).alias("temporal"))
+
+    segments = None
+    if spec.segment:
+        segments = a.segment_drift(
+            reference, production, features, spec.segment, profile=bundle.segments if bundle else None
+        )
+    return [summary, sustained, slices, score_psi], segments
+
+
+def _sketched(
+    reference: DataFrame, production: DataFrame, spec: ModelSpec, config: DriftConfig, n: int
+) -> tuple[list[DataFrame], DataFrame | None]:
+    """The same from sketches by slice and segment, which merge into those of the whole window."""
+    columns = [*spec.features, spec.score]
+    own = [spec.segment] if spec.segment else []
+    count = min(TEMPORAL_SLICES, max(1, n // ROWS_PER_SLICE))
+    micros = F.unix_micros(F.col(spec.ts).cast("timestamp"))
+    shares = [k / count for k in range(1, count)]
+    cuts = production.agg(F.percentile_approx(micros, shares, 10_000)).first()[0] if shares else []
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + (micros > cut).cast("int")
+    sliced = production.withColumn("slice", number)
+    keys = ["slice", *own]
+    prod = materialise(sk.sketch(sliced, columns, keys), "window_sketches")
+    ref = materialise(sk.sketch(reference, columns, own, quarantine=True), "reference_sketches")
+    categorical = sk.categorical_names(ref, [spec.score])
+    prod_values = materialise(sk.value_table(sliced, categorical, keys), "window_values")
+    ref_values = materialise(sk.value_table(reference, categorical, own, quarantine=True), "reference_values")
+
+    def compared(by: list[str], ref_by: list[str]) -> DataFrame:
+        counted = lambda rows, k: rows.groupBy(*k, "feature", "value").agg(F.sum("n").alias("n"))
+        return sk.sketch_drift(
+            sk.merge(ref, ref_by), sk.merge(prod, by), counted(ref_values, ref_by), counted(prod_values, by), categorical, config, by,
+            len(columns) if not ref_by else None,
+        )
+
+    is_score = F.col("feature") == spec.score
+    table = materialise(compared([], []), "drift")
+    errors = table.agg(
+        F.max(F.greatest(F.col("psi_high") - F.col("psi"), F.col("psi") - F.col("psi_low"))).alias("psi_error"), F.max("ks_error").alias("ks_error")
+    )
+    score_psi = table.filter(is_score).select(F.col("psi").alias("prediction_drift_psi"))
+    by_slice = compared(["slice"], []).filter(~is_score).groupBy("slice").agg(F.round(F.max("psi"), 4).alias("psi_max"))
+    temporal = materialise(a.slice_bounds(sliced, spec.ts).join(by_slice, "slice"), "temporal")
+    slices = temporal.agg(F.array_sort(F.collect_list(F.struct("slice", "n", "psi_max"))).alias("temporal"))
+    segments = None
+    if own:
+        known = ref.select(*own).distinct()
+        listed = a.segment_list(production, known, spec.segment)
+        worst = compared(own, own).filter(~is_score).groupBy(*own).agg(F.round(F.max("psi"), 4).alias("psi_max"))
+        worst = materialise(worst, "by_segment")
+        found = listed.join(worst, spec.segment, "left")
+        segments = found.select(spec.segment, "n", F.when(F.col("status") == "checked", F.col("psi_max")).alias("psi_max"), "status")
+    return [drift_summary(table.filter(~is_score)), a.sustained(temporal, config.psi_alert), slices, score_psi, errors], segments
+
+
 def _one_row(parts: Sequence[DataFrame]) -> DataFrame:
     """Put single-row results side by side, by a join on a constant key."""
     keyed = [p.withColumn("_one", F.lit(1)) for p in parts]
