@@ -225,13 +225,30 @@ def checks_with_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def champion_resolution(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts as registered versions of their brand; the largest ones carry the alias."""
+    """Parts as registered versions of their brand, and the larger ones as moves of the champion alias in
+    order of price: so an alias also moves back to older versions, and some moves take it away."""
     parts = read_table(spark, folder, "part")
-    registry = parts.select(
-        F.col("p_brand").alias("model"), F.col("p_partkey").cast("string").alias("version"),
-        F.when((F.col("p_size") == 50) & (F.col("p_brand") < "Brand#20"), F.lit("champion")).alias("alias"),
+    model, version = F.col("p_brand").alias("model"), F.col("p_partkey").cast("string")
+    registry = parts.select(model, version.alias("version"), F.lit(None).cast("string").alias("alias"))
+    moves = parts.where((F.col("p_size") >= 40) & (F.col("p_brand") < "Brand#40")).select(
+        model, F.lit("champion").alias("alias"), F.when(F.col("p_size") != 45, version).alias("version"),
+        F.struct("p_retailprice", "p_partkey").alias("seq"),
     )
-    return h.resolve_champions(registry).select("model", "uri")
+    return h.resolve_champions(registry, moves).select("model", "uri")
+
+
+def dispatch_outbox(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as requests that were let through, their lines as attempts to dispatch them: discounts of 7 %
+    and more were accepted, some attempts got no answer, some requests have no attempt yet."""
+    orders, lines = read_table(spark, folder, "orders"), read_table(spark, folder, "lineitem")
+    decision = F.when(F.col("o_orderpriority") == "1-URGENT", "dry_run").otherwise("dispatched")
+    audits = orders.select(F.col("o_orderkey").alias("id"), decision.alias("decision"), F.lit("204").alias("detail"))
+    status = F.when(F.col("l_discount") >= 0.07, 204).when(F.col("l_tax") < 0.04, 500 + F.col("l_linenumber"))
+    results = lines.where(F.col("l_quantity") > 20).select(
+        F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_tax").alias("attempt"), status.alias("status")
+    )
+    settled = g.settle_outbox(audits, results)
+    return settled.groupBy("decision", "detail").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
 def threshold_violations(spark: SparkSession, folder: str) -> DataFrame:
@@ -269,6 +286,7 @@ QUERIES = {
     "run_metrics_map": run_metrics_map,
     "checks_with_verdicts": checks_with_verdicts,
     "champion_resolution": champion_resolution,
+    "dispatch_outbox": dispatch_outbox,
     "threshold_violations": threshold_violations,
 }
 
@@ -412,10 +430,24 @@ ORACLES = {
       SELECT id, status, CASE WHEN status = 'alert' THEN 'drift in ' || event_type END AS diagnosis,
              CASE WHEN status = 'alert' THEN 'retrain' END AS action,
              CASE WHEN status = 'alert' THEN CAST(perf_drop >= 0.05 AS INTEGER) END AS triggered_retraining FROM checks""",
-    "champion_resolution": """SELECT p_brand AS model, CASE WHEN c IS NOT NULL THEN 'models:/' || p_brand || '@champion (v' || c || ')'
-          ELSE 'models:/' || p_brand || '/' || l END AS uri
-      FROM (SELECT p_brand, max(p_partkey) AS l, max(p_partkey) FILTER (WHERE p_size = 50 AND p_brand < 'Brand#20') AS c
-            FROM part GROUP BY p_brand)""",
+    "champion_resolution": """WITH moves AS (
+        SELECT p_brand, CASE WHEN p_size <> 45 THEN p_partkey END AS v,
+               row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey DESC) AS place
+        FROM part WHERE p_size >= 40 AND p_brand < 'Brand#40')
+      SELECT b.p_brand AS model, CASE WHEN v IS NOT NULL THEN 'models:/' || b.p_brand || '@champion (v' || v || ')'
+          ELSE 'models:/' || b.p_brand || '/' || l END AS uri
+      FROM (SELECT p_brand, max(p_partkey) AS l FROM part GROUP BY p_brand) b LEFT JOIN moves m ON m.p_brand = b.p_brand AND place = 1""",
+    "dispatch_outbox": """WITH attempts AS (
+        SELECT l_orderkey AS id, (l_linenumber, l_partkey, l_suppkey, l_tax) AS attempt,
+               CASE WHEN l_discount >= 0.07 THEN 204 WHEN l_tax < 0.04 THEN 500 + l_linenumber END AS status FROM lineitem WHERE l_quantity > 20),
+      newest AS (SELECT * FROM attempts QUALIFY row_number() OVER (PARTITION BY id ORDER BY attempt DESC) = 1),
+      settled AS (
+        SELECT o_orderkey AS id,
+          CASE WHEN o_orderpriority = '1-URGENT' THEN 'dry_run' WHEN o_orderkey NOT IN (SELECT id FROM attempts) THEN 'pending'
+               WHEN o_orderkey IN (SELECT id FROM attempts WHERE status = 204) THEN 'dispatched' ELSE 'blocked' END AS decision, n.status
+        FROM orders LEFT JOIN newest n ON n.id = o_orderkey)
+      SELECT decision, CASE decision WHEN 'pending' THEN NULL WHEN 'blocked' THEN coalesce('status ' || status, 'dispatch error') ELSE '204' END AS detail,
+        count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM settled GROUP BY ALL""",
     "threshold_violations": """SELECT model, concat_ws(',', CASE WHEN NOT (w > 0 AND w < 0.25) THEN 'psi_band' END,
           CASE WHEN NOT (pa > 0.1) THEN 'pred_band' END, CASE WHEN NOT (d > 0 AND d < 1) THEN 'perf_drop' END,
           CASE WHEN NOT (n >= 1) THEN 'min_samples' END, CASE WHEN NOT (l >= 0) THEN 'label_delay' END) AS violations

@@ -98,6 +98,34 @@ def audit_rows(
     )
 
 
+# How the outcome of a dispatch is told.
+SENT_STATUS = 204
+ERROR_DETAIL = "dispatch error"
+STATUS_DETAIL = "status %d"
+
+
+def settle_outbox(audits: DataFrame, results: DataFrame, request: str = "id") -> DataFrame:
+    """Audits whose dispatches have got the outcome that came back for them later.
+
+    results: (request, attempt, status) with a NULL status where nothing answered. Attempts are folded
+    per request: a request is `dispatched` once any attempt was accepted, `blocked` with the newest
+    attempt's failure as detail if none was, and `pending` while no result has come. Results of
+    requests that were never to be dispatched, and repeated ones, change nothing. A pending request
+    holds later ones back like a dispatched one, a failed one does not."""
+    folded = results.where(F.col(request).isNotNull()).groupBy(request).agg(
+        F.coalesce(F.bool_or(F.col("status") == SENT_STATUS), F.lit(False)).alias("_sent"),
+        F.max_by(F.struct("status"), "attempt").alias("_newest"),
+    )
+    failure = F.coalesce(F.format_string(STATUS_DETAIL, F.col("_newest.status").cast("bigint")), F.lit(ERROR_DETAIL))
+    failure = F.when(F.col("_newest.status").isNull(), F.lit(ERROR_DETAIL)).otherwise(failure)
+    asked = F.col("decision") == "dispatched"
+    return audits.join(folded, request, "left").select(
+        *[c for c in audits.columns if c not in ("decision", "detail")],
+        F.when(asked & F.col("_sent").isNull(), "pending").when(asked & ~F.col("_sent"), "blocked").otherwise(F.col("decision")).alias("decision"),
+        F.when(asked & F.col("_sent").isNull(), F.lit(None).cast("string")).when(asked & ~F.col("_sent"), failure).otherwise(F.col("detail")).alias("detail"),
+    )
+
+
 def retrain_cooldown(
     candidates: DataFrame,
     keys: Sequence[str],

@@ -79,8 +79,8 @@ def duration_histogram(
 
 
 def seconds_since_dispatch(audits: DataFrame, now: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """Seconds from the newest dispatched or dry-run audit to `now`; NULL when there is none."""
-    sent = F.col("decision").isin("dispatched", "dry_run")
+    """Seconds from the newest dispatched, pending or dry-run audit to `now`; NULL when there is none."""
+    sent = F.col("decision").isin("dispatched", "pending", "dry_run")
     newest = audits.groupBy(*keys).agg(F.max(F.when(sent, F.col("ts"))).alias("last_dispatch"))
     micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(
         F.col("last_dispatch").cast("timestamp")
@@ -88,14 +88,30 @@ def seconds_since_dispatch(audits: DataFrame, now: Column, keys: Sequence[str] =
     return newest.withColumn("seconds_since", micros / F.lit(1_000_000.0))
 
 
-def resolve_champions(registry: DataFrame, model: str = "model") -> DataFrame:
-    """Per model the version with the champion alias, else the numerically highest one."""
+def current_aliases(moves: DataFrame) -> DataFrame:
+    """(model, alias, version) after all moves: of each alias the newest move counts, by `seq`, whichever
+    version it names; an alias whose newest move names none is gone. Combined map-side."""
+    newest = moves.groupBy("model", "alias").agg(F.max_by(F.struct("version"), "seq").alias("_to"))
+    return newest.select("model", "alias", F.col("_to.version").alias("version")).where(F.col("version").isNotNull())
+
+
+def resolve_champions(registry: DataFrame, moves: DataFrame | None = None, model: str = "model") -> DataFrame:
+    """Per model the version with the champion alias, else the numerically highest one.
+
+    `moves` is the log of alias moves; an alias on a version that is not registered does not count.
+    Without a log the alias column of the registry is read, of several versions the highest."""
     version = F.col("version").cast("bigint")
-    champion = F.max(F.when(F.col("alias") == "champion", version))
-    picked = registry.groupBy(model).agg(
-        F.max(version).alias("latest_version"), champion.alias("champion_version")
+    latest = registry.groupBy(model).agg(
+        F.max(version).alias("latest_version"), F.max(F.when(F.col("alias") == "champion", version)).alias("champion_version")
     )
-    return picked.withColumn(
+    if moves is not None:
+        champions = current_aliases(moves).where(F.col("alias") == "champion").select("model", "version")
+        known = registry.select(F.col(model).alias("model"), "version").distinct()
+        held = champions.join(known, ["model", "version"], "left_semi").select(
+            F.col("model").alias(model), version.alias("champion_version")
+        )
+        latest = latest.drop("champion_version").join(held, model, "left")
+    return latest.withColumn(
         "uri",
         F.when(
             F.col("champion_version").isNotNull(),

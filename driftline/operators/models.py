@@ -133,8 +133,8 @@ def batch_score(df: DataFrame, model: TrainedModel) -> DataFrame:
 
 
 def save_model(spark: SparkSession, model: TrainedModel, path: str) -> None:
-    """Pipeline folder and a one-row metadata table next to it."""
-    model.pipeline.write().save(f"{path}/pipeline")
+    """Pipeline folder and a one-row metadata table next to it; what a failed try left is replaced."""
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
     row = (
         list(model.features), model.threshold, model.baseline_f1, model.f1_default, model.auc,
         model.n_train, model.n_test,
@@ -143,7 +143,7 @@ def save_model(spark: SparkSession, model: TrainedModel, path: str) -> None:
         [row],
         "features array<string>, threshold double, baseline_f1 double, f1_default double, "
         "auc double, n_train bigint, n_test bigint",
-    ).write.parquet(f"{path}/meta")
+    ).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 META_DEFAULTS = {

@@ -233,8 +233,8 @@ class ReferenceProfile:
 
     def save(self, path: str) -> None:
         """Keep the profile next to the model; a check then needs no reference scan."""
-        self.features.write.parquet(f"{path}/features")
-        self.cells.write.parquet(f"{path}/cells")
+        self.features.write.mode("overwrite").parquet(f"{path}/features")
+        self.cells.write.mode("overwrite").parquet(f"{path}/cells")
 
 
 def load_profile(

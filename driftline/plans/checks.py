@@ -151,13 +151,13 @@ class ReferenceBundle:
 
     def save(self, path: str) -> None:
         spark = self.counts.sparkSession
-        self.counts.write.parquet(f"{path}/counts")
+        self.counts.write.mode("overwrite").parquet(f"{path}/counts")
         if self.segments is not None:
             self.segments.save(f"{path}/segments")
         spark.createDataFrame(
             [(*self.baseline, self.fingerprint, self.segments.keys[0] if self.segments else None)],
             "f1 double, n_rows bigint, fingerprint bigint, segment string",
-        ).write.parquet(f"{path}/meta")
+        ).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load_bundle(spark: SparkSession, path: str) -> ReferenceBundle:
@@ -226,6 +226,9 @@ def _report(
     spark = production.sparkSession
     if bundle is not None:
         baseline = bundle.baseline
+        kept = bundle.segments.keys[0] if bundle.segments is not None else None
+        if spec.segment and kept != spec.segment:
+            raise ValueError(f"the bundle has no profile by {spec.segment}, but by {kept}")
     # Each side is scanned once, for the needed columns; all that follows reads the slim copies.
     needed = [*spec.features, spec.score, spec.label, *([spec.segment] if spec.segment else [])]
     production = materialise(production.select(*dict.fromkeys([spec.ts, spec.row_key, *needed])), "window")

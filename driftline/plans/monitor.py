@@ -54,6 +54,10 @@ class MonitorTables:
     def registry(self) -> str:
         return f"{self.root}/model_registry"
 
+    @property
+    def aliases(self) -> str:
+        return f"{self.root}/model_aliases"
+
 
 def run_check(
     reference: DataFrame | None,
@@ -87,20 +91,23 @@ def run_check(
 
 
 def record_verdicts(texts: DataFrame, check_id: str, text: str, tables: MonitorTables) -> DataFrame:
-    """Take the verdict object out of each text and append it under its check's id."""
+    """Take the verdict object out of each text and keep it under its check's id. The verdicts of a
+    check that come again replace the ones before."""
     found = extract_verdicts(texts, check_id, text).select(
         F.col(check_id).alias("drift_check_id"), "diagnosis", "recommendations",
         F.col("trigger_retraining").alias("triggered_retraining"),
     )
     rows = materialise(sinks.verdict_rows(found), "verdicts")
-    sinks.append_rows(rows, tables.verdicts)
+    # A folder for each check, and only those of this call are replaced.
+    named = rows.withColumn("event", F.md5("drift_check_id"))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event").parquet(tables.verdicts)
     return rows
 
 
 def report_list(spark: SparkSession, tables: MonitorTables, limit: int = 20) -> DataFrame:
     """The newest stored checks with their verdicts."""
     newest = recent(spark.read.parquet(tables.checks), "ts", limit=limit)
-    return checks_with_verdicts(newest, spark.read.parquet(tables.verdicts))
+    return checks_with_verdicts(newest, spark.read.parquet(tables.verdicts).drop("event"))
 
 
 def performance_view(checks: DataFrame, limit: int = 20) -> DataFrame:
@@ -121,13 +128,15 @@ def request_retrain(
     config: DriftConfig | None = None,
     configured: bool = True,
 ) -> DataFrame:
-    """Run one request through the gate and append its audit row, whatever the outcome."""
+    """Run one request through the gate and keep its audit row, whatever the outcome. The same request,
+    by model and time, replaces its row, and its own row does not hold it back."""
     config = config or DriftConfig()
     requests = report.withColumns({"asked": F.lit(reason), "asked_at": F.lit(now)})
     if audits is None:
         since = requests.withColumn("seconds_since", F.lit(None).cast("double"))
     else:
-        waited = seconds_since_dispatch(audits, F.lit(now), ["model"]).select("model", "seconds_since")
+        earlier = audits.where(F.col("ts") < F.lit(now))
+        waited = seconds_since_dispatch(earlier, F.lit(now), ["model"]).select("model", "seconds_since")
         since = requests.join(waited, "model", "left")
     message = gate_message(F.col("psi_max"), F.col("perf_drop"), F.col("seconds_since"), config)
     judged = since.withColumn("message", message)
@@ -138,7 +147,8 @@ def request_retrain(
         .select("model", "ts", "decision", "reason", "psi_max", "perf_drop", "detail", "allowed"),
         "audit",
     )
-    sinks.append_rows(rows.drop("allowed"), tables.audits)
+    models = "|".join(sorted(str(r.model) for r in rows.select("model").collect()))
+    sinks.put_rows(rows.drop("allowed"), tables.audits, f"{models}|{now}")
     return rows
 
 
@@ -176,6 +186,10 @@ def keep_version(
     fingerprint: DataFrame | None = None,
     alias: str | None = "champion",
 ) -> None:
+    """Everything of a version, its registry row last: a version counts once it is registered. A try that
+    failed anywhere before is run again over what it left; a registered version is not touched."""
+    if sinks.is_registered(spark, tables.registry, model, version):
+        return
     path = f"{tables.root}/models/{model}/v={version}"
     ml.save_model(spark, trained, path)
     spec = ModelSpec(trained.features, "", key, trained.threshold, label=label, segment=segment)
@@ -183,8 +197,10 @@ def keep_version(
         columns = dict.fromkeys([key, label, *trained.features, *([segment] if segment else [])])
         scored = ml.batch_score(training.select(*columns), trained).filter("NOT quarantined")
         build_bundle(scored, spec, fingerprint).save(f"{path}/reference")
-    reference = sinks.save_reference(training, f"{tables.root}/reference/{model}", version)
+    reference = sinks.save_reference(training, f"{tables.root}/reference/{model}", version, again=True)
     log_run(spark, tables, f"{model}|v={version}", trained, {"model": model, "version": str(version), "kind": "train"})
+    if alias is not None:
+        sinks.move_alias(spark, tables.aliases, model, alias, version, f"register v={version}")
     sinks.register_version(spark, tables.registry, model, version, alias, reference)
 
 
@@ -215,6 +231,8 @@ def evaluate_and_promote(
     hours: int = 24 * 30,
     label_delay_days: int = 0,
     trees: int = ml.TREES,
+    segment: str | None = None,
+    fingerprint: DataFrame | None = None,
 ) -> DataFrame:
     """Train a challenger, compare it with the champion on the newest labelled window, and
     save and register it if it is at least as good.
@@ -243,7 +261,7 @@ def evaluate_and_promote(
     tags = {"model": model, "version": str(version), "kind": "promotion", "reason": outcome["reason"]}
     log_run(spark, tables, f"{model}|v={version}|promotion", challenger, tags)
     if outcome["promoted"]:
-        keep_version(spark, training, challenger, label, key, tables, model, version)
+        keep_version(spark, training, challenger, label, key, tables, model, version, segment, fingerprint)
     return decision
 
 

@@ -80,6 +80,26 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+@contextmanager
+def recorded_paths() -> Iterator[list[str]]:
+    """The list that collects what is written below the shared folder inside the block; nothing is deleted."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    own: list[str] = []
+    _scopes.open.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.open.pop()
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete recorded tables that no frame in use reads any more."""
+    for path in paths:
+        _delete(spark, path)
+    paths.clear()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything this application wrote below the shared folder."""
     _delete(spark, f"{shared_root(spark)}/driftline/{spark.sparkContext.applicationId}")

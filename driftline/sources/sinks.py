@@ -83,21 +83,51 @@ def run_rows(
     )
 
 
-def save_reference(df: DataFrame, root: str, version: int) -> str:
-    """A new version folder; the previous one stays readable."""
+def save_reference(df: DataFrame, root: str, version: int, again: bool = False) -> str:
+    """A new version folder; the previous one stays readable. `again` replaces what a failed try left."""
     path = f"{root}/v={version}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("overwrite" if again else "errorifexists").parquet(path)
     return path
 
 
+REGISTRY = "model string, version string, alias string, reference_path string"
+MOVES = "model string, alias string, version string, seq bigint, move string"
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of an append table; none while nothing was appended."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def is_registered(spark: SparkSession, path: str, model: str, version: int) -> bool:
+    rows = stored(spark, path, REGISTRY)
+    return not rows.where((F.col("model") == model) & (F.col("version") == str(version))).isEmpty()
+
+
 def register_version(
     spark: SparkSession, path: str, model: str, version: int, alias: str | None, reference: str
 ) -> None:
-    """One pointer row in the model registry."""
-    spark.createDataFrame(
-        [(model, str(version), alias, reference)],
-        "model string, version string, alias string, reference_path string",
-    ).write.mode("append").parquet(path)
+    """One pointer row in the model registry; the same version again replaces its row.
+
+    It is the commit of a version: whatever else belongs to it is written before."""
+    row = spark.createDataFrame([(model, str(version), alias, reference)], REGISTRY)
+    put_rows(row, path, f"{model}|{version}")
+
+
+def move_alias(spark: SparkSession, path: str, model: str, alias: str, version: int | None, event: str) -> int:
+    """Point an alias of a model at a version, or at none; returns the move's place in the log.
+
+    The log keeps every move, numbered from 1 for each (model, alias). `event` names the move: the same
+    event again keeps its number, so a retry moves nothing. One job at a time moves an alias."""
+    moves = stored(spark, path, MOVES).where((F.col("model") == model) & (F.col("alias") == alias))
+    known = moves.agg(F.max("seq").alias("last"), F.max(F.when(F.col("move") == event, F.col("seq"))).alias("own")).first()
+    seq = known["own"] or (known["last"] or 0) + 1
+    row = spark.createDataFrame([(model, alias, None if version is None else str(version), seq, event)], MOVES)
+    put_rows(row, path, f"{model}|{alias}|{event}")
+    return seq
 
 
 def export_json(rows: DataFrame, path: str) -> None:
