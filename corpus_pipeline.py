@@ -3,24 +3,46 @@ component, secrets masked, sources mixed to target weights, and SentencePiece id
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of docs. Between stages the rows are written to the cluster's shared folder.
+
+The intermediate tables of a stage are deleted when the next one begins: its result has been
+written by then, as that is what the next one reads. So write a stage's result before calling another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import op2_sentencepiece, op4_mixture, op5_secrets, op9_quality_rules, op10_jaccard_join
 from driftline.llm.common import read_table
-from driftline.session import materialise
+from driftline.session import drop_paths, materialise, recorded_paths
+
+_left: list[str] = []
+
+
+def _tidy(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_paths(spark, _left)
+        with recorded_paths() as own:
+            result = stage(spark, docs, sf_dir)
+        _left[:] = own
+        return result
+
+    return run_stage
 
 
+@_tidy
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that fail the base rules or lie outside their language's band."""
     return op9_quality_rules.good_rows(docs)
 
 
+@_tidy
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts whose five-word shingles are 0.8 alike or more.
 
@@ -28,6 +50,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return op10_jaccard_join.one_of_each(docs, width=5, p=4, q=5)
 
 
+@_tidy
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With secrets masked in the text, and n_chars of the new text."""
     masked = op5_secrets.mask_secrets(docs)
@@ -35,12 +58,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
 
 
+@_tidy
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     _, decided = op4_mixture.mix(docs)
     return op4_mixture.repeat_rows(docs, decided)
 
 
+@_tidy
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded text, and source bytes, for every row."""
     return op2_sentencepiece.digests(docs, public_tokenizers.path(op2_sentencepiece.MODEL))
