@@ -36,7 +36,8 @@ ASSIGN = re.compile(
 # longest run with the short ones left out.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+# A run with two dots at least; it is tried once, from its beginning, and nothing of it is given back.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]*+(?:\.[A-Za-z0-9_-]*+){2,}+")
 HEADER = re.compile(r"e[wy]")
 AFTER_BRACE = frozenset(b' \t\r\n"}')
 HEAD_CHARS = 256  # of a header are looked at first, then four times as many as before
