@@ -130,5 +130,5 @@ ORACLES = {
       SELECT {DRIFT_SELECT} FROM drift ORDER BY drift.psi DESC, feature LIMIT 3""",
     "inspect_feature": f"""WITH {q.drift_table_ctes(DRIFT_REF, DRIFT_PROD, FEATURES)}
       SELECT 'value' AS wanted, {_INSPECT}, * EXCLUDE (feature) FROM (SELECT {DRIFT_SELECT} FROM drift) WHERE feature = 'value'
-      UNION ALL SELECT 'nothing', {_INSPECT}, {', '.join(['NULL'] * 10)}""",
+      UNION ALL SELECT 'nothing', {_INSPECT}, {', '.join(['NULL'] * 11)}""",
 }
