@@ -14,9 +14,22 @@ from driftline.operators.profile import build_profile
 from driftline.plans import datasets as ds
 from driftline.session import scratch_path
 from driftline.streaming import common
-from driftline.streaming.cooldown import cooldown_batches, read_decisions, retrain_cooldown_stream
-from driftline.streaming.label_f1 import labelled_predictions, write_labelled
-from driftline.streaming.window_psi import pane_counts, read_panes, sliding_psi, write_panes
+from driftline.streaming.cooldown import (
+    cooldown_batches,
+    cooldown_in_event_time,
+    open_decisions,
+    read_decisions,
+    retrain_cooldown_stream,
+)
+from driftline.streaming.label_f1 import labelled_predictions, scores_by_day, write_labelled
+from driftline.streaming.window_psi import (
+    pane_counts,
+    read_panes,
+    read_running,
+    sliding_psi,
+    write_panes,
+    write_running,
+)
 
 STATE_PARTITIONS = 8
 MAX_DELAY_HOURS = 80
@@ -54,12 +67,16 @@ def stream_label_f1(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("ts") + F.make_dt_interval(secs=late)).alias("label_ts"),
         (F.col("event_type") == "purchase").cast("int").alias("label"),
     ).filter(hash_uniform(["event_id"], "lost") >= 0.02)
-    path = scratch_path(spark, "labelled")
-    joined = labelled_predictions(scores, labels, "event_id", f"{MAX_DELAY_HOURS} HOURS", "1 hour")
+    path, counts = scratch_path(spark, "labelled"), scratch_path(spark, "scores-by-day")
+    joined = labelled_predictions(scores, labels, "event_id", f"{MAX_DELAY_HOURS} HOURS", "1 hour", unmatched=True)
     write_labelled(joined, path, scratch_path(spark, "labelled-state"))
-    table = spark.read.parquet(path).withColumn("day", F.to_date("ts"))
+    write_running(
+        scores_by_day(scores, "1 hour"), ["day"], "n_samples", "day", counts, scratch_path(spark, "scores-by-day-state")
+    )
+    # Scores that the stream gave up have no label; those of the last days are still waiting.
+    table = spark.read.parquet(path).where("label is not null").withColumn("day", F.to_date("ts"))
     found = f1_at_threshold(table, ds.DECISION_THRESHOLD, ["day"]).drop("n_samples")
-    made = ds.events(spark, folder).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n_samples"))
+    made = read_running(spark, ["day"], "n_samples", counts)
     matched = F.coalesce("n_labeled", F.lit(0))
     return made.join(found, "day", "left").select(
         "day", "n_samples", matched.alias("n_labeled"), (F.col("n_samples") - matched).alias("n_unmatched"),
@@ -99,11 +116,29 @@ def stream_cooldown_batches(spark: SparkSession, folder: str) -> DataFrame:
     return read_decisions(spark, path).select("event_id", "model", "dispatched")
 
 
+def stream_cooldown_event_time(spark: SparkSession, folder: str) -> DataFrame:
+    """What the stream has decided up to its watermark, and what it would decide of the rest."""
+    own = common.stateful_session(spark, STATE_PARTITIONS)
+    asked = _events(own, folder).filter("event_type = 'purchase' AND value >= 20").select(
+        F.col("user_id").alias("model"), "event_id", "ts"
+    )
+    path = scratch_path(spark, "cooldown")
+    common.run_available(
+        cooldown_in_event_time(asked, COOLDOWN_MINUTES, 60, path).option(
+            "checkpointLocation", scratch_path(spark, "cooldown-state")
+        )
+    )
+    columns = ["event_id", "model", "dispatched"]
+    waiting = open_decisions(spark, path, COOLDOWN_MINUTES).select(*columns)
+    return read_decisions(spark, path).select(*columns).unionByName(waiting)
+
+
 QUERIES = {
     "stream_window_psi": stream_window_psi,
     "stream_label_f1": stream_label_f1,
     "stream_retrain_cooldown": stream_retrain_cooldown,
     "stream_cooldown_batches": stream_cooldown_batches,
+    "stream_cooldown_event_time": stream_cooldown_event_time,
 }
 
 SLID = f"""SELECT date_trunc('hour', ts) - to_hours(CAST(h AS INTEGER)) AS window_start, value, k
@@ -126,3 +161,4 @@ ORACLES = {
       FROM asked LEFT JOIN sent ON model = k AND ts = sent_at""",
 }
 ORACLES["stream_cooldown_batches"] = ORACLES["stream_retrain_cooldown"]
+ORACLES["stream_cooldown_event_time"] = ORACLES["stream_retrain_cooldown"]

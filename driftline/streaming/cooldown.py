@@ -1,19 +1,22 @@
-"""Rate-limited retrain decisions on a stream (T7), in two forms.
+"""Rate-limited retrain decisions on a stream (T7), in three forms.
 
 The stateful operator keeps one value per model and suits the usual few requests per model
 and micro-batch. `cooldown_batches` runs the distributed batch job on every micro-batch and
-has no limit on the requests of one model.
+has no limit on the requests of one model. `cooldown_in_event_time` runs the same job on what the
+watermark has closed, so that its decisions do not depend on the borders of batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.operators.decisions import retrain_cooldown
+from driftline.session import drop_paths
 
 OUTPUT = T.StructType(
     [
@@ -94,5 +97,57 @@ def cooldown_batches(requests: DataFrame, interval_minutes: int, path: str, ts:
     return requests.writeStream.foreachBatch(decide)
 
 
+def cooldown_in_event_time(
+    requests: DataFrame, interval_minutes: int, lateness_minutes: int, path: str, ts: str = "ts"
+):
+    """Stream writer whose decisions depend on event time only, not on how requests came in batches.
+
+    A request waits until the newest request seen is more than `lateness_minutes` after it; then no
+    earlier one can come any more, and all requests up to that moment are decided by the distributed
+    batch job. Requests that come after their moment was decided go to `late`, undecided. A request
+    without a time can not be decided and goes there too. The state of a batch is a table of open
+    requests, the last dispatch of each model, and two moments; older states are deleted.
+    """
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        came = f"{path}/arrived/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(came)
+        arrived = spark.read.schema(batch.schema).parquet(came)
+        last, waiting, newest, decided_to = None, arrived.limit(0), None, None
+        if batch_id > 0:
+            last = spark.read.parquet(f"{path}/last/batch={batch_id - 1}")
+            waiting = spark.read.schema(batch.schema).parquet(f"{path}/open/batch={batch_id - 1}")
+            newest, decided_to = spark.read.parquet(f"{path}/clock/batch={batch_id - 1}").first()
+        late = F.col(ts).isNull() if decided_to is None else F.col(ts).isNull() | (F.col(ts) < F.lit(decided_to))
+        arrived.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        seen = [t for t in (newest, arrived.agg(F.max(ts)).first()[0]) if t is not None]
+        newest = max(seen, default=None)
+        border = newest and newest - timedelta(minutes=lateness_minutes)
+        if border is not None and (decided_to is None or border > decided_to):
+            decided_to = border
+        pending = waiting.unionByName(arrived.where(~late))
+        closed = F.lit(False) if decided_to is None else F.col(ts) < F.lit(decided_to)
+        pending.where(~closed).write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
+        out = f"{path}/decisions/batch={batch_id}"
+        retrain_cooldown(pending.where(closed), ["model"], ts, interval_minutes, last).write.mode("overwrite").parquet(out)
+        sent = spark.read.parquet(out).where("dispatched").select("model", F.col(ts).alias("last"))
+        known = sent if last is None else sent.unionByName(last)
+        known.groupBy("model").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{path}/last/batch={batch_id}")
+        kind = batch.schema[ts].dataType.simpleString()
+        clock = spark.createDataFrame([(newest, decided_to)], f"newest {kind}, decided_to {kind}")
+        clock.coalesce(1).write.mode("overwrite").parquet(f"{path}/clock/batch={batch_id}")
+        drop_paths(spark, [f"{path}/{t}/batch={batch_id - 2}" for t in ("arrived", "open", "last", "clock")])
+
+    return requests.writeStream.foreachBatch(decide)
+
+
+def open_decisions(spark: SparkSession, path: str, interval_minutes: int, ts: str = "ts") -> DataFrame:
+    """How the requests that still wait would be decided if no other one came."""
+    batch = spark.read.parquet(f"{path}/clock").agg(F.max("batch")).first()[0]
+    waiting = spark.read.parquet(f"{path}/open/batch={batch}")
+    return retrain_cooldown(waiting, ["model"], ts, interval_minutes, spark.read.parquet(f"{path}/last/batch={batch}"))
+
+
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/decisions").drop("batch")

@@ -9,10 +9,13 @@ from driftline.streaming.common import run_available
 
 
 def labelled_predictions(
-    scores: DataFrame, labels: DataFrame, key: str, max_delay: str, lateness: str
+    scores: DataFrame, labels: DataFrame, key: str, max_delay: str, lateness: str, unmatched: bool = False
 ) -> DataFrame:
     """Each score with its label, once both are there.
 
+    With `unmatched`, a score whose label can no longer come is given too, with a NULL label, when
+    the watermark drops it from the state.
+
     `scores` has (key, ts, score), `labels` (key, label_ts, label). A label can come up to
     `max_delay` after its score; both watermarks and that bound let Spark drop old state.
     """
@@ -23,7 +26,7 @@ def labelled_predictions(
         & (F.col("l.label_ts") >= F.col("s.ts"))
         & (F.col("l.label_ts") <= F.col("s.ts") + F.expr(f"INTERVAL {max_delay}"))
     )
-    return s.join(known, on_time, "inner").drop("_key")
+    return s.join(known, on_time, "left_outer" if unmatched else "inner").drop("_key")
 
 
 def write_labelled(joined: DataFrame, path: str, checkpoint: str) -> None:
@@ -34,3 +37,11 @@ def write_labelled(joined: DataFrame, path: str, checkpoint: str) -> None:
         .option("path", path)
         .option("checkpointLocation", checkpoint)
     )
+
+
+def scores_by_day(scores: DataFrame, lateness: str) -> DataFrame:
+    """(day, n_samples): a running count of the scores of each day."""
+    counted = scores.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w"))
+    return counted.agg(F.count(F.lit(1)).alias("n_samples")).select(
+        F.to_date("w.start").alias("day"), "n_samples"
+    )

@@ -11,9 +11,7 @@ from driftline.plans.checks import ModelSpec, ReferenceBundle, drift_report
 from driftline.plans.monitor import MonitorTables
 from driftline.sources import sinks
 from driftline.sources.tables import lookback_window
-
-
-DATE = "event_date"
+from driftline.streaming.day_parts import DayParts
 
 
 def check_each_batch(
@@ -28,19 +26,17 @@ def check_each_batch(
 ):
     """Stream writer: append the batch to the log, check the newest window, keep check and alert.
 
-    Every output lies in a folder of its batch id that a repeated batch replaces, and the
-    window only uses batches up to this one, so a repeated run gives the same tables. With the
-    model's bundle no batch reads the reference; intermediate tables go with each check.
+    The log is kept by day (`DayParts`), so a check opens the window's days only, in a number of
+    parts that does not grow with the stream. Every output lies in a folder of its batch id that a
+    repeated batch replaces, so a repeated run gives the same tables. With the model's bundle no
+    batch reads the reference; intermediate tables go with each check.
     """
+    log = DayParts(f"{tables.root}/log", open_days=-(-hours // 24))
 
     def check(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        log_path = f"{tables.root}/log"
-        # By date inside the batch, so that the window reads the newest dates only.
-        dated = batch.withColumn(DATE, F.to_date(spec.ts))
-        dated.write.mode("overwrite").partitionBy(DATE).parquet(f"{log_path}/batch={batch_id}")
-        log = spark.read.parquet(log_path).filter(F.col("batch") <= batch_id).drop("batch")
-        window = lookback_window(log, spec.ts, hours, DATE).drop(DATE)
+        log.add(batch, F.to_date(spec.ts), batch_id)
+        window = lookback_window(log.read(spark, -(-hours // 24)), spec.ts, hours)
         report = drift_report(reference, window, spec, config, bundle=bundle).withColumns(
             {"model": F.lit(model), "ts": F.col("window_end"), "batch_id": F.lit(batch_id)}
         )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from driftline.operators.drift import psi_against_profile
 from driftline.operators.profile import ReferenceProfile, cell, to_long
 from driftline.streaming.common import run_available
+from driftline.streaming.day_parts import DayParts, newest_wins
 
 PANE_HOURS = 1
 
@@ -33,13 +34,37 @@ def pane_counts(
     )
 
 
+def write_running(
+    counts: DataFrame, keys: list[str], value: str, moment: str, path: str, checkpoint: str
+) -> int:
+    """Keep running values of a stream in update mode as a table by day in which the newest wins.
+
+    A batch writes what it has changed, and the watermark drops the state of what is closed, so
+    neither grows with the stream. Returns how many counts came too late.
+    """
+    table = DayParts(path, newest_wins(keys, value))
+    return run_available(
+        counts.writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda batch, batch_id: table.add(batch, F.to_date(moment), batch_id))
+    )
+
+
+def read_running(spark: SparkSession, keys: list[str], value: str, path: str) -> DataFrame:
+    return DayParts(path, newest_wins(keys, value)).read(spark)
+
+
+PANE_KEYS = ["pane", "feature", "cell"]
+
+
 def write_panes(panes: DataFrame, path: str, checkpoint: str, output_mode: str = "update") -> int:
     """Write panes per micro-batch; a repeated batch replaces its own folder only.
 
-    Update mode writes the panes that a batch has changed, and the watermark drops the state
-    of closed ones, so neither state nor output of a batch grows with the stream. Append mode
-    writes a pane once it is closed. Returns how many counts came too late.
+    Update mode keeps panes as running values, one part for each closed day and a few for open
+    ones. Append mode writes a pane once it is closed, to a folder of its batch.
     """
+    if output_mode == "update":
+        return write_running(panes, PANE_KEYS, "s", "pane", path, checkpoint)
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -52,9 +77,8 @@ def write_panes(panes: DataFrame, path: str, checkpoint: str, output_mode: str =
 
 
 def read_panes(spark: SparkSession, path: str) -> DataFrame:
-    """Each pane as the newest batch that wrote it has it."""
-    stored = spark.read.parquet(path)
-    return stored.groupBy("pane", "feature", "cell").agg(F.max_by("s", "batch").alias("s"))
+    """Each pane as the newest batch that wrote it in update mode has it."""
+    return read_running(spark, PANE_KEYS, "s", path)
 
 
 def sliding_psi(
