@@ -15,9 +15,14 @@
    walked at once; a pair of nodes goes if no pair of members can overlap enough, or if all of
    them are connected already. The pairs of members that remain are compared exactly.
 5. Components of the links found, and the smallest document id of each.
-
-A link between two members that other links already connect is not looked for: it can not change
-a component. Results are exact but for collisions of 64-bit hashes.
+6. Numbers of links. All links of a pair of blocks lie inside the components that step 4 found
+   there. For each of these, trees are walked again without regard to connections. A node also
+   holds how far its members are from the component's majority set, at most: if the distances of
+   two nodes add up to no more than linked sets may differ by, all their pairs are linked and are
+   counted at once. Pairs that are neither ruled out nor proven are compared exactly. No pair
+   leaves a task; a task gives a count for each member, in documents, so copies count.
+
+Results are exact but for collisions of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -319,6 +324,171 @@ def bitmap_width(largest: int, members: int) -> int:
     return min(wanted, allowed, 1 << 17)
 
 
+def bitmaps_of(sets: list[np.ndarray], width: int) -> np.ndarray:
+    bitmaps = np.zeros((len(sets), width // 64), np.uint64)
+    for i, s in enumerate(sets):
+        bit = mixed(s) & np.uint64(width - 1)
+        np.bitwise_or.at(bitmaps[i], bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+    return bitmaps
+
+
+def children(a: SignatureTree, b: SignatureTree, level: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of nodes one level below the pairs (i, j); of a tree with itself, those with i <= j."""
+    nexts = []
+    for t, node in ((a, i), (b, j)):
+        if level >= len(t.levels):  # this tree is not as high: its node waits
+            nexts.append(node[:, None])
+        else:
+            nexts.append(node[:, None] * FAN_OUT + np.arange(FAN_OUT))
+    x = np.repeat(nexts[0], nexts[1].shape[1], axis=1).ravel()
+    y = np.tile(nexts[1], (1, nexts[0].shape[1])).ravel()
+    na, nb = (len(t.levels[min(level - 1, len(t.levels) - 1)][2]) for t in (a, b))
+    inside = (x < na) & (y < nb)
+    if a is b:
+        inside &= x <= y
+    return x[inside], y[inside]
+
+
+class LocalSets:
+    """Sets as numbers of the tokens that two of them have, for many exact intersections."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        tokens, times = np.unique(np.concatenate(sets), return_counts=True)
+        often = times > 1
+        tokens, self.times = tokens[often], times[often]
+        at = [np.searchsorted(tokens, s) for s in sets]
+        ids = [a[(a < len(tokens)) & (tokens[np.minimum(a, len(tokens) - 1)] == s)] if len(tokens) else a[:0] for a, s in zip(at, sets, strict=True)]
+        self.sizes = np.array([len(x) for x in ids], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.ids = np.concatenate(ids).astype(np.int32)
+        self.marks = np.zeros(len(tokens), bool)
+
+    def common(self, marked: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """How many of the marked tokens each of the other sets has."""
+        sizes = self.sizes[others]
+        ends = np.cumsum(sizes)
+        where = np.repeat(self.starts[others] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        self.marks[marked] = True
+        hits = np.concatenate([[0], np.cumsum(self.marks[self.ids[where]])])
+        self.marks[marked] = False
+        return hits[ends] - hits[ends - sizes]
+
+    def of(self, x: int) -> np.ndarray:
+        return self.ids[self.starts[x] : self.starts[x + 1]]
+
+
+def count_links(
+    left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, p: int, q: int
+) -> np.ndarray:
+    """For each position, the copies of all members on the other side that it is linked with.
+
+    left and right are equal (pairs inside a list) or have nothing in common.
+    """
+    inside = left is right
+    sizes = np.array([len(s) for s in sets], np.int64)
+    counts = np.zeros(len(sets), np.int64)
+    if len(left) * len(right) <= 64:
+        for x in left:
+            for y in right:
+                if x < y or not inside:
+                    both = shared(sets[x], sets[y])
+                    if q * both >= p * (sizes[x] + sizes[y] - both):
+                        counts[x] += copies[y]
+                        counts[y] += copies[x]
+        return counts
+    local = LocalSets(sets)
+    # Two sets are linked if they differ in at most (q - p) / (q + p) of their summed size, and
+    # through any third set they differ by no more than both from that one.
+    centre = np.flatnonzero(2 * local.times > len(sets))
+    middle = np.zeros(len(sets), np.int64)
+    step = max(1, (1 << 22) // max(1, int(sizes.max())))
+    for start in range(0, len(sets), step):
+        some = np.arange(start, min(start + step, len(sets)))
+        middle[some] = local.common(centre, some)
+    room = (q - p) * sizes - (q + p) * (sizes + len(centre) - 2 * middle)
+    width = bitmap_width(int(sizes.max()), len(sets))
+    most = min(8192, max(64, (BITMAP_BYTES // 8) // (width // 8)))
+    bitmaps = bitmaps_of(sets, width)
+    trees, rooms = [], []
+    for side in (left,) if inside else (left, right):
+        trees.append(SignatureTree(side[np.argsort(-room[side], kind="stable")], bitmaps, sizes))
+        least = [room[trees[-1].order]]
+        while len(least) < len(trees[-1].levels):
+            least.append(np.minimum.reduceat(least[-1], np.arange(0, len(least[-1]), FAN_OUT)))
+        rooms.append(least)
+    a, b = trees[0], trees[-1]
+    gained = [np.zeros(len(t.order) + 1, np.int64) for t in trees]  # steps, summed at the end
+    own = np.zeros(len(a.order) + 1, np.int64)
+    prior = [np.concatenate([[0], np.cumsum(copies[t.order])]) for t in trees]
+
+    def span(t: SignatureTree, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = FAN_OUT ** min(level, len(t.levels) - 1)
+        return node * wide, np.minimum((node + 1) * wide, len(t.order))
+
+    stack = [(max(len(a.levels), len(b.levels)) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        level, i, j = stack.pop()
+        if len(i) > most:
+            half = len(i) // 2
+            stack += [(level, i[half:], j[half:]), (level, i[:half], j[:half])]
+            continue
+        la, lb = (min(level, len(t.levels) - 1) for t in (a, b))
+        sure = rooms[0][la][i] + rooms[-1][lb][j] >= 0
+        (al, ah), (bl, bh) = span(a, level, i[sure]), span(b, level, j[sure])
+        total_a, total_b = prior[0][ah] - prior[0][al], prior[-1][bh] - prior[-1][bl]
+        np.add.at(gained[0], al, total_b)
+        np.add.at(gained[0], ah, -total_b)
+        two = ~((i[sure] == j[sure]) & inside)  # a node with itself gives its pairs once
+        np.add.at(gained[-1], bl[two], total_a[two])
+        np.add.at(gained[-1], bh[two], -total_a[two])
+        np.add.at(own, al[~two], 1)
+        np.add.at(own, ah[~two], -1)
+        i, j = i[~sure], j[~sure]
+        keep = can_match(a.levels[la], i, b.levels[lb], j, p, q)
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        if level:
+            stack.append((level - 1, *children(a, b, level, i, j)))
+            continue
+        x, y = a.order[i], b.order[j]
+        x, y = x[x != y], y[x != y]
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        for start, end in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([np.flatnonzero(np.diff(x, prepend=-1)), [len(x)]])), strict=True):
+            one = int(x[start])
+            for low in range(start, end, step):
+                others = y[low : min(end, low + step)]
+                both = local.common(local.of(one), others)
+                linked = others[q * both >= p * (sizes[one] + sizes[others] - both)]
+                counts[one] += copies[linked].sum()
+                counts[linked] += copies[one]
+    counts[a.order] += np.cumsum(gained[0])[:-1] - (np.cumsum(own)[:-1] * copies[a.order] if inside else 0)
+    if not inside:
+        counts[b.order] += np.cumsum(gained[1])[:-1]
+    return counts
+
+
+def counts_by_component(
+    left: list[int], right: list[int], links: list[tuple[int, int]], sets: list[np.ndarray], copies: np.ndarray, p: int, q: int
+) -> np.ndarray:
+    """count_links() of each component of `links`, which connect all that are linked."""
+    counts = np.zeros(len(sets), np.int64)
+    forest = Forest(len(sets))
+    for x, y in links:
+        rx, ry = forest.root(x), forest.root(y)
+        forest.parent[max(rx, ry)] = min(rx, ry)
+    roots, on_left = forest.flat(), np.zeros(len(sets), bool)
+    on_left[left] = True
+    touched = np.unique(np.array(links, np.int64).reshape(-1))
+    touched = touched[np.argsort(roots[touched], kind="stable")]
+    for group in np.split(touched, np.flatnonzero(np.diff(roots[touched])) + 1) if len(touched) else []:
+        here = np.flatnonzero(on_left[group])
+        there = here if left is right else np.flatnonzero(~on_left[group])
+        counts[group] += count_links(here, there, [sets[k] for k in group], copies[group], p, q)
+    return counts
+
+
 def linked_pairs(left: list[int], right: list[int], sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
     """Links between positions of left and of right that connect all that are linked.
 
@@ -344,10 +514,7 @@ def linked_pairs(left: list[int], right: list[int], sets: list[np.ndarray], p: i
         return links
     width = bitmap_width(int(sizes.max()), len(sets))
     most = min(8192, max(64, (BITMAP_BYTES // 8) // (width // 8)))  # pairs of nodes looked at together
-    bitmaps = np.zeros((len(sets), width // 64), np.uint64)
-    for i, s in enumerate(sets):
-        bit = mixed(s) & np.uint64(width - 1)
-        np.bitwise_or.at(bitmaps[i], bit >> np.uint64(6), np.uint64(1) << (bit & np.uint64(63)))
+    bitmaps = bitmaps_of(sets, width)
     first = np.array([s[0] for s in sets])  # similar sets mostly have the same smallest hash
     trees = []
     for side in (left, right) if left is not right else (left,):
@@ -385,26 +552,15 @@ def linked_pairs(left: list[int], right: list[int], sets: list[np.ndarray], p: i
                 if x != y:
                     test(x, y)
             continue
-        nexts = []
-        for t, node, at in ((a, i, la), (b, j, lb)):
-            if at < level or at == 0:  # this tree is not as high: its node waits
-                nexts.append(node[:, None])
-            else:
-                nexts.append(node[:, None] * FAN_OUT + np.arange(FAN_OUT))
-        x = np.repeat(nexts[0], nexts[1].shape[1], axis=1).ravel()
-        y = np.tile(nexts[1], (1, nexts[0].shape[1])).ravel()
-        down = level - 1
-        na, nb = (len(t.levels[min(down, len(t.levels) - 1)][2]) for t in (a, b))
-        inside = (x < na) & (y < nb)
-        if a is b:
-            inside &= x <= y
-        stack.append((down, x[inside], y[inside]))
+        stack.append((level - 1, *children(a, b, level, i, j)))
     return links
 
 
-def block_links(members: DataFrame, p: int, q: int) -> DataFrame:
-    """(a, b) links between the members of each group (cluster, i, j), blocks i and j of a cluster."""
-    schema = schema_of("a bigint, b bigint")
+def block_links(members: DataFrame, p: int, q: int, counted: bool) -> DataFrame:
+    """(a, b) links between the members of each group (cluster, i, j), blocks i and j of a cluster.
+
+    If `counted`, also a row (a, null, n) for each member that is linked with n documents there."""
+    schema = schema_of("a bigint, b bigint, n bigint")
 
     def verify(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -417,9 +573,17 @@ def block_links(members: DataFrame, p: int, q: int) -> DataFrame:
         left = [int(x) for x in np.flatnonzero(block == i)]
         right = left if i == j else [int(x) for x in np.flatnonzero(block == j)]
         links = linked_pairs(left, right, sets, p, q) if left and right else []
-        return pa.table(
-            {"a": pa.array([names[x] for x, _ in links], pa.int64()), "b": pa.array([names[y] for _, y in links], pa.int64())}
-        )
+        found = pa.table({
+            "a": pa.array([names[x] for x, _ in links], pa.int64()),
+            "b": pa.array([names[y] for _, y in links], pa.int64()),
+            "n": pa.nulls(len(links), pa.int64()),
+        })
+        if not counted or not links:
+            return found
+        counts = counts_by_component(left, right, links, sets, rows.column("copies").to_numpy()[order], p, q)
+        some = np.flatnonzero(counts)
+        numbers = {"a": pa.array(names[some]), "b": pa.nulls(len(some), pa.int64()), "n": pa.array(counts[some])}
+        return pa.concat_tables([found, pa.table(numbers)])
 
     return members.groupBy("cluster", "i", "j").applyInArrow(verify, schema)
 
@@ -432,8 +596,12 @@ def component_table(
     p: int = NUMERATOR,
     q: int = DENOMINATOR,
     block_shingles: int = BLOCK_SHINGLES,
+    count_links: bool = True,
 ) -> DataFrame:
-    """key, n_shingles and component_id, the smallest key reachable by links, for each row.
+    """key, n_shingles, component_id, the smallest key reachable by links, and n_links, for each row.
+
+    n_links is the number of other rows that the row is linked with directly, copies among them; it
+    is left out without `count_links`.
 
     Two rows link when q * intersection >= p * union of their sets. Null or empty text, and text
     without words, has an empty set, links with nothing and is its own component. With fewer
@@ -450,11 +618,11 @@ def component_table(
     clusters = materialise(
         components(edges).select(F.col("node").alias("member"), F.col("root").alias("cluster")), "clusters"
     )
-    named = signed.groupBy("member").agg(F.min(key).alias("id"), F.max("n").alias("n"))
+    named = signed.groupBy("member").agg(F.min(key).alias("id"), F.max("n").alias("n"), F.count("*").alias("copies"))
     candidates = materialise(clusters.join(named, "member"), "candidates")
     runs = lay_out(candidates, ["cluster"], ["n", "member"], ["n"])
     placed = running_totals(runs).withColumn("block", F.floor(F.col("n_prior") / block_shingles)).select(
-        "member", F.col("id").alias("first_id"), "cluster", "n", "block"
+        "member", F.col("id").alias("first_id"), "cluster", "n", "block", "copies"
     )
     placed = materialise(placed, "placed")
     blocks = placed.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -469,11 +637,17 @@ def component_table(
     sets = sets_of(df, candidates.select("id").where("id is not null"), text, key, width)
     # One row stands for all copies of a set: the one with the smallest key.
     members = sets.join(placed, "member").where(F.col("id").eqNullSafe(F.col("first_id"))).join(tasks, ["cluster", "block"])
-    links = materialise(block_links(members.select("cluster", "i", "j", "block", "member", "hashes"), p, q), "links")
-    roots = components(links).select(F.col("node").alias("member"), "root")
+    members = members.select("cluster", "i", "j", "block", "member", "hashes", "copies")
+    links = materialise(block_links(members, p, q, count_links), "links")
+    roots = components(links.where("b is not null")).select(F.col("node").alias("member"), "root")
     per_member = named.join(roots, "member", "left").withColumn("root", F.coalesce("root", "member"))
     smallest = per_member.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_member = materialise(per_member.join(smallest, "root").select("member", "component_id"), "components")
+    beyond = links.where("b is null").groupBy(F.col("a").alias("member")).agg(F.sum("n").alias("beyond"))
+    n_links = F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))
+    of_member = materialise(
+        per_member.join(smallest, "root").join(beyond, "member", "left").select("member", "component_id", n_links.alias("n_links")),
+        "components",
+    )
     return (
         signed
         .join(of_member, "member", "left")
@@ -481,6 +655,7 @@ def component_table(
             key,
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") == 0, F.col(key)).otherwise(F.col("component_id")).alias("component_id"),
+            *([F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).alias("n_links")] if count_links else []),
         )
     )
 
@@ -491,7 +666,7 @@ def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", **option
     The rows of a repeated key stay or go together: they go if none of them is the smallest of
     its component, else the first by text stays. Rows without a key stay.
     """
-    found = component_table(df, text, key, **options).where(F.col(key).isNotNull())
+    found = component_table(df, text, key, count_links=False, **options).where(F.col(key).isNotNull())
     by_key = materialise(
         found.groupBy(key).agg(F.max(F.col(key) == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "stays"
     )
@@ -547,7 +722,8 @@ links AS (
 reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents
   UNION SELECT r.a, CASE WHEN l.x = r.b THEN l.y ELSE l.x END FROM reach r JOIN links l ON r.b IN (l.x, l.y))
-SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.b) AS component_id
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.b) AS component_id,
+  (SELECT count(*) FROM links l WHERE d.doc_id = l.x) + (SELECT count(*) FROM links l WHERE d.doc_id = l.y) AS n_links
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP BY ALL
 """
 

@@ -24,7 +24,7 @@ def shingles(text):
 
 def plain(rows):
     sets = [shingles(r[1]) for r in rows]
-    parent = list(range(len(rows)))
+    parent, links = list(range(len(rows))), [0] * len(rows)
 
     def root(i):
         while parent[i] != i:
@@ -36,11 +36,13 @@ def plain(rows):
             both = len(sets[i] & sets[j])
             if sets[i] and sets[j] and 100 * both >= 90 * len(sets[i] | sets[j]):
                 parent[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     out = []
     for i, r in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i) and rows[j][0] is not None]
         own = r[0] if not sets[i] else min(ids, default=None)
-        out.append((r[0], len(sets[i]), own))
+        out.append((r[0], len(sets[i]), own, links[i]))
     return sorted(out, key=str)
 
 
@@ -127,6 +129,35 @@ def test_tree_finds_every_component(cross, room, monkeypatch):
     assert len(links) < len(sets)
 
 
+@pytest.mark.parametrize("cross", [False, True])
+@pytest.mark.parametrize("apart", [0.004, 0.02, 0.05])
+def test_every_link_is_counted(cross, apart):
+    """Near copies that differ little (counted by whole nodes), much, and about as much as is allowed."""
+    draw = random.Random(8)
+    sets = [np.unique(np.array([draw.getrandbits(64) for _ in range(40)], np.uint64)) for _ in range(5)]
+    for n, size in ((120, 300), (70, 90), (3, 50)):
+        base = [draw.getrandbits(64) for _ in range(size)]
+        for _ in range(n):
+            rest = [h for h in base if draw.random() > apart] + [draw.getrandbits(64) for _ in range(int(apart * size * draw.random()))]
+            sets.append(np.unique(np.array(rest, np.uint64)))
+    draw.shuffle(sets)
+    copies = np.array([draw.choice([1, 1, 2, 900]) for _ in sets])
+    left = list(range(len(sets)))
+    right = left
+    if cross:
+        left, right = left[: len(left) // 3], left[len(left) // 3 :]
+    links = jj.linked_pairs(left, right, sets, 9, 10)
+    expected = np.zeros(len(sets), np.int64)
+    for a in left:
+        for b in right:
+            both = jj.shared(sets[a], sets[b])
+            if (cross or a < b) and 10 * both >= 9 * (len(sets[a]) + len(sets[b]) - both):
+                expected[a] += copies[b]
+                expected[b] += copies[a]
+    assert (jj.counts_by_component(left, right, links, sets, copies, 9, 10) == expected).all()
+    assert expected.sum() > 0
+
+
 def test_bitmaps_are_bounded():
     for largest in (1, 3, 100, 20_000, 10**7):
         for members in (9, 1000, 40_000, 10**6):
