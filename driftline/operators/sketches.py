@@ -9,8 +9,10 @@ and carry the error that follows:
 
 * KS differs from the exact statistic by at most the reach of both sides.
 * PSI lies between the bounds `psi_low` and `psi_high`: every exact edge lies between the quantiles
-  one reach below and above its own, which bounds the readings of each cell; a cell's term is convex
-  in the two shares, so its extremes are at the corners, or 0 where the shares can be equal.
+  one reach and two readings below and above its own, which bounds the share below it on each side. Of
+  the reference at most the edge's own share lies below it. So the readings of each cell are bounded; a
+  cell's term is convex in the two shares, so its extremes are at the corners, or 0 where the shares can
+  be equal. Where the sketch holds all readings, edges are the exact ones.
 
 The reach holds with the confidence that the sketch states for its rank error, 99 %. Features with at
 most 15 distinct reference values are counted by value, exactly; their PSI has no error.
@@ -30,7 +32,7 @@ from driftline.operators.profile import QUANTILES, to_long
 from driftline.session import broadcast_bounded
 
 SKETCH_SIZE = 4096
-POINTS = 2000
+POINTS = SKETCH_SIZE  # every reading of a side that the sketch holds whole is among the points
 DISTINCT_BITS = 12
 DATE = "event_date"
 MEASURES = ("n_rows", "n_present", "mean", "squares", "low", "high", "quantiles", "distinct")
@@ -38,7 +40,7 @@ MEASURES = ("n_rows", "n_present", "mean", "squares", "low", "high", "quantiles"
 
 def rank_error(size: int = SKETCH_SIZE) -> float:
     """The rank error that a quantile sketch of this size keeps in 99 of 100 cases (published fit)."""
-    return max(2.446 / size**0.9433, 2.296 / size**0.9021)
+    return max(2.446 / size**0.9433, 2.296 / size**0.9723)
 
 
 def reach(n: Column, size: int = SKETCH_SIZE) -> Column:
@@ -144,6 +146,26 @@ def with_points(sketches: DataFrame) -> DataFrame:
     return filled.unionByName(empty).withColumn("reach", reach(F.col("n_present")))
 
 
+def with_edges(sketches: DataFrame) -> DataFrame:
+    """sketches of with_points() with `edges`: for each inner quantile its share, value, and the least and
+    most that the exact one can be. The value is interpolated between two neighbouring readings."""
+    shares = f"array({', '.join(f'{q}D' for q in QUANTILES[1:-1])})"
+
+    def at(rank: str) -> str:
+        return f"get(points, cast(least(greatest(floor(({rank}) * {POINTS}), 0), {POINTS - 1}) AS int))"
+
+    place = "floor((n_present - 1) * q)"
+    lower, upper = (at(f"({place} + {half}D) / n_present") for half in (0.5, 1.5))
+    value = f"({lower} + ({upper} - {lower}) * ((n_present - 1) * q - {place}))"
+    low, high = at("q - reach - 1.0D / n_present"), at("q + reach + 2.0D / n_present")
+    whole = f"n_present <= {SKETCH_SIZE}"
+    edge = (
+        f"named_struct('q', q, 'e', {value}, 'low', IF({whole}, {value}, least({low}, {value})), "
+        f"'high', IF({whole}, {value}, greatest({high}, {value})))"
+    )
+    return sketches.withColumn("edges", F.expr(f"IF(n_present > 0, transform({shares}, q -> {edge}), NULL)"))
+
+
 # One row per feature below this line, so lambdas are cheap.
 _GAP = """aggregate(
   array_sort(concat(transform(ref_points, x -> struct(x AS v, 1 AS r, 0 AS p)), transform(prod_points, x -> struct(x AS v, 0 AS r, 1 AS p)))),
@@ -159,32 +181,26 @@ def _below(points: str, edge: str) -> str:
 
 def numeric_rows(joined: DataFrame) -> DataFrame:
     """PSI with its bounds, and the KS statistic with its error, of the features with readings on both sides."""
-    interior = QUANTILES[1:-1]
-
-    def at(q: float, shift: str = "0.0D") -> str:
-        place = f"cast(least(greatest(floor(({q}D + {shift}) * {POINTS}), 0), {POINTS - 1}) AS int)"
-        return f"get(ref_points, {place})"
-
-    edges = ", ".join(
-        f"named_struct('e', {at(q)}, 'low', {at(q, '-ref_reach')}, 'high', {at(q, 'ref_reach')})" for q in interior
-    )
     # Edges that fall together are one, and those on the ends of the support are none.
-    kept = f"filter(array({edges}), (x, i) -> x.e > ref_bottom AND x.e < ref_top AND (i = 0 OR x.e <> element_at(array({', '.join(at(q) for q in interior)}), i)))"
+    kept = "filter(ref_edges, (x, i) -> x.e > ref_bottom AND x.e < ref_top AND (i = 0 OR x.e <> ref_edges[greatest(i - 1, 0)].e))"
     frame = joined.withColumn("edges", F.expr(kept)).withColumn("cells", F.size("edges") + 1)
 
-    def shares(side: str, edge: str) -> str:
-        return f"concat(array(0.0D), transform(edges, e -> {_below(side + '_points', 'e.' + edge)}), array(1.0D))"
+    def shares(of: str) -> str:
+        return f"concat(array(0.0D), transform(edges, e -> {of}), array(1.0D))"
 
     for side in ("ref", "prod"):
-        for edge in ("e", "low", "high"):
-            frame = frame.withColumn(f"{side}_{edge}", F.expr(shares(side, edge)))
+        points, reach_ = f"{side}_points", f"{side}_reach"
+        frame = frame.withColumn(f"{side}_e", F.expr(shares(_below(points, "e.e"))))
+        frame = frame.withColumn(f"{side}_low", F.expr(shares(f"greatest({_below(points, 'e.low')} - {reach_}, 0.0D)")))
+        top = "least(e.q + 1.0D / ref_present, 1.0D)" if side == "ref" else "1.0D"
+        frame = frame.withColumn(f"{side}_high", F.expr(shares(f"least({_below(points, 'e.high')} + {reach_}, {top})")))
     each = "sequence(0, cells - 1)"
     for side in ("ref", "prod"):
-        n, slack = f"{side}_present", f"2 * {side}_reach"
+        n = f"{side}_present"
         frame = frame.withColumns({
             f"{side}_c": F.expr(f"transform({each}, i -> {n} * ({side}_e[i + 1] - {side}_e[i]))"),
-            f"{side}_least": F.expr(f"transform({each}, i -> {n} * greatest({side}_low[i + 1] - {side}_high[i] - {slack}, 0.0D))"),
-            f"{side}_most": F.expr(f"transform({each}, i -> {n} * least({side}_high[i + 1] - {side}_low[i] + {slack}, 1.0D))"),
+            f"{side}_least": F.expr(f"transform({each}, i -> {n} * greatest({side}_low[i + 1] - {side}_high[i], 0.0D))"),
+            f"{side}_most": F.expr(f"transform({each}, i -> {n} * ({side}_high[i + 1] - {side}_low[i]))"),
             f"{side}_gone": F.expr(f"cast({side}_rows - {side}_present AS double)"),
             f"{side}_total": F.expr(f"{side}_rows + cells + 1.0D"),
         })
@@ -216,9 +232,11 @@ def sketch_drift(
     shared = [k for k in keys if k in reference.columns]
     by = [*shared, "feature"]
 
-    def side(rows: DataFrame, name: str, own: Sequence[str]) -> DataFrame:
+    def side(found: DataFrame, name: str, own: Sequence[str]) -> DataFrame:
+        rows = with_edges(with_points(found)) if name == "ref" else with_points(found)
         renamed = {"n_rows": "rows", "n_present": "present", "mean": "mean", "squares": "squares", "low": "bottom", "high": "top", "points": "points", "reach": "reach"}
-        return with_points(rows).select(*own, "feature", *[F.col(c).alias(f"{name}_{n}") for c, n in renamed.items()])
+        renamed |= {"edges": "edges"} if name == "ref" else {}
+        return rows.select(*own, "feature", *[F.col(c).alias(f"{name}_{n}") for c, n in renamed.items()])
 
     joined = side(production, "prod", keys).join(broadcast_bounded(side(reference, "ref", shared), max_rows), by)
     named = F.col("feature").isin(list(categorical)) if categorical else F.lit(False)
