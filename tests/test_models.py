@@ -101,3 +101,22 @@ def test_a_version_that_cannot_score_is_not_promoted(spark):
     versions = spark.createDataFrame([("champion", 0.7, 100), ("challenger", 0.9, 90)], VERSIONS)
     row = ml.promotion_decision(df, versions).first()
     assert not row["promoted"] and row["challenger_f1"] == pytest.approx(2 / 3) and row["eval_n"] == 200
+
+
+def test_trees_learn_from_counts_of_bins(spark):
+    """Rare values beside a frequent one are cut apart, and copies of all rows change no score."""
+    rng = np.random.default_rng(4)
+    rare = np.where(rng.random(3000) < 0.98, 0.0, rng.integers(1, 6, 3000)).astype(float)
+    wide = rng.normal(0, 1, 3000)
+    data = [(float(a), float(b), int(a > 2 or b > 1.5)) for a, b in zip(rare, wide)]
+    df = spark.createDataFrame(data, "a double, b double, label int")
+    points = ml.split_points(df, ["a", "b"])
+    assert points["a"] == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+    assert points["b"] == sorted(np.sort(wide)[[3000 * j // ml.BINS for j in range(1, ml.BINS)]])
+    once = ml.fit_binned(df, ["a", "b"], "label", 5, 3)
+    thrice = ml.fit_binned(df.union(df).union(df), ["a", "b"], "label", 5, 3)
+    scores = [np.array([r.score for r in ml.probability(m.transform(df.coalesce(1))).collect()]) for m in (once, thrice)]
+    assert np.allclose(scores[0], scores[1])
+    truth = np.array([r[2] for r in data])
+    assert scores[0][truth == 1].mean() > scores[0][truth == 0].mean() + 0.2
+    assert scores[0][rare > 2].min() > scores[0][(rare == 0) & (wide < 1)].max()
