@@ -56,3 +56,16 @@ def test_flags_of_all_scenarios_at_once(sides):
             if r.scenario == f"{mode}@{intensity}":
                 assert r.ks_flag == (one[r.feature].ks_pvalue < 0.01 and one[r.feature].ks_statistic >= 0.1)
                 assert r.psi_flag == one[r.feature].drifted and r.agree == (r.psi_flag == r.ks_flag)
+
+
+def test_rows_of_one_file_are_multiplied_in_many_tasks(spark, sides):
+    """Production in a single partition, as a table of one row group gives it: the fan-out is shared."""
+    ref, prod = sides
+    tracker, group = spark.sparkContext.statusTracker(), "one-file"
+    spark.sparkContext.setJobGroup(group, group)
+    rows = bt.factorised_trials(ref, prod.coalesce(1), SPEC, bt.SCENARIOS, (0,), SHIFTS, F.col("a") > -0.5, scored)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+    sizes = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+    assert 4 * spark.sparkContext.defaultParallelism in sizes
+    assert rows.count() == len(bt.SCENARIOS)
