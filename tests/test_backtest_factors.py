@@ -69,3 +69,13 @@ def test_rows_of_one_file_are_multiplied_in_many_tasks(spark, sides):
     sizes = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
     assert 4 * spark.sparkContext.defaultParallelism in sizes
     assert rows.count() == len(bt.SCENARIOS)
+
+
+def test_scenarios_with_the_same_features_are_measured_once(sides):
+    ref, prod = sides
+    stands = bt.standing_for(bt.COMPARISON)
+    measured = list(dict.fromkeys(stands.values()))
+    assert len(measured) == 3 and set(stands) == set(bt.COMPARISON)
+    of = lambda names: bt.scenario_batches(prod, names, (1,), SHIFTS, F.col("a") > 0, "id", "label")
+    some, whole = bt.detector_comparison(ref, of(measured), ["a", "b"]), bt.detector_comparison(ref, of(bt.COMPARISON), ["a", "b"])
+    assert sorted(some.collect()) == sorted(whole.collect()) and some.count() == 2 * len(bt.COMPARISON)
