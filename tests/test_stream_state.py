@@ -112,3 +112,12 @@ def test_event_time_decisions_do_not_depend_on_batches(spark, tmp_path):
         assert sent == brute.greedy(sorted(ts.tolist()), 90)
     assert sorted(r.id for r in spark.read.parquet(f"{out}/late").collect()) == [5000, 5001, 6000]
     assert len(list((tmp_path / "out" / "open").glob("batch=*"))) <= 2
+
+
+def test_state_is_stored_by_its_changes(spark):
+    """A write to the state costs no look-up to count its rows, and a batch stores changes, not whole files."""
+    own = common.stateful_session(spark, 3)
+    prefix = "spark.sql.streaming.stateStore.rocksdb"
+    assert own.conf.get(f"{prefix}.trackTotalNumberOfRows") == "false"
+    assert own.conf.get(f"{prefix}.changelogCheckpointing.enabled") == "true"
+    assert spark.conf.get(f"{prefix}.trackTotalNumberOfRows", "unset") != "false"
