@@ -6,7 +6,9 @@
    at most S * (1 - t) / (1 + t) shingles. If the hash range is cut into more parts than that,
    the sets agree in a whole part. So a set sends a key for each part of its size class (and of
    the class below, as a partner may be smaller), the key being a hash of the part's content.
-   Parts with very few shingles are left out where enough others remain, see `part_keys`.
+   Parts with very few shingles are left out where enough others remain, see `part_keys`. With
+   `rare_keys`, parts hold the shingles that few sets have, so a passage that many unlike documents
+   share connects none of them; only sets with too few such shingles send keys of all shingles.
 3. Clusters. Members that share a key are connected; the components of that graph contain the
    components of the true links.
 4. Signature trees. Every cluster is ordered by size and cut into blocks of bounded size. For each
@@ -47,6 +49,9 @@ from driftline.session import materialise
 WORDS = 3
 NUMERATOR, DENOMINATOR = 9, 10
 THIN = 3
+COMMON = 16
+COMMON_WORDS = 1 << 21
+COUNTED = 4 << 20
 BLOCK_SHINGLES = 4 << 20
 FAN_OUT = 8
 BITMAP_BYTES = 64 << 20
@@ -120,30 +125,45 @@ def part_edges(parts: int) -> np.ndarray:
     return np.array([k * 2**64 // parts for k in range(1, parts)], np.uint64)
 
 
-def part_keys(hashes: np.ndarray, classes: SizeClasses) -> np.ndarray:
+def class_keys(hashes: np.ndarray, classes: SizeClasses, number: int, share: int, first: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys of the parts of a size class, which of them are thin, and the spare parts: one for each
+    `share` of those needed. first tells kinds of keys apart."""
+    differences = classes.differences(number)
+    spare = -(-(differences + 1) // share)
+    parts = differences + 1 + spare
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes), dtype=np.uint64)])
+    cuts = np.concatenate([[0], np.searchsorted(hashes, part_edges(parts)), [len(hashes)]])
+    thin = np.diff(cuts) < (THIN if classes.low[number] >= 6 * parts else 1)
+    content = sums[cuts[1:]] - sums[cuts[:-1]]
+    place = np.arange(parts, dtype=np.uint64) + np.uint64(first + (number << 40))
+    return mixed(mixed(place + _GOLDEN) + content), thin, spare
+
+
+def part_keys(hashes: np.ndarray, classes: SizeClasses, rare: np.ndarray | None = None) -> np.ndarray:
     """The meeting keys of a set.
 
     With d differences at most, d + 1 + spare parts have at least spare + 1 parts on which linked
     sets agree. A set with at most `spare` thin parts need not send these: a partner agrees with
     it in a part that is not thin for either. A set with more thin parts sends all its parts.
+
+    rare: the shingles of the set that are not common, whatever counts as common, if it does so in
+    all sets. The rare shingles of linked sets differ in no more than the sets do, so the same holds
+    of their parts: all sets send those that are not thin, and two sets of which one has at most
+    `spare` thin parts meet there. A set with more of them also sends the keys of all its shingles.
     """
     n, keys = len(hashes), []
     if not n:
         return np.zeros(0, np.uint64)
     own = classes.class_of(n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes), dtype=np.uint64)])
     for number in (own, own - 1):
-        differences = classes.differences(number) if number >= 0 else 0
-        if not differences:
+        if number < 0 or not classes.differences(number):
             continue  # sets this small are equal or not linked
-        spare = -(-(differences + 1) // 16)
-        parts = differences + 1 + spare
-        cuts = np.concatenate([[0], np.searchsorted(hashes, part_edges(parts)), [n]])
-        sizes = np.diff(cuts)
-        thin = sizes < (THIN if classes.low[number] >= 6 * parts else 1)
-        content = sums[cuts[1:]] - sums[cuts[:-1]]
-        place = np.arange(parts, dtype=np.uint64) + np.uint64(number << 40)
-        key = mixed(mixed(place + _GOLDEN) + content)
+        if rare is not None:
+            key, thin, spare = class_keys(rare, classes, number, 6, 1 << 62)
+            keys.append(key[~thin])
+            if thin.sum() <= spare:
+                continue
+        key, thin, spare = class_keys(hashes, classes, number, 16, 0)
         keys.append(key[~thin] if thin.sum() <= spare else key)
     return np.concatenate([np.zeros(0, np.uint64), *keys])
 
@@ -176,37 +196,105 @@ def signatures(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
     return df.select(key, text).mapInArrow(tidy(run), schema)
 
 
-def meetings(df: DataFrame, text: str, width: int, p: int, q: int) -> DataFrame:
+def new_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Name and hashes of the sets of the texts in the first column, for up to 128 rows at a time, mostly
+    without the copies among a task's rows."""
+    shingle, seen = Shingler(width), set()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 128):
+            found = []
+            for value in batch.slice(start, 128).column(0).to_pylist():
+                hashes = shingle(value or "")
+                name = fingerprint(hashes)
+                if name in seen:
+                    continue
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                seen.add(name)
+                found.append((name, hashes))
+            if found:
+                yield found
+
+
+def meetings(df: DataFrame, text: str, width: int, p: int, q: int, common: np.ndarray | None = None) -> DataFrame:
     """(member, k): the meeting keys of every set. A task sends the keys of copies once.
 
     They are made from the text when they are shuffled and kept nowhere, as they are as large
-    as the text."""
+    as the text. common: common_shingles() of df, for keys of the others."""
     schema = schema_of("member bigint, k bigint")
+    bits = None if common is None else df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        shingle, classes, seen = Shingler(width), SizeClasses(p, q), set()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                members, keys = [], []
-                for value in batch.slice(start, 128).column(0).to_pylist():
-                    hashes = shingle(value or "")
-                    name = fingerprint(hashes)
-                    if name in seen:
-                        continue
-                    if len(seen) > 1 << 20:
-                        seen.clear()
-                    seen.add(name)
-                    own = part_keys(hashes, classes)
-                    keys.append(own)
-                    members.append(np.full(len(own), name, np.uint64))
-                if keys:
-                    columns = [pa.array(_signed(np.concatenate(c))) for c in (members, keys)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        classes = SizeClasses(p, q)
+        for found in new_sets(batches, width):
+            keys = [part_keys(h, classes, None if bits is None else h[~is_common(h, bits.value)]) for _, h in found]
+            members = [np.full(len(own), name, np.uint64) for own, (name, _) in zip(keys, found, strict=True)]
+            columns = [pa.array(_signed(np.concatenate(c))) for c in (members, keys)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.select(text).mapInArrow(tidy(run), schema)
 
 
+def is_common(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether common_shingles() has a bit for each shingle."""
+    place = hashes >> np.uint64(37)
+    return bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1
+
+
+def common_shingles(df: DataFrame, text: str, width: int) -> np.ndarray:
+    """A bit set over the first 27 bits of a hash, of a fixed 16 MB: those of shingles in more than COMMON sets.
+
+    All shingles are counted, by 32 bits of their hashes. They are dealt by the first 10 of these, sorted, and
+    the next 6 are given by the lengths of 64 runs, so that a shingle takes 2 bytes. Shingles that share a
+    bit with a common one count as common; that decides which keys are sent, not what is found. From some
+    10 ** 10 shingles on ever more of them do, and sets send the keys of all their shingles."""
+    schema, words = schema_of("part int, packed binary"), schema_of("word bigint, bits bigint")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+
+        def flush(kept: list[np.ndarray]) -> pa.RecordBatch:
+            values = np.sort(np.concatenate(kept))
+            cuts = np.searchsorted(values, np.arange(1 << 16, dtype=np.uint32) << np.uint32(16))
+            cuts = np.append(cuts, len(values)).astype(np.uint32)
+            low = values.astype(np.uint16)  # the last 16 bits
+            runs = np.diff(cuts).reshape(1 << 10, 64)
+            edges = cuts[::64]
+            packed = [runs[i].tobytes() + low[edges[i] : edges[i + 1]].tobytes() for i in range(1 << 10)]
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(1 << 10, dtype=np.int32)), pa.array(packed, pa.binary())], schema=arrow)
+
+        kept, size = [], 0
+        for found in new_sets(batches, width):
+            kept += [(h >> np.uint64(32)).astype(np.uint32) for _, h in found]
+            size += sum(len(h) for _, h in found)
+            if size >= COUNTED:
+                yield flush(kept)
+                kept, size = [], 0
+        if size:
+            yield flush(kept)
+
+    def count(rows: pa.Table) -> pa.Table:
+        part, values = rows.column("part")[0].as_py(), []
+        for packed in rows.column("packed"):
+            raw = packed.as_buffer()
+            runs = np.frombuffer(raw, np.uint32, 64)
+            values.append(np.repeat(np.arange(64, dtype=np.uint32) << np.uint32(16), runs) + np.frombuffer(raw, np.uint16, offset=256))
+        values, times = np.unique(np.concatenate(values), return_counts=True)
+        # 32 bits also meet by chance: from 2 ** 32 shingles on the limit rises with their number.
+        often = values[times > COMMON + 4 * (int(times.sum()) >> 22)]
+        place = (np.uint64(part << 22) + often) >> np.uint64(5)
+        word, starts = np.unique(place >> np.uint64(6), return_index=True)
+        bit = np.uint64(1) << (place & np.uint64(63))
+        bits = np.bitwise_or.reduceat(bit, starts) if len(bit) else bit
+        return pa.table({"word": pa.array(_signed(word)), "bits": pa.array(_signed(bits))})
+
+    table = df.select(text).mapInArrow(tidy(pack), schema).groupBy("part").applyInArrow(count, words).toArrow()
+    out = np.zeros(COMMON_WORDS, np.uint64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
 def key_filter(ids: DataFrame) -> np.ndarray:
     """A bit set over hashed ids, of a fixed 2 MB; a clear bit proves that an id is not there."""
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_WORDS * 64))
@@ -597,11 +685,13 @@ def component_table(
     q: int = DENOMINATOR,
     block_shingles: int = BLOCK_SHINGLES,
     count_links: bool = True,
+    rare_keys: bool = False,
 ) -> DataFrame:
     """key, n_shingles, component_id, the smallest key reachable by links, and n_links, for each row.
 
     n_links is the number of other rows that the row is linked with directly, copies among them; it
-    is left out without `count_links`.
+    is left out without `count_links`. `rare_keys` is for texts that share passages without being
+    alike: one more pass over the text, with the same result.
 
     Two rows link when q * intersection >= p * union of their sets. Null or empty text, and text
     without words, has an empty set, links with nothing and is its own component. With fewer
@@ -613,7 +703,8 @@ def component_table(
     # Every set is connected with the smallest one at its key. Keys are shuffled once and pass by in
     # order; a key that one set has alone leaves nothing.
     smallest = F.min("member").over(Window.partitionBy("k"))
-    meeting = meetings(df, text, width, p, q).withColumn("a", smallest)
+    common = common_shingles(df, text, width) if rare_keys else None
+    meeting = meetings(df, text, width, p, q, common).withColumn("a", smallest)
     edges = meeting.where("member <> a").select("a", F.col("member").alias("b"))
     clusters = materialise(
         components(edges).select(F.col("node").alias("member"), F.col("root").alias("cluster")), "clusters"
@@ -636,7 +727,9 @@ def component_table(
     tasks = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     sets = sets_of(df, candidates.select("id").where("id is not null"), text, key, width)
     # One row stands for all copies of a set: the one with the smallest key.
-    members = sets.join(placed, "member").where(F.col("id").eqNullSafe(F.col("first_id"))).join(tasks, ["cluster", "block"])
+    # Members meet their tasks first, so that the sets are dealt out once by member and once by task.
+    homes = placed.join(tasks, ["cluster", "block"])
+    members = sets.join(homes, "member").where(F.col("id").eqNullSafe(F.col("first_id")))
     members = members.select("cluster", "i", "j", "block", "member", "hashes", "copies")
     links = materialise(block_links(members, p, q, count_links), "links")
     roots = components(links.where("b is not null")).select(F.col("node").alias("member"), "root")
